@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, mixing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
