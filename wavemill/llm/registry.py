@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_simhash": simhash.op2_simhash,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
