@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import exact_dedup, mixing, packing, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_simhash": simhash.op2_simhash,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 
