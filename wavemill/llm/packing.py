@@ -10,7 +10,10 @@ that order: no shuffle, and a lost task repeats itself exactly.
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ POOL = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words an encoder remembers before it starts afresh.
-REMEMBER = 400_000
+REMEMBER = 800_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -37,11 +40,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Numbers words in order of their first look-up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
 class WordEncoder:
     """Ids of whole texts, by remembering each word's ids.
 
-    Holds for tokenizers that drop white space and never join across it. Texts with control characters that
-    Python, but not the tokenizer, takes for white space are encoded as a whole.
+    Holds for tokenizers that drop white space, never join across it or between letters and other characters, and
+    lower-case character by character. Texts with control characters that Python, but not the tokenizer, takes for
+    white space are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -52,53 +64,60 @@ class WordEncoder:
         ends = [k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.is_end[ends] = True
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known, self.learnt = _Numbers(), 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(self.known), len(ids)
-        while self.used + m > len(self.flat):
+        self.stems: dict[str, list[int]] = {}
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word: of its lower-cased letters, and of a full stop or comma after them."""
+        stems = [w[:-1] if w[-1] in ".," else w for w in words]
+        lower = [w.lower() if w.isalpha() and "\u03a3" not in w else "" for w in stems]
+        fresh = list({w for w in lower if w.isalpha() and w not in self.stems})
+        # A run of letters is one unit for the tokenizer, so many go in one call and their ids part after word ends.
+        for k in range(0, len(fresh), 50_000):
+            part = fresh[k : k + 50_000]
+            ids = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            stops = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                self.stems.update(zip(part, map(ids.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+        found = list(map(self.stems.get, lower))
+        odd = [k for k, ids in enumerate(found) if ids is None]
+        for k, enc in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
+            found[k] = enc.ids
+        split = set(odd)
+        return [ids + self.marks[w[-1]] if w[-1] in ".," and k not in split else ids for k, (w, ids) in enumerate(zip(words, found, strict=True))]
+
+    def learn(self) -> None:
+        """Find the ids of the words numbered since the last time."""
+        words = list(islice(reversed(self.known), len(self.known) - self.learnt))[::-1]
+        if not words:
+            return
+        found = self.ids_of(words)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(words) > len(self.starts):
+        while len(self.known) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + m] = ids
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-        self.used += m
-
-    def learn(self, words: list[str]) -> None:
-        # A word of letters is one unit for the tokenizer, so many go in one call and their ids part after word ends.
-        plain = [w for w in words if w.isalpha() and w.isascii() or w.lower().isalpha() and w.isalpha()]
-        for k in range(0, len(plain), 50_000):
-            part = plain[k : k + 50_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            stops = np.flatnonzero(self.is_end[ids]) + 1
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                self._add(part, ids, np.diff(stops, prepend=0))
-        rest = [w for w in words if w not in self.known]
-        for k in range(0, len(rest), 50_000):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(rest[k : k + 50_000], add_special_tokens=False)]
-            self._add(rest[k : k + 50_000], np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.learnt : len(self.known)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.learnt : len(self.known)] = sizes
+        self.used, self.learnt = self.used + len(ids), len(self.known)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        split = [t.split() for t in texts]
-        for k in odd:
-            split[k] = []
-        fresh = {w for words in split for w in words if w not in self.known}
-        if len(fresh) + len(self.known) > REMEMBER:
+        if len(self.known) > REMEMBER:
             self.forget()
-            fresh = {w for words in split for w in words}
-        if fresh:
-            self.learn(sorted(fresh))
-        known, out = self.known, []
-        for words in split:
-            at = np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
+        odd = {k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
+        number = self.known.__getitem__
+        numbers = [np.array(list(map(number, t.split())) if k not in odd else [], dtype=np.int64) for k, t in enumerate(texts)]
+        self.learn()
+        out = []
+        for at in numbers:
             sizes = self.sizes[at]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
@@ -108,6 +127,14 @@ class WordEncoder:
         return out
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which serves many tasks one after the other."""
+    held = sys.modules.setdefault("_wavemill_encoders", types.ModuleType("_wavemill_encoders"))
+    if path not in vars(held):
+        vars(held)[path] = WordEncoder(path)
+    return vars(held)[path]
+
+
 class Packer:
     """Packs pieces (document, start, length) as they come. ``emit(sequence, offset, document, start, length)`` takes them."""
 
@@ -189,7 +216,7 @@ class Packer:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
-    encoder, first = WordEncoder(path), TaskContext.get().partitionId() << 40
+    encoder, first = worker_encoder(path), TaskContext.get().partitionId() << 40
     documents: dict[int, tuple[object, np.ndarray, int]] = {}  # ids of what isn't all packed yet, with the tokens that aren't
     rows: list[tuple] = []
     held = number = 0
