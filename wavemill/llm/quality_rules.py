@@ -23,6 +23,8 @@ COMMON = {
 #: Limits of the two distances (square roots of the divergence in bits), and the least size to be judged.
 CHARS_LIMIT, WORDS_LIMIT = 0.19, 0.30
 LEAST_CHARS, LEAST_WORDS = 800, 200
+#: Languages whose references are broadcast at most, about 200 bytes each.
+MOST_BROADCAST = 20_000
 #: Character classes, each a Java regular expression: small letters, white space, capitals, digits, symbols,
 #: punctuation; what is in none is the last class.
 CLASSES = [r"\p{Ll}", f"[{SPACE}]", r"\p{Lu}", r"\p{Nd}", r"[#*$%&|<>]", r"[.,;:!?()'\"-]"]
@@ -104,8 +106,13 @@ def references(rows: DataFrame) -> DataFrame:
 
 
 def measured(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """``rows`` with their distances; the references, a row a language, are joined as their size allows."""
-    joined = rows.join(refs, F.col("lang") == F.col("_lang"))
+    """``rows`` with their distances.
+
+    The references, a row a language, are broadcast if they are few enough; else they are joined by a shuffle.
+    """
+    refs = cut(refs, "references")
+    few = refs.count() <= MOST_BROADCAST
+    joined = rows.join(F.broadcast(refs) if few else refs, F.col("lang") == F.col("_lang"))
     return joined.withColumn("chars_distance", distance("chars", "ref_chars")).withColumn("words_distance", distance("words", "ref_words")).drop("_lang", "ref_chars", "ref_words")
 
 
