@@ -53,7 +53,7 @@ def exact_dedup(docs: DataFrame, keep: str = "max", fan_in: int = 16, rounds: in
     id. Empty input gives no rows; other columns of ``docs`` are not read.
     """
     rows = cut(digests(docs), "digests")
-    groups = merge_runs(rows, fan_in, rounds, keep).where("group_size > 1").select(F.col("digest").alias("d"), F.col("keep_id").alias("k"), "group_size")
+    groups = cut(merge_runs(rows, fan_in, rounds, keep).where("group_size > 1").select(F.col("digest").alias("d"), F.col("keep_id").alias("k"), "group_size"), "copies")
     # Only texts that occur more than once are joined; a hot text makes a skewed join, which adaptive execution splits.
     joined = rows.join(groups, rows["digest"] == groups["d"], "left")
     keep_id = F.when(F.col("d").isNull(), F.col("doc_id")).otherwise(F.col("k"))
