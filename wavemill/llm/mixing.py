@@ -20,7 +20,7 @@ MOST_COPIES = 3
 #: Words that the dynamic programme fills, besides what error diffusion is off by.
 DP_WORDS = 8192
 #: Rows to a piece when documents of one source and size are chosen, and the most pieces of such a group.
-PIECE_ROWS, MOST_PIECES = 2000, 65536
+PIECE_ROWS, MOST_PIECES = 250, 65536
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST_COPIES) -> list[float]:
