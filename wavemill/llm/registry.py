@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, packing, pii, quality_rules, sharding, simhash
+from . import chat, exact_dedup, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_simhash": simhash.op2_simhash,
     "op4_pii": pii.op4_pii,
+    "op5_quality": quality_classifier.op5_quality,
     "op6_chat": chat.op6_chat,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
