@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash
+from . import chat, exact_dedup, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_simhash": simhash.op2_simhash,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_pii": pii.op4_pii,
     "op5_quality": quality_classifier.op5_quality,
     "op6_chat": chat.op6_chat,
