@@ -6,8 +6,11 @@ characters and ``bytes.lower()`` changes A-Z only, so the Python sides use those
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: The same six characters as a string, for translate().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Rows of a narrow table that may be broadcast; larger ones are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: Smallest and largest long.
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
@@ -94,3 +99,23 @@ def rank_threshold(df: DataFrame, key: str, k: int, bits: int = 12) -> int | Non
         if shift == 0:
             return low
         first, shift, bits = False, max(0, shift - bits), min(bits, shift)
+
+
+def sized(narrow: DataFrame) -> DataFrame:
+    """A written table of a few short columns, marked for broadcast only if its count is within the bound."""
+    return F.broadcast(narrow) if narrow.count() <= MOST_BROADCAST else narrow
+
+
+def frugal(work: Iterator) -> Iterator:
+    """``work``, after which a Python worker gives the memory it has freed back to the machine.
+
+    Workers live on between tasks beside the executor's heap.
+    """
+    try:
+        yield from work
+    finally:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)

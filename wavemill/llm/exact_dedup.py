@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, table
+from .common import cut, lower_ascii, sized, table
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -68,13 +68,16 @@ def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     rows = cut(digests(docs), "digests")
     groups = merge_runs(rows, keep=keep).where("group_size > 1").select(F.col("digest").alias("__d"), F.col("keep_id").alias("__k"))
     groups = cut(groups, "copies")
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(lower_ascii(F.col("text")), 256)))
-    joined = keyed.join(groups, F.col("__digest") == F.col("__d"), "left")
-    single = joined.where(F.col("__d").isNull()).select(docs.columns)
-    stays = joined.where(F.col("__d").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__k")))
-    # At most a few rows a digest are left here: those that repeat the id that stays.
+    match, stays = F.col("__digest") == F.col("__d"), F.col("__d").isNull() | F.col("doc_id").eqNullSafe(F.col("__k"))
+    narrow = rows.withColumnRenamed("digest", "__digest").join(sized(groups), match)
+    repeats = narrow.where(stays).groupBy("__digest").count().where("count > 1").limit(1).count()
+    joined = docs.withColumn("__digest", F.unhex(F.sha2(lower_ascii(F.col("text")), 256))).join(sized(groups), match, "left").where(stays)
+    if not repeats:
+        return joined.select(docs.columns)
+    # The id that stays occurs in several rows of one text: these alone are numbered, a few rows a digest.
     first = F.row_number().over(Window.partitionBy("__digest").orderBy("doc_id"))
-    return single.unionByName(stays.withColumn("__n", first).where("__n = 1").select(docs.columns))
+    once = joined.where(F.col("__d").isNotNull()).withColumn("__n", first).where("__n = 1")
+    return joined.where(F.col("__d").isNull()).select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

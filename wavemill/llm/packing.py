@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 #: Tokens, segments and loss-bearing tokens that a sequence holds at most.
 TOKENS, SEGMENTS, LOSS = 2048, 256, 2048
@@ -266,7 +266,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKEN
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pack(batches, path, (tokens, segments, loss))
+        return frugal(_pack(batches, path, (tokens, segments, loss)))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rank_threshold, table
+from .common import cut, frugal, rank_threshold, table
 
 #: Hash buckets of each of the three kinds of n-grams.
 BUCKETS = 1 << 14
@@ -42,7 +43,7 @@ class _Words(dict):
 class Grams:
     """Bucket numbers of a text's n-grams; remembers words, up to a number."""
 
-    def __init__(self, buckets: int = BUCKETS, remember: int = 400_000):
+    def __init__(self, buckets: int = BUCKETS, remember: int = 150_000):
         self.buckets, self.remember = buckets, remember
         self.forget()
 
@@ -53,7 +54,7 @@ class Grams:
     def _learn(self) -> None:
         import xxhash
 
-        fresh = list(self.known)[self.done :] if self.done < len(self.known) else []
+        fresh = list(islice(reversed(self.known), len(self.known) - self.done))[::-1]
         if not fresh:
             return
         while len(self.known) > len(self.word):
@@ -91,8 +92,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = Grams()
     raw, target = np.zeros(3 * BUCKETS, dtype=np.int64), np.zeros(3 * BUCKETS, dtype=np.int64)
     for batch in batches:
-        for k in range(0, batch.num_rows, 1024):
-            part = batch.slice(k, 1024)
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
             for found, good in zip(grams.of([t or b"" for t in part.column(0).to_pylist()]), part.column(1).to_pylist(), strict=True):
                 n = np.bincount(found, minlength=3 * BUCKETS) if len(found) > 2000 else None
                 if n is None:
@@ -117,7 +118,7 @@ def log_ratios(docs: DataFrame, chosen: DataFrame) -> np.ndarray | None:
     """log p_target - log p_raw of each bucket. Raw counts are over all texts; None if no text is a target."""
     marked = docs.select("doc_id", F.col("text").cast("binary").alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left")
     good = F.coalesce(F.col("_good") & (F.col("_fold") == 0), F.lit(False))
-    counts = marked.select("_text", good.alias("good")).mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = marked.select("_text", good.alias("good")).mapInArrow(lambda batches: frugal(_count(batches)), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     rows = counts.collect()  # a row a bucket
     raw, target = np.zeros(3 * BUCKETS), np.zeros(3 * BUCKETS)
     for r in rows:
@@ -138,13 +139,16 @@ def log_weight(ratios: np.ndarray) -> Column:
 
     @F.pandas_udf("double")
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        grams = Grams()
-        for texts in batches:
-            out = np.zeros(len(texts))
-            for k in range(0, len(texts), 1024):
-                for j, found in enumerate(grams.of([bytes(t) if t is not None else b"" for t in texts.iloc[k : k + 1024]])):
-                    out[k + j] = ratios[found].sum()
-            yield pd.Series(out)
+        def work() -> Iterator[pd.Series]:
+            grams = Grams()
+            for texts in batches:
+                out = np.zeros(len(texts))
+                for k in range(0, len(texts), 512):
+                    for j, found in enumerate(grams.of([bytes(t) if t is not None else b"" for t in texts.iloc[k : k + 512]])):
+                        out[k + j] = ratios[found].sum()
+                yield pd.Series(out)
+
+        return frugal(work())
 
     return weigh(F.col("text").cast("binary"))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, frugal, sized, table
 from .graph import components
 
 SEED = 42
@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every row; whole texts, one pass, no shuffle."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("_text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(lambda batches: frugal(_fingerprints(batches)), "doc_id long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -271,7 +271,7 @@ def near_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Buckets of one fingerprint are dropped after a count. A bucket of more than ``chunk`` becomes chunks by a second
     hash, and every pair of chunks a unit of work of its own.
     """
-    rows = cut(distinct.select("fp").mapInArrow(_tables, "bucket long, fp long"), "tables")
+    rows = cut(distinct.select("fp").mapInArrow(lambda batches: frugal(_tables(batches)), "bucket long, fp long"), "tables")
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = cut(sizes, "buckets")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
@@ -280,7 +280,7 @@ def near_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     # With chunk m of c a row meets the pairs (m, j) for all j; as first where m <= j and as second else.
     pair = F.expr("transform(sequence(0, _c - 1), j -> named_struct('pair', least(_m, j) * _c + greatest(_m, j), 'side', case when j = _m then -1 when _m < j then 0 else 1 end))")
     units = joined.withColumn("_p", F.explode(pair)).select("bucket", F.col("_p.pair").cast("long").alias("pair"), F.col("_p.side").alias("side"), "fp")
-    return units.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(_link_rows, "a long, b long")
+    return units.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(lambda batches: frugal(_link_rows(batches)), "a long, b long")
 
 
 def near_components(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -319,7 +319,7 @@ def drop_near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = cut(fingerprints(docs), "fingerprints")
     found = near_components(rows, chunk).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = cut(found.select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(sized(gone), docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
