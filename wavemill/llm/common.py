@@ -119,3 +119,15 @@ def frugal(work: Iterator) -> Iterator:
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
             ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, sized, table
+from .common import cut, fresh, lower_ascii, sized, table
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -65,19 +65,19 @@ def exact_dedup(docs: DataFrame, keep: str = "max", fan_in: int = 16, rounds: in
 
 def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     """``docs`` with one row of each text, all columns unchanged. Rows repeated with id and text shrink to one too."""
-    rows = cut(digests(docs), "digests")
-    groups = merge_runs(rows, keep=keep).where("group_size > 1").select(F.col("digest").alias("__d"), F.col("keep_id").alias("__k"))
-    groups = cut(groups, "copies")
-    match, stays = F.col("__digest") == F.col("__d"), F.col("__d").isNull() | F.col("doc_id").eqNullSafe(F.col("__k"))
-    narrow = rows.withColumnRenamed("digest", "__digest").join(sized(groups), match)
-    repeats = narrow.where(stays).groupBy("__digest").count().where("count > 1").limit(1).count()
-    joined = docs.withColumn("__digest", F.unhex(F.sha2(lower_ascii(F.col("text")), 256))).join(sized(groups), match, "left").where(stays)
+    digest, d, k, n = fresh(docs, "__digest", "__d", "__k", "__n")
+    rows = cut(digests(docs.select("doc_id", "text")), "digests")
+    groups = cut(merge_runs(rows, keep=keep).where("group_size > 1").select(F.col("digest").alias(d), F.col("keep_id").alias(k)), "copies")
+    match, stays = F.col(digest) == F.col(d), F.col(d).isNull() | F.col("doc_id").eqNullSafe(F.col(k))
+    narrow = rows.withColumnRenamed("digest", digest).join(sized(groups), match)
+    repeats = narrow.where(stays).groupBy(digest).agg(F.count(F.lit(1)).alias("many")).where("many > 1").limit(1).count()
+    joined = docs.withColumn(digest, F.unhex(F.sha2(lower_ascii(F.col("text")), 256))).join(sized(groups), match, "left").where(stays)
     if not repeats:
         return joined.select(docs.columns)
     # The id that stays occurs in several rows of one text: these alone are numbered, a few rows a digest.
-    first = F.row_number().over(Window.partitionBy("__digest").orderBy("doc_id"))
-    once = joined.where(F.col("__d").isNotNull()).withColumn("__n", first).where("__n = 1")
-    return joined.where(F.col("__d").isNull()).select(docs.columns).unionByName(once.select(docs.columns))
+    first = F.row_number().over(Window.partitionBy(digest).orderBy("doc_id"))
+    once = joined.where(F.col(d).isNotNull()).withColumn(n, first).where(F.col(n) == 1)
+    return joined.where(F.col(d).isNull()).select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

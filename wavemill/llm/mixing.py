@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, words_count
+from .common import cut, fresh, table, words_count
 
 #: A source is never repeated more often than this.
 MOST_COPIES = 3
@@ -153,10 +153,11 @@ def mixed_documents(docs: DataFrame, seed: int = 7, weights: dict | None = None)
     key = F.xxhash64("doc_id", "text")
     rows = cut(docs.select("doc_id", "source", words_count(F.col("text")).alias("size"), key.alias("_key")), "sized")
     copies = choose(rows.dropDuplicates(["doc_id", "_key", "source"]), seed, weights).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("_key").alias("__key"), F.col("source").alias("__source"), F.col("copies").alias("__copies"))
-    same = (F.col("__k") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    joined = docs.withColumn("__k", key).join(copies, same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(docs.columns)
+    k, i, y, o, c, n = fresh(docs, "__k", "__id", "__key", "__source", "__copies", "__copy")
+    copies = copies.select(F.col("doc_id").alias(i), F.col("_key").alias(y), F.col("source").alias(o), F.col("copies").alias(c))
+    same = (F.col(k) == F.col(y)) & F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(o))
+    joined = docs.withColumn(k, key).join(copies, same)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), c))).select(docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, frugal, rank_threshold, table
+from .common import cut, fresh, frugal, rank_threshold, table
 
 #: Hash buckets of each of the three kinds of n-grams.
 BUCKETS = 1 << 14
@@ -180,8 +180,8 @@ def least_key(held: DataFrame) -> float:
     return float("-inf") if j == 0 else float(keys[-1] + 1) if j == len(keys) else float((keys[j - 1] + keys[j]) / 2)
 
 
-def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    return docs.withColumn("__weight", log_weight(ratios)).withColumn("__key", F.col("__weight") + gumbel())
+def scored(docs: DataFrame, ratios: np.ndarray, weight: str = "log_weight", key: str = "sample_key") -> DataFrame:
+    return docs.withColumn(weight, log_weight(ratios)).withColumn(key, F.col(weight) + gumbel())
 
 
 def second_fold(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def classify(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     ratios = log_ratios(docs, chosen)
     if ratios is None:
         return docs.select("doc_id", F.lit(0.0).alias("log_weight"), gumbel().alias("sample_key"), F.lit(True).alias("kept"))
-    rows = cut(scored(docs.select("doc_id", "text"), ratios).select("doc_id", F.col("__weight").alias("log_weight"), F.col("__key").alias("sample_key")), "keys")
+    rows = cut(scored(docs.select("doc_id", "text"), ratios).select("doc_id", "log_weight", "sample_key"), "keys")
     if k is None:
         least = least_key(second_fold(rows, chosen))
         k = rows.where(F.col("sample_key") >= least).count()
@@ -216,8 +216,9 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if ratios is None:
         return docs
     held = second_fold(docs.select("doc_id", "text"), chosen)
-    least = least_key(scored(held, ratios).withColumnRenamed("__key", "sample_key"))
-    return scored(docs, ratios).where(F.col("__key") >= least).select(docs.columns)
+    least = least_key(scored(held, ratios))
+    weight, key = fresh(docs, "__weight", "__key")
+    return scored(docs, ratios, weight, key).where(F.col(key) >= least).select(docs.columns)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, frugal, sized, table
+from .common import cut, fresh, frugal, sized, table
 from .graph import components
 
 SEED = 42
@@ -385,14 +385,15 @@ def drop_near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     stay. Rows that share the smallest doc_id of a component stay together; a null doc_id stays.
     """
     words = [f"f{k}" for k in range(WIDE_WORDS)]
-    rows = cut(wide_signatures(docs), "signatures")
+    rows = cut(wide_signatures(docs.select("doc_id", "text")), "signatures")
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
     keyed = rows.dropDuplicates(["node"]).select(F.posexplode("keys").alias("b", "key"), "node", *words)
     tables = cut(keyed.select(F.xxhash64("b", "key").alias("bucket"), "node", *words), "bands")
     ids = classes(nodes, bucket_links(tables, chunk, WIDE_RADIUS))
     found = rows.join(ids, rows["node"] == ids["_node"]).where("doc_id <> component_id")
-    gone = cut(found.select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(sized(gone), docs["doc_id"] == gone["__gone"], "left_anti")
+    (name,) = fresh(docs, "__gone")
+    gone = cut(found.select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    return docs.join(sized(gone), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
