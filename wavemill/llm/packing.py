@@ -13,7 +13,7 @@ import os
 import sys
 import types
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ POOL = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words an encoder remembers before it starts afresh.
-REMEMBER = 800_000
+REMEMBER = 500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -40,6 +40,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
 class _Numbers(dict):
     """Numbers words in order of their first look-up."""
 
@@ -64,31 +68,31 @@ class WordEncoder:
         ends = [k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.is_end[ends] = True
-        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
+        self.marks = {c: packed_ids(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
         self.forget()
 
     def forget(self) -> None:
         self.known, self.learnt = _Numbers(), 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.stems: dict[str, list[int]] = {}
+        self.stems: dict[str, bytes] = {}
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word: of its lower-cased letters, and of a full stop or comma after them."""
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, 4 bytes an id: of its lower-cased letters, and of a full stop or comma after them."""
         stems = [w[:-1] if w[-1] in ".," else w for w in words]
         lower = [w.lower() if w.isalpha() and "\u03a3" not in w else "" for w in stems]
         fresh = list({w for w in lower if w.isalpha() and w not in self.stems})
         # A run of letters is one unit for the tokenizer, so many go in one call and their ids part after word ends.
         for k in range(0, len(fresh), 50_000):
             part = fresh[k : k + 50_000]
-            ids = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
-            stops = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                self.stems.update(zip(part, map(ids.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+            raw = packed_ids(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            stops = ((np.flatnonzero(self.is_end[np.frombuffer(raw, dtype="<u4")]) + 1) * 4).tolist()
+            if len(stops) == len(part) and stops[-1] == len(raw):
+                self.stems.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
         found = list(map(self.stems.get, lower))
         odd = [k for k, ids in enumerate(found) if ids is None]
         for k, enc in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
-            found[k] = enc.ids
+            found[k] = packed_ids(enc.ids)
         split = set(odd)
         return [ids + self.marks[w[-1]] if w[-1] in ".," and k not in split else ids for k, (w, ids) in enumerate(zip(words, found, strict=True))]
 
@@ -98,8 +102,8 @@ class WordEncoder:
         if not words:
             return
         found = self.ids_of(words)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.known) > len(self.starts):
