@@ -42,3 +42,11 @@ def middle_median(a: str) -> str:
 def literal(values) -> str:
     """An array of doubles written out."""
     return "array(" + ", ".join(f"{float(v)!r}D" if abs(float(v)) != float("inf") else f"double('{'-' if v < 0 else ''}Infinity')" for v in values) + ")"
+
+
+def bound(y: str, body) -> str:
+    """``body`` of a name that stands for the value of ``y``.
+
+    The optimizer may put an expression in the place of a column; inside a lambda it would be evaluated at every step.
+    """
+    return let(y, "y_", body("y_"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.functions.arrays import let, squares
+from wavemill.functions.arrays import bound, let, squares
 
 
 def uniform(*of: str, seed: int = 1) -> str:
@@ -19,8 +19,11 @@ def normal(*of: str, seed: int = 1) -> str:
 
 def add_noise(y: str, key: str, snr_db: float, seed: int = 1) -> Column:
     """White noise at a signal-to-noise ratio."""
-    noise = f"transform({y}, (x, i) -> {normal(key, 'i', seed=seed)})"
-    return F.expr(let(noise, "n", let(f"sqrt({squares(y)} / {10 ** (snr_db / 10)!r}D / greatest({squares('n')}, 1e-10D))", "g", f"transform({y}, (x, i) -> x + g * n[i])")))
+    def body(y: str) -> str:
+        noise = f"transform({y}, (x, i) -> {normal(key, 'i', seed=seed)})"
+        return let(noise, "n", let(f"sqrt({squares(y)} / {10 ** (snr_db / 10)!r}D / greatest({squares('n')}, 1e-10D))", "g", f"transform({y}, (x, i) -> x + g * n[i])"))
+
+    return F.expr(bound(y, body))
 
 
 def random_gain(y: str, key: str, low_db: float, high_db: float, seed: int = 1) -> Column:
@@ -78,8 +81,11 @@ def white(seed: int = 1) -> str:
 
 def brown(y: str) -> Column:
     """Brown noise from white: a leaky running sum."""
-    run = f"aggregate({y}, cast(array() as array<double>), (o, x) -> concat(o, array((case when size(o) = 0 then 0D else element_at(o, -1) end + 0.02D * x) / 1.02D)))"
-    return F.expr(f"transform({run}, x -> 3.5D * x)")
+    def body(y: str) -> str:
+        run = f"aggregate({y}, cast(array() as array<double>), (o, x) -> concat(o, array((case when size(o) = 0 then 0D else element_at(o, -1) end + 0.02D * x) / 1.02D)))"
+        return f"transform({run}, x -> 3.5D * x)"
+
+    return F.expr(bound(y, body))
 
 
 def pink(y: str) -> Column:
@@ -89,3 +95,23 @@ def pink(y: str) -> Column:
     now = " + ".join(f"({p!r}D * a.b{k} + {g!r}D * x)" for k, (p, g) in enumerate(poles))
     zero = ", ".join(f"'b{k}', 0D" for k in range(6))
     return F.expr(f"aggregate({y}, named_struct({zero}, 'b6', 0D, 'o', cast(array() as array<double>)), (a, x) -> named_struct({state}, 'b6', 0.115926D * x, 'o', concat(a.o, array(0.11D * ({now} + a.b6 + 0.5362D * x)))), a -> a.o)")
+
+
+def metronome(bpm: float, seconds: float, sr: float, freq: float = 1000.0, per_bar: int = 4, click: float = 0.05) -> str:
+    """Clicks on every beat, the first of a bar an octave higher and louder; not cut off at one."""
+    n, at, parts = int(click * sr), 0, []
+    while at * 60 / bpm < seconds:
+        a, first = int(at * 60 / bpm * sr), at % per_bar == 0
+        g, f = (1.0, 2 * freq) if first else (0.7, freq)
+        parts.append(f"case when i >= {a} and i < {a + n} then {g!r}D * (1 - (i - {a}) / {n}D) * sin(2 * pi() * {f!r}D * (i - {a}) / {sr!r}D) else 0D end")
+        at += 1
+    return " + ".join(parts) or "0D"
+
+
+def click_track(y: str, beats: str, n_click: int, freq: float, sr: float, gain: float = 0.5) -> Column:
+    """y with a click written over it at every beat (sample numbers)."""
+    def body(y: str) -> str:
+        last = f"array_max(filter({beats}, b -> b <= i))"
+        return f"transform({y}, (x, i) -> {let(last, 'b', f'case when b is not null and i < b + {n_click} then {gain!r}D * (1 - (i - b) / {n_click}D) * sin(2 * pi() * {freq!r}D * (i - b) / {sr!r}D) else x end')})"
+
+    return F.expr(bound(y, body))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.functions.arrays import let, mean, squares
+from wavemill.functions.arrays import bound, let, mean, squares
 
 
 def signals(rows: DataFrame, clip: str, order: list[str], value: str) -> DataFrame:
@@ -128,25 +128,40 @@ def fit_length(y: str, length: int, mode: str = "constant") -> Column:
 
 def time_shift(y: str, shift: int, wrap: bool = False) -> Column:
     """Later by ``shift`` samples, earlier if negative; what falls off returns at the other end or is silence."""
-    source = f"i - ({shift})"
-    value = f"{y}[pmod({source}, size({y}))]" if wrap else f"case when {source} between 0 and size({y}) - 1 then {y}[{source}] else 0D end"
-    return F.expr(f"transform({y}, (x, i) -> {value})")
+    def body(y: str) -> str:
+        source = f"i - ({shift})"
+        value = f"{y}[pmod({source}, size({y}))]" if wrap else f"case when {source} between 0 and size({y}) - 1 then {y}[{source}] else 0D end"
+        return f"transform({y}, (x, i) -> {value})"
+
+    return F.expr(bound(y, body))
 
 
 def time_warp(y: str, points: list[tuple[float, float]]) -> Column:
     """Piecewise-linear resampling of time: ``points`` pair output and input places, both from 0 to 1."""
-    pos = "cast(i as double) / greatest(1, size({y}) - 1)".format(y=y)
-    at = f"{points[-1][1]!r}D"
-    for (a, b), (c, d) in reversed(list(zip(points[:-1], points[1:], strict=True))):
-        at = f"case when {pos} <= {c!r}D then {b!r}D + ({pos} - {a!r}D) * {(d - b) / (c - a)!r}D else {at} end"
-    return F.expr(f"transform({y}, (x, i) -> {let(f'({at}) * (size({y}) - 1)', 'u', f'{y}[cast(floor(u) as int)] + (u - floor(u)) * ({y}[least(size({y}) - 1, cast(floor(u) as int) + 1)] - {y}[cast(floor(u) as int)])')})")
+    def body(y: str) -> str:
+        pos = "cast(i as double) / greatest(1, size({y}) - 1)".format(y=y)
+        at = f"{points[-1][1]!r}D"
+        for (a, b), (c, d) in reversed(list(zip(points[:-1], points[1:], strict=True))):
+            at = f"case when {pos} <= {c!r}D then {b!r}D + ({pos} - {a!r}D) * {(d - b) / (c - a)!r}D else {at} end"
+        return f"transform({y}, (x, i) -> {let(f'({at}) * (size({y}) - 1)', 'u', f'{y}[cast(floor(u) as int)] + (u - floor(u)) * ({y}[least(size({y}) - 1, cast(floor(u) as int) + 1)] - {y}[cast(floor(u) as int)])')})"
+
+    return F.expr(bound(y, body))
 
 
 def resample_linear(y: str, rate: float) -> Column:
     """``rate`` times as many samples by linear interpolation."""
-    u = f"(i / {rate!r}D)"
-    return F.expr(f"case when size({y}) = 0 then {y} else transform(sequence(0, greatest(0, cast(floor(size({y}) * {rate!r}D) as int) - 1)), i -> {let(f'least(cast(floor{u} as int), size({y}) - 1)', 'k', f'{y}[k] + ({u} - k) * ({y}[least(size({y}) - 1, k + 1)] - {y}[k])')}) end")
+    def body(y: str) -> str:
+        u = f"(i / {rate!r}D)"
+        return f"case when size({y}) = 0 then {y} else transform(sequence(0, greatest(0, cast(floor(size({y}) * {rate!r}D) as int) - 1)), i -> {let(f'least(cast(floor{u} as int), size({y}) - 1)', 'k', f'{y}[k] + ({u} - k) * ({y}[least(size({y}) - 1, k + 1)] - {y}[k])')}) end"
+
+    return F.expr(bound(y, body))
 
 
 def center(y: str = "y") -> Column:
     return F.expr(let(mean(y), "m", f"transform({y}, x -> x - m)"))
+
+
+def chunk_rows(clips: DataFrame, size: int) -> DataFrame:
+    """(clip_id, seq, y, last): a clip's samples in chunks, as a stream brings them."""
+    parts = F.expr(f"transform(sequence(0, cast(floor((size(y) - 1) / {size}) as int)), k -> named_struct('y', slice(y, k * {size} + 1, {size}), 'last', (k + 1) * {size} >= size(y)))")
+    return clips.where(F.size("y") > 0).select("clip_id", F.posexplode(parts).alias("seq", "p")).select("clip_id", "seq", "p.y", "p.last")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from wavemill.functions.arrays import let, total, upper_median
+from wavemill.functions.arrays import bound, let, total, upper_median
 
 
 def whole() -> WindowSpec:
@@ -64,7 +64,10 @@ def tracks(values: DataFrame, name: str = "y") -> DataFrame:
 
 def recurrence(y: str, step: str, first: str) -> Column:
     """Array of s where s0 = ``first`` and s = ``step``, written with p (the one before), x and i."""
-    return F.expr(f"aggregate(sequence(0, size({y}) - 1), cast(array() as array<double>), (o, i) -> {let(f'{y}[i]', 'x', f'concat(o, array(case when i = 0 then {first} else ' + let('o[i - 1]', 'p', step) + ' end))')})")
+    def body(y: str) -> str:
+        return f"aggregate(sequence(0, size({y}) - 1), cast(array() as array<double>), (o, i) -> {let(f'{y}[i]', 'x', f'concat(o, array(case when i = 0 then {first} else ' + let('o[i - 1]', 'p', step) + ' end))')})"
+
+    return F.expr(bound(y, body))
 
 
 def pcen(values: DataFrame, b: float = 0.5927, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, eps: float = 1e-6) -> DataFrame:
@@ -75,25 +78,37 @@ def pcen(values: DataFrame, b: float = 0.5927, gain: float = 0.98, bias: float =
 
 
 def preemphasis(y: str = "y", c: float = 0.97) -> Column:
-    return F.expr(f"transform({y}, (x, i) -> case when i = 0 then x + (case when size({y}) > 1 then 2 * {y}[0] - {y}[1] else 0D end) else x - {c!r}D * {y}[i - 1] end)")
+    def body(y: str) -> str:
+        return f"transform({y}, (x, i) -> case when i = 0 then x + (case when size({y}) > 1 then 2 * {y}[0] - {y}[1] else 0D end) else x - {c!r}D * {y}[i - 1] end)"
+
+    return F.expr(bound(y, body))
 
 
 def deemphasis(y: str = "y", c: float = 0.97) -> Column:
     """Inverse of ``preemphasis`` for signals of two samples and more."""
-    run = f"aggregate({y}, cast(array() as array<double>), (o, x) -> concat(o, array(x + {c!r}D * coalesce(element_at(o, -1), 0D))))"
-    run = run.replace("coalesce(element_at(o, -1), 0D)", "case when size(o) = 0 then 0D else element_at(o, -1) end")
-    return F.expr(let(run, "z", f"transform(z, (x, i) -> x - ((2 - {c!r}D) * {y}[0] - {y}[1]) / (3 - {c!r}D) * power({c!r}D, i))"))
+    def body(y: str) -> str:
+        run = f"aggregate({y}, cast(array() as array<double>), (o, x) -> concat(o, array(x + {c!r}D * coalesce(element_at(o, -1), 0D))))"
+        run = run.replace("coalesce(element_at(o, -1), 0D)", "case when size(o) = 0 then 0D else element_at(o, -1) end")
+        return let(run, "z", f"transform(z, (x, i) -> x - ((2 - {c!r}D) * {y}[0] - {y}[1]) / (3 - {c!r}D) * power({c!r}D, i))")
+
+    return F.expr(bound(y, body))
 
 
 def median_filter(v: str, size: int) -> Column:
     """Upper median over a window cut off at the ends."""
-    half = size // 2
-    window = f"slice({v}, greatest(1, i + 1 - {half}), least(size({v}), i + 1 + {half}) - greatest(1, i + 1 - {half}) + 1)"
-    return F.expr(f"transform({v}, (x, i) -> {upper_median(window)})")
+    def body(v: str) -> str:
+        half = size // 2
+        window = f"slice({v}, greatest(1, i + 1 - {half}), least(size({v}), i + 1 + {half}) - greatest(1, i + 1 - {half}) + 1)"
+        return f"transform({v}, (x, i) -> {upper_median(window)})"
+
+    return F.expr(bound(v, body))
 
 
 def rises(v: str = "v") -> Column:
-    return F.expr(f"transform({v}, (x, i) -> case when i = 0 then 0D else greatest(0D, x - {v}[i - 1]) end)")
+    def body(v: str) -> str:
+        return f"transform({v}, (x, i) -> case when i = 0 then 0D else greatest(0D, x - {v}[i - 1]) end)"
+
+    return F.expr(bound(v, body))
 
 
 def intervals(v: str) -> Column:
@@ -102,8 +117,11 @@ def intervals(v: str) -> Column:
 
 
 def autocorrelation(y: str, lags: int, unbiased: bool = False) -> Column:
-    over = f" / (size({y}) - l)" if unbiased else ""
-    return F.expr(f"transform(sequence(0, least({lags}, size({y})) - 1), l -> {total(f'transform(sequence(0, size({y}) - 1 - l), i -> {y}[i] * {y}[i + l])')}{over})")
+    def body(y: str) -> str:
+        over = f" / (size({y}) - l)" if unbiased else ""
+        return f"transform(sequence(0, least({lags}, size({y})) - 1), l -> {total(f'transform(sequence(0, size({y}) - 1 - l), i -> {y}[i] * {y}[i + l])')}{over})"
+
+    return F.expr(bound(y, body))
 
 
 def tempogram(envelopes: DataFrame, win: int, hop: int = 1, fps: float = 43.07, bpm: tuple[float, float] = (30.0, 300.0), kind: str = "autocorrelation") -> DataFrame:
@@ -145,8 +163,11 @@ def beats(envelopes: DataFrame, period: str, y: str = "y") -> Column:
 
 def local_pulse(y: str, low: int, high: int) -> Column:
     """Predominant local pulse: each value raised by the best normalised autocorrelation around it, over the largest."""
-    reach = 2 * high
-    window = f"slice({y}, greatest(1, i + 1 - {reach}), least(size({y}), i + 1 + {reach}) - greatest(1, i + 1 - {reach}) + 1)"
-    best = let(window, "w", let("aggregate(w, 0D, (s, x) -> s + x * x)", "e", f"array_max(transform(sequence({low}, {high}), l -> case when l >= size(w) then 0D else {total('transform(sequence(0, size(w) - 1 - l), j -> w[j] * w[j + l])')} / (e + 1e-10D) end))"))
-    raised = f"transform({y}, (x, i) -> x * (1 + {best}))"
-    return F.expr(let(raised, "u", let("array_max(u)", "m", "case when m > 0 then transform(u, x -> x / m) else u end")))
+    def body(y: str) -> str:
+        reach = 2 * high
+        window = f"slice({y}, greatest(1, i + 1 - {reach}), least(size({y}), i + 1 + {reach}) - greatest(1, i + 1 - {reach}) + 1)"
+        best = let(window, "w", let("aggregate(w, 0D, (s, x) -> s + x * x)", "e", f"array_max(transform(sequence({low}, {high}), l -> case when l >= size(w) then 0D else {total('transform(sequence(0, size(w) - 1 - l), j -> w[j] * w[j + l])')} / (e + 1e-10D) end))"))
+        raised = f"transform({y}, (x, i) -> x * (1 + {best}))"
+        return let(raised, "u", let("array_max(u)", "m", "case when m > 0 then transform(u, x -> x / m) else u end"))
+
+    return F.expr(bound(y, body))

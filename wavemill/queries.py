@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import units
-from wavemill.operators import augment, decompose, events, features, frames, pitch, recurrent, similarity, spectral, statistics, temporal
+from wavemill.operators import augment, decompose, events, features, frames, pitch, rates, recurrent, similarity, spectral, statistics, temporal
 from wavemill.plans import chains
 
 QUERIES: dict = {}
@@ -478,3 +478,60 @@ def noisy_signals(spark, sf_dir):
 @query()
 def generated_chirp(spark, sf_dir):
     return points(augment.signal(spark, augment.chirp(100.0, 8000.0, 22050.0, 22050), 22050), "y", "clip_id")
+
+
+@query(f"with {U_S} select clip_id, cast(n as bigint) as n, round(x, 6) as x from s")
+def cross_fade_round_trip(spark, sf_dir):
+    parts = rates.chunks(frames.tall(users(spark, sf_dir)), 16)
+    return tall_rounded(rates.cross_fade(parts, 16)).withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"""with {E_S}, h as (select unnest(range(5)) as k, unnest([{", ".join(repr(float(v)) for v in rates.low_pass(5, 0.2))}]) as w) select a.clip_id, cast(a.n as integer) as i, round(sum(cast(w as double) * coalesce(b.x, 0)), 6) + 0.0 as x from s a cross join h left join s b on b.clip_id = a.clip_id and b.n = a.n + k - 2 group by a.clip_id, a.n""")
+def low_pass(spark, sf_dir):
+    return points(emb(spark, sf_dir).withColumn("z", rates.convolve("y", rates.low_pass(5, 0.2))), "z", "clip_id").withColumn("x", F.col("x") + 0.0)
+
+
+@query("""select cast(k as integer) as k, round(110 * pow(2, k / 12.0), 6) as hz, round(110 * pow(2, k / 12.0) * (pow(2, 1 / 12.0) - 1) / 12, 6) as bandwidth, cast(k // 12 as integer) as octave from (select unnest(range(36)) as k)""")
+def resolution_table(spark, sf_dir):
+    t = rates.resolution_table(spark, 110.0, 36, 22050.0)
+    return t.select("k", r6("hz").alias("hz"), r6("bandwidth").alias("bandwidth"), "octave")
+
+
+@query()
+def pitch_shift(spark, sf_dir):
+    return points(rates.pitch_shift(emb(spark, sf_dir), 3.0, N, HOP), "y", "clip_id")
+
+
+@query()
+def harmonic_cqt(spark, sf_dir):
+    h = rates.harmonic_cqt(emb(spark, sf_dir), SR, 8, 4.0, 6, (1, 2))
+    return tall_rounded(rates.harmonic_weighted(h, {1: 1.0, 2: 0.5}))
+
+
+@query()
+def inverse_cqt(spark, sf_dir):
+    return tall_rounded(rates.inverse_cqt(rates.vqt(emb(spark, sf_dir), SR, 8, 4.0, 12, 2.0), SR, 8, 4.0, 12))
+
+
+@query()
+def separated_sources(spark, sf_dir):
+    spectra = spectral.stft(emb(spark, sf_dir), N, HOP)
+    masks = spectra.select("clip_id", "t", F.explode(F.array(F.lit("low"), F.lit("high"))).alias("source"), "re")
+    mre = F.expr("transform(re, (x, k) -> case when (k < 4) = (source = 'low') then 1D else 0D end)")
+    return tall_rounded(rates.separate_by_masks(spectra, masks.select("clip_id", "t", "source", mre.alias("mre"), F.expr("transform(re, x -> 0D)").alias("mim")), N, HOP))
+
+
+@query()
+def generated_metronome(spark, sf_dir):
+    clip = augment.signal(spark, augment.metronome(120.0, 1.0, 2000.0), 2000)
+    return points(clip, "y", "clip_id")
+
+
+@query(f"""with {U_S}, l as (select clip_id, count(*) as len from s group by 1) select clip_id, cast(t as integer) as t, cast(n - t * 8 as integer) as i, round(x, 6) as x from s join l using (clip_id) join (select unnest(range(40)) as t) on n between t * 8 and t * 8 + 15 and t * 8 + 16 <= len""")
+def streamed_frames(spark, sf_dir):
+    """Frames cut from a stream of the users' samples, a chunk a row."""
+    from wavemill.operators.frames import chunk_rows
+    from wavemill.streaming.state import run_available, stream_frames
+
+    rows = chunk_rows(users(spark, sf_dir), 10)
+    return points(run_available(rows, lambda s: stream_frames(s, 16, 8, pad_end=False)), "v", "clip_id", "t")

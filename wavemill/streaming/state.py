@@ -14,6 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def run_available(rows: DataFrame, make) -> DataFrame:
+    """Put ``rows`` through a stream: written to the shared folder, read back as a stream, until all is done.
+
+    ``make`` maps the stream to its result; the result is a table in the same folder.
+    """
+    import uuid
+
+    from wavemill.operators.lineage import shared_folder
+
+    spark = rows.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/in")
+    out = make(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+    query = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
 def stream_frames(chunks: DataFrame, length: int, hop: int, pad_end: bool = True) -> DataFrame:
     """(clip_id, t, v): frames without centring as soon as their samples are there.
 
