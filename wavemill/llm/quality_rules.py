@@ -134,3 +134,48 @@ def judge(docs: DataFrame, chars_limit: float = CHARS_LIMIT, words_limit: float
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("chars_distance", "words_distance")
+
+
+def _sql() -> str:
+    """The same in DuckDB: windows and histograms as rows instead of arrays."""
+    space = r"[^\x20\x09-\x0D]"
+    left = "text"
+    sizes = ["length(text)"]
+    for c in CLASSES:
+        left = f"regexp_replace({left}, '{c.replace(chr(39), chr(39) * 2)}+', '', 'g')"
+        sizes.append(f"length({left})")
+    chars = ", ".join([f"{a} - {b}" for a, b in zip(sizes[:-1], sizes[1:], strict=True)] + [sizes[-1]])
+    groups = " union all ".join(f"select '{lang}' as lang, {j} as j, unnest([{', '.join(repr(w) for w in g)}]) as word" for lang, v in COMMON.items() for j, g in enumerate(v))
+    short = max(len(w) for v in COMMON.values() for g in v for w in g)
+
+    def distances(name: str, ref: str) -> str:
+        p, q = "x / nullif(sp, 0)", "r / nullif(sr, 0)"
+        return f"""{name} as (select doc_id, kind, sqrt(greatest(0, (sum(case when x > 0 then {p} * log2(2 * ({p}) / ({p} + {q})) else 0 end) + sum(case when r > 0 then {q} * log2(2 * ({q}) / ({p} + {q})) else 0 end)) / 2)) as d
+  from (select h.doc_id, kind, j, x * 1.0 as x, r * 1.0 as r, sum(x) over (partition by doc_id, kind) as sp, sum(r) over (partition by doc_id, kind) as sr from h join {ref} using (lang, kind, j)) where sp > 0 and sr > 0 group by all)"""
+
+    return rf"""
+with t as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '{space}+') as w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{space}')) as lines, [{chars}] as c from t),
+win as (select doc_id, i, list_slice(w, i, i + 7) as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from w where len(w) > 8)),
+rep as (select doc_id, unnest(range(i, i + 8)) as p from (select doc_id, i, count(*) over (partition by doc_id, s) as c from win) where c > 1),
+cov as (select doc_id, count(distinct p) as n from rep group by 1),
+b as (select w.doc_id, lang, text, cast(len(w) as bigint) as n_words, cast(len(array_to_string(w, '')) as bigint) as word_chars, cast(c[5] as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+  cast(coalesce(n, 0) as bigint) as n_repeat_words, len(w) < 20 or 100 * coalesce(n, 0) > 30 * len(w) as base_failed, c, length(text) as n_chars from w left join cov using (doc_id)),
+lists as ({groups}),
+u as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) as word from b where lang in (select lang from lists)),
+hw as (select b.doc_id, b.lang, b.base_failed, j, count(u.word) as x from b join (select distinct lang, j from lists) g using (lang) left join (u join lists using (lang, word)) u using (doc_id, lang, j) where length(coalesce(u.word, '')) <= {short} group by all),
+h as (select doc_id, lang, base_failed, 'c' as kind, unnest(range(7)) as j, unnest(c) as x from b
+  union all select doc_id, lang, base_failed, 'w', j, x from hw
+  union all select b.doc_id, b.lang, b.base_failed, 'w', 4, greatest(0, any_value(n_words) - sum(x)) from b join hw using (doc_id) group by all),
+r1 as (select lang, kind, j, sum(case when base_failed then 0 else x end) as r from h group by all),
+{distances("d1", "r1")},
+near as (select b.doc_id from b left join d1 on d1.doc_id = b.doc_id and kind = 'c' where coalesce(d <= {CHARS_LIMIT}, true)),
+r2 as (select lang, kind, j, sum(case when base_failed then 0 else x end) as r from h semi join near using (doc_id) group by all),
+{distances("d2", "r2")}
+select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (n_chars >= {LEAST_CHARS} and coalesce(a.d > {CHARS_LIMIT}, false)) and not (n_words >= {LEAST_WORDS} and coalesce(z.d > {WORDS_LIMIT}, false)) as kept
+from b left join d2 a on a.doc_id = b.doc_id and a.kind = 'c' left join d2 z on z.doc_id = b.doc_id and z.kind = 'w'
+"""
+
+
+OP8_SQL = _sql()

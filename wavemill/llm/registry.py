@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_chat": chat.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op8_quality_rules": quality_rules.OP8_SQL,
 }
