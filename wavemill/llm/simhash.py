@@ -293,7 +293,9 @@ def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """_node, component_id (written): of nodes (node, least), the smallest ``least`` in each component of the links."""
     roots = components(links)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written first: a join of two scans is one whose skewed keys, large components, can be split.
+    rooted = cut(rooted, "rooted")
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return cut(rooted.join(least, "root").select(F.col("node").alias("_node"), "component_id"), "components")
 
 
