@@ -31,7 +31,7 @@ POOL = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words an encoder remembers before it starts afresh.
-REMEMBER = 500_000
+REMEMBER = 700_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -75,33 +75,48 @@ class WordEncoder:
         self.known, self.learnt = _Numbers(), 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.stems: dict[str, bytes] = {}
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, 4 bytes an id: of its lower-cased letters, and of a full stop or comma after them."""
+    def _bytes_of(self, k: int) -> bytes:
+        return self.flat[self.starts[k] : self.starts[k] + self.sizes[k]].tobytes()
+
+    def learn(self) -> None:
+        """Find the ids of the words numbered since the last time.
+
+        A word's ids are those of its lower-cased letters, with those of a full stop or comma after them; anything else goes to
+        the tokenizer as it is. Letters met only inside other words are numbered too.
+        """
+        words = list(islice(reversed(self.known), len(self.known) - self.learnt))[::-1]
+        if not words:
+            return
         stems = [w[:-1] if w[-1] in ".," else w for w in words]
         lower = [w.lower() if w.isalpha() and "\u03a3" not in w else "" for w in stems]
-        fresh = list({w for w in lower if w.isalpha() and w not in self.stems})
+        number, learnt = dict.get, self.learnt
+        found: dict[str, bytes] = {}
+        fresh = []
+        for w in set(lower):
+            if w.isalpha():
+                k = number(self.known, w, learnt)
+                if k < learnt:
+                    found[w] = self._bytes_of(k)
+                else:
+                    fresh.append(w)
         # A run of letters is one unit for the tokenizer, so many go in one call and their ids part after word ends.
         for k in range(0, len(fresh), 50_000):
             part = fresh[k : k + 50_000]
             raw = packed_ids(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
             stops = ((np.flatnonzero(self.is_end[np.frombuffer(raw, dtype="<u4")]) + 1) * 4).tolist()
             if len(stops) == len(part) and stops[-1] == len(raw):
-                self.stems.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
-        found = list(map(self.stems.get, lower))
-        odd = [k for k, ids in enumerate(found) if ids is None]
-        for k, enc in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
-            found[k] = packed_ids(enc.ids)
-        split = set(odd)
-        return [ids + self.marks[w[-1]] if w[-1] in ".," and k not in split else ids for k, (w, ids) in enumerate(zip(words, found, strict=True))]
-
-    def learn(self) -> None:
-        """Find the ids of the words numbered since the last time."""
-        words = list(islice(reversed(self.known), len(self.known) - self.learnt))[::-1]
-        if not words:
-            return
-        found = self.ids_of(words)
+                found.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+        odd = [k for k, w in enumerate(lower) if w not in found]
+        whole = dict(zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True))
+        ids = [packed_ids(whole[k].ids) if k in whole else found[lower[k]] + self.marks[w[-1]] if w[-1] in ".," else found[lower[k]] for k, w in enumerate(words)]
+        for w in fresh:
+            if w in found and w not in self.known:
+                self.known[w] = len(self.known)
+                ids.append(found[w])
+        self._store(ids)
+
+    def _store(self, found: list[bytes]) -> None:
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         ids = np.frombuffer(b"".join(found), dtype="<u4")
         while self.used + len(ids) > len(self.flat):
