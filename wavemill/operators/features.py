@@ -102,7 +102,8 @@ def poly_features(frames: DataFrame, sr: float, n_fft: int, n_bins: int, order:
 def correlation(a: str, b: str) -> Column:
     """Pearson; 0 where either is constant."""
     da, db = (let(f"{total(x)} / size({x})", "m", f"transform({x}, x -> x - m)") for x in (a, b))
-    return F.expr(let(da, "p", let(db, "q", let(f"sqrt({squares('p')} * {squares('q')})", "n", f"case when n > 1e-10 then {dot('p', 'q')} / n else 0D end"))))
+    # Names that no column is likely to have: inside, a and b still mean columns.
+    return F.expr(let(f"named_struct('a', {da}, 'b', {db})", "ab_", let(f"sqrt({squares('ab_.a')} * {squares('ab_.b')})", "n", f"case when n > 1e-10 then {dot('ab_.a', 'ab_.b')} / n else 0D end")))
 
 
 def argmax(v: str = "v") -> Column:

@@ -535,3 +535,86 @@ def streamed_frames(spark, sf_dir):
 
     rows = chunk_rows(users(spark, sf_dir), 10)
     return points(run_available(rows, lambda s: stream_frames(s, 16, 8, pad_end=False)), "v", "clip_id", "t")
+
+
+@query(f"with {E_S} select clip_id, cast(n as integer) as i, round(x, 6) as x from s")
+def interleave_round_trip(spark, sf_dir):
+    rows = emb(spark, sf_dir).withColumn("channels", F.expr("array(y, transform(y, x -> -x))")).withColumn("mixed", frames.interleave())
+    return points(rows.withColumn("back", frames.deinterleave("mixed", 2)).withColumn("z", F.col("back")[0]), "z", "clip_id")
+
+
+@query(f"with {E_S}, g as (select clip_id, n, x < -1e-10 as neg from s), d as (select clip_id, n, neg <> lag(neg) over (partition by clip_id order by n) as c from g) select clip_id, cast(n as integer) as place from d where c")
+def zero_crossings(spark, sf_dir):
+    return emb(spark, sf_dir).select("clip_id", F.explode(features.crossings("y")).alias("place"))
+
+
+@query(f"with {E_S} select a.clip_id, cast(b.n - a.n as integer) as lag, round(sum(a.x * b.x), 5) + 0.0 as x from s a join s b on a.clip_id = b.clip_id and b.n - a.n between 0 and 15 group by a.clip_id, b.n - a.n")
+def autocorrelation(spark, sf_dir):
+    rows = emb(spark, sf_dir).withColumn("z", temporal.autocorrelation("y", 16)).select("clip_id", F.posexplode("z").alias("lag", "x"))
+    return rows.withColumn("x", F.round("x", 5) + 0.0)
+
+
+@query("""with q as (select p_partkey, p_retailprice as f, p_retailprice * p_retailprice as q from part)
+select p_partkey, round(20 * log10(sqrt(q / ((q + 79919.29) * (q + 1345600.0)) * (pow(1037918.48 - q, 2) + 1080768.16 * q) / (pow(9837328.0 - q, 2) + 11723776.0 * q)) * 1000), 6) as d,
+round(20 * log10(1.246332637532143e-4 * f / sqrt(pow(-4.737338981378384e-24 * q * q * q + 2.043828333606125e-15 * q * q - 1.363894795463638e-7 * q + 1, 2) + pow(1.306612257412824e-19 * q * q * f - 2.118150887518656e-11 * q * f + 5.559488023498642e-4 * f, 2))) + 18.2, 6) as itu468 from q""")
+def weighting_curves_more(spark, sf_dir):
+    f = F.col("p_retailprice")
+    return read(spark, sf_dir, "part").select("p_partkey", *(r6(units.weighting(f, c)).alias(c) for c in ("d", "itu468")))
+
+
+@query(f"with {E_M}, b as (select clip_id, t, k, greatest(0, v - lag(v) over (partition by clip_id, k order by t)) as r from m) {FS} cast(case when k < 3 then 0 when k < 6 then 1 else 2 end as integer) as band, round(coalesce(avg(r), 0), 6) as strength from b group by all")
+def onset_strength_bands(spark, sf_dir):
+    return events.multiband_onset(magnitudes(spark, sf_dir), N // 2 + 1, 3).withColumn("strength", r6("strength"))
+
+
+@query(f"with {U_S} select clip_id, cast(n as integer) as i, round(case when n = 0 then 0 else greatest(0, x - lag(x) over (partition by clip_id order by n)) end, 6) as x from s")
+def rises(spark, sf_dir):
+    return points(users(spark, sf_dir).withColumn("z", temporal.rises("y")), "z", "clip_id")
+
+
+@query(f"with {E_M}, d as (select clip_id, t, k, v, lag(v) over (partition by clip_id, k order by t) as p from m) {FS} round(corr(v, p), 5) + 0.0 as r from d where t > 0 group by all")
+def frame_correlation(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = magnitudes(spark, sf_dir).withColumn("p", F.lag("v").over(Window.partitionBy("clip_id").orderBy("t"))).where("p is not null")
+    return rows.select("clip_id", "t", (F.round(features.correlation("v", "p"), 5) + 0.0).alias("r"))
+
+
+@query()
+def onset_strength_complex(spark, sf_dir):
+    return events.complex_onset(spectral.stft(emb(spark, sf_dir), N, HOP, center=False)).withColumn("strength", r6("strength"))
+
+
+@query()
+def local_pulse(spark, sf_dir):
+    return points(users(spark, sf_dir).withColumn("z", temporal.local_pulse("y", 2, 12)), "z", "clip_id")
+
+
+@query()
+def tempo(spark, sf_dir):
+    return temporal.tempo(users(spark, sf_dir), 8.0).withColumn("bpm", r6("bpm"))
+
+
+@query()
+def chroma_statistics(spark, sf_dir):
+    return points(spectral.cens(spectral.chroma(emb(spark, sf_dir), 8000, N, HOP), 5), "v", "clip_id", "t", name="c")
+
+
+@query()
+def repeating_parts(spark, sf_dir):
+    parts = similarity.decompose(similarity.soft_mask(labelled_frames(spark, sf_dir), 5, 3, "euclidean"))
+    return parts.select("clip_id", "t", "f", r6("repeating").alias("repeating"), r6("other").alias("other"))
+
+
+@query()
+def noise_colours(spark, sf_dir):
+    clip = augment.signal(spark, augment.white(), 2000)
+    return points(clip.select("clip_id", augment.pink("y").alias("y")), "y", "clip_id").withColumnRenamed("x", "pink").join(points(clip.select("clip_id", augment.brown("y").alias("y")), "y", "clip_id").withColumnRenamed("x", "brown"), ["clip_id", "i"])
+
+
+@query()
+def subsequence_alignment(spark, sf_dir):
+    rows = emb(spark, sf_dir).withColumn("f", F.expr("transform(y, z -> array(z))"))
+    pairs = rows.select(F.col("clip_id").alias("pair_id"), F.expr("slice(f, 21, 12)").alias("x"), F.col("f").alias("y"))
+    found = similarity.align(pairs, subsequence=True)
+    return found.select("pair_id", r6("cost").alias("cost"), F.col("path")[0]["j"].alias("start"))
