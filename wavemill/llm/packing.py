@@ -30,8 +30,8 @@ POOL = 4096
 #: Id after each document.
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words an encoder remembers before it starts afresh.
-REMEMBER = 700_000
+#: Distinct words an encoder remembers before it forgets all but those it met first, which are the frequent ones.
+REMEMBER, KEEP = 700_000, 200_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -130,7 +130,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBER:
-            self.forget()
+            self.known = _Numbers(islice(self.known.items(), KEEP))
+            self.used, self.learnt = int(self.starts[KEEP]), KEEP
         odd = {k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         number = self.known.__getitem__
         numbers = [np.array(list(map(number, t.split())) if k not in odd else [], dtype=np.int64) for k, t in enumerate(texts)]
