@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wavemill.functions.arrays import bound, let, literal, total
 from wavemill.operators import spectral
 from wavemill.operators.frames import resample_linear
+from wavemill.operators.lineage import cut
 
 
 def kaiser(length: int, beta: float) -> np.ndarray:
@@ -137,3 +138,17 @@ def separate_by_masks(spectra: DataFrame, masks: DataFrame, n_fft: int, hop: int
     kept = spectral.complex_multiply(joined, ("re", "im"), ("mre", "mim"), ("r2", "i2"))
     keyed = kept.select(F.struct("clip_id", "source").alias("clip_id"), "t", F.col("r2").alias("re"), F.col("i2").alias("im"))
     return spectral.istft(keyed, n_fft, hop).select("clip_id.clip_id", "clip_id.source", "n", "x")
+
+
+def inverse_cqt_magnitude(magnitudes: DataFrame, sr: float, hop: int, f_min: float, n_bins: int, bins_per_octave: int = 12, rounds: int = 4, seed: int = 1) -> DataFrame:
+    """(clip_id, n, x) from magnitudes alone: phases start as hashes and are those of the signal so far in each round."""
+    start = f"transform(v, (x, i) -> 2 * pi() * pmod(xxhash64(clip_id, t, i, {seed}), 1000003) / 1000003)"
+    kept = magnitudes.select("clip_id", "t", F.col("v").alias("mag"))
+    polar = kept.withColumn("angle", F.expr(start.replace("(v,", "(mag,")))
+    for _ in range(rounds):
+        spectra = spectral.from_polar(polar).select("clip_id", "t", "re", "im")
+        again = spectral.cqt(to_clips(inverse_cqt(spectra, sr, hop, f_min, n_bins, bins_per_octave)), sr, hop, f_min, n_bins, bins_per_octave)
+        angles = spectral.phase(again).withColumnRenamed("v", "angle")
+        # Frames past the signal's end keep their phase.
+        polar = cut(kept.join(angles, ["clip_id", "t"], "left").withColumn("angle", F.coalesce("angle", F.expr("transform(mag, x -> 0D)"))))
+    return inverse_cqt(spectral.from_polar(polar).select("clip_id", "t", "re", "im"), sr, hop, f_min, n_bins, bins_per_octave)

@@ -618,3 +618,9 @@ def subsequence_alignment(spark, sf_dir):
     pairs = rows.select(F.col("clip_id").alias("pair_id"), F.expr("slice(f, 21, 12)").alias("x"), F.col("f").alias("y"))
     found = similarity.align(pairs, subsequence=True)
     return found.select("pair_id", r6("cost").alias("cost"), F.col("path")[0]["j"].alias("start"))
+
+
+@query()
+def inverse_cqt_magnitude(spark, sf_dir):
+    mags = spectral.magnitude(rates.vqt(emb(spark, sf_dir), SR, 8, 4.0, 12, 2.0))
+    return tall_rounded(rates.inverse_cqt_magnitude(mags, SR, 8, 4.0, 12, rounds=2))
