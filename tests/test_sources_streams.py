@@ -30,7 +30,7 @@ def test_raw_samples_and_reports(spark, tmp_path):
 
 def streamed(spark, rows, schema, make, tmp_path, name):
     """Feed rows file by file, one a batch, and gather what comes out."""
-    for k, part in enumerate(rows):
+    for part in rows:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/{name}")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/{name}")
     query = make(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}-cp").trigger(availableNow=True).start()

@@ -112,7 +112,6 @@ def split_silence(frames: DataFrame, lengths: DataFrame, length: int, hop: int,
     runs = segments(level.withColumn("active", loud)).join(lengths, "clip_id")
     spans = runs.select("clip_id", (F.col("start") * hop).alias("start"), F.least((F.col("end") - 1) * hop + length, F.col("n_samples")).alias("end"))
     w = Window.partitionBy("clip_id").orderBy("start")
-    group = F.sum(F.when(F.col("start") - F.lag("end").over(w) <= hop, 0).otherwise(1)).over(w)
     merged = spans.withColumn("c_", F.when(F.col("start") - F.lag("end").over(w) <= hop, 0).otherwise(1)).withColumn("g_", F.sum("c_").over(w)).groupBy("clip_id", "g_").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return merged.select("clip_id", (F.row_number().over(w) - 1).alias("seg_id"), "start", "end")
 

@@ -92,7 +92,7 @@ def overlap_add(frames: DataFrame, n_fft: int, hop: int, window: str = "hann", t
     samples = frames.withColumn("w_", F.expr(literal(w))).select("clip_id", "t", F.posexplode(F.arrays_zip("v", "w_")).alias("i", "p"))
     at = F.col("t").cast("long") * hop + F.col("i") - trim
     summed = samples.select("clip_id", at.alias("n"), (F.col("p.v") * F.col("p.w_")).alias("xw"), (F.col("p.w_") * F.col("p.w_")).alias("ww")).groupBy("clip_id", "n").agg(F.sum("xw").alias("xw"), F.sum("ww").alias("ww"))
-    last = frames.groupBy(F.col("clip_id").alias("c_")).agg(((F.max("t") + (0 if trim else 0)).cast("long") * hop + (0 if trim else n_fft)).alias("end_"))
+    last = frames.groupBy(F.col("clip_id").alias("c_")).agg((F.max("t").cast("long") * hop + (0 if trim else n_fft)).alias("end_"))
     kept = summed.join(last, F.col("clip_id") == F.col("c_")).where((F.col("n") >= 0) & (F.col("n") < (F.lit(length) if length is not None else F.col("end_"))))
     return kept.select("clip_id", "n", (F.col("xw") / F.greatest(F.col("ww"), F.lit(1e-10))).alias("x"))
 
