@@ -101,6 +101,8 @@ def find_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             for k in range(max(0, bisect_right(ranges.ends, a) - 1), min(len(ranges.entries), bisect_right(ranges.ends, b)))
             if not ranges.exact(k)
         }
+        if not open_ranges:
+            break
         finer: list[tuple[int, int, int, int, int]] = [e for k, e in enumerate(ranges.entries) if k not in open_ranges]
         by_bits: dict[int, list[tuple[int, int]]] = {}
         for k in open_ranges:
