@@ -121,6 +121,26 @@ def test_wide_search_finds_edited_copies(spark):
     assert {2 * k for k in range(40)} <= left and len(left) <= 41
 
 
+@pytest.mark.parametrize("chunk", [8, 1024])
+def test_near_copies_match_brute_force(spark, chunk):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows = []
+    for n in [9, 15] * 15 + [54, 104, 204, 304] * 25:
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        rows.append(base)
+        for _ in range(2):
+            low = rng.uniform(0.75, 0.85)
+            extra = max(1, round((n - 4) * (1 / low - 1)))  # words after the end: similarity about low
+            rows.append(base + [rng.choice(vocabulary) for _ in range(extra)])
+    rng.shuffle(rows)
+    sets = [{tuple(r[k : k + 5]) for k in range(len(r) - 4)} for r in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    want = {k for k, root in enumerate(union_find(len(sets), links)) if k == root}
+    docs = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs, chunk).collect()} == want
+
+
 @given(st.text(alphabet="a@.+-_1259 (),é", max_size=80))
 @settings(max_examples=150, deadline=None)
 def test_base_patterns_match_the_plain_ones(text):

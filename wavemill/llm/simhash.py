@@ -8,7 +8,8 @@ lane i with lane i + 1, i + 2 and so on; large buckets are dealt to chunks, and
 Two searches share this. ``simhash_dedup``: 64 bits of three-word shingles, radius 3. Fingerprints are cut into six parts;
 within three bits they agree on three whole parts, so each goes to 20 buckets, one for every choice of three parts, and no
 link is missed. ``drop_near_copies``: texts of similarity 0.8 and more by five-word shingles. Their fingerprints of 256
-bits differ in about 39 places, too many for whole parts to agree, so MinHash bands make the buckets and the radius is 42.
+bits differ in about 39 places, too many for whole parts to agree, so MinHash bands make the buckets. The comparison is
+only a filter there, with a wide radius; the pairs that pass it are verified by the exact similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, frugal, sized, table
+from .common import LONG_MIN, cut, drop_cut, fresh, frugal, sized, table
 from .graph import components
 
 SEED = 42
@@ -205,14 +206,26 @@ def _chains(nodes: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[label[at]], nodes[at]
 
 
-def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
+def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, grouped: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, pair, side, node, words of the fingerprint) arrive by bucket and pair.
 
     Gives a spanning forest of the links in each bucket or pair of chunks. Without words the node is the fingerprint.
+    ``grouped``: the first word is a group; gives all links between nodes of different groups instead of a forest.
     """
     empty = np.empty(0, dtype=np.int64)
 
+    def chosen(node: np.ndarray, group: np.ndarray | None, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        if group is None:
+            return _chains(node, forest(len(node), pairs))
+        kept = [(x[far], y[far]) for x, y in pairs if (far := group[x] != group[y]).any()]
+        if not kept:
+            return empty, empty
+        a, b = (node[np.concatenate(x)] for x in zip(*kept, strict=True))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return both[:, 0], both[:, 1]
+
     def compare(key: np.ndarray, chunk: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        group, fps = (fps[:, 0], fps[:, 1:]) if grouped else (None, fps)
         # key: number of the bucket or pair, rising; chunk: 0 for the first of a pair, 1 for the second, -1 for a whole bucket
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
@@ -225,7 +238,7 @@ def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Itera
         for at in range(0, len(key), step):  # bounds the planes at work; a bucket over an edge goes the other way below
             part = np.flatnonzero(mask[at : at + step]) + at
             if len(part) > 1:
-                a, b = _chains(node[part], forest(len(part), shifted_links(key[part], fps[part], radius)))
+                a, b = chosen(node[part], group[part] if grouped else None, shifted_links(key[part], fps[part], radius))
                 found_a.append(a)
                 found_b.append(b)
         for g in np.flatnonzero(~small & (sizes > 1)).tolist():
@@ -234,7 +247,7 @@ def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Itera
             if not len(ia) or not len(ib):
                 continue
             pairs = [(ia[x], ib[y]) for x, y in block_links(fps[own][ia], fps[own][ib], radius)]
-            x, y = _chains(node[own], forest(int(sizes[g]), pairs))
+            x, y = chosen(node[own], group[own] if grouped else None, pairs)
             found_a.append(x)
             found_b.append(y)
         a = np.concatenate(found_a) if found_a else empty
@@ -266,21 +279,23 @@ def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Itera
         yield compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def bucket_links(rows: DataFrame, chunk: int = CHUNK, radius: int = RADIUS) -> DataFrame:
+def bucket_links(rows: DataFrame, chunk: int = CHUNK, radius: int = RADIUS, group: str | None = None) -> DataFrame:
     """a, b: nodes that connect all within ``radius`` in a bucket. ``rows``: a written table (bucket, node, words).
 
     Buckets of one node are dropped after a count. A bucket of more than ``chunk`` becomes chunks by a second hash, and
-    every pair of chunks a unit of work of its own.
+    every pair of chunks a unit of work of its own. With ``group``, a column, all pairs of different groups within
+    ``radius`` in a bucket; buckets of one group are dropped.
     """
-    words = [c for c in rows.columns if c not in ("bucket", "node")]
-    sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    words = [*([group] if group else []), *(c for c in rows.columns if c not in ("bucket", "node", group))]
+    many = f"min({group}) < max({group})" if group else "count(1) > 1"
+    sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.expr(many).alias("_many")).where("_many").drop("_many"), "buckets")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("node", "bucket"), chunks).cast("int")
     joined = rows.join(sizes, "bucket").withColumn("_c", chunks).withColumn("_m", mine)
     # With chunk m of c a row meets the pairs (m, j) for all j; as first where m <= j and as second else.
     pair = F.expr("transform(sequence(0, _c - 1), j -> named_struct('pair', least(_m, j) * _c + greatest(_m, j), 'side', case when j = _m then -1 when _m < j then 0 else 1 end))")
     units = joined.withColumn("_p", F.explode(pair)).select("bucket", F.col("_p.pair").cast("long").alias("pair"), F.col("_p.side").alias("side"), "node", *words)
-    return units.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(lambda batches: frugal(_link_rows(batches, radius)), "a long, b long")
+    return units.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(lambda batches: frugal(_link_rows(batches, radius, bool(group))), "a long, b long")
 
 
 def near_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -324,27 +339,34 @@ def simhash_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return near_components(rows, chunk).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# The wide search: five-word shingles, fingerprints of four words, radius, and MinHash bands. At similarity 0.8 two texts
-# share a band with probability 1 - (1 - 0.8**4)**8 = 0.985 and differ in 39 of 256 bits on average. On 15,000 documents the
-# radius 42 left both texts of 10 of 720 pairs of 0.8 and more, and dropped 65 documents whose nearest text was below
-# 0.8 (48: 2 and 121; 38: 18 and 31).
-WIDE, WIDE_WORDS, WIDE_RADIUS, BANDS, BAND_ROWS = 5, 4, 42, 8, 4
+# The wide search: five-word shingles, similarity 0.8, fingerprints of four words, radius of the filter, and MinHash bands.
+# At similarity 0.8 two texts share a band with probability 1 - (1 - 0.8**3)**12 = 0.9998. They differ in 39 of 256 bits on
+# average (standard deviation 5.7), texts of four and five shingles in 48 (6.2); unrelated ones in 128 (8).
+WIDE, WIDE_WORDS, WIDE_RADIUS, BANDS, BAND_ROWS = 5, 4, 72, 12, 3
+#: Similarity of near copies is NEAR[0] / NEAR[1] and more.
+NEAR = (4, 5)
 
 
-def wide_signature(text: bytes) -> tuple[int, np.ndarray, np.ndarray] | None:
-    """Node (a hash of the words), four words of fingerprint and the band keys; None for a text without words."""
+def wide_shingles(text: bytes) -> tuple[bytes, np.ndarray] | None:
+    """The words joined by spaces and the hashes of their different shingles, sorted; None for a text without words."""
     words = text.lower().split()
     if not words:
         return None
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= WIDE:
-        h = np.array([digest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts, stops = [0, *(ends[: len(words) - WIDE]).tolist()], (ends[WIDE - 1 :] - 1).tolist()
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
-    h = np.unique(h)
+        return joined, np.array([digest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts, stops = [0, *(ends[: len(words) - WIDE]).tolist()], (ends[WIDE - 1 :] - 1).tolist()
+    return joined, np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64))
+
+
+def wide_signature(text: bytes) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """Node (a hash of the words), four words of fingerprint and the band keys; None for a text without words."""
+    found = wide_shingles(text)
+    if found is None:
+        return None
+    joined, h = found
     ones = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
     for k in range(0, len(h), 4096):
         part = np.stack([remixed(h[k : k + 4096], w) for w in range(WIDE_WORDS)], axis=1)
@@ -354,7 +376,7 @@ def wide_signature(text: bytes) -> tuple[int, np.ndarray, np.ndarray] | None:
     for b in range(BANDS):
         for r in range(BAND_ROWS):
             keys[b] = remixed(keys[b : b + 1], 100 + b)[0] ^ remixed(h, 10 + b * BAND_ROWS + r).min()
-    return digest(joined, 1), fp, keys
+    return xxhash.xxh64_intdigest(joined, 1), fp, keys
 
 
 def remixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -379,19 +401,73 @@ def wide_signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(lambda batches: frugal(run(batches)), schema)
 
 
+def node_shingles(docs: DataFrame) -> DataFrame:
+    """node and shingles of every text with words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                found = [x for t in batch.column(0).slice(k, 256) if (x := wide_shingles(t.as_py() or b""))]
+                if found:
+                    nodes = np.array([xxhash.xxh64_intdigest(joined, 1) for joined, _ in found], dtype=np.uint64).view(np.int64)
+                    ends = np.cumsum([0, *(len(h) for _, h in found)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([h for _, h in found]).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), lists], names=["node", "shingles"])
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(lambda batches: frugal(run(batches)), "node long, shingles array<long>")
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b; written) whose texts have shingle sets of similarity NEAR and more, exactly.
+
+    ``nodes``: node and least, the smallest doc_id with that text. Only texts in a pair are read for their shingles.
+    """
+    wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
+    whose = cut(nodes.join(wanted, "node", "left_semi").select(F.coalesce("least", F.lit(LONG_MIN)).alias("_id")).distinct(), "pair-docs")
+    texts = docs.select(F.coalesce("doc_id", F.lit(LONG_MIN)).alias("_id"), "text").join(whose, "_id", "left_semi")
+    sets = cut(node_shingles(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-shingles")
+    # Written in between: a text in many pairs is a skewed key, which each of the two joins can split on its own.
+    half = cut(pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a"), "pair-halves")
+    full = half.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
+    x, y = F.size("_x"), F.size("_y")
+    low, high = NEAR
+    # Of i in both, i / (x + y - i) is at least low / high.
+    full = full.where(high * F.least(x, y) >= low * F.greatest(x, y))
+    links = cut(full.where((low + high) * F.size(F.array_intersect("_x", "_y")) >= low * (x + y)).select("a", "b"), "similar")
+    for table_ in (half, sets):
+        drop_cut(table_)
+    return links
+
+
+def copy_links(docs: DataFrame, nodes: DataFrame, tables: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """a, b: nodes of similarity NEAR and more, enough links to connect all such that share a bucket of ``tables``.
+
+    First each node is verified with its buckets' smallest ones, which connects most copies by as many pairs as there
+    are rows. Then all pairs are that share a bucket and pass the radius, but aren't connected yet.
+    """
+    words = [f"f{k}" for k in range(WIDE_WORDS)]
+    least = cut(tables.groupBy("bucket").agg(F.min(F.struct("node", *words)).alias("_l"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "bucket-least")
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"_l.{w}"))) for w in words), F.lit(0))
+    stars = tables.join(least, "bucket").where((F.col("node") != F.col("_l.node")) & (apart <= WIDE_RADIUS))
+    first = similar(docs, nodes, cut(stars.select(F.col("_l.node").alias("a"), F.col("node").alias("b")).distinct(), "stars"))
+    roots = components(first)
+    rows = cut(tables.join(roots, "node", "left").select("bucket", "node", *words, F.coalesce("root", "node").alias("root")), "grouped")
+    others = cut(bucket_links(rows, chunk, WIDE_RADIUS, "root").distinct(), "pairs")
+    return first.unionByName(similar(docs, nodes, others))
+
+
 def drop_near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with one row of each component of near copies, that of the smallest doc_id; columns unchanged.
 
-    Near: five-word shingles of similarity 0.8 and more, estimated as in the module's docstring; somewhat less similar
-    texts may be linked too, texts without common shingles are not. Texts without words are not near anything and
-    stay. Rows that share the smallest doc_id of a component stay together; a null doc_id stays.
+    Near: sets of five-word shingles of similarity 0.8 and more. Pairs are found as in the module's docstring and verified
+    exactly, so no less similar texts are linked. Texts without words are not near anything and stay. Rows that share the
+    smallest doc_id of a component stay together; a null doc_id stays.
     """
     words = [f"f{k}" for k in range(WIDE_WORDS)]
     rows = cut(wide_signatures(docs.select("doc_id", "text")), "signatures")
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
     keyed = rows.dropDuplicates(["node"]).select(F.posexplode("keys").alias("b", "key"), "node", *words)
     tables = cut(keyed.select(F.xxhash64("b", "key").alias("bucket"), "node", *words), "bands")
-    ids = classes(nodes, bucket_links(tables, chunk, WIDE_RADIUS))
+    ids = classes(nodes, copy_links(docs, nodes, tables, chunk))
     found = rows.join(ids, rows["node"] == ids["_node"]).where("doc_id <> component_id")
     (name,) = fresh(docs, "__gone")
     gone = cut(found.select(F.col("doc_id").alias(name)).distinct(), "near-copies")
