@@ -335,6 +335,19 @@ def test_pasted_passages_are_found(spark):
         assert {r.doc_id for r in found if not r.removed} == {0, 30}
 
 
+def test_phrase_before_a_passage_hides_no_start():
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    make = substring_dedup.Paragraphs()
+    low = lambda p: int(substring_dedup.shingles_of(substring_dedup.words_of(" ".join(p).encode(), make.powers)[0])[0])
+    phrase = min((words(5) for _ in range(3000)), key=low)
+    for _ in range(40):
+        passage = words(15) + phrase + words(31)
+        one, two = words(40) + phrase + passage + words(40), words(40) + passage + words(40)
+        a, b = (set(make.of(" ".join(x).encode())[0].tolist()) for x in (one, two))
+        assert a & b
+
+
 def test_similar_sets_match_brute_force():
     rng = random.Random(3)
     base = [frozenset(rng.sample(range(60), 16)) for _ in range(12)]

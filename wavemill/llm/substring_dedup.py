@@ -88,7 +88,7 @@ def shingles_of(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 
 def chosen_starts(sh: np.ndarray, count: int, starts: int = STARTS) -> np.ndarray:
-    """Positions below ``count`` with the smallest hash of some ``starts`` in a row; the first of equal ones."""
+    """Positions below ``count`` with the smallest hash of some ``starts`` in a row, all of equal ones."""
     v = sh[:count]
     w = min(starts, count)
     low, span = v.copy(), 1
@@ -103,12 +103,14 @@ def chosen_starts(sh: np.ndarray, count: int, starts: int = STARTS) -> np.ndarra
         step = min(span, w - span)
         reach = np.maximum(reach[: len(reach) - step], reach[step:])
         span += step
-    at = np.flatnonzero(v == reach[: len(v)])
-    if len(at) > 1:  # of equal values one after the other, as in a text that goes round, one in a window
-        new = np.r_[True, v[at[1:]] != v[at[:-1]]]
-        lap = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // w
-        at = at[new | np.r_[True, np.diff(lap) != 0]]
-    return at
+    return np.flatnonzero(v == reach[: len(v)])
+
+
+def one_a_lap(at: np.ndarray, cls: np.ndarray, starts: int = STARTS) -> np.ndarray:
+    """Which starts to keep: of whole paragraphs that are equal one after the other, as in a text that goes round, one in a window."""
+    new = np.r_[True, cls[1:] != cls[:-1]]
+    lap = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // starts
+    return new | np.r_[True, np.diff(lap) != 0]
 
 
 class Paragraphs:
@@ -128,6 +130,8 @@ class Paragraphs:
         for k in range(WORDS):
             cls += h[at + k] * _SALTS[k]
         cls = mixed(cls ^ _P)
+        kept = one_a_lap(at, cls, min(STARTS, count))
+        at, cls = at[kept], cls[kept]
         own = sh[at[:, None] + np.arange(WORDS - WIDTH + 1)]
         if with_shingles:
             return cls, own
