@@ -348,6 +348,26 @@ def test_phrase_before_a_passage_hides_no_start():
         assert a & b
 
 
+def test_overlapping_paragraph_keeps_its_buckets(spark):
+    rng = random.Random(33)
+    make, rows = substring_dedup.Paragraphs(), []
+    while len(rows) < 20:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        text = " ".join(words).encode()
+        _, first, _, keys, out = make.of(text)
+        at = [len(text[:a].split()) for a in first]
+        for k in range(1, len(at)):
+            if out[k].any():
+                copy = words[at[k] : at[k] + 19] + ["zzz"]
+                met = make.of(" ".join(copy).encode())[3][0] == keys
+                # The copy meets the later paragraph in bands that an earlier one has too, and in no other.
+                if met[k].any() and not (met[k] & ~out[k]).any() and at[k] - at[k - 1] > 1:
+                    rows += [(len(rows), text.decode()), (len(rows) + 1, " ".join(copy))]
+                    break
+    found = {r.doc_id for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == set(range(len(rows)))
+
+
 def test_similar_sets_match_brute_force():
     rng = random.Random(3)
     base = [frozenset(rng.sample(range(60), 16)) for _ in range(12)]

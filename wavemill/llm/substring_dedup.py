@@ -141,7 +141,8 @@ class Paragraphs:
             for r in range(ROWS):
                 key = mixed(key + _P) ^ mixed(own ^ _SALTS[WORDS + b * ROWS + r]).min(axis=1)
             keys[:, b] = mixed(key + _SALTS[WORDS + BANDS * ROWS + b])
-        # Paragraphs that overlap in one text meet in many bands to no end: the later one leaves those keys out.
+        # Paragraphs that overlap in one text meet in many bands, which alone is no reason to look at a bucket: there the
+        # later one goes along with the earlier one.
         out = np.zeros(keys.shape, dtype=bool)
         for back in range(1, min(4, len(at))):
             near = (at[back:] - at[:-back] < WORDS) & (cls[back:] != cls[:-back])
@@ -150,7 +151,10 @@ class Paragraphs:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """cls, doc_id, s, e (code points, end exclusive) and keys k0.. of every paragraph of every text."""
+    """cls, doc_id, s, e (code points, end exclusive), keys k0.. and along of every paragraph of every text.
+
+    Bit b of along is set if one of the three paragraphs before it overlaps it and has the same key b.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Paragraphs()
@@ -162,10 +166,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     continue
                 cls, s, e, keys, out = (np.concatenate([p[j] for _, p in made]) for j in range(5))
                 ids = pa.array([d for d, p in made for _ in range(len(p[0]))], pa.int64())
-                longs = [pa.array(keys[:, b].copy().view(np.int64), mask=out[:, b]) for b in range(BANDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), ids, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), *longs], names=["cls", "doc_id", "s", "e", *(f"k{b}" for b in range(BANDS))])
+                longs = [pa.array(keys[:, b].copy().view(np.int64)) for b in range(BANDS)]
+                longs.append(pa.array((out << np.arange(BANDS)).sum(axis=1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), ids, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), *longs], names=["cls", "doc_id", "s", "e", *(f"k{b}" for b in range(BANDS)), "along"])
 
-    schema = "cls long, doc_id long, s int, e int, " + ", ".join(f"k{b} long" for b in range(BANDS))
+    schema = "cls long, doc_id long, s int, e int, " + ", ".join(f"k{b} long" for b in range(BANDS)) + ", along int"
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: frugal(run(batches)), schema)
 
 
@@ -264,8 +269,14 @@ def only(rows: DataFrame, wanted: DataFrame, by: str | list[str]) -> DataFrame:
 
 def class_links(docs: DataFrame, units: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """a, b: classes of paragraphs of similarity SIMILARITY or more, enough links to connect all such."""
-    keyed = units.select(F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key"), "cls", "doc_id", "s", "e").where("key is not null")
-    shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key")
+    each = F.explode(F.array(*(F.struct(F.col(f"k{b}").alias("key"), F.col("along").bitwiseAND(1 << b).alias("along")) for b in range(BANDS))))
+    keyed = units.select(each.alias("_k"), "cls", "doc_id", "s", "e").select("_k.key", "_k.along", "cls", "doc_id", "s", "e")
+    # A bucket needs no look if it has one paragraph and at most one class that goes along, or one class only.
+    ends = [f(F.when(F.expr(w), F.col("cls"))) for w in ("along = 0", "along > 0") for f in (F.min, F.max)]
+    ends.append(F.count(F.expr("case when along = 0 then 1 end")))
+    shared = keyed.groupBy("key").agg(*(x.alias(n) for x, n in zip(ends, ("low", "high", "low2", "high2", "n"), strict=True)))
+    shared = shared.where("low < high or low2 < high2 or (n > 1 and low2 is not null)").select("key")
+    keyed = keyed.drop("along")
     shared = cut(shared, "shared-keys")
     place = F.min(F.struct("doc_id", "s", "e")).alias("place")
     members = cut(only(keyed, shared, "key").groupBy("key", "cls").agg(place), "bucket-classes")
