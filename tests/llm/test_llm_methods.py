@@ -252,27 +252,111 @@ def test_packing_query(spark, small):
     assert fills.max() <= 2048 and sum(0 if f & (f - 1) == 0 else 2048 - f for f in fills) == 0
 
 
-@given(st.lists(st.integers(1, 700), min_size=1, max_size=60), st.integers(2, 9), st.integers(20, 130))
-@settings(max_examples=60, deadline=None)
-def test_packer_keeps_its_limits(lengths, segments, loss):
+def loss_of(start, length, lead):
+    return max(0, length - max(0, lead - start))
+
+
+def plain_packing(lengths, tokens, segments, loss, lead):
+    """The packer's rule for documents that are all in the pool, written with loops over plain numbers."""
+    items, out, sequence = [(k, 0, n) for k, n in enumerate(lengths)], [], 0
+    while items:
+        taken, room = [], [tokens, segments, loss]
+
+        def place(item, n, taken=taken, room=room):
+            d, a, size = item
+            taken.append((d, a, n))
+            for j, x in enumerate((n, 1, loss_of(a, n, lead))):
+                room[j] -= x
+            at = items.index(item)
+            items[at : at + 1] = [(d, a + n, size - n)] if size > n else []
+
+        while items and room[0] and room[1]:
+            most = [min(room[0], max(0, lead - a) + room[2], n) for _, a, n in items]
+            over = [(m, i[2], k) for k, (i, m) in enumerate(zip(items, most, strict=True)) if i[2] > m]
+            fits = [i for i, m in zip(items, most, strict=True) if i[2] == m]
+            if over and (not taken or room[1] == 1 or not fits):
+                m, _, k = max(over)
+                if m < 1:
+                    break
+                place(items[k], m)
+            elif fits:
+                score = lambda i: i[2] * (room[0] / tokens / tokens) + room[1] / segments / segments + loss_of(i[1], i[2], lead) * (room[2] / loss / loss)
+                place(max(fits, key=score), max(fits, key=score)[2])
+            else:
+                break
+        fill = sum(n for _, _, n in taken)
+        want = fill if fill == tokens else 1 << (fill.bit_length() - 1)
+        while fill > want:
+            d, a, n = taken.pop()
+            keep = max(0, n - (fill - want))
+            if keep:
+                taken.append((d, a, keep))
+            items.append((d, a + keep, n - keep))
+            fill -= n - keep
+        out += [(sequence, *piece) for piece in taken]
+        sequence += 1
+    return sorted(out)
+
+
+def packs(lengths, pool, **limits):
     out = []
-    packer = packing.Packer(lambda *x: out.append(x), tokens=128, segments=segments, loss=loss, pool=16)
+    packer = packing.Packer(lambda *x: out.append(x), pool=pool, **limits)
     for k, n in enumerate(lengths):
         packer.add(k, n)
     packer.pack()
+    return out
+
+
+@given(st.lists(st.integers(1, 700), min_size=1, max_size=60), st.integers(2, 9), st.integers(20, 130), st.integers(0, 40))
+@settings(max_examples=150, deadline=None)
+def test_packer_keeps_every_limit(lengths, segments, loss, lead):
+    out = packs(lengths, 16, tokens=128, segments=segments, loss=loss, lead=lead)
     got = {}
     for s, o, d, a, n in out:
-        got.setdefault(s, []).append((o, n))
+        got.setdefault(s, []).append((o, n, loss_of(a, n, lead)))
     for pieces in got.values():
         pieces.sort()
-        fill = sum(n for _, n in pieces)
-        assert fill <= 128 and len(pieces) <= max(segments, 1) + 1 and fill - len(pieces) <= max(loss, fill - len(pieces) if len(pieces) == 1 and fill == 128 else loss)
-        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))]
+        fill = sum(n for _, n, _ in pieces)
+        assert fill <= 128 and fill & (fill - 1) == 0 and len(pieces) <= segments and sum(x for _, _, x in pieces) <= loss
+        assert [o for o, _, _ in pieces] == [sum(n for _, n, _ in pieces[:k]) for k in range(len(pieces))]
     for k, n in enumerate(lengths):
         own = sorted((a, m) for _, _, d, a, m in out if d == k)
         assert sum(m for _, m in own) == n and all(x + m == y for (x, m), (y, _) in zip(own, own[1:], strict=False))
 
 
+@given(st.lists(st.integers(1, 300), min_size=1, max_size=14, unique=True), st.integers(2, 5), st.integers(40, 128), st.integers(0, 40))
+@settings(max_examples=150, deadline=None)
+def test_packer_follows_the_plain_rule(lengths, segments, loss, lead):
+    limits = {"tokens": 128, "segments": segments, "loss": loss, "lead": lead}
+    got = packs(lengths, 10**6, **limits)
+    want = plain_packing(lengths, **limits)
+    assert sorted((s, d, a, n) for s, _, d, a, n in got) == want
+
+
+def test_limit_on_loss_binds():
+    out = packs([5000] * 40 + [50] * 40, 10**6)
+    per = {}
+    for s, _, _, a, n in out:
+        x = per.setdefault(s, [0, 0])
+        x[0], x[1] = x[0] + n, x[1] + loss_of(a, n, packing.LEAD)
+    assert max(x[1] for x in per.values()) == packing.LOSS < packing.TOKENS == max(x[0] for x in per.values())
+    free = packs([5000] * 40 + [50] * 40, 10**6, loss=packing.TOKENS)
+    assert {s: n for s, _, _, _, n in free} != {s: n for s, _, _, _, n in out}
+
+
+SCRIPTS = "abzAZ éßİŉſ ΑΣς жё \u0958\u095f\u09dc\u0a5b\u0915\u093c \u05d0\u05b4 \ufb1d ﬁ 한각 漢字 ไทย \u0301\u0308 09 .,'\u2019 \u1e9e\u01c5 \U0001f600"
+
+
+@given(st.lists(st.text(alphabet=SCRIPTS.replace(" ", ""), min_size=1, max_size=6), min_size=1, max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_words_met_bare_change_no_ids(words):
+    path = packing.tokenizer_path()
+    enc = packing.worker_encoder(path)
+    enc.forget()
+    for text in (" ".join(words), " ".join(w + m for w in words for m in (".", ",", "", "\u0301", ".,")), " ".join(w.upper() + "." for w in words), " ".join(words)):
+        assert enc.encode([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_word_encoder_equals_tokenizer(text):
@@ -281,6 +365,15 @@ def test_word_encoder_equals_tokenizer(text):
     assert enc.encode([words])[0].tolist() == enc.tokenizer.encode(words, add_special_tokens=False).ids
 
 
+def test_packed_ids_do_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(120).union(spark.createDataFrame([(-1, "\u0958, \u0958 \u0921\u093c, \u0921\u093c", "hi", "x", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
+    whole = []
+    for n in (1, 7):
+        rows = packing.pack_documents(docs.repartition(n)).toPandas().sort_values(["doc_id", "start"])
+        whole.append(rows.groupby("doc_id").ids.agg(lambda x: b"".join(bytes(i) for i in x)).to_dict())
+    assert whole[0] == whole[1]
+
+
 @given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 4)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.integers(0, 120))
 @settings(max_examples=100, deadline=None)
 def test_knapsack_is_exact(items, budget):

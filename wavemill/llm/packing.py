@@ -1,15 +1,17 @@
 """Packing documents into sequences by vector bin packing with the dot-product heuristic.
 
-A piece of a document is a vector of tokens, segments (1) and loss-bearing tokens (all but its first). A
-sequence has a limit on each. An open sequence takes the piece whose vector has the largest dot product with the room
-that is left, among those that fit; when none fits, the largest piece is cut to fill the room. What is over at the end
-of a task goes into sequences that are a power of two long, which need no padding. Every task packs what it reads, in
-that order: no shuffle, and a lost task repeats itself exactly.
+The first LEAD tokens of a document are its prompt: they are context and bear no loss, all later ones do. A piece of a
+document is a vector of tokens, segments (1) and loss-bearing tokens, and a sequence has a limit on each. An open
+sequence takes the piece whose vector has the largest dot product with the room that is left, among those that fit;
+when none fits, the piece of which most can be placed is cut there. A piece too long for any sequence is cut as soon as
+one is opened. A sequence that nothing can fill is trimmed to a power of two, which needs no padding, and so are the
+last ones of a task. Every task packs what it reads, in that order: no shuffle, and a lost task repeats itself exactly.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -23,15 +25,19 @@ from pyspark.sql import functions as F
 
 from .common import frugal, table
 
-#: Tokens, segments and loss-bearing tokens that a sequence holds at most.
-TOKENS, SEGMENTS, LOSS = 2048, 256, 2048
+#: Tokens, segments and loss-bearing tokens that a sequence holds at most: a full one has 64 tokens of prompts or more.
+TOKENS, SEGMENTS, LOSS = 2048, 32, 1984
+#: Tokens at a document's start that bear no loss.
+LEAD = 64
 #: Pieces that are packed together: bounds memory, not results.
-POOL = 4096
+POOL = 2048
 #: Id after each document.
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words an encoder remembers before it forgets all but those it met first, which are the frequent ones.
-REMEMBER, KEEP = 700_000, 200_000
+REMEMBER, KEEP = 300_000, 100_000
+#: Words whose ids are those of their lower-cased letters: Latin letters that normalising leaves as they are.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -82,19 +88,20 @@ class WordEncoder:
     def learn(self) -> None:
         """Find the ids of the words numbered since the last time.
 
-        A word's ids are those of its lower-cased letters, with those of a full stop or comma after them; anything else goes to
-        the tokenizer as it is. Letters met only inside other words are numbered too.
+        The ids of a word of Latin letters are those of its lower-cased letters, with those of a full stop or comma after them;
+        anything else goes to the tokenizer as it is. Letters met only inside other words are numbered too.
         """
         words = list(islice(reversed(self.known), len(self.known) - self.learnt))[::-1]
         if not words:
             return
         stems = [w[:-1] if w[-1] in ".," else w for w in words]
-        lower = [w.lower() if w.isalpha() and "\u03a3" not in w else "" for w in stems]
+        latin = LATIN.fullmatch
+        lower = [w.lower() if latin(w) else "" for w in stems]
         number, learnt = dict.get, self.learnt
         found: dict[str, bytes] = {}
         fresh = []
         for w in set(lower):
-            if w.isalpha():
+            if w:
                 k = number(self.known, w, learnt)
                 if k < learnt:
                     found[w] = self._bytes_of(k)
@@ -156,23 +163,19 @@ def worker_encoder(path: str) -> WordEncoder:
 
 
 class Packer:
-    """Packs pieces (document, start, length) as they come. ``emit(sequence, offset, document, start, length)`` takes them."""
+    """Packs documents as they come. ``emit(sequence, offset, document, start, length)`` takes the pieces.
 
-    def __init__(self, emit: Callable[[int, int, int, int, int], None], tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL):
-        self.emit, self.limit, self.pool_size = emit, np.array([tokens, segments, loss], dtype=np.float64), pool
-        self.tokens, self.loss_limit = tokens, loss
-        self.most = min(tokens, loss + 1)  # of one piece
+    What is left of a document is one item of the pool: its start, its length and its tokens of prompt.
+    """
+
+    def __init__(self, emit: Callable[[int, int, int, int, int], None], tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, lead: int = LEAD, pool: int = POOL):
+        self.emit, self.limit, self.lead, self.pool_size = emit, np.array([tokens, segments, loss], dtype=np.float64), lead, pool
+        self.tokens = tokens
         self.sequence, self.pieces, self.room = 0, [], self.limit.copy()
         self.items: list[tuple[int, int, int]] = []
-        self.sizes = np.zeros(0, dtype=np.int64)
 
     def add(self, document: int, length: int) -> None:
-        whole = length // self.tokens * self.tokens if self.most == self.tokens else 0
-        for start in range(0, whole, self.tokens):
-            self.emit(self.sequence, 0, document, start, self.tokens)
-            self.sequence += 1
-        for start in range(whole, length, self.most):
-            self.items.append((document, start, min(self.most, length - start)))
+        self.items.append((document, 0, length))
         if len(self.items) >= self.pool_size:
             self.pack(self.pool_size // 8)
 
@@ -195,39 +198,46 @@ class Packer:
         return back
 
     def pack(self, leave: int = 0) -> None:
-        """Pack the pool down to ``leave`` pieces; to nothing if 0, then ending with sequences of powers of two."""
+        """Pack the pool down to ``leave`` items; to nothing if 0, then ending with sequences of powers of two."""
         items = self.items
         sizes = np.array([i[2] for i in items], dtype=np.float64)
+        leads = np.array([max(0, self.lead - i[1]) for i in items], dtype=np.float64)
         left = len(items)
 
         def put(k: int, length: int) -> int:
             document, start, size = items[k]
             self.pieces.append((document, start, length))
-            self.room -= (length, 1, length - 1)
+            self.room -= (length, 1, max(0, length - leads[k]))
             items[k] = (document, start + length, size - length)
             sizes[k] = size - length
+            leads[k] = max(0, leads[k] - length)
             return int(size == length)
 
         while left > leave:
-            room = int(min(self.room[0], self.room[2] + 1))
-            if room > 0 and self.room[1] >= 1:
-                # The last segment should fill the room if any piece can.
-                fits = (sizes > 0) & (sizes <= room)
-                last = self.room[1] == 1
-                if fits.any() and not (last and (sizes > room).any()):
+            closing = self.room[0] == 0 or self.room[1] < 1
+            if not closing:
+                most = np.minimum(np.minimum(self.room[0], leads + self.room[2]), sizes)  # of each that can be placed
+                fits = (most == sizes) & (sizes > 0)
+                over = sizes > most
+                if over.any() and (not self.pieces or self.room[1] == 1 or not fits.any()):
+                    # An empty sequence takes a piece too long for it, the last segment should fill the room.
+                    k = int(np.lexsort((sizes, np.where(over, most, -1)))[-1])
+                    closing = most[k] < 1
+                    if not closing:
+                        put(k, int(most[k]))
+                elif fits.any():
                     unit = self.room / self.limit / self.limit
-                    score = np.where(fits, sizes * unit[0] + unit[1] + (sizes - 1) * unit[2], -1.0)
-                    k = int(score.argmax())
-                    left -= put(k, int(sizes[k]))
-                elif (sizes > room).any():
-                    put(int(sizes.argmax()), room)
-                if self.room[0] > 0:
-                    continue
-            back = self._close()
-            if back:
-                items.extend(back)
-                sizes = np.concatenate([sizes, [b[2] for b in back]])
-                left += len(back)
+                    score = np.where(fits, sizes * unit[0] + unit[1] + np.maximum(0, sizes - leads) * unit[2], -1.0)
+                    left -= put(int(score.argmax()), int(sizes[score.argmax()]))
+                else:
+                    closing = True
+            if closing:
+                back = self._close()
+                if back:
+                    items.extend(back)
+                    sizes = np.concatenate([sizes, [b[2] for b in back]])
+                    leads = np.concatenate([leads, [max(0, self.lead - b[1]) for b in back]])
+                    left += len(back)
         self.items = [i for i in items if i[2] > 0]
         while leave == 0 and self.pieces:
             self.items = self._close()
@@ -235,7 +245,7 @@ class Packer:
                 self.pack(0)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int, int, int, int]) -> Iterator[pa.RecordBatch]:
     encoder, first = worker_encoder(path), TaskContext.get().partitionId() << 40
     documents: dict[int, tuple[object, np.ndarray, int]] = {}  # ids of what isn't all packed yet, with the tokens that aren't
     rows: list[tuple] = []
@@ -275,18 +285,18 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int, int,
         yield flushed()
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, lead: int = LEAD) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit, binary), doc_tokens, sequence_id, offset.
 
-    A document is its text's ids and the id 1; null and empty texts are that id alone. A document of any length is cut at
-    the limit on tokens. Repeated rows are packed each. Sequence ids are unique, not gapless. Other columns
+    A document is its text's ids and the id 1; null and empty texts are that id alone. A document of any length is cut
+    where a sequence ends. Repeated rows are packed each. Sequence ids are unique, not gapless. Other columns
     aren't read; empty input gives no rows. ``docs`` should be a scan or a written table, whose tasks read the same
     rows in the same order each time.
     """
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return frugal(_pack(batches, path, (tokens, segments, loss)))
+        return frugal(_pack(batches, path, (tokens, segments, loss, lead)))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
@@ -296,4 +306,5 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents; nulls, empty texts and repeated rows as in ``pack_documents``."""
     return packed(table(spark, sf_dir, "documents"))
