@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wavemill.llm import chat, common, exact_dedup, graph, mixing, packing, pii, quality_classifier, quality_rules, registry, sharding, simhash, substring_dedup
@@ -396,6 +397,43 @@ def test_targets_and_mix(spark, small):
     assert (abs(by.taken - by.target) <= 0.02 * by.target + 20).all() and (rows.taken <= 3 * rows["size"]).all()
 
 
+def test_mix_matches_plain_plan(spark):
+    """Copies of every source and size against the plan made in plain Python, with ids and whole rows repeated."""
+    rng = random.Random(14)
+    rows = [(rng.randrange(150), " ".join(["w"] * rng.choice([0, 1, 2, 3, 5, 8, 40, 90])), rng.choice(["a", "a", "a", "b", "c", None]), rng.randrange(3)) for _ in range(700)]
+    rows += [(900, "one two three four", "b", 0)] * 50 + [(901, None, "c", 0), (None, "x y", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    sizes = {}
+    for _, t, s, _ in rows:
+        sizes.setdefault(s, []).append(len((t or "").split()))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goals = mixing.targets([sum(sizes[s]) for s in names], [k % 3 + 1.0 for k in range(len(names))])
+    want = {}
+    for s, goal in zip(names, goals, strict=True):
+        length, count = np.unique(sizes[s], return_counts=True)
+        copies, extra = mixing.plan_source(length, count, goal)
+        want |= {(s, int(z)): int(copies * c + e) for z, c, e in zip(length, count, extra, strict=True) if copies * c + e}
+        assert abs(sum(want.get((s, int(z)), 0) * int(z) for z in length) - goal) <= 1
+    for mixed in (mixing.mixed_documents(docs), mixing.mixed_documents(docs.repartition(7))):
+        got = {}
+        for r in mixed.collect():
+            key = r.source, len((r.text or "").split())
+            got[key] = got.get(key, 0) + 1
+        assert got == want
+    taken = {}
+    for r in mixing.mix(docs.select("doc_id", "text", "source")).groupBy("size").agg(F.sum("taken").alias("t")).collect():
+        taken[r["size"]] = r.t
+    assert taken == {z: sum(n * z for (_, y), n in want.items() if y == z) for z in {len((t or "").split()) for _, t, _, _ in rows}}
+
+
+def test_one_repeated_row_meets_its_target(spark):
+    rows = [(1, "one two three four", "a")] * 50 + [(k, "x " * 30, "b") for k in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = {r.source: r.n for r in mixing.mixed_documents(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    goal = mixing.targets([200, 300], [1.0, 2.0])[0]
+    assert abs(4 * by["a"] - goal) < 4
+
+
 def test_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")

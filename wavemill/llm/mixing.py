@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, words_count
+from .common import LONG_MIN, cut, fresh, sized, table, words_count
 
 #: A source is never repeated more often than this.
 MOST_COPIES = 3
@@ -114,21 +114,31 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_src": pdf["_src"], "size": pdf["size"], "_n": pdf["n"], "_copies": copies, "_extra": extra})
 
 
+def planned(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """_src, source, size, _n, _copies, _extra (written) of each source and size of ``rows``; ``of``: source_targets."""
+    named = of.withColumnRenamed("source", "_name")
+    hist = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).join(named, F.col("source").eqNullSafe(F.col("_name")))
+    # A source's histogram is one group: as many rows as it has distinct sizes, not documents.
+    plan = hist.select("_src", "size", "n", "target").groupBy("_src").applyInPandas(_plan, "_src int, size long, _n long, _copies int, _extra long")
+    return cut(plan.join(F.broadcast(of.select("_src", "source")), "_src"), "plan")
+
+
+def pieces() -> Column:
+    """Pieces that a source and size is drawn in, by its rows."""
+    return F.least(F.lit(MOST_PIECES), F.greatest(F.lit(1), (F.col("_n") / PIECE_ROWS).cast("int")))
+
+
 def choose(rows: DataFrame, seed: int = 7, weights: dict | None = None) -> DataFrame:
     """``rows`` (doc_id, source, size, any others) with source_size, target and copies, the times each is taken."""
     of = source_targets(rows, weights).cache()
     keyed = rows.join(of.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    hist = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).join(of.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name")))
-    # A source's histogram is one group: as many rows as it has distinct sizes, not documents.
-    plan = cut(hist.select("_src", "size", "n", "target").groupBy("_src").applyInPandas(_plan, "_src int, size long, _n long, _copies int, _extra long"), "plan")
-    pieces = F.least(F.lit(MOST_PIECES), F.greatest(F.lit(1), (F.col("_n") / PIECE_ROWS).cast("int")))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    planned = keyed.join(plan, ["_src", "size"]).withColumn("_u", draw).withColumn("_piece", F.pmod("_u", pieces).cast("int"))
-    counts = planned.where("_extra > 0 and _extra < _n").groupBy("_src", "size", "_piece").agg(F.count(F.lit(1)).alias("_c"))
+    planned_rows = keyed.join(planned(rows, of).drop("source"), ["_src", "size"]).withColumn("_u", draw).withColumn("_piece", F.pmod("_u", pieces()).cast("int"))
+    counts = planned_rows.where("_extra > 0 and _extra < _n").groupBy("_src", "size", "_piece").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy("_src", "size").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     number = F.row_number().over(Window.partitionBy("_src", "size", "_piece").orderBy("_u", "doc_id"))
-    numbered = planned.withColumn("_k", number).join(counts, ["_src", "size", "_piece"], "left")
+    numbered = planned_rows.withColumn("_k", number).join(counts, ["_src", "size", "_piece"], "left")
     more = F.when(F.col("_extra") >= F.col("_n"), 1).when(F.coalesce("_before", F.lit(0)) + F.col("_k") <= F.col("_extra"), 1).otherwise(0)
     return numbered.withColumn("copies", (F.col("_copies") + more).cast("int")).drop("_src", "_n", "_copies", "_extra", "_u", "_piece", "_k", "_before")
 
@@ -145,20 +155,54 @@ def mix(docs: DataFrame, seed: int = 7, weights: dict | None = None) -> DataFram
     return choose(rows, seed, weights).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def last_draws(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """_src, size, _last, _m, _k: of each source and size some of whose rows get a copy more, the last draw that does.
+
+    Of the _m rows with just that draw _k get one. ``rows``: source, size, u. Counts by ranges of the draw find the
+    range in which the last one lies, and only its rows are looked at one by one.
+    """
+    some = plan.where("_extra > 0 and _extra < _n").withColumnRenamed("size", "_size").withColumnRenamed("source", "_name")
+    at = F.floor((F.shiftrightunsigned(F.col("u").bitwiseXOR(F.lit(LONG_MIN)), 11) / F.lit(float(1 << 53))) * pieces()).cast("int")
+    keyed = rows.join(sized(some), F.col("source").eqNullSafe(F.col("_name")) & (F.col("size") == F.col("_size"))).select("_src", "size", "u", "_extra", at.alias("_piece"))
+    before = Window.partitionBy("_src", "size").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("_src", "size", "_extra", "_piece").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before.orderBy("_piece")), F.lit(0)))
+    edge = cut(counts.where("_before < _extra and _before + _c >= _extra").select("_src", "size", "_piece", "_before"), "edges")
+    fine = keyed.join(sized(edge), ["_src", "size", "_piece"]).groupBy("_src", "size", "_extra", "_before", "u").agg(F.count(F.lit(1)).alias("_m"))
+    fine = fine.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_m").over(before.orderBy("u")), F.lit(0)))
+    return fine.where("_before < _extra and _before + _m >= _extra").select("_src", "size", F.col("u").alias("_last"), "_m", (F.col("_extra") - F.col("_before")).alias("_k"))
+
+
 def mixed_documents(docs: DataFrame, seed: int = 7, weights: dict | None = None) -> DataFrame:
     """The mix itself: the rows of ``docs`` that are taken, each as often as it is taken, columns unchanged.
 
-    A document without words gets its source's whole copies. Rows repeated in full share one decision.
+    A document without words gets its source's whole copies. A row repeated in full counts as often as it is there, in
+    the sizes and in the mix. A null doc_id is like any other. A row's draw is a hash of all its columns (maps left
+    out), so a table of the last draws decides where the row is: no text is shuffled, but for repeated rows of which
+    only some are taken.
     """
-    key = F.xxhash64("doc_id", "text")
-    rows = cut(docs.select("doc_id", "source", words_count(F.col("text")).alias("size"), key.alias("_key")), "sized")
-    copies = choose(rows.dropDuplicates(["doc_id", "_key", "source"]), seed, weights).where("copies > 0")
-    k, i, y, o, c, n = fresh(docs, "__k", "__id", "__key", "__source", "__copies", "__copy")
-    copies = copies.select(F.col("doc_id").alias(i), F.col("_key").alias(y), F.col("source").alias(o), F.col("copies").alias(c))
-    same = (F.col(k) == F.col(y)) & F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(o))
-    joined = docs.withColumn(k, key).join(copies, same)
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), c))).select(docs.columns)
+    z, u, n, name = fresh(docs, "__size", "__u", "__copy", "__source")
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    keyed = docs.withColumn(z, words_count(F.col("text"))).withColumn(u, F.xxhash64(F.lit(seed), *plain))
+    rows = cut(keyed.select("source", F.col(z).alias("size"), F.col(u).alias("u")), "drawn")
+    plan = planned(rows, source_targets(rows, weights).cache())
+    limits = plan.join(last_draws(rows, plan), ["_src", "size"], "left").where("_copies > 0 or _extra > 0")
+    limits = cut(limits.select(F.struct("_n", "_copies", "_extra", "_last", "_m", "_k").alias(n), F.col("source").alias(name), F.col("size").alias(f"{z}_")), "limits")
+    joined = keyed.join(sized(limits), F.col("source").eqNullSafe(F.col(name)) & (F.col(z) == F.col(f"{z}_")))
+    at = lambda c: F.col(n)[c]
+    partly = F.coalesce((F.col(u) == at("_last")) & (at("_k") < at("_m")), F.lit(False))
+    more = F.when(at("_extra") >= at("_n"), 1).when(F.col(u) <= at("_last"), 1).otherwise(0)
+    copies = (at("_copies") + more).cast("int")
+    out = joined.where(~partly & (copies > 0)).withColumn(n, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
+    if limits.where(F.col(f"{n}._k") < F.col(f"{n}._m")).limit(1).count():
+        once = joined.where(partly).dropDuplicates([u, name, z])
+        total = at("_copies") * at("_m") + at("_k")
+        dealt = once.withColumn(f"{n}_", F.explode(F.expr(f"sequence(1L, {n}._copies * {n}._m + {n}._k, {MOST_PIECES}L)"))).repartition(u, f"{n}_")
+        last = F.least(total, F.col(f"{n}_") + (MOST_PIECES - 1))
+        out = out.unionByName(dealt.withColumn(n, F.explode(F.sequence(F.col(f"{n}_"), last))).select(docs.columns))
+    return out
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """All documents; nulls, empty texts, repeated rows and ties as in ``mix``."""
     return mix(table(spark, sf_dir, "documents"))
