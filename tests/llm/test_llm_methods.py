@@ -182,10 +182,42 @@ def test_personal_data_query(spark, small):
 
 def test_boosted_candidates(spark):
     rows = [(0, "write to john at example dot com now"), (1, "call (659) 555-3949 soon"), (2, "card 4111.1111.1111.1111"), (3, "the 4111.1111.1111.1112 of it"), (4, "he was at home.The day"), (5, "on 2021-10-12 and 300.1.1.1")]
-    got = {r.doc_id: r.a for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", pii.joined("spans_all") + " a").collect()}
+    model = pii.fit(spark)
+    got = {r.doc_id: r.a for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), model).selectExpr("doc_id", pii.joined("spans_all") + " a").collect()}
     assert got == {0: "email:9:32", 1: "phone:5:19", 2: "card:5:24", 3: "", 4: "", 5: ""}
 
 
+def test_selection_matches_brute_force(spark):
+    """Overlap rules on crowded texts, against all pairs in plain Python; a model that lets everything pass."""
+    rng = random.Random(5)
+    pieces = ["john at example dot com ", "(659) 555-3949 ", "659-555-3949", " 4111.1111.1111.1111", "1 . 2 . 3 . 4 ", "10,0,0,1", "0044 20 7946 0018 ", "10.0.0.7", "a@b.co", "+1 (042) 555-7845", " x", ".", "4111 1111 1111 1111", "12-34-56"]
+    rows = [(k, "".join(rng.choice(pieces) for _ in range(rng.choice([3, 12, 200])))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.Model("cast(pmod(xxhash64(f.size, f.digits, f.kind), 5) as double)", [0.0] * 4, [])
+    got = {r.doc_id: r.a.split(",") for r in pii.find_personal_data(docs, model).selectExpr("doc_id", pii.joined("spans_all") + " a").collect()}
+    margin = pii.let(pii.features("c.k", "c.x", "c.l"), "f", model.margin)
+    raw = docs.selectExpr("doc_id", f"filter({pii.spans_of('text')}, x -> {pii.valid('x')}) b", f"filter({pii.scored_as(pii.proposals('text'), margin)}, c -> {pii.checked('c')}) p").collect()
+    over = lambda a, b: a.s < b.e and b.s < a.e
+    added = 0
+    for r in raw:
+        free = [c for c in r.p if not any(over(c, b) for b in r.b)]
+        mail = [c for c in free if c.k == 0]
+        numbers = sorted((c for c in free if c.k and not any(over(c, m) for m in mail)), key=lambda c: (c.s, c.e, c.k, c.x, c.l))
+        stay = [c for i, c in enumerate(numbers) if not any(over(c, o) and (o.m > c.m or (o.m == c.m and j < i)) for j, o in enumerate(numbers) if j != i)]
+        want = [f"{pii.KINDS[c.k]}:{c.s}:{c.e}" for c in sorted([*r.b, *mail, *stay], key=lambda c: (c.s, c.k, c.e))]
+        added += len(mail) + len(stay)
+        assert got[r.doc_id] == (want or [""])
+    assert added > 200
+
+
+def test_corpus_gives_examples(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = pii.mined(docs, most=40).toPandas()
+    assert {(0, 1.0), (1, 1.0), (2, 0.0)} <= set(zip(rows.kind, rows.label, strict=True)) and rows.groupby(["kind", "label"]).size().max() <= 40
+    report = pii.fit(spark, docs).report
+    assert [r["kind"] for r in report] == pii.KINDS and all(r["precision"] >= pii.PRECISION for r in report)
+
+
 @given(st.text(alphabet="<|\\>ia_mstred\n é", max_size=40), st.text(alphabet="user%0A\n<|", max_size=8))
 @settings(max_examples=200, deadline=None)
 def test_chat_turns_read_back(text, role):

@@ -106,6 +106,12 @@ def sized(narrow: DataFrame) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= MOST_BROADCAST else narrow
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt to all of them before work on each row; others as they are."""
+    cores, files = docs.sparkSession.sparkContext.defaultParallelism, len(docs.inputFiles())
+    return docs.repartition(cores) if 0 < files < cores and docs.count() <= MOST_BROADCAST else docs
+
+
 def frugal(work: Iterator) -> Iterator:
     """``work``, after which a Python worker gives the memory it has freed back to the machine.
 

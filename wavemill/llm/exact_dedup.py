@@ -81,6 +81,7 @@ def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """The whole table; nulls, empty texts, ties and repeated rows as in ``exact_dedup``."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

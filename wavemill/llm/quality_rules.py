@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
+from .common import SPACE, cut, spread, table
 
 # Common words of four languages, in four groups of falling frequency.
 COMMON = {
@@ -133,7 +133,8 @@ def judge(docs: DataFrame, chars_limit: float = CHARS_LIMIT, words_limit: float
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("chars_distance", "words_distance")
+    """All documents; nulls, empty texts and repeated rows as in ``judge``."""
+    return judge(spread(table(spark, sf_dir, "documents"))).drop("chars_distance", "words_distance")
 
 
 def _sql() -> str:

@@ -171,4 +171,5 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
+    """The whole table; nulls, empty texts, ties and repeated rows as in ``shard_documents``."""
     return shard_documents(table(spark, sf_dir, "documents"))

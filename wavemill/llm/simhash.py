@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, cut, drop_cut, fresh, frugal, sized, table
+from .common import LONG_MIN, cut, drop_cut, fresh, frugal, sized, spread, table
 from .graph import components
 
 SEED = 42
@@ -475,4 +475,5 @@ def drop_near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
-    return simhash_dedup(table(spark, sf_dir, "documents"))
+    """All documents; nulls, empty texts and repeated rows as in ``simhash_dedup``."""
+    return simhash_dedup(spread(table(spark, sf_dir, "documents")))
