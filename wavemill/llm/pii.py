@@ -15,6 +15,7 @@ by rule is added, since a corpus may lack a kind.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from .common import cut, drop_cut, spread, table
 KINDS = ["email", "ip", "card", "phone"]
 #: Documents sampled for examples, examples of each kind and label from them and made by rule at most, boosting rounds, depth, and the
 #: precision that a threshold must reach.
-SAMPLE, MINED, EXAMPLES, ROUNDS, DEPTH, PRECISION = 20_000, 1000, 3000, 12, 3, 0.9
+SAMPLE, MINED, EXAMPLES, ROUNDS, DEPTH, PRECISION = 20_000, 1000, 3000, 12, 3, 0.8
 #: Share of wrong candidates that pass the check of their kind by chance: none for addresses, one in ten for a check digit.
 BY_CHANCE = [1.0, 0.0, 0.1, 1.0]
 #: Elements of an array that are summed one by one, and neighbours on each side that candidates are compared with.
@@ -247,7 +248,7 @@ def fit(spark: SparkSession, docs: DataFrame | None = None, n: int = EXAMPLES, p
     """Boosted trees and thresholds from examples of ``docs`` and ``n`` made by rule.
 
     Three quarters of the examples train. On the rest a threshold is the lowest margin from which on at least
-    ``precision`` of what is selected and passes the check of its kind is right, and never below even odds.
+    ``precision`` of what is selected and passes the check of its kind is right, and never below even odds after the check.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -266,10 +267,10 @@ def fit(spark: SparkSession, docs: DataFrame | None = None, n: int = EXAMPLES, p
     for k, name in enumerate(KINDS):
         own = sorted(((r["m"], r["label"]) for r in held if r["kind"] == k), reverse=True)
         limit, right, wrong = float("inf"), 0.0, 0.0
-        reached = (1.0, 0.0)
+        reached, even = (1.0, 0.0), 0.5 * math.log(max(BY_CHANCE[k], 1e-3))  # a margin is half the logarithm of the odds
         for at, (m, label) in enumerate(own, 1):
             right, wrong = right + label, wrong + (1 - label) * BY_CHANCE[k]
-            if m > 0 and right >= precision * (right + wrong) and right and (at == len(own) or own[at][0] < m):
+            if m > even and right >= precision * (right + wrong) and right and (at == len(own) or own[at][0] < m):
                 limit, reached = m, (right / (right + wrong), right / max(1.0, sum(x for _, x in own)))
         limits.append(limit)
         report.append({"kind": name, "held_out": len(own), "precision": reached[0], "recall": reached[1]})
