@@ -105,7 +105,7 @@ def test_personal_data_of_long_texts(spark):
 def test_quality_classifier(docs, none, labels):
     rows = quality_classifier.classify(docs, labels).collect()
     assert len(rows) == len(ROWS) and {r.log_weight for r in rows if r.doc_id in (3, 4, 5)} == {0.0}
-    assert sum(r.kept for r in quality_classifier.classify(docs, labels, k=3).collect()) >= 3
+    assert [sum(r.kept for r in quality_classifier.classify(docs, labels, k=k).collect()) for k in (3, 7, 8, 9, 99)] == [3, 7, 8, 9, len(ROWS)]
     assert not any(r.kept for r in quality_classifier.classify(docs, labels, k=0).collect())
     assert all(r.kept for r in quality_classifier.classify(docs, labels.limit(0)).collect())
     assert quality_classifier.classify(none, labels).count() == 0 and quality_classifier.drop_low_quality(none, labels).count() == 0

@@ -473,8 +473,55 @@ def test_classifier_on_held_out_labels(spark):
     fitted = {r._id for r in quality_classifier.labelled(labels).where("_fold = 0").collect()}
     held = rows[~rows.doc_id.isin(fitted)]
     assert held[held.quality == 1].kept.mean() > 0.995 and held[held.quality == 0].kept.mean() < 0.05
-    share = quality_classifier.classify(spark.read.parquet(f"{d}/documents.parquet").limit(500), labels, k=100).where("kept").count()
-    assert share == 100
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(500)
+    assert quality_classifier.classify(docs, labels, k=100).where("kept").count() == quality_classifier.classify(docs, labels, share=0.2).where("kept").count() == 100
+
+
+def plain_grams(text):
+    """Buckets of one text with plain loops."""
+    import xxhash
+
+    big, n = 2**64, quality_classifier.BUCKETS
+    mix = lambda x: ((y := ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) % big) ^ (y >> 29)) % big
+    words = text.encode().split()
+    shapes = []
+    for w in words:
+        for pattern, to in ((rb"[A-Z]+", b"A"), (rb"(?:[a-z]|[\x80-\xff])+", b"a"), (rb"[0-9]+", b"9"), (rb"([^Aa9])\1+", rb"\1\1")):
+            w = re.sub(pattern, to, w)
+        shapes.append(xxhash.xxh64_intdigest(w))
+    h = [xxhash.xxh64_intdigest(w.lower()) for w in words]
+    out = [x % n for x in h]
+    for k in range(len(words) - 1):
+        out.append(n + mix((h[k] * 0x9E3779B97F4A7C15 + h[k + 1]) % big) % n)
+        out.append(2 * n + mix((shapes[k] * 0x9E3779B97F4A7C15 + shapes[k + 1] * 3 + (words[k] == words[k + 1])) % big) % n)
+    return out
+
+
+def test_resampling_matches_plain_version(spark, small):
+    """Counts, log ratios, weights, keys and the k chosen, against loops over plain lists."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").union(spark.createDataFrame([(-5, None, "en", "x", 0), (-6, "", "en", "x", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    fold = {r._id: r._good for r in quality_classifier.labelled(labels).where("_fold = 0").collect()}
+    b, rows = quality_classifier.BUCKETS, docs.select("doc_id", "text", quality_classifier.gumbel().alias("g")).collect()
+    raw, target = np.zeros(3 * b), np.zeros(3 * b)
+    grams = {r.doc_id: plain_grams(r.text or "") for r in rows}
+    for d, own in grams.items():
+        for g in own:
+            raw[g] += 1
+            target[g] += bool(fold.get(d))
+    ratio = np.zeros(3 * b)
+    for k in range(3):
+        part = slice(k * b, (k + 1) * b)
+        share = target[part].sum() / raw[part].sum()
+        ratio[part] = np.log((target[part] + share + quality_classifier.PSEUDO) / (raw[part] * share + share + quality_classifier.PSEUDO))
+    weight = {d: sum(ratio[g] for g in own) for d, own in grams.items()}
+    key = {r.doc_id: weight[r.doc_id] + r.g for r in rows}
+    for k in (1, 40, 150):
+        got = {r.doc_id: r for r in quality_classifier.classify(docs, labels, k=k).collect()}
+        assert all(np.isclose(got[d].log_weight, weight[d], atol=1e-6) and np.isclose(got[d].sample_key, key[d], atol=1e-6) for d in key)
+        assert {d for d, r in got.items() if r.kept} == set(sorted(key, key=key.get)[-k:])
+    kept = {r.doc_id for r in quality_classifier.drop_low_quality(docs, labels, k=40).collect()}
+    assert kept == set(sorted(key, key=key.get)[-40:])
 
 
 def test_rank_threshold(spark):

@@ -47,20 +47,50 @@ def scratch(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of the tables made by ``cut`` in this process.
+_made: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: ends its lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: ends its lineage, survives lost executors.
+
+    The table goes when the driver ends, or before by ``drop_cut`` or ``release``.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
+    keep_until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a folder when it ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that nothing reads any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+@contextlib.contextmanager
+def release(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that ``cut`` made inside, whose readers must be done by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            remove(spark, path)
+        del _made[before:]
 
 
 def words_count(text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 Two generative models of hashed n-grams: of the target (texts labelled good) and of the raw corpus (all texts). A
 text's log weight is the sum of the log ratios of its n-grams. Sampling without replacement by these weights is
-Gumbel top-k: a seeded Gumbel variate is added to each log weight and the k largest sums stay.
+Gumbel top-k: a seeded Gumbel variate is added to each log weight and the k largest sums stay, exactly k of them. k is
+the caller's: a number or a share of the rows. Without either it is the number of good texts that the corpus is expected to
+hold: the sum over all texts of the odds, fitted on held-out labels, that a text of such a weight is good.
 
 The n-grams are words, word pairs, and pairs of word shapes marked when a word repeats, each in hash buckets of its own.
 """
@@ -19,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, frugal, rank_threshold, table
+from .common import cut, fresh, frugal, rank_threshold, spread, table
 
 #: Hash buckets of each of the three kinds of n-grams.
 BUCKETS = 1 << 14
-#: Labelled rows that fit the target and calibrate k at most, taken by a hash of their id; half of them for each.
+#: Labelled rows that fit the target and the odds at most, taken by a hash of their id; half of them for each.
 MOST_LABELLED = 40_000
-#: Errors on good texts count so many times when k is calibrated; pseudo-count of a bucket.
-GOOD_COUNTS, PSEUDO = 4, 0.5
+#: A good text counts so many times in the odds; their ridge penalty; pseudo-count of a bucket.
+GOOD_COUNTS, RIDGE, PSEUDO = 4, 1e-3, 0.5
 SEED = 11
 
 _SHAPES = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"(?:[a-z]|[\x80-\xff])+"), b"a"), (re.compile(rb"[0-9]+"), b"9"), (re.compile(rb"([^Aa9])\1+"), rb"\1\1"))
@@ -160,24 +162,49 @@ def gumbel(seed: int = SEED) -> Column:
 
 
 def sortable(key: Column) -> Column:
-    """A long that falls as the key rises, in steps of 2**-20."""
-    return -F.floor(key * F.lit(float(1 << 20))).cast("long")
+    """A long that falls as the key rises, in steps of 2**-30."""
+    return -F.floor(key * F.lit(float(1 << 30))).cast("long")
 
 
-def least_key(held: DataFrame) -> float:
-    """The key below which texts go: between the labels of held-out texts (sample_key, _good), where it errs least.
+def odds(held: DataFrame) -> tuple[float, float] | None:
+    """a, b of the odds exp(a + b * log_weight) that a text is good: ridge regression on held-out texts (log_weight, _good).
 
-    Of equally good places it is the middle. Without good or without other labels nothing goes. The rows
-    collected are the second fold's, MOST_LABELLED at most.
+    None without good or without other labels. The rows collected are the second fold's, MOST_LABELLED at most.
     """
-    rows = sorted((r["sample_key"], r["_good"]) for r in held.select("sample_key", "_good").collect())
-    keys, good = np.array([r[0] for r in rows]), np.array([bool(r[1]) for r in rows])
+    rows = held.select("log_weight", "_good").collect()
+    w, good = np.array([r["log_weight"] for r in rows], dtype=float), np.array([bool(r["_good"]) for r in rows])
     if not good.any() or good.all():
-        return float("-inf")
-    # Dropping the first j rows is wrong on the good ones among them and on the others after them.
-    wrong = np.concatenate([[0], np.cumsum(good) * GOOD_COUNTS]) + (~good).sum() - np.concatenate([[0], np.cumsum(~good)])
-    j = int(wrong.argmin())
-    return float("-inf") if j == 0 else float(keys[-1] + 1) if j == len(keys) else float((keys[j - 1] + keys[j]) / 2)
+        return None
+    scale = max(float(np.median(np.abs(w))), 1e-9)
+    x, count, beta = np.stack([np.ones(len(w)), w / scale], axis=1), np.where(good, GOOD_COUNTS, 1.0), np.zeros(2)
+    for _ in range(50):  # Newton's method, damped
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (count * (good - p)) - RIDGE * len(w) * beta
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + RIDGE * len(w) * np.eye(2), slope)
+        beta = beta + step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
+    return float(beta[0]), float(beta[1] / scale)
+
+
+def expected_good(rows: DataFrame, held: DataFrame) -> int:
+    """How many of ``rows`` (log_weight) are good, by the odds; all without them."""
+    line = odds(held)
+    if line is None:
+        return rows.count()
+    z = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.lit(line[0]) + F.lit(line[1]) * F.col("log_weight")))
+    return int(round(rows.agg(F.sum(1 / (1 + F.exp(-z)))).first()[0] or 0.0))
+
+
+def top(rows: DataFrame, k: int, key: str, tie: str) -> Column:
+    """Whether a row is one of the k of largest ``key``; of equal ones those of smallest ``tie``, a long that is unique."""
+    if k < 1:
+        return F.lit(False)
+    place = sortable(F.col(key))
+    last = rank_threshold(rows.select(place.alias("s")), "s", k)
+    if last is None:
+        return F.lit(True)
+    own = rows.where(place == F.lit(last))
+    need = k - rows.where(place < F.lit(last)).count()
+    return (place < F.lit(last)) | ((place == F.lit(last)) & (F.col(tie) <= F.lit(rank_threshold(own.select(tie), tie, need))))
 
 
 def scored(docs: DataFrame, ratios: np.ndarray, weight: str = "log_weight", key: str = "sample_key") -> DataFrame:
@@ -188,38 +215,43 @@ def second_fold(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(chosen.where("_fold = 1").select("_id", "_good")), F.col("doc_id") == F.col("_id"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """doc_id, log_weight, sample_key, kept of every row.
-
-    With ``k`` exactly the k largest keys stay (all ties of the last one too). Without, k is the number of
-    texts whose key is at least what parts good from other held-out texts best. Null and empty texts weigh 0. Without
-    any good label everything stays. Repeated rows share their key; a null doc_id draws the variate of null. Other
-    columns are not read; empty input gives no rows.
-    """
+def sampled(docs: DataFrame, labels: DataFrame, k: int | None, share: float | None, weight: str, key: str, tie: str, keep: list[str]) -> tuple[DataFrame, Column] | None:
+    """The columns ``keep`` of ``docs`` (written) with three more, and which rows the sample has; None without any good label."""
     chosen = cut(labelled(labels), "labelled")
     ratios = log_ratios(docs, chosen)
     if ratios is None:
-        return docs.select("doc_id", F.lit(0.0).alias("log_weight"), gumbel().alias("sample_key"), F.lit(True).alias("kept"))
-    rows = cut(scored(docs.select("doc_id", "text"), ratios).select("doc_id", "log_weight", "sample_key"), "keys")
+        return None
+    rows = cut(scored(docs, ratios, weight, key).select(*keep, weight, key, F.monotonically_increasing_id().alias(tie)), "scored")
+    if share is not None:
+        k = int(round(share * rows.count()))
     if k is None:
-        least = least_key(second_fold(rows, chosen))
-        k = rows.where(F.col("sample_key") >= least).count()
-    last = rank_threshold(rows.select(sortable(F.col("sample_key")).alias("s")), "s", k)
-    kept = F.lit(k > 0) if last is None else sortable(F.col("sample_key")) <= F.lit(last)
-    return rows.withColumn("kept", kept)
+        plain = rows.select("doc_id", F.col(weight).alias("log_weight"))
+        k = expected_good(plain, second_fold(plain, chosen))
+    return rows, top(rows.select(key, tie), k, key, tie)
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, columns unchanged: each is judged where it is, nothing is joined back."""
-    chosen = cut(labelled(labels), "labelled")
-    ratios = log_ratios(docs, chosen)
-    if ratios is None:
-        return docs
-    held = second_fold(docs.select("doc_id", "text"), chosen)
-    least = least_key(scored(held, ratios))
-    weight, key = fresh(docs, "__weight", "__key")
-    return scored(docs, ratios, weight, key).where(F.col(key) >= least).select(docs.columns)
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None) -> DataFrame:
+    """doc_id, log_weight, sample_key, kept of every row.
+
+    Exactly the ``k`` rows, or that ``share`` of them, of the largest keys stay; without either, as many as are expected to
+    be good. All stay where there are no more than that. Equal keys are told apart by place. Null and empty texts
+    weigh 0. Without any good label everything stays. Repeated rows share their key; a null doc_id draws the variate of
+    null. Other columns are not read; empty input gives no rows.
+    """
+    found = sampled(docs.select("doc_id", "text"), labels, k, share, "log_weight", "sample_key", "_place", ["doc_id"])
+    if found is None:
+        return docs.select("doc_id", F.lit(0.0).alias("log_weight"), gumbel().alias("sample_key"), F.lit(True).alias("kept"))
+    rows, kept = found
+    return rows.select("doc_id", "log_weight", "sample_key", kept.alias("kept"))
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, columns unchanged; nulls, ties and repeated rows as there."""
+    weight, key, tie = fresh(docs, "__weight", "__key", "__place")
+    found = sampled(docs, labels, k, share, weight, key, tie, docs.columns)
+    return docs if found is None else found[0].where(found[1]).select(docs.columns)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """All documents; nulls, empty texts, ties and repeated rows as in ``classify``."""
+    return classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
