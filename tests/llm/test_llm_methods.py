@@ -142,6 +142,15 @@ def test_near_copies_match_brute_force(spark, chunk):
     assert {r.doc_id for r in simhash.drop_near_copies(docs, chunk).collect()} == want
 
 
+def test_near_copies_are_known_by_id_and_text(spark):
+    _, words = words_maker(41, 10**6)
+    one, two, other = words(60), words(60), words(60)
+    text = lambda w, *extra: " ".join([*w, *extra])
+    rows = [(1, text(one)), (5, text(one, "edited")), (5, text(other)), (6, text(two)), (7, text(two)), (7, text(two)), (8, text(other)), (8, text(other, "x")), (None, text(words(30)))]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, len(r.text.split())) for r in left) == [(0, 30), (1, 60), (5, 60), (6, 60)]
+
+
 @given(st.text(alphabet="a@.+-_1259 (),é", max_size=80))
 @settings(max_examples=150, deadline=None)
 def test_base_patterns_match_the_plain_ones(text):
@@ -531,53 +540,82 @@ def test_rank_threshold(spark):
     assert [common.rank_threshold(rows, "v", k) for k in (1, 250, 602, 603, 0)] == [sorted(values)[0], sorted(values)[249], sorted(values)[601], None, None]
 
 
-def test_pasted_passages_are_found(spark):
-    rng = random.Random(8)
-    vocabulary = [f"w{k}" for k in range(4000)]
-    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    passage, other = words(52), words(60)
-    rows = [(k, " ".join(words(rng.randrange(5, 90)) + (passage if k < 6 else []) + words(rng.randrange(5, 90)))) for k in range(30)]
-    edited = other[:25] + ["zzz"] + other[26:]
-    rows += [(30, " ".join(words(9) + other + words(9))), (31, " ".join(words(30) + edited))]
-    for chunk in (2, 1024):
-        found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), chunk).collect()
-        assert {r.doc_id for r in found} == {0, 1, 2, 3, 4, 5, 30, 31}
-        assert {r.doc_id for r in found if not r.removed} == {0, 30}
+def words_maker(seed, size=4000):
+    rng = random.Random(seed)
+    return rng, lambda n: [f"w{rng.randrange(size)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_pasted_passages_are_found_whole(spark, chunk):
+    """Every word of a passage of 50 to 400 words, pasted anywhere, is removed but in its first place; nothing else is."""
+    rng, words = words_maker(8, 10**6)
+    rows, want, key = [], {}, 0
+    for n in [50, 51, 60, 90, 120, 400] * 6:
+        passage = words(n)
+        for copy in range(3):
+            before, after = words(rng.randrange(0, 90)), words(rng.randrange(0, 90))
+            breaks = [rng.choice([" ", "\n"]) for _ in range(len(before) + n + len(after))]
+            all_words = [*before, *passage, *after]
+            rows.append((key, "".join(w + s for w, s in zip(all_words, breaks, strict=True))))
+            want[key] = passage if copy else []
+            key += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs, chunk)
+    removed = {}
+    for r in found.where("removed").collect():
+        removed.setdefault(r.doc_id, []).append((r.start, r.end))
+    text = dict(rows)
+    assert {k: [w for a, b in sorted(removed.get(k, [])) for w in text[k][a:b].split()] for k in text} == want
+    cleaned = dict(substring_dedup.remove_passages(docs, found).select("doc_id", "text").collect())
+    for k, t in cleaned.items():
+        assert len(t.split()) == len(text[k].split()) - len(want[k])
+
+
+def test_paragraphs_match_brute_force(spark):
+    """Clusters of similar paragraphs, edits inside, against all pairs; recall of links at similarity 0.8 to 0.9."""
+    rng, words = words_maker(31, 10**6)
+    lines, rows = [], []
+    for n in [20, 24, 30, 45, 60, 100, 200] * 12:
+        base = words(n)
+        lines.append(base)
+        for _ in range(2):
+            edited = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                edited[rng.choice([0, n - 1, rng.randrange(n)])] = words(1)[0]
+            lines.append(edited)
+    rng.shuffle(lines)
+    for k, line in enumerate(lines):
+        rows.append((k, " ".join(words(3)) + "\n" + " ".join(line) + "\n" + " ".join(words(4))))
+    sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in lines]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    roots = union_find(len(sets), links)
+    docs = substring_dedup.named_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    _, units = substring_dedup.units(docs)
+    found = {r.doc_id: r.first_doc_id for r in substring_dedup.repeated_lines(docs, units).collect()}
+    want = {k: r for k, r in enumerate(roots) if roots.count(r) > 1}
+    assert len(want) > 100 and found == want
+
+
+def test_short_lines_are_left_alone(spark):
+    _, words = words_maker(5, 10**6)
+    rows = [(k, " ".join(words(40)) + "\nthis line of nine words stands in every text\n" + " ".join(words(40))) for k in range(20)]
+    assert substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
 def test_phrase_before_a_passage_hides_no_start():
     rng = random.Random(21)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
-    make = substring_dedup.Paragraphs()
-    low = lambda p: int(substring_dedup.shingles_of(substring_dedup.words_of(" ".join(p).encode(), make.powers)[0])[0])
+    powers = substring_dedup.Powers()
+    low = lambda p: int(substring_dedup.shingles_of(substring_dedup.words_of(" ".join(p).encode(), powers)[0])[0])
     phrase = min((words(5) for _ in range(3000)), key=low)
     for _ in range(40):
         passage = words(15) + phrase + words(31)
         one, two = words(40) + phrase + passage + words(40), words(40) + passage + words(40)
-        a, b = (set(make.of(" ".join(x).encode())[0].tolist()) for x in (one, two))
+        texts = [substring_dedup.Text(" ".join(x).encode(), powers) for x in (one, two)]
+        a, b = (set(t.digests(t.runs, t.runs + substring_dedup.WORDS).tolist()) for t in texts)
         assert a & b
 
 
-def test_overlapping_paragraph_keeps_its_buckets(spark):
-    rng = random.Random(33)
-    make, rows = substring_dedup.Paragraphs(), []
-    while len(rows) < 20:
-        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
-        text = " ".join(words).encode()
-        _, first, _, keys, out = make.of(text)
-        at = [len(text[:a].split()) for a in first]
-        for k in range(1, len(at)):
-            if out[k].any():
-                copy = words[at[k] : at[k] + 19] + ["zzz"]
-                met = make.of(" ".join(copy).encode())[3][0] == keys
-                # The copy meets the later paragraph in bands that an earlier one has too, and in no other.
-                if met[k].any() and not (met[k] & ~out[k]).any() and at[k] - at[k - 1] > 1:
-                    rows += [(len(rows), text.decode()), (len(rows) + 1, " ".join(copy))]
-                    break
-    found = {r.doc_id for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == set(range(len(rows)))
-
-
 def test_similar_sets_match_brute_force():
     rng = random.Random(3)
     base = [frozenset(rng.sample(range(60), 16)) for _ in range(12)]

@@ -1,12 +1,16 @@
 """Substring dedup: MinHash banding of paragraphs.
 
-Repeated passages start and end anywhere, so a paragraph here is a run of 20 words that starts where its content says so:
-at the smallest shingle hash of every 30 starts in a row. A passage of 49 words or more holds at least one such start
-with all that decides about it inside, hence the same paragraph, wherever it is pasted. Shorter texts have none.
+A text's paragraphs are its lines of LEAST words and more, whole. Equal ones are one class, found by a count. Classes
+that meet in a band of MinHash values are compared by the exact Jaccard similarity of their five-word shingles, and
+clusters are the components of the links.
 
-Paragraphs equal in all words are one class, found by a count. Classes that meet in a band of MinHash values are
-compared by exact Jaccard similarity of their five-word shingles, and clusters are the components of the links. Of each
-cluster the first paragraph (by doc_id, then place) stays and the others are removals.
+Passages are also pasted inside paragraphs and across them. Therefore runs of 20 words count as well, that start where
+the content says so: at the smallest shingle hash of every 30 starts in a row. A passage of 49 words or more holds at least one
+such run with all that decides about it inside, hence the same run, wherever it is pasted. Equal runs are one class; each
+is extended to both sides as far as the words equal those around the class's first run. What lies between two runs is compared
+by one hash; fewer than 49 words can follow the last run of a passage, and those are compared one by one.
+
+Of each cluster and class the first place (by doc_id, then start) stays and the others are removals.
 """
 
 from __future__ import annotations
@@ -16,18 +20,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, cut, fresh, frugal, table
+from .common import LONG_MIN, cut, fresh, frugal, spread, table
 from .graph import components
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Words of a paragraph, and starts in a row of which one is chosen.
-WORDS, STARTS = 20, 30
-#: Bands and MinHash values in each: at similarity 0.8 two paragraphs meet with probability 1 - (1 - 0.8**2)**4 = 0.983,
-#: and a passage has several paragraphs.
-BANDS, ROWS = 4, 2
+#: Words that a paragraph has at least. Shorter lines repeat everywhere by nature.
+LEAST = 20
+#: Words of a run, starts in a row of which one is chosen, and words that can follow the last run of a passage at most.
+WORDS, STARTS, AROUND = 20, 30, 48
+#: Bands and MinHash values in each: at similarity 0.8 two paragraphs meet with probability 1 - (1 - 0.8**3)**10 = 0.9992.
+BANDS, ROWS = 10, 3
 #: Classes of a bucket compared in one go.
 CHUNK = 1024
 
@@ -113,86 +118,147 @@ def one_a_lap(at: np.ndarray, cls: np.ndarray, starts: int = STARTS) -> np.ndarr
     return new | np.r_[True, np.diff(lap) != 0]
 
 
-class Paragraphs:
-    """Of a text: class, start, end and band keys of every paragraph, and if asked its shingles."""
-
-    def __init__(self) -> None:
-        self.powers = Powers()
-
-    def of(self, text: bytes, with_shingles: bool = False):
-        h, first, last = words_of(text, self.powers)
-        count = len(h) - WORDS + 1
-        if count < 1:
-            return None
-        sh = shingles_of(h)
-        at = chosen_starts(sh, count)
-        cls = np.zeros(len(at), dtype=np.uint64)
-        for k in range(WORDS):
-            cls += h[at + k] * _SALTS[k]
-        cls = mixed(cls ^ _P)
-        kept = one_a_lap(at, cls, min(STARTS, count))
-        at, cls = at[kept], cls[kept]
-        own = sh[at[:, None] + np.arange(WORDS - WIDTH + 1)]
-        if with_shingles:
-            return cls, own
-        keys = np.empty((len(at), BANDS), dtype=np.uint64)
+class Text:
+    """Words of a text as arrays, its chosen runs and its paragraphs (first word, word after the last)."""
+
+    def __init__(self, text: bytes, powers: Powers):
+        self.h, self.first, self.last = words_of(text, powers)
+        self.shingles = shingles_of(self.h)
+        breaks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 10)
+        points = np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)
+        edge = np.unique(np.r_[0, np.searchsorted(self.first, points[breaks] if len(breaks) else []), len(self.h)]).astype(np.int64)
+        self.lines = np.stack([edge[:-1], edge[1:]], axis=1)[np.diff(edge) >= LEAST]
+        self.runs = np.zeros(0, dtype=np.int64)
+        count = len(self.h) - WORDS + 1
+        if count > 0:
+            at = chosen_starts(self.shingles, count)
+            self.runs = at[one_a_lap(at, self.digests(at, at + WORDS), min(STARTS, count))]
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the words of each stretch: a polynomial of their hashes by prefix sums."""
+        up, down = _STRETCH.to(len(self.h) + 1)
+        sums = np.zeros(len(self.h) + 1, dtype=np.uint64)
+        np.cumsum(mixed(self.h ^ _P) * up[: len(self.h)], out=sums[1:])
+        return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def keys(self) -> np.ndarray:
+        """Band keys of every paragraph."""
+        out = np.zeros((len(self.lines), BANDS), dtype=np.uint64)
+        if not len(self.lines):
+            return out
+        # The shingles of line after line, none that crosses an end.
+        sizes = self.lines[:, 1] - self.lines[:, 0] - WIDTH + 1
+        starts = np.cumsum(sizes) - sizes
+        own = self.shingles[np.arange(sizes.sum()) + np.repeat(self.lines[:, 0] - starts, sizes)]
         for b in range(BANDS):
-            key = np.zeros(len(at), dtype=np.uint64)
+            key = np.full(len(self.lines), b, dtype=np.uint64)
             for r in range(ROWS):
-                key = mixed(key + _P) ^ mixed(own ^ _SALTS[WORDS + b * ROWS + r]).min(axis=1)
-            keys[:, b] = mixed(key + _SALTS[WORDS + BANDS * ROWS + b])
-        # Paragraphs that overlap in one text meet in many bands, which alone is no reason to look at a bucket: there the
-        # later one goes along with the earlier one.
-        out = np.zeros(keys.shape, dtype=bool)
-        for back in range(1, min(4, len(at))):
-            near = (at[back:] - at[:-back] < WORDS) & (cls[back:] != cls[:-back])
-            out[back:] |= near[:, None] & (keys[back:] == keys[:-back])
-        return cls, first[at], last[at + WORDS - 1], keys, out
+                x = own * _SALTS[WORDS + b * ROWS + r]
+                key = mixed(key + _P) ^ np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
+            out[:, b] = mixed(key)
+        return out
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """cls, doc_id, s, e (code points, end exclusive), keys k0.. and along of every paragraph of every text.
+_STRETCH = Powers()
 
-    Bit b of along is set if one of the three paragraphs before it overlaps it and has the same key b.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Paragraphs()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
-                made = [(d, p) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t and (p := make.of(t))]
-                if not made:
-                    continue
-                cls, s, e, keys, out = (np.concatenate([p[j] for _, p in made]) for j in range(5))
-                ids = pa.array([d for d, p in made for _ in range(len(p[0]))], pa.int64())
-                longs = [pa.array(keys[:, b].copy().view(np.int64)) for b in range(BANDS)]
-                longs.append(pa.array((out << np.arange(BANDS)).sum(axis=1).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), ids, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), *longs], names=["cls", "doc_id", "s", "e", *(f"k{b}" for b in range(BANDS)), "along"])
+def longs(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
-    schema = "cls long, doc_id long, s int, e int, " + ", ".join(f"k{b} long" for b in range(BANDS)) + ", along int"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: frugal(run(batches)), schema)
 
+def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values, kind))
 
-def class_shingles(docs: DataFrame) -> DataFrame:
-    """cls, doc_id and its shingles, for every paragraph of ``docs``."""
+
+#: Of a run: class, place, and the hash and far end of the stretch to the next run and from the one before, 0 without one.
+RUN = "doc_id long, row long, cls long, s int, e int, ahead long, ahead_e int, back long, back_s int"
+LINE = "doc_id long, row long, cls long, s int, e int, keys array<long>"
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text: null ids as the smallest long, and a hash that tells rows of one id apart."""
+    return docs.select(F.coalesce("doc_id", F.lit(LONG_MIN)).alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text")).where("length(text) > 0")
+
+
+def units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs and paragraphs (written) of every row, from one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                ids, hashes = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                out = []
+                for d, r, raw in zip(ids, hashes, part.column(2), strict=True):
+                    t = Text(raw.as_py(), powers)
+                    if n := len(t.runs):
+                        a, end = t.runs, t.runs + WORDS
+                        link = np.zeros(n + 1, dtype=np.uint64)
+                        link[1:-1] = t.digests(a[:-1], end[1:])
+                        far, near = np.r_[t.last[end[1:] - 1], 0], np.r_[0, t.first[a[:-1]]]
+                        out.append((np.full(n, d), np.full(n, r), t.digests(a, end).view(np.int64), t.first[a], t.last[end - 1], link[1:].view(np.int64), far, link[:-1].view(np.int64), near, np.zeros(0, np.uint64), np.zeros(n, np.int64)))
+                    if m := len(t.lines):
+                        none = np.zeros(m, np.int64)
+                        cls = t.digests(t.lines[:, 0], t.lines[:, 1]).view(np.int64)
+                        out.append((np.full(m, d), np.full(m, r), cls, t.first[t.lines[:, 0]], t.last[t.lines[:, 1] - 1], none, none, none, none, t.keys().ravel(), np.full(m, BANDS)))
+                if out:
+                    c = [np.concatenate(x) for x in zip(*out, strict=True)]
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(c[:9], kinds, strict=True)), lists(c[9].view(np.int64), c[10], pa.int64())], names=[*(x.split()[0] for x in RUN.split(", ")), "keys"])
+
+    both = cut(rows.mapInArrow(lambda batches: frugal(run(batches)), RUN + ", keys array<long>"), "units")
+    return both.where("size(keys) = 0").drop("keys"), both.where("size(keys) > 0").select(*(x.split()[0] for x in LINE.split(", ")))
+
+
+def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows that have ``places`` (doc_id, row, s), with an array of these: the one shuffle of texts, of those only that matter."""
+    wanted = places.groupBy("doc_id", "row").agg(F.collect_set("s").alias("at"))
+    return rows.dropDuplicates(["doc_id", "row"]).join(wanted.hint("merge"), ["doc_id", "row"])
+
+
+def line_shingles(texts: DataFrame) -> DataFrame:
+    """cls and shingles of the paragraphs at the given places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Paragraphs()
+        powers = Powers()
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if t and (p := make.of(t, with_shingles=True)):
-                    flat = pa.array(p[1].ravel().view(np.int64))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p[0]) + 1, dtype=np.int32) * p[1].shape[1]), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(p[0].view(np.int64)), pa.array([d] * len(p[0]), pa.int64()), lists], names=["cls", "doc_id", "shingles"])
+            for raw, at in zip(batch.column(0), batch.column(1), strict=True):
+                t = Text(raw.as_py(), powers)
+                lines = t.lines[np.isin(t.first[t.lines[:, 0]], at.as_py())]
+                sets = [np.unique(t.shingles[a : b - WIDTH + 1]) for a, b in lines]
+                if sets:
+                    flat = lists(np.concatenate(sets).view(np.int64), np.array([len(x) for x in sets]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([longs(t.digests(lines[:, 0], lines[:, 1])), flat], names=["cls", "shingles"])
+
+    return texts.select("text", "at").mapInArrow(lambda batches: frugal(run(batches)), "cls long, shingles array<long>")
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: frugal(run(batches)), "cls long, doc_id long, shingles array<long>")
 
+def surroundings(texts: DataFrame) -> DataFrame:
+    """doc_id, row, s and the AROUND words before (nearest first) and after the run there, as hashes and places."""
 
-def similar_pairs(sets: list[frozenset], second_from: int | None = None, similarity: float = SIMILARITY, places: list[tuple] | None = None) -> list[tuple[int, int]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for d, r, raw, at in zip(*(batch.column(k) for k in range(4)), strict=True):
+                t = Text(raw.as_py(), powers)
+                a = t.runs[np.isin(t.first[t.runs], at.as_py())]
+                low = (t.h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                before = [np.arange(x - 1, max(-1, x - 1 - AROUND), -1) for x in a]
+                after = [np.arange(x + WORDS, min(len(t.h), x + WORDS + AROUND)) for x in a]
+                columns = [pa.array([d.as_py()] * len(a), pa.int64()), pa.array([r.as_py()] * len(a), pa.int64()), pa.array(t.first[a], pa.int32())]
+                for words, place in ((before, t.first), (after, t.last)):
+                    flat, sizes = np.concatenate([*words, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(x) for x in words], dtype=np.int64)
+                    columns += [lists(low[flat], sizes, pa.int32()), lists(place[flat], sizes, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "s", "before", "before_s", "after", "after_e"])
+
+    schema = "doc_id long, row long, s int, before array<int>, before_s array<int>, after array<int>, after_e array<int>"
+    return texts.select("doc_id", "row", "text", "at").mapInArrow(lambda batches: frugal(run(batches)), schema)
+
+
+def similar_pairs(sets: list[frozenset], second_from: int | None = None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links (spanning, not all) among sets of at least this Jaccard similarity; with ``second_from`` only across that place.
 
-    ``places``: document, start and end of each; paragraphs that overlap in one document are no copies of each other.
     Prefix filter: sorted by rarity, two similar sets share one of their first elements, so only such meet.
     """
     parent = list(range(len(sets)))
@@ -204,8 +270,6 @@ def similar_pairs(sets: list[frozenset], second_from: int | None = None, similar
         return x
 
     def meet(a: int, b: int) -> None:
-        if places and places[a][0] == places[b][0] and places[a][1] < places[b][2] and places[b][1] < places[a][2]:
-            return
         x, y = root(a), root(b)
         if x != y and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
             parent[max(x, y)] = min(x, y)
@@ -235,7 +299,7 @@ def similar_pairs(sets: list[frozenset], second_from: int | None = None, similar
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, pair, side, cls, shingles, doc_id, s, e arrive sorted. Gives the links of each bucket or pair of chunks."""
+    """Rows key, pair, side, cls, shingles arrive sorted. Gives the links of each bucket or pair of chunks."""
     at, own = None, []
 
     def links() -> list[tuple[int, int]]:
@@ -244,16 +308,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cross = sum(1 for x in own if x[0] <= 0) if any(x[0] > 0 for x in own) else None
         if cross is None and own[0][0] == 0:
             return []
-        return [(own[a][1], own[b][1]) for a, b in similar_pairs([x[2] for x in own], cross, places=[x[3] for x in own])]
+        return [(own[a][1], own[b][1]) for a, b in similar_pairs([x[2] for x in own], cross)]
 
     found: list[tuple[int, int]] = []
     for batch in batches:
-        for key, pair, side, cls, shingles, *place in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+        for key, pair, side, cls, shingles in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if (key, pair) != at:
                 if len(own) > 1:
                     found += links()
                 at, own = (key, pair), []
-            own.append((side, cls, frozenset(shingles), place))
+            own.append((side, cls, frozenset(shingles)))
         if len(found) > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
             found = []
@@ -267,61 +331,95 @@ def only(rows: DataFrame, wanted: DataFrame, by: str | list[str]) -> DataFrame:
     return rows.join(wanted.hint("merge"), by, "left_semi")
 
 
-def class_links(docs: DataFrame, units: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def class_links(rows: DataFrame, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """a, b: classes of paragraphs of similarity SIMILARITY or more, enough links to connect all such."""
-    each = F.explode(F.array(*(F.struct(F.col(f"k{b}").alias("key"), F.col("along").bitwiseAND(1 << b).alias("along")) for b in range(BANDS))))
-    keyed = units.select(each.alias("_k"), "cls", "doc_id", "s", "e").select("_k.key", "_k.along", "cls", "doc_id", "s", "e")
-    # A bucket needs no look if it has one paragraph and at most one class that goes along, or one class only.
-    ends = [f(F.when(F.expr(w), F.col("cls"))) for w in ("along = 0", "along > 0") for f in (F.min, F.max)]
-    ends.append(F.count(F.expr("case when along = 0 then 1 end")))
-    shared = keyed.groupBy("key").agg(*(x.alias(n) for x, n in zip(ends, ("low", "high", "low2", "high2", "n"), strict=True)))
-    shared = shared.where("low < high or low2 < high2 or (n > 1 and low2 is not null)").select("key")
-    keyed = keyed.drop("along")
-    shared = cut(shared, "shared-keys")
-    place = F.min(F.struct("doc_id", "s", "e")).alias("place")
-    members = cut(only(keyed, shared, "key").groupBy("key", "cls").agg(place), "bucket-classes")
-    some = cut(members.groupBy("cls").agg(F.min("place").alias("place")).select("cls", F.coalesce("place.doc_id", F.lit(LONG_MIN)).alias("doc_id")), "classes")
-    known = docs.select(F.coalesce("doc_id", F.lit(LONG_MIN)).alias("doc_id"), "text")
-    from_docs = only(known, cut(some.select("doc_id").distinct(), "class-docs"), "doc_id")
-    # Each class's shingles are taken from one document only, however many have it.
-    shingles = only(class_shingles(from_docs), some, ["cls", "doc_id"]).groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    classes = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "row", "s")).alias("place"), F.first("keys").alias("keys"))
+    keyed = cut(classes.select(F.explode("keys").alias("key"), "cls", "place"), "keys")
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    # Written in between: a key of many classes is skewed, which each of the two joins can split on its own.
+    members = cut(keyed.join(shared.hint("merge"), "key"), "bucket-classes")
+    some = members.select("place.doc_id", "place.row", "place.s").distinct()
+    shingles = cut(line_shingles(with_places(rows, some)).dropDuplicates(["cls"]), "shingles")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
-    placed = members.select("key", "cls", "place").join(sizes, "key").withColumn("_c", chunks).withColumn("_m", F.pmod(F.xxhash64("cls", "key"), chunks).cast("int"))
+    placed = members.select("key", "cls", "n").withColumn("_c", chunks).withColumn("_m", F.pmod(F.xxhash64("cls", "key"), chunks).cast("int"))
     pair = F.expr("transform(sequence(0, _c - 1), j -> named_struct('pair', least(_m, j) * _c + greatest(_m, j), 'side', case when j = _m then -1 when _m < j then 0 else 1 end))")
-    work = placed.withColumn("_p", F.explode(pair)).select("key", F.col("_p.pair").cast("long").alias("pair"), F.col("_p.side").alias("side"), "cls", "place")
-    full = work.join(cut(shingles, "shingles"), "cls").select("key", "pair", "side", "cls", "shingles", "place.doc_id", "place.s", "place.e")
+    work = placed.withColumn("_p", F.explode(pair)).select("key", F.col("_p.pair").cast("long").alias("pair"), F.col("_p.side").alias("side"), "cls")
+    full = work.join(shingles, "cls").select("key", "pair", "side", "cls", "shingles")
     return full.repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "cls").mapInArrow(lambda batches: frugal(_verified(batches)), "a long, b long")
 
 
-def repeated_passages(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Paragraphs that occur again, equal or similar: doc_id, start, end, first_doc_id, first_start, cluster_size, removed.
+SPAN = ["doc_id", "row", "s", "e", "first_doc_id", "first_s", "size", "removed"]
 
-    start and end are code points of the text, the end exclusive. first_* is the cluster's first paragraph, which
-    stays; removed is true for all others. Documents without repeated passages have no row. Null, empty and short texts
-    have none; a null doc_id comes first. Equal rows repeat each other's paragraphs but share doc_id and place, so
-    they count as one. Other columns are not read; empty input gives no rows.
-    """
-    units = cut(paragraphs(docs), "paragraphs")
-    links = cut(class_links(docs, units, chunk), "links")
+
+def repeated_lines(rows: DataFrame, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Spans of the paragraphs that are in a cluster of more than one place."""
+    links = cut(class_links(rows, lines, chunk), "links")
     roots = cut(components(links).select(F.col("node").alias("cls"), "root"), "roots")
-    equal = units.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
+    equal = lines.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
     wanted = cut(equal.unionByName(roots.select("cls")).distinct(), "repeated-classes")
-    # Written in between: a class of many copies is a skewed key, which each of the two joins can split on its own.
-    members = cut(only(units.select("cls", "doc_id", "s", "e"), wanted, "cls"), "repeated").join(roots, "cls", "left")
-    members = cut(members.select(F.coalesce("root", "cls").alias("root"), "doc_id", "s", "e").distinct(), "members")
-    clusters = members.groupBy("root").agg(
-        F.min(F.struct("doc_id", "s", "e")).alias("first"), F.count(F.lit(1)).alias("cluster_size"),
-        F.max(F.struct("doc_id", "s")).alias("last"), F.min("e").alias("_e"), F.max("s").alias("_s"),
-    ).where("cluster_size > 1 and (not first.doc_id <=> last.doc_id or _s >= _e)")
+    members = cut(only(lines.drop("keys"), wanted, "cls"), "repeated").join(roots, "cls", "left")
+    members = cut(members.select(F.coalesce("root", "cls").alias("root"), "doc_id", "row", "s", "e").distinct(), "members")
+    clusters = members.groupBy("root").agg(F.min(F.struct("doc_id", "s", "row")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     found = members.join(cut(clusters, "clusters"), "root")
-    # What overlaps the first paragraph in its own document is part of what stays.
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("s") < F.col("first.e")) & (F.col("e") > F.col("first.s"))
-    return found.select("doc_id", F.col("s").alias("start"), F.col("e").alias("end"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.s").alias("first_start"), "cluster_size", (~is_first).alias("removed"))
+    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("s") == F.col("first.s")) & (F.col("row") == F.col("first.row"))
+    return found.select("doc_id", "row", "s", "e", F.col("first.doc_id").alias("first_doc_id"), F.col("first.s").alias("first_s"), "size", (~is_first).alias("removed"))
+
+
+def alike(a: str, b: str) -> Column:
+    """How many elements two arrays share from their start."""
+    return F.expr(f"coalesce(nullif(array_position(zip_with(slice({a}, 1, least(size({a}), size({b}))), {b}, (x, y) -> coalesce(x = y, false)), false), 0) - 1, least(size({a}), size({b})))")
+
+
+def repeated_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Spans of the runs whose words occur elsewhere, extended as far as the words around equal those around the first one."""
+    own = [c for c in runs.columns if c != "cls"]
+    seen = runs.groupBy("cls").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = cut(runs.join(cut(seen, "repeated-runs").hint("merge"), "cls").distinct(), "runs")
+    first = members.groupBy("cls").agg(F.min(F.struct("doc_id", "s", *(c for c in own if c not in ("doc_id", "s")))).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
+    found = cut(members.join(cut(first, "first-runs"), "cls"), "run-places")
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    # What overlaps the first run in its own document is part of what stays.
+    found = found.withColumn("removed", ~(same & (F.col("s") < F.col("first.e")) & (F.col("e") > F.col("first.s"))))
+    ahead = (F.col("ahead") != 0) & (F.col("ahead") == F.col("first.ahead"))
+    back = (F.col("back") != 0) & (F.col("back") == F.col("first.back"))
+    # Inside a document a repeat may reach the first run itself; it is not extended there.
+    found = cut(found.withColumn("_a", F.when(F.col("removed") & ~same, ahead)).withColumn("_b", F.when(F.col("removed") & ~same, back)), "run-links")
+    end = found.where("not _a or not _b")
+    places = end.select("doc_id", "row", "s").unionByName(end.select("first.doc_id", "first.row", "first.s")).distinct()
+    near = cut(surroundings(with_places(rows, cut(places, "run-ends"))), "surroundings")
+    one = cut(end.select("doc_id", "row", "s", F.col("first.doc_id").alias("fd"), F.col("first.row").alias("fr"), F.col("first.s").alias("fs")).distinct().join(near, ["doc_id", "row", "s"]), "ends")
+    other = near.select(F.col("doc_id").alias("fd"), F.col("row").alias("fr"), F.col("s").alias("fs"), F.col("before").alias("fb"), F.col("after").alias("fa"))
+    far = one.join(other, ["fd", "fr", "fs"]).withColumn("_nb", alike("before", "fb")).withColumn("_na", alike("after", "fa"))
+    far = cut(far.selectExpr("doc_id", "row", "s", "case when _nb > 0 then before_s[_nb - 1] end as far_s", "case when _na > 0 then after_e[_na - 1] end as far_e"), "far")
+    both = found.join(far, ["doc_id", "row", "s"], "left")
+    return both.select(
+        "doc_id", "row", F.when(F.col("_b"), F.col("back_s")).otherwise(F.coalesce("far_s", "s")).alias("s"), F.when(F.col("_a"), F.col("ahead_e")).otherwise(F.coalesce("far_e", "e")).alias("e"),
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.s").alias("first_s"), "size", "removed",
+    )
+
+
+def repeated_passages(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Passages that occur again, equal or similar: doc_id, start, end, first_doc_id, first_start, cluster_size, removed.
+
+    start and end are code points of the text, the end exclusive. Paragraphs and runs that overlap in a document, or touch
+    but for a space, are one passage; first_* and cluster_size are those of its first one. The first place of a
+    cluster stays; removed is true for all others. Documents without repeated passages have no row. Null, empty and short
+    texts have none; a null doc_id comes first. Equal rows repeat each other's passages but share doc_id and place, so
+    they count as one. Other columns are not read; empty input gives no rows.
+    """
+    rows = named_rows(docs)
+    runs, lines = units(rows)
+    spans = cut(repeated_lines(rows, lines, chunk).select(SPAN).unionByName(repeated_runs(rows, runs).select(SPAN)), "spans")
+    own = Window.partitionBy("doc_id", "row", "removed").orderBy("s", "e")
+    ended = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    number = F.sum(F.when(F.col("s") <= ended + 1, 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    passage = spans.withColumn("_n", number).groupBy("doc_id", "row", "removed", "_n").agg(F.min(F.struct("s", "first_doc_id", "first_s", "size")).alias("f"), F.max("e").alias("end"))
+    known = lambda c: F.when(F.col(c) != LONG_MIN, F.col(c))
+    return passage.select(known("doc_id").alias("doc_id"), F.col("f.s").alias("start"), "end", known("f.first_doc_id").alias("first_doc_id"), F.col("f.first_s").alias("first_start"), F.col("f.size").alias("cluster_size"), "removed").distinct()
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the removed passages cut out of their texts; other columns unchanged."""
+    """``docs`` with the removed passages cut out of their texts; other columns unchanged. Rows that share a doc_id share their cuts."""
     i, spans_name = fresh(docs, "__id", "__spans")
     spans = passages.where("removed").groupBy(F.col("doc_id").alias(i)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans_name))
     left = F.expr(
@@ -333,4 +431,5 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """All documents; nulls, short texts, ties and repeated rows as in ``repeated_passages``."""
+    return repeated_passages(spread(table(spark, sf_dir, "documents")))
