@@ -387,18 +387,20 @@ def remixed(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def wide_signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node, f0.. and keys of every text with words."""
+    """doc_id, row (a hash of the text as it is), node, f0.. and keys of every text with words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(d.as_py(), x) for d, t in zip(batch.column(0), batch.column(1), strict=True) if (x := wide_signature(t.as_py() or b""))]
+            made = [(at, x) for at, t in enumerate(batch.column(2)) if (x := wide_signature(t.as_py() or b""))]
+            found, at = [x for _, x in made], pa.array([k for k, _ in made], pa.int64())
             if found:
-                fps = np.stack([x[1] for _, x in found]).view(np.int64)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([x[2] for _, x in found]).view(np.int64)))
-                nodes = np.array([x[0] for _, x in found], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array(nodes), *(pa.array(fps[:, k].copy()) for k in range(WIDE_WORDS)), keys], names=["doc_id", "node", *(f"f{k}" for k in range(WIDE_WORDS)), "keys"])
+                fps = np.stack([x[1] for x in found]).view(np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([x[2] for x in found]).view(np.int64)))
+                nodes = np.array([x[0] for x in found], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nodes), *(pa.array(fps[:, k].copy()) for k in range(WIDE_WORDS)), keys], names=["doc_id", "row", "node", *(f"f{k}" for k in range(WIDE_WORDS)), "keys"])
 
-    schema = "doc_id long, node long, " + ", ".join(f"f{k} long" for k in range(WIDE_WORDS)) + ", keys array<long>"
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(lambda batches: frugal(run(batches)), schema)
+    schema = "doc_id long, row long, node long, " + ", ".join(f"f{k} long" for k in range(WIDE_WORDS)) + ", keys array<long>"
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("binary")).mapInArrow(lambda batches: frugal(run(batches)), schema)
 
 
 def node_shingles(docs: DataFrame) -> DataFrame:
@@ -419,10 +421,10 @@ def node_shingles(docs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b; written) whose texts have shingle sets of similarity NEAR and more, exactly.
 
-    ``nodes``: node and least, the smallest doc_id with that text. Only texts in a pair are read for their shingles.
+    ``nodes``: node and least, the smallest doc_id (and row) with that text. Only texts in a pair are read for their shingles.
     """
     wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
-    whose = cut(nodes.join(wanted, "node", "left_semi").select(F.coalesce("least", F.lit(LONG_MIN)).alias("_id")).distinct(), "pair-docs")
+    whose = cut(nodes.join(wanted, "node", "left_semi").select(F.coalesce("least.doc_id", F.lit(LONG_MIN)).alias("_id")).distinct(), "pair-docs")
     texts = docs.select(F.coalesce("doc_id", F.lit(LONG_MIN)).alias("_id"), "text").join(whose, "_id", "left_semi")
     sets = cut(node_shingles(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-shingles")
     # Written in between: a text in many pairs is a skewed key, which each of the two joins can split on its own.
@@ -459,19 +461,21 @@ def drop_near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with one row of each component of near copies, that of the smallest doc_id; columns unchanged.
 
     Near: sets of five-word shingles of similarity 0.8 and more. Pairs are found as in the module's docstring and verified
-    exactly, so no less similar texts are linked. Texts without words are not near anything and stay. Rows that share the
-    smallest doc_id of a component stay together; a null doc_id stays.
+    exactly, so no less similar texts are linked. Texts without words are not near anything and stay. A row is known by
+    its doc_id and text: other texts of a dropped row's id stay, of several rows with the smallest id one text does, and
+    rows that are equal in both stay or go together. A null doc_id counts as the smallest.
     """
     words = [f"f{k}" for k in range(WIDE_WORDS)]
     rows = cut(wide_signatures(docs.select("doc_id", "text")), "signatures")
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least")), "nodes")
     keyed = rows.dropDuplicates(["node"]).select(F.posexplode("keys").alias("b", "key"), "node", *words)
     tables = cut(keyed.select(F.xxhash64("b", "key").alias("bucket"), "node", *words), "bands")
     ids = classes(nodes, copy_links(docs, nodes, tables, chunk))
-    found = rows.join(ids, rows["node"] == ids["_node"]).where("doc_id <> component_id")
-    (name,) = fresh(docs, "__gone")
-    gone = cut(found.select(F.col("doc_id").alias(name)).distinct(), "near-copies")
-    return docs.join(sized(gone), F.col("doc_id") == F.col(name), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("component_id.doc_id")) & (F.col("row") == F.col("component_id.row"))
+    found = rows.join(ids, rows["node"] == ids["_node"]).where(~same)
+    name, row = fresh(docs, "__gone", "__row")
+    gone = cut(found.select(F.col("doc_id").alias(name), F.col("row").alias(row)).distinct(), "near-copies")
+    return docs.join(sized(gone), F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(row)), "left_anti")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
