@@ -591,7 +591,9 @@ def test_paragraphs_match_brute_force(spark):
     roots = union_find(len(sets), links)
     docs = substring_dedup.named_rows(spark.createDataFrame(rows, "doc_id long, text string"))
     _, units = substring_dedup.units(docs)
-    found = {r.doc_id: r.first_doc_id for r in substring_dedup.repeated_lines(docs, units).collect()}
+    members = substring_dedup.bucket_classes(units)
+    detail = substring_dedup.details(docs, substring_dedup.line_places(members))
+    found = {r.doc_id: r.first_doc_id for r in substring_dedup.repeated_lines(units, members, detail).collect()}
     want = {k: r for k, r in enumerate(roots) if roots.count(r) > 1}
     assert len(want) > 100 and found == want
 

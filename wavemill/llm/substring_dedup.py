@@ -31,8 +31,8 @@ WIDTH, SIMILARITY = 5, 0.8
 LEAST = 20
 #: Words of a run, starts in a row of which one is chosen, and words that can follow the last run of a passage at most.
 WORDS, STARTS, AROUND = 20, 30, 48
-#: Bands and MinHash values in each: at similarity 0.8 two paragraphs meet with probability 1 - (1 - 0.8**3)**10 = 0.9992.
-BANDS, ROWS = 10, 3
+#: Bands and MinHash values in each: at similarity 0.8 two paragraphs meet with probability 1 - (1 - 0.8**2)**6 = 0.9978.
+BANDS, ROWS = 6, 2
 #: Classes of a bucket compared in one go.
 CHUNK = 1024
 
@@ -124,22 +124,27 @@ class Text:
     def __init__(self, text: bytes, powers: Powers):
         self.h, self.first, self.last = words_of(text, powers)
         self.shingles = shingles_of(self.h)
-        breaks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 10)
-        points = np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)
-        edge = np.unique(np.r_[0, np.searchsorted(self.first, points[breaks] if len(breaks) else []), len(self.h)]).astype(np.int64)
+        up, self.down = _STRETCH.to(len(self.h) + 1)
+        self.sums = np.zeros(len(self.h) + 1, dtype=np.uint64)
+        np.cumsum((self.h ^ _P) * up[: len(self.h)], out=self.sums[1:])
+        raw = np.frombuffer(text, dtype=np.uint8)
+        breaks = np.flatnonzero(raw == 10)
+        starts = np.zeros(0, dtype=np.int64)
+        if len(breaks):
+            starts = np.searchsorted(self.first, breaks - np.cumsum((raw & 0xC0) == 0x80)[breaks])
+        edge = np.unique(np.r_[0, starts, len(self.h)]).astype(np.int64)
         self.lines = np.stack([edge[:-1], edge[1:]], axis=1)[np.diff(edge) >= LEAST]
-        self.runs = np.zeros(0, dtype=np.int64)
+        self.runs = self.classes = np.zeros(0, dtype=np.int64)
         count = len(self.h) - WORDS + 1
         if count > 0:
             at = chosen_starts(self.shingles, count)
-            self.runs = at[one_a_lap(at, self.digests(at, at + WORDS), min(STARTS, count))]
+            classes = self.digests(at, at + WORDS)
+            kept = one_a_lap(at, classes, min(STARTS, count))
+            self.runs, self.classes = at[kept], classes[kept]
 
     def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of the words of each stretch: a polynomial of their hashes by prefix sums."""
-        up, down = _STRETCH.to(len(self.h) + 1)
-        sums = np.zeros(len(self.h) + 1, dtype=np.uint64)
-        np.cumsum(mixed(self.h ^ _P) * up[: len(self.h)], out=sums[1:])
-        return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
     def keys(self) -> np.ndarray:
         """Band keys of every paragraph."""
@@ -162,10 +167,6 @@ class Text:
 _STRETCH = Powers()
 
 
-def longs(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
 def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values, kind))
 
@@ -197,7 +198,7 @@ def units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                         link = np.zeros(n + 1, dtype=np.uint64)
                         link[1:-1] = t.digests(a[:-1], end[1:])
                         far, near = np.r_[t.last[end[1:] - 1], 0], np.r_[0, t.first[a[:-1]]]
-                        out.append((np.full(n, d), np.full(n, r), t.digests(a, end).view(np.int64), t.first[a], t.last[end - 1], link[1:].view(np.int64), far, link[:-1].view(np.int64), near, np.zeros(0, np.uint64), np.zeros(n, np.int64)))
+                        out.append((np.full(n, d), np.full(n, r), t.classes.view(np.int64), t.first[a], t.last[end - 1], link[1:].view(np.int64), far, link[:-1].view(np.int64), near, np.zeros(0, np.uint64), np.zeros(n, np.int64)))
                     if m := len(t.lines):
                         none = np.zeros(m, np.int64)
                         cls = t.digests(t.lines[:, 0], t.lines[:, 1]).view(np.int64)
@@ -211,49 +212,45 @@ def units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("size(keys) = 0").drop("keys"), both.where("size(keys) > 0").select(*(x.split()[0] for x in LINE.split(", ")))
 
 
-def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows that have ``places`` (doc_id, row, s), with an array of these: the one shuffle of texts, of those only that matter."""
-    wanted = places.groupBy("doc_id", "row").agg(F.collect_set("s").alias("at"))
-    return rows.dropDuplicates(["doc_id", "row"]).join(wanted.hint("merge"), ["doc_id", "row"])
+#: Of a paragraph its shingles, of a run the AROUND words before (nearest first) and after it, as hashes and places.
+DETAIL = "doc_id long, row long, s int, cls long, line boolean, shingles array<long>, before array<int>, before_s array<int>, after array<int>, after_e array<int>"
 
 
-def line_shingles(texts: DataFrame) -> DataFrame:
-    """cls and shingles of the paragraphs at the given places."""
+def details(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """What is needed of the paragraphs and runs at ``places`` (doc_id, row, s, e, cls, line): the one shuffle of texts."""
+    wanted = places.groupBy("doc_id", "row").agg(F.collect_set(F.struct("s", "e", "cls", "line")).alias("at"))
+    texts = rows.dropDuplicates(["doc_id", "row"]).join(wanted.hint("merge"), ["doc_id", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for raw, at in zip(batch.column(0), batch.column(1), strict=True):
-                t = Text(raw.as_py(), powers)
-                lines = t.lines[np.isin(t.first[t.lines[:, 0]], at.as_py())]
-                sets = [np.unique(t.shingles[a : b - WIDTH + 1]) for a, b in lines]
-                if sets:
-                    flat = lists(np.concatenate(sets).view(np.int64), np.array([len(x) for x in sets]), pa.int64())
-                    yield pa.RecordBatch.from_arrays([longs(t.digests(lines[:, 0], lines[:, 1])), flat], names=["cls", "shingles"])
-
-    return texts.select("text", "at").mapInArrow(lambda batches: frugal(run(batches)), "cls long, shingles array<long>")
-
-
-def surroundings(texts: DataFrame) -> DataFrame:
-    """doc_id, row, s and the AROUND words before (nearest first) and after the run there, as hashes and places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            for d, r, raw, at in zip(*(batch.column(k) for k in range(4)), strict=True):
-                t = Text(raw.as_py(), powers)
-                a = t.runs[np.isin(t.first[t.runs], at.as_py())]
-                low = (t.h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                before = [np.arange(x - 1, max(-1, x - 1 - AROUND), -1) for x in a]
-                after = [np.arange(x + WORDS, min(len(t.h), x + WORDS + AROUND)) for x in a]
-                columns = [pa.array([d.as_py()] * len(a), pa.int64()), pa.array([r.as_py()] * len(a), pa.int64()), pa.array(t.first[a], pa.int32())]
-                for words, place in ((before, t.first), (after, t.last)):
-                    flat, sizes = np.concatenate([*words, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(x) for x in words], dtype=np.int64)
-                    columns += [lists(low[flat], sizes, pa.int32()), lists(place[flat], sizes, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "s", "before", "before_s", "after", "after_e"])
-
-    schema = "doc_id long, row long, s int, before array<int>, before_s array<int>, after array<int>, after_e array<int>"
-    return texts.select("doc_id", "row", "text", "at").mapInArrow(lambda batches: frugal(run(batches)), schema)
+            for k in range(0, batch.num_rows, 512):
+                yield described(batch.slice(k, 512), powers)
+
+    return texts.select("doc_id", "row", "text", "at").mapInArrow(lambda batches: frugal(run(batches)), DETAIL)
+
+
+def described(batch: pa.RecordBatch, powers: Powers) -> pa.RecordBatch:
+    """The rows of ``details`` of a batch (doc_id, row, text, at)."""
+    none, keys, flat = np.zeros(0, np.int64), [], [[] for _ in range(5)]
+    for d, r, raw, at in zip(*(c.to_pylist() if k != 2 else c for k, c in enumerate(batch.columns)), strict=True):
+        h, first, last = words_of(raw.as_py(), powers)
+        low = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        for x in at:
+            a, b = int(np.searchsorted(first, x["s"])), int(np.searchsorted(last, x["e"])) + 1
+            keys.append((d, r, x["s"], x["cls"], x["line"]))
+            if x["line"]:
+                own = (np.unique(shingles_of(h[a:b])).view(np.int64), none, none, none, none)
+            else:
+                back, on = slice(max(0, a - AROUND), a), slice(b, b + AROUND)
+                own = (none, low[back][::-1], first[back][::-1], low[on], last[on])
+            for to, values in zip(flat, own, strict=True):
+                to.append(values)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+    columns = [pa.array([x[k] for x in keys], kind) for k, kind in enumerate(kinds)]
+    for values, kind in zip(flat, [pa.int64(), *[pa.int32()] * 4], strict=True):
+        columns.append(lists(np.concatenate([*values, none]), np.array([len(x) for x in values], dtype=np.int64), kind))
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DETAIL.split(", ")])
 
 
 def similar_pairs(sets: list[frozenset], second_from: int | None = None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -331,15 +328,21 @@ def only(rows: DataFrame, wanted: DataFrame, by: str | list[str]) -> DataFrame:
     return rows.join(wanted.hint("merge"), by, "left_semi")
 
 
-def class_links(rows: DataFrame, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """a, b: classes of paragraphs of similarity SIMILARITY or more, enough links to connect all such."""
-    classes = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "row", "s")).alias("place"), F.first("keys").alias("keys"))
+def bucket_classes(lines: DataFrame) -> DataFrame:
+    """key, n, cls, place (written): classes of paragraphs in each bucket of more than one."""
+    classes = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "row", "s", "e")).alias("place"), F.first("keys").alias("keys"))
     keyed = cut(classes.select(F.explode("keys").alias("key"), "cls", "place"), "keys")
     shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
     # Written in between: a key of many classes is skewed, which each of the two joins can split on its own.
-    members = cut(keyed.join(shared.hint("merge"), "key"), "bucket-classes")
-    some = members.select("place.doc_id", "place.row", "place.s").distinct()
-    shingles = cut(line_shingles(with_places(rows, some)).dropDuplicates(["cls"]), "shingles")
+    return cut(keyed.join(shared.hint("merge"), "key"), "bucket-classes")
+
+
+def line_places(members: DataFrame) -> DataFrame:
+    return members.select("place.*", "cls", F.lit(True).alias("line")).distinct()
+
+
+def class_links(members: DataFrame, shingles: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """a, b: classes of paragraphs of similarity SIMILARITY or more, enough links to connect all such."""
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     placed = members.select("key", "cls", "n").withColumn("_c", chunks).withColumn("_m", F.pmod(F.xxhash64("cls", "key"), chunks).cast("int"))
     pair = F.expr("transform(sequence(0, _c - 1), j -> named_struct('pair', least(_m, j) * _c + greatest(_m, j), 'side', case when j = _m then -1 when _m < j then 0 else 1 end))")
@@ -351,16 +354,17 @@ def class_links(rows: DataFrame, lines: DataFrame, chunk: int = CHUNK) -> DataFr
 SPAN = ["doc_id", "row", "s", "e", "first_doc_id", "first_s", "size", "removed"]
 
 
-def repeated_lines(rows: DataFrame, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def repeated_lines(lines: DataFrame, members: DataFrame, detail: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Spans of the paragraphs that are in a cluster of more than one place."""
-    links = cut(class_links(rows, lines, chunk), "links")
+    links = cut(class_links(members, detail.where("line").select("cls", "shingles"), chunk), "links")
     roots = cut(components(links).select(F.col("node").alias("cls"), "root"), "roots")
     equal = lines.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
     wanted = cut(equal.unionByName(roots.select("cls")).distinct(), "repeated-classes")
-    members = cut(only(lines.drop("keys"), wanted, "cls"), "repeated").join(roots, "cls", "left")
-    members = cut(members.select(F.coalesce("root", "cls").alias("root"), "doc_id", "row", "s", "e").distinct(), "members")
-    clusters = members.groupBy("root").agg(F.min(F.struct("doc_id", "s", "row")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    found = members.join(cut(clusters, "clusters"), "root")
+    own = cut(only(lines.drop("keys"), wanted, "cls"), "repeated").join(roots, "cls", "left")
+    own = cut(own.select(F.coalesce("root", "cls").alias("root"), "doc_id", "row", "s", "e"), "members")
+    place = F.struct("doc_id", "s", "row")
+    clusters = own.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last")
+    found = own.join(cut(clusters, "clusters"), "root")
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("s") == F.col("first.s")) & (F.col("row") == F.col("first.row"))
     return found.select("doc_id", "row", "s", "e", F.col("first.doc_id").alias("first_doc_id"), F.col("first.s").alias("first_s"), "size", (~is_first).alias("removed"))
 
@@ -370,24 +374,37 @@ def alike(a: str, b: str) -> Column:
     return F.expr(f"coalesce(nullif(array_position(zip_with(slice({a}, 1, least(size({a}), size({b}))), {b}, (x, y) -> coalesce(x = y, false)), false), 0) - 1, least(size({a}), size({b})))")
 
 
-def repeated_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """Spans of the runs whose words occur elsewhere, extended as far as the words around equal those around the first one."""
-    own = [c for c in runs.columns if c != "cls"]
-    seen = runs.groupBy("cls").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(runs.join(cut(seen, "repeated-runs").hint("merge"), "cls").distinct(), "runs")
-    first = members.groupBy("cls").agg(F.min(F.struct("doc_id", "s", *(c for c in own if c not in ("doc_id", "s")))).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
-    found = cut(members.join(cut(first, "first-runs"), "cls"), "run-places")
+def run_places(runs: DataFrame) -> DataFrame:
+    """Runs (written) whose words occur elsewhere, with the class's first one and whether the stretches to their neighbours are the same there.
+
+    _a, _b: ahead and back; null where the run is not extended, as one that stays or repeats inside its own document.
+    """
+    own = ["doc_id", "s", *(c for c in runs.columns if c not in ("cls", "doc_id", "s"))]
+    place = F.struct("doc_id", "s", "row")
+    seen = runs.groupBy("cls").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("_l"), F.max(place).alias("_h")).where("_l <> _h").select("cls", "size")
+    members = cut(runs.join(cut(seen, "repeated-runs").hint("merge"), "cls"), "runs")
+    first = members.groupBy("cls").agg(F.min(F.struct(*own)).alias("first"))
+    found = members.join(cut(first, "first-runs"), "cls")
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
     # What overlaps the first run in its own document is part of what stays.
     found = found.withColumn("removed", ~(same & (F.col("s") < F.col("first.e")) & (F.col("e") > F.col("first.s"))))
-    ahead = (F.col("ahead") != 0) & (F.col("ahead") == F.col("first.ahead"))
-    back = (F.col("back") != 0) & (F.col("back") == F.col("first.back"))
-    # Inside a document a repeat may reach the first run itself; it is not extended there.
-    found = cut(found.withColumn("_a", F.when(F.col("removed") & ~same, ahead)).withColumn("_b", F.when(F.col("removed") & ~same, back)), "run-links")
+    for name, c in (("_a", "ahead"), ("_b", "back")):
+        found = found.withColumn(name, F.when(F.col("removed") & ~same, (F.col(c) != 0) & (F.col(c) == F.col(f"first.{c}"))))
+    return cut(found, "run-places")
+
+
+def run_ends(found: DataFrame) -> DataFrame:
+    """Places of the runs at the ends of repeated passages, here and at the first one."""
     end = found.where("not _a or not _b")
-    places = end.select("doc_id", "row", "s").unionByName(end.select("first.doc_id", "first.row", "first.s")).distinct()
-    near = cut(surroundings(with_places(rows, cut(places, "run-ends"))), "surroundings")
-    one = cut(end.select("doc_id", "row", "s", F.col("first.doc_id").alias("fd"), F.col("first.row").alias("fr"), F.col("first.s").alias("fs")).distinct().join(near, ["doc_id", "row", "s"]), "ends")
+    places = end.select("doc_id", "row", "s", "e").unionByName(end.select("first.doc_id", "first.row", "first.s", "first.e"))
+    return places.select("*", F.lit(0).cast("long").alias("cls"), F.lit(False).alias("line")).distinct()
+
+
+def repeated_runs(found: DataFrame, detail: DataFrame) -> DataFrame:
+    """Spans of the runs, extended as far as the words around equal those around the first one."""
+    near = detail.where("not line").drop("shingles", "cls", "line")
+    end = found.where("not _a or not _b").select("doc_id", "row", "s", F.col("first.doc_id").alias("fd"), F.col("first.row").alias("fr"), F.col("first.s").alias("fs")).distinct()
+    one = cut(end.join(near, ["doc_id", "row", "s"]), "ends")
     other = near.select(F.col("doc_id").alias("fd"), F.col("row").alias("fr"), F.col("s").alias("fs"), F.col("before").alias("fb"), F.col("after").alias("fa"))
     far = one.join(other, ["fd", "fr", "fs"]).withColumn("_nb", alike("before", "fb")).withColumn("_na", alike("after", "fa"))
     far = cut(far.selectExpr("doc_id", "row", "s", "case when _nb > 0 then before_s[_nb - 1] end as far_s", "case when _na > 0 then after_e[_na - 1] end as far_e"), "far")
@@ -405,11 +422,13 @@ def repeated_passages(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     but for a space, are one passage; first_* and cluster_size are those of its first one. The first place of a
     cluster stays; removed is true for all others. Documents without repeated passages have no row. Null, empty and short
     texts have none; a null doc_id comes first. Equal rows repeat each other's passages but share doc_id and place, so
-    they count as one. Other columns are not read; empty input gives no rows.
+    they are one row and never repeats of each other; cluster_size counts them all. Other columns are not read; empty input gives no rows.
     """
     rows = named_rows(docs)
     runs, lines = units(rows)
-    spans = cut(repeated_lines(rows, lines, chunk).select(SPAN).unionByName(repeated_runs(rows, runs).select(SPAN)), "spans")
+    members, found = bucket_classes(lines), run_places(runs)
+    detail = cut(details(rows, cut(line_places(members).unionByName(run_ends(found)), "places")), "details")
+    spans = cut(repeated_lines(lines, members, detail, chunk).select(SPAN).unionByName(repeated_runs(found, detail).select(SPAN)), "spans")
     own = Window.partitionBy("doc_id", "row", "removed").orderBy("s", "e")
     ended = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
     number = F.sum(F.when(F.col("s") <= ended + 1, 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0))
