@@ -142,6 +142,13 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if 0 < files < cores and docs.count() <= MOST_BROADCAST else docs
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers 1,000 at a time, unless the session says otherwise: a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
 def frugal(work: Iterator) -> Iterator:
     """``work``, after which a Python worker gives the memory it has freed back to the machine.
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, table
+from .common import frugal, small_batches, table
 
 #: Tokens, segments and loss-bearing tokens that a sequence holds at most: a full one has 64 tokens of prompts or more.
 TOKENS, SEGMENTS, LOSS = 2048, 32, 1984
@@ -35,7 +35,7 @@ POOL = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words an encoder remembers before it forgets all but those it met first, which are the frequent ones.
-REMEMBER, KEEP = 300_000, 100_000
+REMEMBER, KEEP = 200_000, 80_000
 #: Words whose ids are those of their lower-cased letters: Latin letters that normalising leaves as they are.
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
@@ -293,6 +293,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKEN
     aren't read; empty input gives no rows. ``docs`` should be a scan or a written table, whose tasks read the same
     rows in the same order each time.
     """
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, frugal, rank_threshold, spread, table
+from .common import cut, fresh, frugal, rank_threshold, small_batches, spread, table
 
 #: Hash buckets of each of the three kinds of n-grams.
 BUCKETS = 1 << 14
@@ -217,6 +217,7 @@ def second_fold(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def sampled(docs: DataFrame, labels: DataFrame, k: int | None, share: float | None, weight: str, key: str, tie: str, keep: list[str]) -> tuple[DataFrame, Column] | None:
     """The columns ``keep`` of ``docs`` (written) with three more, and which rows the sample has; None without any good label."""
+    small_batches(docs.sparkSession)
     chosen = cut(labelled(labels), "labelled")
     ratios = log_ratios(docs, chosen)
     if ratios is None:

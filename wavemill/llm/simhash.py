@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, cut, drop_cut, fresh, frugal, sized, spread, table
+from .common import LONG_MIN, cut, drop_cut, fresh, frugal, small_batches, sized, spread, table
 from .graph import components
 
 SEED = 42
@@ -64,6 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every row; whole texts, one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("_text"))
     return rows.mapInArrow(lambda batches: frugal(_fingerprints(batches)), "doc_id long, fp long")
 
@@ -399,6 +400,7 @@ def wide_signatures(docs: DataFrame) -> DataFrame:
                 nodes = np.array([x[0] for x in found], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nodes), *(pa.array(fps[:, k].copy()) for k in range(WIDE_WORDS)), keys], names=["doc_id", "row", "node", *(f"f{k}" for k in range(WIDE_WORDS)), "keys"])
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, row long, node long, " + ", ".join(f"f{k} long" for k in range(WIDE_WORDS)) + ", keys array<long>"
     return docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("binary")).mapInArrow(lambda batches: frugal(run(batches)), schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, cut, fresh, frugal, spread, table
+from .common import LONG_MIN, cut, fresh, frugal, small_batches, spread, table
 from .graph import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -208,6 +208,7 @@ def units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(c[:9], kinds, strict=True)), lists(c[9].view(np.int64), c[10], pa.int64())], names=[*(x.split()[0] for x in RUN.split(", ")), "keys"])
 
+    small_batches(rows.sparkSession)
     both = cut(rows.mapInArrow(lambda batches: frugal(run(batches)), RUN + ", keys array<long>"), "units")
     return both.where("size(keys) = 0").drop("keys"), both.where("size(keys) > 0").select(*(x.split()[0] for x in LINE.split(", ")))
 
