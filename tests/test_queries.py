@@ -2,17 +2,19 @@
 
 import pytest
 
-from wavemill import queries
+import __spark_entry__
 
+QUERIES, SQL = __spark_entry__._base()
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, small, duck, same, name):
-    same(queries.QUERIES[name](spark, small).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df())
+    same(QUERIES[name](spark, small).toPandas(), duck.sql(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, small, name):
-    rows = queries.QUERIES[name](spark, small)
+    rows = QUERIES[name](spark, small)
     assert rows.columns and rows.count() > 0
 
 

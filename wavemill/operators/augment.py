@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.functions.arrays import bound, let, squares
+from wavemill.functions.arrays import bound, leaky, let, squares
 
 
 def uniform(*of: str, seed: int = 1) -> str:
@@ -81,20 +81,15 @@ def white(seed: int = 1) -> str:
 
 def brown(y: str) -> Column:
     """Brown noise from white: a leaky running sum."""
-    def body(y: str) -> str:
-        run = f"aggregate({y}, cast(array() as array<double>), (o, x) -> concat(o, array((case when size(o) = 0 then 0D else element_at(o, -1) end + 0.02D * x) / 1.02D)))"
-        return f"transform({run}, x -> 3.5D * x)"
-
-    return F.expr(bound(y, body))
+    return F.transform(leaky(y, 1 / 1.02, 0.02 / 1.02), lambda x: 3.5 * x)
 
 
 def pink(y: str) -> Column:
     """Pink noise from white: seven leaky sums. Their poles and gains."""
     poles = [(0.99886, 0.0555179), (0.99332, 0.0750759), (0.969, 0.153852), (0.8665, 0.3104856), (0.55, 0.5329522), (-0.7616, -0.016898)]
-    state = ", ".join(f"'b{k}', {p!r}D * a.b{k} + {g!r}D * x" for k, (p, g) in enumerate(poles))
-    now = " + ".join(f"({p!r}D * a.b{k} + {g!r}D * x)" for k, (p, g) in enumerate(poles))
-    zero = ", ".join(f"'b{k}', 0D" for k in range(6))
-    return F.expr(f"aggregate({y}, named_struct({zero}, 'b6', 0D, 'o', cast(array() as array<double>)), (a, x) -> named_struct({state}, 'b6', 0.115926D * x, 'o', concat(a.o, array(0.11D * ({now} + a.b6 + 0.5362D * x)))), a -> a.o)")
+    parts = F.arrays_zip(F.col(y).alias("x"), *(leaky(y, p, g).alias(f"b{k}") for k, (p, g) in enumerate(poles)))
+    before = lambda i: F.when(i > 0, F.col(y)[i - 1]).otherwise(0.0)
+    return F.transform(parts, lambda z, i: 0.11 * (sum((z[f"b{k}"] for k in range(len(poles))), F.lit(0.0)) + 0.115926 * before(i) + 0.5362 * z["x"]))
 
 
 def metronome(bpm: float, seconds: float, sr: float, freq: float = 1000.0, per_bar: int = 4, click: float = 0.05) -> str:

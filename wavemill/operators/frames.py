@@ -6,7 +6,7 @@ stay tall, (clip_id, n, x), and are framed by ``frame_tall``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.arrays import bound, let, mean, squares
@@ -23,6 +23,21 @@ def tall(rows: DataFrame) -> DataFrame:
     return rows.select("clip_id", F.posexplode("y").alias("n", "x"))
 
 
+def numbered(rows: DataFrame, clip: str, order: list[str], value: str, piece: Column) -> DataFrame:
+    """(clip_id, n, x) from a table of samples of clips of any length: no clip is ever one row or one task.
+
+    ``piece`` must not fall along ``order`` (a day, for instance). Samples are numbered inside a piece of a clip, and
+    pieces are counted before that.
+    """
+    keyed = rows.select(F.col(clip).alias("clip_id"), piece.alias("p_"), *(F.col(c).alias(f"o{k}_") for k, c in enumerate(order)), F.col(value).cast("double").alias("x"))
+    counts = keyed.groupBy("clip_id", "p_").agg(F.count(F.lit(1)).alias("c_"))
+    before = Window.partitionBy("clip_id").orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("clip_id", "p_", F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("b_"))
+    own = Window.partitionBy("clip_id", "p_").orderBy(*(f"o{k}_" for k in range(len(order))))
+    placed = keyed.withColumn("r_", F.row_number().over(own)).join(counts, ["clip_id", "p_"])
+    return placed.select("clip_id", (F.col("b_") + F.col("r_") - 1).cast("int").alias("n"), "x")
+
+
 def window_sql(kind: str, length: int, periodic: bool = True) -> str:
     """SQL of a window's samples: hann, hamming, blackman, bartlett or rectangular."""
     if length == 0:

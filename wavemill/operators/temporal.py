@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from wavemill.functions.arrays import bound, let, total, upper_median
+from wavemill.functions.arrays import bound, leaky, let, total, upper_median
 
 
 def whole() -> WindowSpec:
@@ -62,17 +62,9 @@ def tracks(values: DataFrame, name: str = "y") -> DataFrame:
     return made.select("clip_id", "f", F.expr("transform(s_, s -> s.x)").alias(name))
 
 
-def recurrence(y: str, step: str, first: str) -> Column:
-    """Array of s where s0 = ``first`` and s = ``step``, written with p (the one before), x and i."""
-    def body(y: str) -> str:
-        return f"aggregate(sequence(0, size({y}) - 1), cast(array() as array<double>), (o, i) -> {let(f'{y}[i]', 'x', f'concat(o, array(case when i = 0 then {first} else ' + let('o[i - 1]', 'p', step) + ' end))')})"
-
-    return F.expr(bound(y, body))
-
-
 def pcen(values: DataFrame, b: float = 0.5927, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, eps: float = 1e-6) -> DataFrame:
     """(clip_id, f, y, m, final): per-channel energy normalisation by a smoothed past m, which starts from one."""
-    smooth = tracks(values).withColumn("m", recurrence("y", f"{b!r}D * x + {1 - b!r}D * p", f"{b!r}D * x + {1 - b!r}D"))
+    smooth = tracks(values).withColumn("m", leaky("y", 1 - b, b, 1.0))
     body = f"power({bias!r}D, {power!r}D) * expm1({power!r}D * ln(1 + e * exp(-{gain!r}D * (ln({eps!r}D) + ln(1 + m / {eps!r}D))) / {bias!r}D))"
     return smooth.select("clip_id", "f", F.expr(f"zip_with(y, m, (e, m) -> {body})").alias("y"), "m", F.element_at("m", -1).alias("final"))
 
@@ -86,12 +78,13 @@ def preemphasis(y: str = "y", c: float = 0.97) -> Column:
 
 def deemphasis(y: str = "y", c: float = 0.97) -> Column:
     """Inverse of ``preemphasis`` for signals of two samples and more."""
-    def body(y: str) -> str:
-        run = f"aggregate({y}, cast(array() as array<double>), (o, x) -> concat(o, array(x + {c!r}D * coalesce(element_at(o, -1), 0D))))"
-        run = run.replace("coalesce(element_at(o, -1), 0D)", "case when size(o) = 0 then 0D else element_at(o, -1) end")
-        return let(run, "z", f"transform(z, (x, i) -> x - ((2 - {c!r}D) * {y}[0] - {y}[1]) / (3 - {c!r}D) * power({c!r}D, i))")
+    both = F.array(F.struct(F.col(y).alias("y"), leaky(y, c).alias("z")))
+    return F.element_at(F.transform(both, lambda s: _undo(s, c)), 1)
 
-    return F.expr(bound(y, body))
+
+def _undo(s: Column, c: float) -> Column:
+    first = ((2 - c) * s["y"][0] - s["y"][1]) / (3 - c)
+    return F.transform(s["z"], lambda x, i: x - first * F.pow(F.lit(c), i))
 
 
 def median_filter(v: str, size: int) -> Column:

@@ -40,9 +40,14 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.signals(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' samples as tall rows (clip_id, n, x), numbered day by day."""
+    return frames.numbered(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", F.to_date("ts"))
+
+
 def tall_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' samples as tall values: time is the sample number, one feature."""
-    return frames.tall(users(spark, sf_dir)).select("clip_id", F.col("n").alias("t"), F.lit(0).alias("f"), "x")
+    return samples(spark, sf_dir).select("clip_id", F.col("n").alias("t"), F.lit(0).alias("f"), "x")
 
 
 def r6(c) -> F.Column:
@@ -174,8 +179,7 @@ def framing_reflect(spark, sf_dir):
 
 @query(f"""with {U_S}, l as (select clip_id, count(*) as len from s group by 1) select clip_id, cast(t as integer) as t, cast(n - t * 8 as integer) as i, round(x, 6) as x from s join l using (clip_id) join (select unnest(range(40)) as t) on n between t * 8 and t * 8 + 15 and t * 8 + 16 <= len""")
 def framing_tall(spark, sf_dir):
-    samples = frames.tall(users(spark, sf_dir))
-    return points(frames.frame_tall(samples, 16, 8), "v", "clip_id", "t")
+    return points(frames.frame_tall(samples(spark, sf_dir), 16, 8), "v", "clip_id", "t")
 
 
 @query(f"with {E_S} select clip_id, cast(n as integer) as i, round(trunc(greatest(-1, least(1, x)) * 32767) / 32767, 6) + 0.0 as x from s")
@@ -482,7 +486,7 @@ def generated_chirp(spark, sf_dir):
 
 @query(f"with {U_S} select clip_id, cast(n as bigint) as n, round(x, 6) as x from s")
 def cross_fade_round_trip(spark, sf_dir):
-    parts = rates.chunks(frames.tall(users(spark, sf_dir)), 16)
+    parts = rates.chunks(samples(spark, sf_dir), 16)
     return tall_rounded(rates.cross_fade(parts, 16)).withColumn("n", F.col("n").cast("long"))
 
 
