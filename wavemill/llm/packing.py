@@ -36,8 +36,10 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words an encoder remembers before it forgets all but those it met first, which are the frequent ones.
 REMEMBER, KEEP = 200_000, 80_000
-#: Words whose ids are those of their lower-cased letters: Latin letters that normalising leaves as they are.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+#: Words whose ids are those of their lower-cased letters and then those of the marks: Latin letters that normalising leaves as they are, and ASCII marks.
+LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)")
+#: Runs of marks remembered.
+MARKS = 10_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -74,7 +76,7 @@ class WordEncoder:
         ends = [k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.is_end[ends] = True
-        self.marks = {c: packed_ids(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
+        self.marks: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -88,15 +90,17 @@ class WordEncoder:
     def learn(self) -> None:
         """Find the ids of the words numbered since the last time.
 
-        The ids of a word of Latin letters are those of its lower-cased letters, with those of a full stop or comma after them;
+        The ids of a word of Latin letters are those of its lower-cased letters, with those of the marks after them;
         anything else goes to the tokenizer as it is. Letters met only inside other words are numbered too.
         """
         words = list(islice(reversed(self.known), len(self.known) - self.learnt))[::-1]
         if not words:
             return
-        stems = [w[:-1] if w[-1] in ".," else w for w in words]
-        latin = LATIN.fullmatch
-        lower = [w.lower() if latin(w) else "" for w in stems]
+        lower, marks = zip(*((m[1].lower(), m[2]) if m else ("", "") for m in map(LATIN.fullmatch, words)), strict=True)
+        if len(self.marks) > MARKS:
+            self.marks.clear()
+        for run in set(marks) - self.marks.keys():
+            self.marks[run] = packed_ids(self.tokenizer.encode(run, add_special_tokens=False).ids)
         number, learnt = dict.get, self.learnt
         found: dict[str, bytes] = {}
         fresh = []
@@ -116,7 +120,7 @@ class WordEncoder:
                 found.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
         odd = [k for k, w in enumerate(lower) if w not in found]
         whole = dict(zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True))
-        ids = [packed_ids(whole[k].ids) if k in whole else found[lower[k]] + self.marks[w[-1]] if w[-1] in ".," else found[lower[k]] for k, w in enumerate(words)]
+        ids = [packed_ids(whole[k].ids) if k in whole else found[stem] + self.marks[run] for k, (stem, run) in enumerate(zip(lower, marks, strict=True))]
         for w in fresh:
             if w in found and w not in self.known:
                 self.known[w] = len(self.known)
