@@ -395,7 +395,7 @@ def test_words_met_bare_change_no_ids(words):
     path = packing.tokenizer_path()
     enc = packing.worker_encoder(path)
     enc.forget()
-    for text in (" ".join(words), " ".join(w + m for w in words for m in (".", ",", "", "\u0301", ".,")), " ".join(w.upper() + "." for w in words), " ".join(words)):
+    for text in (" ".join(words), " ".join(w + m for w in words for m in (".", ",", "", "\u0301", ".,", "###", "'", "!'s", "<|", "&\u0301")), " ".join(w.upper() + "." for w in words), " ".join(words)):
         assert enc.encode([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 

@@ -35,7 +35,7 @@ POOL = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words an encoder remembers before it forgets all but those it met first, which are the frequent ones.
-REMEMBER, KEEP = 200_000, 80_000
+REMEMBER, KEEP = 400_000, 150_000
 #: Words whose ids are those of their lower-cased letters and then those of the marks: Latin letters that normalising leaves as they are, and ASCII marks.
 LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)")
 #: Runs of marks remembered.
