@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.functions.arrays import total
+from wavemill.operators.blocks import matrix, rows_of, typed
 from wavemill.operators.features import tall_values, wide
+from wavemill.operators.lineage import cut
 from wavemill.operators.spectral import apply_filterbank, map_frames
 from wavemill.operators.temporal import median_filter, tracks
 
@@ -29,46 +37,78 @@ def apply_mask(frames: DataFrame, mask: DataFrame, column: str) -> DataFrame:
     return wide(made.select("clip_id", "t", "f", (F.col("x") * F.col("m_")).alias("x")))
 
 
-def nmf(frames: DataFrame, n_features: int, k: int, iterations: int = 50, seed: int = 1, alpha: float = 0.0, eps: float = 1e-10) -> tuple[np.ndarray, DataFrame]:
-    """Basis (k, n_features) and activations (clip_id, t, v of length k) with frames ~ activations times basis.
+@dataclass
+class Factors:
+    """basis (k, features), activations (clip_id, t, v of length k), and the Frobenius norm of what is left after every round."""
+
+    basis: np.ndarray
+    activations: DataFrame
+    errors: list[float]
+
+
+def first_basis(n_features: int, k: int, seed: int = 1) -> np.ndarray:
+    return np.random.default_rng(seed).random((k, n_features)) + 0.1
+
+
+def nmf(
+    frames: DataFrame, n_features: int, k: int, iterations: int = 200, tolerance: float = 1e-4, seed: int = 1, alpha: float = 0.0, l1: tuple[float, float] = (0.0, 0.0), basis: np.ndarray | None = None, keep: int = 5, eps: float = 1e-10
+) -> Factors:
+    """Non-negative factors of frames (clip_id, t, v) by multiplicative updates, until the error changes by less than ``tolerance`` of itself.
 
-    Multiplicative updates. A frame's activations depend on its own row only, so they are recomputed from the data in
-    each round; what meets on the driver is two small sums, k by k and k by features, whatever the number of frames.
+    Each round is one pass: activations are brought up to date row by row, and three sums meet on the driver, k by features, k by k and
+    one number, whatever the number of frames. They give the new basis and, without another pass, its error. Activations are kept
+    with their frames in the shared folder every ``keep`` rounds; in between a pass makes the few updates since then again. ``l1``: shares
+    of ``alpha`` that shrink basis and activations. A frame's activations start even, from its own mean.
     """
-    rng = np.random.default_rng(seed)
-    basis = rng.random((k, n_features)) + 0.1
-    rounds = max(1, iterations // 10)
-
-    def activate(b: np.ndarray):
-        def step(v: np.ndarray) -> tuple[np.ndarray, ...]:
-            a = np.full((len(v), k), v.mean() / max(eps, b.mean() * k))
-            num, gram = v @ b.T, b @ b.T
-            for _ in range(40):
-                a *= num / np.maximum(a @ gram + alpha, eps)
-            return (a,)
-
-        return step
-
-    def sums(b: np.ndarray):
-        def step(v: np.ndarray) -> tuple[np.ndarray, ...]:
-            (a,) = activate(b)(v)
-            # One row carries the batch's sums, the others none.
-            out = np.zeros((len(v), k * n_features + k * k))
-            out[0] = np.concatenate([(a.T @ v).ravel(), (a.T @ a).ravel()])
-            return (out,)
-
-        return step
-
-    for _ in range(rounds):
-        parts = map_frames(frames.select("v"), "v", ["s"], sums(basis)).where("s[0] <> 0 or exists(s, x -> x <> 0)")
-        total = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        flat = np.zeros(k * n_features + k * k)
-        for r in total:
+    basis = first_basis(n_features, k, seed) if basis is None else np.asarray(basis, dtype=float)
+    level = float(basis.mean()) * k
+    names = [c for c in frames.columns if c != "v"]
+
+    def updated(v: np.ndarray, h: np.ndarray, bases: list[np.ndarray]) -> np.ndarray:
+        for b in bases:
+            h = np.maximum(eps, h * (v @ b.T) / (h @ (b @ b.T) + eps) / (1 + alpha * l1[1]))
+        return h
+
+    def activated(state: DataFrame, bases: list[np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    v, h = (matrix(batch.column(batch.schema.get_field_index(c))) for c in ("v", "h"))
+                    kept = [batch.column(batch.schema.get_field_index(c)) for c in (*names, "v")]
+                    yield pa.RecordBatch.from_arrays([*kept, rows_of(updated(v, h, bases))], names=[*names, "v", "h"])
+
+        return state.mapInArrow(run, f"{typed(frames, names)}, v array<double>, h array<double>")
+
+    def sums(state: DataFrame, bases: list[np.ndarray]) -> np.ndarray:
+        size = k * n_features + k * k + 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size)
+            for batch in batches:
+                if batch.num_rows:
+                    v, h = matrix(batch.column(0)), matrix(batch.column(1))
+                    h = updated(v, h, bases)
+                    out += np.concatenate([(h.T @ v).ravel(), (h.T @ h).ravel(), [(v * v).sum()]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out)], names=["i", "x"])
+
+        flat = np.zeros(size)
+        for r in state.select("v", "h").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             flat[r["i"]] = r["x"]
-        num, gram = flat[: k * n_features].reshape(k, n_features), flat[k * n_features :].reshape(k, k)
-        for _ in range(10):
-            basis *= num / np.maximum(gram @ basis, eps)
-    return basis, map_frames(frames, "v", ["v"], activate(basis))
+        return flat
+
+    start = frames.withColumn("v", F.col("v").cast("array<double>")).withColumn("h", F.expr(f"array_repeat({total('v')} / size(v) / {level!r}D, {k})"))
+    state, pending, errors = cut(start.select(*names, "v", "h")), [], []
+    for _ in range(iterations):
+        if len(pending) == keep:
+            state, pending = cut(activated(state, pending)), []
+        pending.append(basis)
+        flat = sums(state, pending)
+        num, gram, square = flat[: k * n_features].reshape(k, n_features), flat[k * n_features : -1].reshape(k, k), flat[-1]
+        basis = np.maximum(eps, basis * num / (gram @ basis + eps) / (1 + alpha * l1[0]))
+        errors.append(math.sqrt(max(0.0, square - 2 * (basis * num).sum() + ((basis @ basis.T) * gram).sum())))
+        if len(errors) > 1 and abs(errors[-2] - errors[-1]) / (errors[-2] + eps) < tolerance:
+            break
+    return Factors(basis, activated(state, pending).select(*names, F.col("h").alias("v")), errors)
 
 
 def nmf_reconstruct(activations: DataFrame, basis: np.ndarray, component: int | None = None) -> DataFrame:

@@ -73,15 +73,15 @@ def frame(rows: DataFrame, length: int, hop: int, pad: int = 0, mode: str = "con
     return padded.select("clip_id", F.posexplode(starts).alias("t", "v"))
 
 
-def frame_tall(samples: DataFrame, length: int, hop: int) -> DataFrame:
-    """Frames of signals of any length, from (clip_id, n, x): each sample goes to the frames that hold it.
+def frame_tall(samples: DataFrame, length: int, hop: int, pad: int = 0) -> DataFrame:
+    """Frames of signals of any length, from (clip_id, n, x), with ``pad`` zeros at both ends; incomplete frames are left out.
 
-    A clip is spread over as many tasks as it has frames; incomplete frames are left out.
+    Samples meet in blocks and frames are cut where their first sample is, so a clip is spread over as many tasks as it has blocks.
     """
-    first = F.greatest(F.lit(0), F.ceil((F.col("n") - (length - 1)) / hop).cast("long"))
-    placed = samples.withColumn("t", F.explode(F.sequence(first, F.floor(F.col("n") / hop).cast("long"))))
-    made = placed.groupBy("clip_id", "t").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("s_"))
-    return made.where(F.size("s_") == length).select("clip_id", F.col("t").cast("int").alias("t"), F.expr("transform(s_, s -> s.x)").alias("v"))
+    from wavemill.operators.blocks import SAMPLES, frames_of, sample_blocks
+
+    size = max(SAMPLES, 16 * length)
+    return frames_of(sample_blocks(samples, size), length, hop, pad, size)
 
 
 def apply_window(frames: DataFrame, kind: str, win_length: int | None = None, length: int | None = None) -> DataFrame:

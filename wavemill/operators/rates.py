@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions.arrays import bound, let, literal, total
-from wavemill.operators import spectral
+from wavemill.operators import blocks, spectral
 from wavemill.operators.frames import resample_linear
-from wavemill.operators.lineage import cut
 
 
 def kaiser(length: int, beta: float) -> np.ndarray:
@@ -89,16 +88,20 @@ def harmonic_weighted(spectra: DataFrame, weights: dict[float, float]) -> DataFr
     return rows.groupBy("clip_id", "t", "f").agg(F.sum(F.col("w") * F.col("m")).alias("x"))
 
 
+def sinusoids(sr: float, hop: int, f_min: float, n_bins: int, bins_per_octave: int = 12) -> np.ndarray:
+    """Complex sinusoids of every bin (n_bins, 4 * hop), centred."""
+    freqs = f_min * 2.0 ** (np.arange(n_bins) / bins_per_octave)
+    n = np.arange(4 * hop) - 2 * hop
+    return np.exp(2j * np.pi * freqs[:, None] * n[None, :] / sr)
+
+
 def inverse_cqt(spectra: DataFrame, sr: float, hop: int, f_min: float, n_bins: int, bins_per_octave: int = 12) -> DataFrame:
     """(clip_id, n, x): windowed sinusoids of every bin and frame, summed where they overlap."""
-    freqs = f_min * 2.0 ** (np.arange(n_bins) / bins_per_octave)
-    size = 4 * hop
-    n = np.arange(size) - size // 2
-    wave = np.exp(2j * np.pi * freqs[:, None] * n[None, :] / sr)
+    wave = sinusoids(sr, hop, f_min, n_bins, bins_per_octave)
     bank = np.concatenate([wave.real, -wave.imag])
 
     frames = spectral.map_frames(spectra.select("clip_id", "t", F.concat("re", "im").alias("c_")), "c_", ["v"], lambda c: (2 * c @ bank,))
-    return spectral.overlap_add(frames, size, hop, "hann", size // 2)
+    return spectral.overlap_add(frames, 4 * hop, hop, "hann", 2 * hop)
 
 
 def resolution_table(spark: SparkSession, f_min: float, n_bins: int, sr: float, bins_per_octave: int = 12, kind: str = "cq", gamma: float = 0.0) -> DataFrame:
@@ -136,19 +139,16 @@ def separate_by_masks(spectra: DataFrame, masks: DataFrame, n_fft: int, hop: int
     """
     joined = spectra.join(masks, ["clip_id", "t"])
     kept = spectral.complex_multiply(joined, ("re", "im"), ("mre", "mim"), ("r2", "i2"))
-    keyed = kept.select(F.struct("clip_id", "source").alias("clip_id"), "t", F.col("r2").alias("re"), F.col("i2").alias("im"))
-    return spectral.istft(keyed, n_fft, hop).select("clip_id.clip_id", "clip_id.source", "n", "x")
-
-
-def inverse_cqt_magnitude(magnitudes: DataFrame, sr: float, hop: int, f_min: float, n_bins: int, bins_per_octave: int = 12, rounds: int = 4, seed: int = 1) -> DataFrame:
-    """(clip_id, n, x) from magnitudes alone: phases start as hashes and are those of the signal so far in each round."""
-    start = f"transform(v, (x, i) -> 2 * pi() * pmod(xxhash64(clip_id, t, i, {seed}), 1000003) / 1000003)"
-    kept = magnitudes.select("clip_id", "t", F.col("v").alias("mag"))
-    polar = kept.withColumn("angle", F.expr(start.replace("(v,", "(mag,")))
-    for _ in range(rounds):
-        spectra = spectral.from_polar(polar).select("clip_id", "t", "re", "im")
-        again = spectral.cqt(to_clips(inverse_cqt(spectra, sr, hop, f_min, n_bins, bins_per_octave)), sr, hop, f_min, n_bins, bins_per_octave)
-        angles = spectral.phase(again).withColumnRenamed("v", "angle")
-        # Frames past the signal's end keep their phase.
-        polar = cut(kept.join(angles, ["clip_id", "t"], "left").withColumn("angle", F.coalesce("angle", F.expr("transform(mag, x -> 0D)"))))
-    return inverse_cqt(spectral.from_polar(polar).select("clip_id", "t", "re", "im"), sr, hop, f_min, n_bins, bins_per_octave)
+    return spectral.istft(kept.select("clip_id", "source", "t", F.col("r2").alias("re"), F.col("i2").alias("im")), n_fft, hop, keys=("clip_id", "source"))
+
+
+def inverse_cqt_magnitude(magnitudes: DataFrame, sr: float, hop: int, f_min: float, n_bins: int, bins_per_octave: int = 12, rounds: int = 32, seed: int = 1, angle: str | None = None) -> DataFrame:
+    """(clip_id, n, x) from magnitudes alone: phases start as hashes, or as ``angle`` says, and are those of the signal so far in each round.
+
+    Blocks and first phases as in ``griffin_lim``.
+    """
+    wave = sinusoids(sr, hop, f_min, n_bins, bins_per_octave)
+    bank = spectral.cqt_kernels(sr, f_min, n_bins, bins_per_octave)
+    project = blocks.Projection(hop, blocks.hann(4 * hop), lambda c: 2 * (c.real @ wave.real - c.imag @ wave.imag), lambda v: v @ bank, len(bank))
+    spectra = blocks.rebuilt(blocks.polar_start(magnitudes, angle or blocks.hashed_phase(seed)), project, rounds, 0.0, best_of=False)
+    return inverse_cqt(spectra, sr, hop, f_min, n_bins, bins_per_octave)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,60 +110,6 @@ def recurrence_statistics(links: DataFrame, sizes: DataFrame, least: int = 2) ->
     return joined.select("clip_id", (F.coalesce("links_", F.lit(0)) / (F.col("n_frames") * F.col("n_frames"))).alias("rr"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("det", "l", "lam", "tt")))
 
 
-def warp(cost: np.ndarray, subsequence: bool = False, band: int | None = None) -> tuple[float, list[tuple[int, int]]]:
-    """Cost and path of the cheapest alignment with steps down, right and diagonal; ties go diagonal, up, left."""
-    n, m = cost.shape
-    acc = np.full((n + 1, m + 1), np.inf)
-    acc[0, 0] = 0
-    if subsequence:
-        acc[0, :] = 0
-    for i in range(1, n + 1):
-        lo, hi = (1, m) if band is None else (max(1, int(i * m / n) - band), min(m, int(i * m / n) + band))
-        up = np.minimum(acc[i - 1, lo - 1 : hi], acc[i - 1, lo : hi + 1])
-        left = acc[i, lo - 1]
-        for j in range(lo, hi + 1):
-            left = cost[i - 1, j - 1] + min(up[j - lo], left)
-            acc[i, j] = left
-    j = int(acc[n, 1:].argmin()) + 1 if subsequence else m
-    best, i, path = float(acc[n, j]), n, []
-    while i > 0 and (j > 0):
-        path.append((i - 1, j - 1))
-        if i == 1 and (subsequence or j == 1):
-            break
-        steps = (acc[i - 1, j - 1], acc[i - 1, j], acc[i, j - 1])
-        k = steps.index(min(steps))
-        i, j = i - (k < 2), j - (k != 1)
-    return best, path[::-1]
-
-
-def align(pairs: DataFrame, metric: str = "euclidean", subsequence: bool = False, band: int | None = None) -> DataFrame:
-    """(pair_id, cost, normalised, path) for rows (pair_id, x, y), x and y arrays of frames (arrays of numbers).
-
-    Each row is one alignment; rows are the unit of parallelism.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                a, b = np.array(x, dtype=float), np.array(y, dtype=float)
-                if not len(a) or not len(b):
-                    out.append((key, None, None, []))
-                    continue
-                if metric == "euclidean":
-                    cost = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-                elif metric == "manhattan":
-                    cost = np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2)
-                else:
-                    n = np.sqrt((a**2).sum(axis=1))[:, None] * np.sqrt((b**2).sum(axis=1))[None, :]
-                    cost = np.where(n > 0, 1 - (a @ b.T) / np.where(n > 0, n, 1), 1.0)
-                best, path = warp(cost, subsequence, band)
-                out.append((key, best, best / len(path), [{"i": i, "j": j} for i, j in path]))
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["pair_id", "cost", "normalised", "path"])
-
-    return pairs.select(F.col("pair_id").cast("long"), "x", "y").mapInArrow(run, "pair_id long, cost double, normalised double, path array<struct<i:int,j:int>>")
-
-
 def synchronise(frames: DataFrame, bounds: DataFrame, how: str = "mean") -> DataFrame:
     """(clip_id, seg, v): features folded over the segments between boundaries (clip_id, b), 0 and the end added.
 

@@ -11,23 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.functions.arrays import let, literal
+from wavemill.functions.arrays import let
+from wavemill.operators import scan
+from wavemill.operators.blocks import Projection, hashed_phase, matrix, overlap_add_blocks, polar_start, rebuilt, rows_of, samples_of
 from wavemill.operators.frames import apply_window, frame
-from wavemill.operators.lineage import cut
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column of equal lengths."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
-def rows_of(m: np.ndarray) -> pa.ListArray:
-    m = np.ascontiguousarray(m, dtype=np.float64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
 
 
 def map_frames(rows: DataFrame, column: str, outputs: list[str], step: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
@@ -78,23 +68,20 @@ def complex_multiply(rows: DataFrame, a: tuple[str, str], b: tuple[str, str], ou
     return rows.withColumns({out[0]: F.expr(re), out[1]: F.expr(im)})
 
 
-def istft(spectra: DataFrame, n_fft: int = 2048, hop: int = 512, window: str = "hann", center: bool = True, length: int | None = None) -> DataFrame:
-    """(clip_id, n, x): windowed inverse frames summed where they overlap, over the sum of squared windows.
+def istft(spectra: DataFrame, n_fft: int = 2048, hop: int = 512, window: str = "hann", center: bool = True, length: int | None = None, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """(keys, n, x): windowed inverse frames summed where they overlap, over the sum of squared windows."""
+    return samples_of(istft_blocks(spectra, n_fft, hop, window, center, length, keys), keys)
 
-    The overlap-add is a grouping of samples by place, so a long clip is many tasks' work.
-    """
-    frames = map_frames(spectra.select("clip_id", "t", F.concat("re", "im").alias("c_")), "c_", ["v"], lambda c: (np.fft.irfft(c[:, : c.shape[1] // 2] + 1j * c[:, c.shape[1] // 2 :], n=n_fft, axis=1),))
-    return overlap_add(frames, n_fft, hop, window, n_fft // 2 if center else 0, length)
+
+def istft_blocks(spectra: DataFrame, n_fft: int = 2048, hop: int = 512, window: str = "hann", center: bool = True, length: int | None = None, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """The same as stretches of samples (keys, n, y)."""
+    frames = map_frames(spectra.select(*keys, "t", F.concat("re", "im").alias("c_")), "c_", ["v"], lambda c: (np.fft.irfft(c[:, : c.shape[1] // 2] + 1j * c[:, c.shape[1] // 2 :], n=n_fft, axis=1),))
+    return overlap_add_blocks(frames, n_fft, hop, np.asarray(window_values(window, n_fft)), n_fft // 2 if center else 0, length, keys)
 
 
 def overlap_add(frames: DataFrame, n_fft: int, hop: int, window: str = "hann", trim: int = 0, length: int | None = None) -> DataFrame:
-    w = np.asarray(window_values(window, n_fft))
-    samples = frames.withColumn("w_", F.expr(literal(w))).select("clip_id", "t", F.posexplode(F.arrays_zip("v", "w_")).alias("i", "p"))
-    at = F.col("t").cast("long") * hop + F.col("i") - trim
-    summed = samples.select("clip_id", at.alias("n"), (F.col("p.v") * F.col("p.w_")).alias("xw"), (F.col("p.w_") * F.col("p.w_")).alias("ww")).groupBy("clip_id", "n").agg(F.sum("xw").alias("xw"), F.sum("ww").alias("ww"))
-    last = frames.groupBy(F.col("clip_id").alias("c_")).agg((F.max("t").cast("long") * hop + (0 if trim else n_fft)).alias("end_"))
-    kept = summed.join(last, F.col("clip_id") == F.col("c_")).where((F.col("n") >= 0) & (F.col("n") < (F.lit(length) if length is not None else F.col("end_"))))
-    return kept.select("clip_id", "n", (F.col("xw") / F.greatest(F.col("ww"), F.lit(1e-10))).alias("x"))
+    """(clip_id, n, x) of frames times a window, summed by blocks of frames, so that a long clip is many tasks' work."""
+    return samples_of(overlap_add_blocks(frames, n_fft, hop, np.asarray(window_values(window, n_fft)), trim, length))
 
 
 def window_values(kind: str, length: int) -> list[float]:
@@ -190,35 +177,23 @@ def mfcc(clips: DataFrame, sr: float = 22050, n_fft: int = 2048, hop: int = 512,
     return cepstrum(top_db(mel_spectrogram(clips, sr, n_fft, hop, n_mels), floor), n_mfcc, n_mels, lifter)
 
 
-def griffin_lim(magnitudes: DataFrame, n_fft: int, hop: int, iterations: int = 32, momentum: float = 0.99, window: str = "hann", seed: int = 1) -> DataFrame:
-    """(clip_id, n, x): signals whose spectra come near the magnitudes. Each round is an inverse and a forward transform.
+def griffin_lim(magnitudes: DataFrame, n_fft: int, hop: int, iterations: int = 32, momentum: float = 0.99, window: str = "hann", seed: int = 1, angle: str | None = None) -> DataFrame:
+    """(clip_id, n, x): signals whose spectra come near the magnitudes, with the phases of the round of the smallest error.
 
-    The first phases are a hash of clip, frame and bin, so reruns agree. Rounds are joins on (clip_id, t), and each
-    ends the lineage of the one before.
+    The first phases are a hash of clip, frame and bin, so reruns agree, or ``angle``, SQL of clip_id, t and the bin i. Clips are cut
+    into blocks of frames that make several rounds before they meet again.
     """
-    start = f"transform(v, (x, i) -> 2 * pi() * pmod(xxhash64(clip_id, t, i, {seed}), 1000003) / 1000003)"
-    spectra = from_polar(magnitudes.select("clip_id", "t", F.col("v").alias("mag"), F.expr(start).alias("angle"))).select("clip_id", "t", "mag", "re", "im")
-    before = None
-    for _ in range(iterations):
-        signal = istft(spectra, n_fft, hop, window)
-        clips = signal.groupBy("clip_id").agg(F.expr("transform(array_sort(collect_list(struct(n, x))), s -> s.x)").alias("y"))
-        again = stft(clips, n_fft, hop, window).select("clip_id", "t", F.col("re").alias("r1"), F.col("im").alias("i1"))
-        step = again.join(spectra.select("clip_id", "t", "mag"), ["clip_id", "t"])
-        if before is not None and momentum:
-            step = step.join(before, ["clip_id", "t"])
-            a = momentum / (1 + momentum)
-            step = step.withColumns({"r2": F.expr(f"zip_with(r1, r0, (x, z) -> x - {a!r}D * z)"), "i2": F.expr(f"zip_with(i1, i0, (x, z) -> x - {a!r}D * z)")})
-        else:
-            step = step.withColumns({"r2": F.col("r1"), "i2": F.col("i1")})
-        angle = step.withColumn("angle", F.expr("zip_with(r2, i2, (a, b) -> atan2(b, a))"))
-        both = cut(from_polar(angle).select("clip_id", "t", "mag", "re", "im", "r1", "i1"))
-        before = both.select("clip_id", "t", F.col("r1").alias("r0"), F.col("i1").alias("i0"))
-        spectra = both.select("clip_id", "t", "mag", "re", "im")
+    w = np.asarray(window_values(window, n_fft))
+    project = Projection(hop, w, lambda c: np.fft.irfft(c, n=n_fft, axis=2), lambda v: np.fft.rfft(v * w, axis=2), n_fft)
+    spectra = rebuilt(polar_start(magnitudes, angle or hashed_phase(seed)), project, iterations, momentum)
     return istft(spectra, n_fft, hop, window)
 
 
 def vocode(spectra: DataFrame, rate: float, n_fft: int, hop: int) -> DataFrame:
-    """Frames at ``rate`` times the speed: magnitudes interpolated, phase advances summed along the clip."""
+    """Frames at ``rate`` times the speed: magnitudes interpolated, phase advances summed along the clip.
+
+    Frames of zero and more are made of the two next to their place, found by joins on it.
+    """
     turn = f"2 * pi() * {hop} / {n_fft}"
     frames = spectra.select("clip_id", "t", F.expr("zip_with(re, im, (a, b) -> sqrt(a * a + b * b))").alias("m"), F.expr("zip_with(re, im, (a, b) -> atan2(b, a))").alias("p"))
     last = frames.groupBy(F.col("clip_id").alias("c_")).agg(F.max("t").alias("last_"))
@@ -228,12 +203,13 @@ def vocode(spectra: DataFrame, rate: float, n_fft: int, hop: int) -> DataFrame:
     both = outs.join(a, (F.col("c_") == F.col("c1")) & (F.col("lo") == F.col("t1"))).join(b, (F.col("c_") == F.col("c2")) & (F.least(F.col("lo") + 1, F.col("last_")) == F.col("t2")))
     step = f"transform(p1, (x, k) -> {let(f'p2[k] - x - k * {turn}', 'd', f'k * {turn} + d - 2 * pi() * round(d / (2 * pi()))')})"
     made = both.select(F.col("c_").alias("clip_id"), F.col("u").alias("t"), F.expr("zip_with(m1, m2, (x, y) -> x + (pos - lo) * (y - x))").alias("mag"), "p1", F.expr(step).alias("step"))
-    bins = made.select("clip_id", "t", F.posexplode(F.arrays_zip("mag", "p1", "step")).alias("k", "z"))
-    w = Window.partitionBy("clip_id", "k").orderBy("t")
-    angle = F.first("z.p1").over(w) + F.coalesce(F.sum("z.step").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    turned = bins.select("clip_id", "t", "k", F.col("z.mag").alias("m"), angle.alias("a"))
-    made = turned.groupBy("clip_id", "t").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("m") * F.cos("a")).alias("re"), (F.col("m") * F.sin("a")).alias("im")))).alias("s"))
-    return made.select("clip_id", "t", F.expr("transform(s, x -> x.re)").alias("re"), F.expr("transform(s, x -> x.im)").alias("im"))
+    # The phase is that of the first frame and all advances since: a running sum over blocks of frames.
+    blocks = scan.blocks_of(made, ["clip_id"], "t", "step", 512)
+    first = made.where("t = 0").select("clip_id", F.col("p1").alias("s"))
+    summed = scan.recurrence(blocks, ["clip_id"], 1.0, initial=first, before=True)
+    width = "cast(size(s) / size(t) as int)"
+    turned = summed.select("clip_id", F.posexplode("t").alias("i_", "t"), F.col("s"), F.expr(width).alias("w_")).select("clip_id", F.col("t").cast("int").alias("t"), F.expr("slice(s, i_ * w_ + 1, w_)").alias("angle"))
+    return from_polar(made.select("clip_id", "t", "mag").join(turned, ["clip_id", "t"])).select("clip_id", "t", "re", "im")
 
 
 def time_stretch(clips: DataFrame, rate: float, n_fft: int = 2048, hop: int = 512) -> DataFrame:
@@ -252,16 +228,20 @@ def kernels(freqs: np.ndarray, sr: float, length: int, q: float, gamma: float =
     return out
 
 
+def cqt_kernels(sr: float, f_min: float, n_bins: int, bins_per_octave: int = 12, gamma: float = 0.0, length: int | None = None) -> np.ndarray:
+    """The transform's matrix (samples, bins)."""
+    freqs = f_min * 2.0 ** (np.arange(n_bins) / bins_per_octave)
+    q = 1 / (2 ** (1 / bins_per_octave) - 1)
+    return kernels(freqs, sr, length or int(math.ceil(sr / (freqs[0] / q + gamma))), q, gamma).T.copy()
+
+
 def cqt(clips: DataFrame, sr: float, hop: int, f_min: float, n_bins: int, bins_per_octave: int = 12, gamma: float = 0.0, length: int | None = None) -> DataFrame:
     """(clip_id, t, re, im): constant-Q transform by correlation with kernels; with ``gamma`` a variable Q.
 
     Frames are centred on multiples of ``hop``; ``length`` (default: the longest kernel) is the frame's.
     """
-    freqs = f_min * 2.0 ** (np.arange(n_bins) / bins_per_octave)
-    q = 1 / (2 ** (1 / bins_per_octave) - 1)
-    size = length or int(math.ceil(sr / (freqs[0] / q + gamma)))
-    bank = kernels(freqs, sr, size, q, gamma).T.copy()
-    frames = frame(clips, size, hop, size // 2)
+    bank = cqt_kernels(sr, f_min, n_bins, bins_per_octave, gamma, length)
+    frames = frame(clips, len(bank), hop, len(bank) // 2)
 
     def step(v: np.ndarray) -> tuple[np.ndarray, ...]:
         c = v @ bank

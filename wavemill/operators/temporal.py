@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from wavemill.functions.arrays import bound, leaky, let, total, upper_median
+from wavemill.operators import scan
 
 
 def whole() -> WindowSpec:
@@ -62,11 +63,39 @@ def tracks(values: DataFrame, name: str = "y") -> DataFrame:
     return made.select("clip_id", "f", F.expr("transform(s_, s -> s.x)").alias(name))
 
 
-def pcen(values: DataFrame, b: float = 0.5927, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, eps: float = 1e-6) -> DataFrame:
-    """(clip_id, f, y, m, final): per-channel energy normalisation by a smoothed past m, which starts from one."""
-    smooth = tracks(values).withColumn("m", leaky("y", 1 - b, b, 1.0))
-    body = f"power({bias!r}D, {power!r}D) * expm1({power!r}D * ln(1 + e * exp(-{gain!r}D * (ln({eps!r}D) + ln(1 + m / {eps!r}D))) / {bias!r}D))"
-    return smooth.select("clip_id", "f", F.expr(f"zip_with(y, m, (e, m) -> {body})").alias("y"), "m", F.element_at("m", -1).alias("final"))
+def pcen(values: DataFrame, b: float = 0.5927, gain: float = 0.98, bias: float = 2.0, power: float = 0.5, eps: float = 1e-6, initial: DataFrame | None = None) -> DataFrame:
+    """(clip_id, f, t, y, m): per-channel energy normalisation of tall values by a smoothed past m.
+
+    The past starts from one, or from a track's row of ``initial`` (clip_id, f, s), an array of one number as ``pcen_state`` gives it.
+    """
+    return scan.unrolled(_smoothed(values, b, initial), ["clip_id", "f"], y=f"power({bias!r}D, {power!r}D) * expm1({power!r}D * ln(1 + v * exp(-{gain!r}D * (ln({eps!r}D) + ln(1 + s / {eps!r}D))) / {bias!r}D))", m="s")
+
+
+def pcen_state(values: DataFrame, b: float = 0.5927, initial: DataFrame | None = None) -> DataFrame:
+    """(clip_id, f, s): the past at the end of every track, from which a later part of it goes on."""
+    return scan.final_states(_smoothed(values, b, initial), ["clip_id", "f"])
+
+
+def _smoothed(values: DataFrame, b: float, initial: DataFrame | None) -> DataFrame:
+    return scan.recurrence(scan.blocks_of(values, ["clip_id", "f"]), ["clip_id", "f"], 1 - b, b, 1.0, initial)
+
+
+def preemphasis_tall(samples: DataFrame, c: float = 0.97, steps: int = scan.STEPS) -> DataFrame:
+    """(clip_id, n, x): ``preemphasis`` of tall samples; a block gets the last sample before it."""
+    blocks = scan.blocks_of(samples, ["clip_id"], "n", "x", steps)
+    lasts = blocks.select("clip_id", (F.col("b") + 1).alias("b"), F.element_at("v", -1).alias("p_"))
+    first = "x + (case when size(v) > 1 then 2 * x - v[1] else 0D end)"
+    y = f"transform(v, (x, i) -> case when i > 0 then x - {c!r}D * v[i - 1] when p_ is null then {first} else x - {c!r}D * p_ end)"
+    joined = blocks.join(lasts, ["clip_id", "b"], "left").withColumn("s", F.expr(y))
+    return scan.unrolled(joined, ["clip_id"], x="s").withColumnRenamed("t", "n")
+
+
+def deemphasis_tall(samples: DataFrame, c: float = 0.97, steps: int = scan.STEPS) -> DataFrame:
+    """(clip_id, n, x): inverse of ``preemphasis_tall`` for signals of two samples and more, as a distributed recurrence."""
+    blocks = scan.blocks_of(samples, ["clip_id"], "n", "x", steps)
+    # The first sample without what was put before it, so that the recurrence starts from nothing.
+    bare = f"case when b = 0 and size(v) > 1 then transform(v, (x, i) -> case when i = 0 then x - ({2 - c!r}D * x - v[1]) / {3 - c!r}D else x end) else v end"
+    return scan.unrolled(scan.recurrence(blocks.withColumn("v", F.expr(bare)), ["clip_id"], c), ["clip_id"], x="s").withColumnRenamed("t", "n")
 
 
 def preemphasis(y: str = "y", c: float = 0.97) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import units
+from wavemill.operators import alignment as warping
 from wavemill.operators import augment, decompose, events, features, frames, pitch, rates, recurrent, similarity, spectral, statistics, temporal
 from wavemill.plans import chains
 
@@ -228,7 +229,7 @@ def stack_memory(spark, sf_dir):
 @query(f"""with {U_S}, m as (select a.clip_id, a.n, any_value(a.x) as x, sum(0.2 * pow(0.8, a.n - b.n) * b.x) + any_value(pow(0.8, a.n + 1)) as m from s a join s b on a.clip_id = b.clip_id and b.n <= a.n group by a.clip_id, a.n)
 select clip_id, cast(n as integer) as t, round(sqrt(2) * (exp(0.5 * ln(1 + x * exp(-0.98 * (ln(1e-6) + ln(1 + m / 1e-6))) / 2)) - 1), 6) as x from m""")
 def pcen(spark, sf_dir):
-    return points(temporal.pcen(tall_users(spark, sf_dir), b=0.2), "y", "clip_id", name="t")
+    return temporal.pcen(tall_users(spark, sf_dir), b=0.2).select("clip_id", F.col("t").cast("int").alias("t"), r6("y").alias("x"))
 
 
 @query(f"with {U_S} select clip_id, cast(n as integer) as i, round(case when n = 0 then x + (2 * x - lead(x) over v) else x - 0.97 * lag(x) over v end, 6) as x from s window v as (partition by clip_id order by n)")
@@ -399,7 +400,7 @@ def constant_q(spark, sf_dir):
 
 @query()
 def griffin_lim(spark, sf_dir):
-    return tall_rounded(spectral.griffin_lim(magnitudes(spark, sf_dir), N, HOP, 3))
+    return tall_rounded(spectral.griffin_lim(magnitudes(spark, sf_dir), N, HOP))
 
 
 @query()
@@ -415,8 +416,8 @@ def hpss_masks(spark, sf_dir):
 
 @query()
 def nmf_activations(spark, sf_dir):
-    _, act = decompose.nmf(magnitudes(spark, sf_dir), N // 2 + 1, 3, 20)
-    return points(act, "v", "clip_id", "t", name="k")
+    found = decompose.nmf(magnitudes(spark, sf_dir), N // 2 + 1, 3)
+    return points(found.activations, "v", "clip_id", "t", name="k")
 
 
 @query()
@@ -451,7 +452,7 @@ def split_silence(spark, sf_dir):
 def alignment(spark, sf_dir):
     rows = emb(spark, sf_dir).withColumn("f", F.expr("transform(y, z -> array(z))"))
     pairs = rows.where("clip_id % 2 = 0").alias("a").join(rows.alias("b"), F.expr("b.clip_id = a.clip_id + 1")).select(F.col("a.clip_id").alias("pair_id"), F.col("a.f").alias("x"), F.col("b.f").alias("y"))
-    return similarity.align(pairs).select("pair_id", r6("cost").alias("cost"), F.size("path").alias("steps"))
+    return warping.align(pairs).select("pair_id", r6("cost").alias("cost"), F.size("path").alias("steps"))
 
 
 @query()
@@ -620,11 +621,11 @@ def noise_colours(spark, sf_dir):
 def subsequence_alignment(spark, sf_dir):
     rows = emb(spark, sf_dir).withColumn("f", F.expr("transform(y, z -> array(z))"))
     pairs = rows.select(F.col("clip_id").alias("pair_id"), F.expr("slice(f, 21, 12)").alias("x"), F.col("f").alias("y"))
-    found = similarity.align(pairs, subsequence=True)
+    found = warping.align(pairs, subsequence=True)
     return found.select("pair_id", r6("cost").alias("cost"), F.col("path")[0]["j"].alias("start"))
 
 
 @query()
 def inverse_cqt_magnitude(spark, sf_dir):
     mags = spectral.magnitude(rates.vqt(emb(spark, sf_dir), SR, 8, 4.0, 12, 2.0))
-    return tall_rounded(rates.inverse_cqt_magnitude(mags, SR, 8, 4.0, 12, rounds=2))
+    return tall_rounded(rates.inverse_cqt_magnitude(mags, SR, 8, 4.0, 12))
