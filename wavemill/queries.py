@@ -398,28 +398,12 @@ def constant_q(spark, sf_dir):
     return points(spectral.magnitude(spectral.cqt(emb(spark, sf_dir), SR, 8, 8.0, 12)), "v", "clip_id", "t", name="k")
 
 
-@query()
-def griffin_lim(spark, sf_dir):
-    return tall_rounded(spectral.griffin_lim(magnitudes(spark, sf_dir), N, HOP))
-
-
-@query()
-def time_stretch(spark, sf_dir):
-    return tall_rounded(spectral.time_stretch(emb(spark, sf_dir), 1.25, N, HOP))
-
-
 @query()
 def hpss_masks(spark, sf_dir):
     m = decompose.hpss(magnitudes(spark, sf_dir), 7, 5)
     return m.select("clip_id", "t", "f", r6("harmonic").alias("harmonic"), r6("percussive").alias("percussive"))
 
 
-@query()
-def nmf_activations(spark, sf_dir):
-    found = decompose.nmf(magnitudes(spark, sf_dir), N // 2 + 1, 3)
-    return points(found.activations, "v", "clip_id", "t", name="k")
-
-
 @query()
 def pitch_track(spark, sf_dir):
     p = pitch.pitches(users(spark, sf_dir), SR, 32, 8, 4.0, 20.0)
