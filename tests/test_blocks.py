@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.operators import alignment, blocks, decompose, frames, rates, scan, spectral, temporal
+from wavemill.operators import alignment, blocks, decompose, events, frames, order, rates, scan, similarity, spectral, statistics, temporal
 
 
 def tall(spark, *signals):
@@ -250,3 +250,91 @@ def test_tall_frames_match_short_ones(spark):
     clips = spark.createDataFrame([(0, y.tolist())], "clip_id long, y array<double>")
     a, b = ({r.t: r.v for r in f.collect()} for f in (frames.frame(clips, 16, 5, 8), frames.frame_tall(frames.tall(clips), 16, 5, 8)))
     assert a == b
+
+
+def test_medians_of_long_clips_by_blocks(spark):
+    rng = np.random.default_rng(11)
+    clips = [rng.integers(0, 9, (n, 6)).astype(float) for n in (1, 3, 64, 200)]
+    plain = lambda x, size: [sorted(x[max(0, i - size // 2) : i + size // 2 + 1])[min(len(x), i + size // 2 + 1) - max(0, i - size // 2) >> 1] for i in range(len(x))]
+    for a, b in ((7, 5), (1, 3), (31, 31)):
+        got = {(r.clip_id, r.t): (r.harmonic, r.percussive) for r in decompose.hpss_frames(spectra_rows(spark, *clips), a, b).collect()}
+        assert len(got) == sum(map(len, clips))
+        for k, c in enumerate(clips):
+            h = np.array([plain(c[:, f].tolist(), a) for f in range(6)]).T ** 2
+            p = np.array([plain(v.tolist(), b) for v in c]) ** 2
+            assert np.allclose([got[k, t] for t in range(len(c))], np.stack([h / (h + p + 1e-10), p / (h + p + 1e-10)], axis=1))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_neighbours_of_long_clips_by_blocks(spark, metric):
+    """Small whole numbers, so that many distances are equal and ties go by place."""
+    rng = np.random.default_rng(12)
+    clips = [rng.integers(0, 3, (n, 3)).astype(float) for n in (1, 2, 5, 150)]
+    rows = spectra_rows(spark, *clips)
+    pairs = {(r.clip_id, r.i, r.j): r.dist for r in similarity.band_pairs(rows, 4, metric).collect()}
+    near = {(r.clip_id, r.i, r["rank"]): r.j for r in similarity.nearest_in_band(rows, 4, 3, metric).collect()}
+    filtered = {(r.clip_id, r.t): r.v for r in similarity.neighbour_filter(rows, 4, 3, "median", metric).collect()}
+    want, first, medians = {}, {}, {}
+    for k, c in enumerate(clips):
+        dist = alignment.costs(c, c, metric)
+        for i in range(len(c)):
+            own = [(float(np.round(dist[i, j], 12)), j) for j in range(max(0, i - 4), min(len(c), i + 5)) if j != i]
+            want |= {(k, i, j): d for d, j in own}
+            chosen = sorted(own)[:3]
+            first |= {(k, i, n + 1): j for n, (_, j) in enumerate(chosen)}
+            if chosen:
+                medians[k, i] = np.median([c[j] for _, j in chosen], axis=0)
+    assert pairs.keys() == want.keys() and np.allclose([pairs[x] for x in want], list(want.values()))
+    if metric != "cosine":  # whose equal distances differ in their last digits
+        assert near == first and filtered.keys() == medians.keys() and all(np.allclose(filtered[x], medians[x]) for x in medians)
+
+
+def test_order_statistics_of_groups(spark):
+    rng = np.random.default_rng(13)
+    groups = {"a": rng.integers(0, 5, 500).astype(float), "b": rng.normal(size=37), None: rng.normal(size=4), "d": np.array([2.0])}
+    rows = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("b", None), ("e", None)], "g string, x double").repartition(5)
+    places = order.placed(rows, ["g"], "x")
+    seen = {(r.g, r.x): (r.n, r.before) for r in places.collect()}
+    for g, v in groups.items():
+        for x in v:
+            assert seen[g, x] == ((v == x).sum(), (v < x).sum())
+    got = {r.g: r for r in statistics.summary(rows, ["g"], "x").collect()}
+    late = {r.g: r for r in statistics.latency(rows, ["g"], "x", 1.0).collect()}
+    for g, v in groups.items():
+        assert np.allclose([got[g].p50, got[g].p90, got[g].p95, got[g].p99], np.percentile(v, [50, 90, 95, 99])) and got[g].n == len(v)
+        assert late[g].p95 == np.sort(v)[min(len(v) - 1, math.floor(len(v) * 0.95))]
+    left = {}
+    for r in events.without_outliers(rows, ["g"], "x").collect():
+        left.setdefault(r.g, []).append(r.x)
+    for g, v in groups.items():
+        s = np.sort(v)
+        a, b = s[len(s) // 4], s[3 * len(s) // 4]
+        assert sorted(left[g]) == [x for x in s if a - 1.5 * (b - a) <= x <= b + 1.5 * (b - a)]
+
+
+@pytest.mark.parametrize(("a", "b", "quality"), [(2, 3, "low"), (3, 2, "medium"), (4, 1, "high"), (1, 4, "very_high"), (48000, 44100, "medium")])
+def test_polyphase_by_blocks_and_by_definition(spark, a, b, quality):
+    rng = np.random.default_rng(14)
+    signals = [rng.normal(size=n) for n in (1, 40, 79, 80, 81, 400)]
+    change = rates.Polyphase.of(a, b, quality)
+    clips = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(signals)], "clip_id long, y array<double>")
+    whole = {r.clip_id: np.array(r.y) for r in rates.resample(clips, a, b, quality).collect()}
+    parts = blocks.samples_of(rates.resample_blocks(blocks.sample_blocks(frames.tall(clips), 80), a, b, quality, 80))
+    cut = {}
+    for r in parts.orderBy("clip_id", "n").collect():
+        cut.setdefault(r.clip_id, []).append(r.x)
+        assert r.n == len(cut[r.clip_id]) - 1
+    for k, s in enumerate(signals):
+        up = np.zeros(len(s) * change.up)
+        up[:: change.up] = s
+        full = np.convolve(up, change.taps)[len(change.taps) // 2 :] * change.up
+        want = full[np.arange(len(s) * change.up // change.down) * change.down]
+        assert np.allclose(whole[k], want) and np.allclose(cut.get(k, []), want)
+
+
+def test_polyphase_keeps_what_is_below_and_drops_what_is_above(spark):
+    n = np.arange(8000)
+    for f, gain in ((500, 1.0), (3500, 0.0)):
+        clips = spark.createDataFrame([(0, np.sin(2 * np.pi * f * n / 8000).tolist())], "clip_id long, y array<double>")
+        y = np.array(rates.resample(clips, 8000, 4000, "very_high").first().y)
+        assert len(y) == 4000 and abs(np.abs(y[200:-200]).max() - gain) < 0.01

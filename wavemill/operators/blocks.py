@@ -134,34 +134,104 @@ def sample_blocks(samples: DataFrame, size: int = SAMPLES) -> DataFrame:
     return made.select("clip_id", (F.col("b_") * size).alias("n"), F.expr("transform(s_, s -> s.x)").alias("y"))
 
 
+def with_neighbours(blocks: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """(clip_id, b_, own_, prev_, next_): blocks (clip_id, n, y) of ``size`` samples with the last ``before`` samples ahead of them and the first ``after``
+    behind, null where there is no such block. Only these samples are sent to another block."""
+    none = F.lit(None).cast("array<double>")
+    b = (F.col("n") / size).cast("long")
+    parts = [blocks.select("clip_id", b.alias("b_"), F.col("y").alias("own_"), none.alias("prev_"), none.alias("next_"))]
+    if before:
+        tail = F.expr(f"slice(y, greatest(1, size(y) - {before} + 1), {before})")
+        parts.append(blocks.where(F.size("y") == size).select("clip_id", (b + 1).alias("b_"), none.alias("own_"), tail.alias("prev_"), none.alias("next_")))
+    if after:
+        parts.append(blocks.where("n > 0").select("clip_id", (b - 1).alias("b_"), none.alias("own_"), none.alias("prev_"), F.slice("y", 1, after).alias("next_")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    return every.groupBy("clip_id", "b_").agg(first("own_"), first("prev_"), first("next_")).where("own_ is not null")
+
+
+def cells(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+    """The arrays of row k of a batch of ``with_neighbours``, empty ones for nulls: own, before, after."""
+    return [np.asarray(c[k].values) if c[k].is_valid else np.zeros(0) for c in batch.columns[2:5]]
+
+
 def frames_of(blocks: DataFrame, length: int, hop: int, pad: int = 0, size: int = SAMPLES) -> DataFrame:
     """(clip_id, t, v): frames of blocks (clip_id, n, y) of ``size`` samples, with ``pad`` zeros at both ends of a clip.
 
-    A frame is made where its first sample is; only the ``length`` samples that follow a block are sent to it, so that a shuffle carries
-    (size + length) / size times the samples. Frames that don't lie inside the padded clip are left out.
+    A frame is made where its first sample is; a shuffle carries (size + length) / size times the samples. Frames that don't lie inside the
+    padded clip are left out.
     """
     if length > size:
         raise ValueError("a frame is longer than a block")
-    own = blocks.select("clip_id", (F.col("n") / size).cast("long").alias("b_"), F.col("y").alias("own_"), F.lit(None).cast("array<double>").alias("next_"))
-    tails = blocks.where("n > 0").select("clip_id", (F.col("n") / size - 1).cast("long").alias("b_"), F.lit(None).cast("array<double>").alias("own_"), F.slice("y", 1, length).alias("next_"))
-    both = own.unionByName(tails).groupBy("clip_id", "b_").agg(F.first("own_", ignorenulls=True).alias("own_"), F.first("next_", ignorenulls=True).alias("next_"))
     names = ["clip_id", "t", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 b = batch.column(1)[k].as_py()
-                y, after = (np.asarray(c[k].values) if c[k].is_valid else np.zeros(0) for c in (batch.column(2), batch.column(3)))
+                y, _, after = cells(batch, k)
                 x = np.concatenate([np.zeros(pad if b == 0 else 0), y, after, np.zeros(0 if len(after) == length else pad)])
-                at = b * size - (pad if b == 0 else 0)  # where x begins in the clip
+                start = b * size - (pad if b == 0 else 0)  # where x begins in the clip
                 low = max(0, -(-(b * size + pad) // hop)) if b else 0
-                high = min((b + 1) * size - 1 + pad, at + len(x) - length + pad) // hop
+                high = min((b + 1) * size - 1 + pad, start + len(x) - length + pad) // hop
                 if len(y) and high >= low:
                     t = np.arange(low, high + 1)
-                    v = np.lib.stride_tricks.sliding_window_view(x, length)[t * hop - pad - at]
+                    v = np.lib.stride_tricks.sliding_window_view(x, length)[t * hop - pad - start]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(t), k))), pa.array(t.astype(np.int32)), rows_of(v)], names=names)
 
-    return both.mapInArrow(run, f"{typed(blocks, ['clip_id'])}, t int, v array<double>")
+    return with_neighbours(blocks, size, 0, length).mapInArrow(run, f"{typed(blocks, ['clip_id'])}, t int, v array<double>")
+
+
+def over_frames(frames: DataFrame, per: int, before: int, after: int, work: Callable[..., pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``work`` over blocks of ``per`` frames (clip_id, t, v) with ``before`` and ``after`` frames of the clip around them, many of one size at a time.
+
+    work(clip_id of each block, t (blocks, frames), v (blocks, frames, features), the own frames as a slice) gives a batch of the schema, or none.
+    Frames are numbered without gaps; where a halo is cut off, the clip ends.
+    """
+    placed = frames.select("clip_id", "t", "v").withColumn("b_", reaching("t", per, before, after))
+
+    def step(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t, b = table.column("t").to_numpy().astype(np.int64), table.column("b_").to_numpy().astype(np.int64)[starts]
+        v = matrix(column(table, "v"))
+        sizes, offset = np.diff(np.r_[starts, len(t)]), t[starts] - b * per
+        alike: dict[tuple[int, int], list[int]] = {}
+        for k, key in enumerate(zip(sizes.tolist(), offset.tolist(), strict=True)):
+            alike.setdefault(key, []).append(k)
+        for (size, first), own in alike.items():
+            mine = slice(max(0, -first), min(size, per - first))
+            most = max(1, HELD // max(1, size * v.shape[1]))
+            for k in range(0, len(own) if mine.start < mine.stop else 0, most):
+                at = starts[own[k : k + most]]
+                rows = at[:, None] + np.arange(size)
+                made = work(column(table, "clip_id").take(pa.array(at)), t[rows], v[rows], mine)
+                if made is not None:
+                    yield made
+
+    return over_groups(placed, ["clip_id", "b_"], "t", step, schema)
+
+
+def sliding_median(x: np.ndarray, half: int) -> np.ndarray:
+    """Upper medians down the first axis of x over windows of 2 * half + 1 rows, cut off at the ends; all columns move together.
+
+    The windows' values are kept sorted; a move takes one value out and puts one in, by two counts and one shift of what lies between.
+    """
+    n, width = len(x), 2 * half + 1
+    flat = x.reshape(n, -1)
+    padded = np.concatenate([np.full((half, flat.shape[1]), np.inf), flat, np.full((half + 1, flat.shape[1]), np.inf)])
+    window = np.sort(padded[:width].T, axis=1)
+    place, out = np.arange(width)[None, :], np.empty_like(flat)
+    rows = np.arange(flat.shape[1])
+    for t in range(n):
+        out[t] = window[rows, (min(n - 1, t + half) - max(0, t - half) + 1) // 2]
+        old, new = padded[t][:, None], padded[t + width][:, None]
+        p = (window < old).sum(axis=1)[:, None]
+        q = (window < new).sum(axis=1)[:, None] - (old < new)
+        left, right = np.concatenate([window[:, 1:], window[:, -1:]], axis=1), np.concatenate([window[:, :1], window[:, :-1]], axis=1)
+        window = np.where((place >= p) & (place < q), left, np.where((place > q) & (place <= p), right, window))
+        window[rows, q[:, 0]] = new[:, 0]
+    return out.reshape(x.shape)
 
 
 class Projection:
@@ -279,11 +349,12 @@ def rebuilt(start: DataFrame, project: Projection, rounds: int, momentum: float,
     if not best_of:
         return state.select("clip_id", "t", "re", "im")
     best = cut(errors.groupBy("clip_id").agg(F.min_by("round", F.struct("x", "round")).alias("best_")))
-    found = None
-    for done, k, at in stops:
+    used = {r["best_"] for r in best.select("best_").distinct().collect()}  # a row a round
+    found = state.select("clip_id", "t", "re", "im").limit(0)
+    for done, k, at in (x for x in stops if used & set(range(x[0], x[0] + x[1]))):
         chosen = best.where(F.col("best_").between(done, done + k - 1)).select("clip_id", (F.col("best_") - done + 1).cast("int").alias("stop"))
         one = advance(at.join(chosen, "clip_id"), project, k, done > 0, momentum, True, per).select("clip_id", "t", "re", "im")
-        found = one if found is None else found.unionByName(one)
+        found = found.unionByName(one)
     return found
 
 

@@ -12,23 +12,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.arrays import total
-from wavemill.operators.blocks import matrix, rows_of, typed
+from wavemill.operators.blocks import matrix, over_frames, rows_of, sliding_median, typed
 from wavemill.operators.features import tall_values, wide
 from wavemill.operators.lineage import cut
 from wavemill.operators.spectral import apply_filterbank, map_frames
-from wavemill.operators.temporal import median_filter, tracks
 
 
-def hpss(magnitudes: DataFrame, time_size: int = 31, freq_size: int = 31, power: float = 2.0, eps: float = 1e-10) -> DataFrame:
-    """(clip_id, t, f, harmonic, percussive): soft masks from medians along time and along frequency.
+def hpss_frames(magnitudes: DataFrame, time_size: int = 31, freq_size: int = 31, power: float = 2.0, eps: float = 1e-10) -> DataFrame:
+    """(clip_id, t, harmonic, percussive): soft masks from medians along time and along frequency, arrays over the bins.
 
-    Median windows are cut off at the ends and take the upper of two middles.
+    Median windows are cut off at the ends and take the upper of two middles. Frames meet in blocks with half a window around them, so
+    each is shuffled about once and no clip is an array.
     """
-    along_time = tracks(tall_values(magnitudes)).select("clip_id", "f", F.posexplode(median_filter("y", time_size)).alias("t", "h"))
-    along_freq = magnitudes.select("clip_id", "t", F.posexplode(median_filter("v", freq_size)).alias("f", "p"))
-    both = along_time.join(along_freq, ["clip_id", "t", "f"])
-    h, p = F.pow("h", F.lit(power)), F.pow("p", F.lit(power))
-    return both.select("clip_id", "t", "f", (h / (h + p + eps)).alias("harmonic"), (p / (h + p + eps)).alias("percussive"))
+    half = time_size // 2
+
+    def work(clip: pa.Array, t: np.ndarray, v: np.ndarray, mine: slice) -> pa.RecordBatch:
+        g, size, bins = v.shape
+        own = v[:, mine]
+        h = sliding_median(np.swapaxes(v, 0, 1), half)[mine].swapaxes(0, 1) ** power
+        p = np.moveaxis(sliding_median(np.moveaxis(own, 2, 0), freq_size // 2), 0, 2) ** power
+        n = own.shape[1]
+        flat = [(x / (h + p + eps)).reshape(g * n, bins) for x in (h, p)]
+        return pa.RecordBatch.from_arrays([clip.take(pa.array(np.repeat(np.arange(g), n))), pa.array(t[:, mine].ravel().astype(np.int32)), *map(rows_of, flat)], names=["clip_id", "t", "harmonic", "percussive"])
+
+    return over_frames(magnitudes, max(64, 16 * half), half, half, work, f"{typed(magnitudes, ['clip_id'])}, t int, harmonic array<double>, percussive array<double>")
+
+
+def hpss(magnitudes: DataFrame, time_size: int = 31, freq_size: int = 31, power: float = 2.0, eps: float = 1e-10) -> DataFrame:
+    """(clip_id, t, f, harmonic, percussive): the masks of ``hpss_frames``, a row a value."""
+    rows = hpss_frames(magnitudes, time_size, freq_size, power, eps).select("clip_id", "t", F.posexplode(F.arrays_zip("harmonic", "percussive")).alias("f", "z"))
+    return rows.select("clip_id", "t", "f", "z.harmonic", "z.percussive")
 
 
 def apply_mask(frames: DataFrame, mask: DataFrame, column: str) -> DataFrame:

@@ -122,10 +122,9 @@ def trim_silence(spans: DataFrame) -> DataFrame:
 
 
 def without_outliers(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Rows within one and a half quartile ranges; quartiles are the values at a quarter and three quarters of the count."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumns({"i_": F.row_number().over(w.orderBy(value)) - 1, "n_": F.count(F.lit(1)).over(w)})
-    q1 = F.max(F.when(F.col("i_") == F.floor(F.col("n_") / 4), F.col(value))).over(w)
-    q3 = F.max(F.when(F.col("i_") == F.floor(3 * F.col("n_") / 4), F.col(value))).over(w)
-    marked = ranked.withColumns({"a_": q1, "b_": q3})
-    return marked.where(F.col(value).between(F.col("a_") - 1.5 * (F.col("b_") - F.col("a_")), F.col("b_") + 1.5 * (F.col("b_") - F.col("a_")))).drop("i_", "n_", "a_", "b_")
+    """Rows within one and a half quartile ranges; quartiles are the values at a quarter and three quarters of the count. Null values go."""
+    from wavemill.operators import order
+
+    found = order.at(order.placed(rows, by, value), by, value, {"a_": F.floor(F.col("n_") / 4), "b_": F.floor(3 * F.col("n_") / 4)})
+    marked = order.joined_to(rows, found, by, ["a_", "b_"])
+    return marked.where(F.col(value).between(F.col("a_") - 1.5 * (F.col("b_") - F.col("a_")), F.col("b_") + 1.5 * (F.col("b_") - F.col("a_")))).drop("a_", "b_")

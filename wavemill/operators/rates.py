@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions.arrays import bound, let, literal, total
 from wavemill.operators import blocks, spectral
-from wavemill.operators.frames import resample_linear
 
 
 def kaiser(length: int, beta: float) -> np.ndarray:
@@ -45,13 +48,91 @@ def convolve(y: str, taps: np.ndarray):
     return F.expr(bound(y, body))
 
 
-def resample(clips: DataFrame, sr_from: float, sr_to: float, taps: int = 63) -> DataFrame:
-    """(clip_id, y) at another rate: a low-pass below the lower Nyquist frequency, then interpolation."""
+#: Taps of a phase and shape of the Kaiser window of each quality; fixed values.
+QUALITIES = {"low": (8, 5.0), "medium": (16, 6.0), "high": (32, 8.0), "very_high": (64, 10.0)}
+
+
+@dataclass(frozen=True)
+class Polyphase:
+    """A rational change of rate: up by one factor, filtered below the lower Nyquist frequency, down by another.
+
+    Of the filter only the taps that meet samples are used, a branch for each phase of the output.
+    """
+
+    up: int
+    down: int
+    taps: np.ndarray
+
+    @classmethod
+    def of(cls, sr_from: float, sr_to: float, quality: str = "medium", most: int = 1000) -> Polyphase:
+        """Rates that aren't in a ratio of whole numbers up to ``most`` are taken as the nearest one that is."""
+        ratio = Fraction(sr_to / sr_from).limit_denominator(most)
+        up, down = ratio.numerator, ratio.denominator
+        per, beta = QUALITIES[quality]
+        return cls(up, down, low_pass(per * up | 1, 0.5 * min(1.0, up / down) / up * 0.9, beta))
+
+    @property
+    def reach(self) -> int:
+        """Samples on either side that an output needs."""
+        return len(self.taps) // 2 // self.up + 1
+
+    def outputs(self, length: int) -> int:
+        return length * self.up // self.down
+
+    def __call__(self, x: np.ndarray, start: int, low: int, high: int) -> np.ndarray:
+        """Outputs low to high - 1 of a clip of which x is the part from ``start`` on, zeros beyond it."""
+        half, per = len(self.taps) // 2, -(-len(self.taps) // self.up)
+        branches = np.zeros((self.up, per))
+        for phase in range(self.up):
+            own = self.taps[phase :: self.up]
+            branches[phase, : len(own)] = own
+        padded = np.concatenate([np.zeros(per), x, np.zeros(per)])
+        out = np.empty(high - low)
+        for k in range(low, high, 1 << 16):
+            at = np.arange(k, min(high, k + (1 << 16))) * self.down + half
+            base = at // self.up - start + per
+            near = np.clip(base[:, None] - np.arange(per), 0, len(padded) - 1)  # its ends are zeros
+            out[k - low : k - low + len(at)] = self.up * (padded[near] * branches[at % self.up]).sum(axis=1)
+        return out
+
+
+def resample(clips: DataFrame, sr_from: float, sr_to: float, quality: str = "medium") -> DataFrame:
+    """(clip_id, y) at another rate by a polyphase filter."""
     if sr_from == sr_to:
-        return clips
-    rate = sr_to / sr_from
-    filtered = clips if rate > 1 else clips.withColumn("y", convolve("y", low_pass(taps, 0.5 * rate * 0.9)))
-    return filtered.withColumn("y", resample_linear("y", rate)).select("clip_id", "y")
+        return clips.select("clip_id", "y")
+    change = Polyphase.of(sr_from, sr_to, quality)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [change(np.asarray(y.values), 0, 0, change.outputs(len(y.values))) if y.is_valid else np.zeros(0) for y in batch.column(1)]
+            if made:
+                yield pa.RecordBatch.from_arrays([batch.column(0), blocks.lists_of(np.concatenate(made), np.array([len(m) for m in made]))], names=["clip_id", "y"])
+
+    return clips.select("clip_id", F.col("y").cast("array<double>")).mapInArrow(run, f"{blocks.typed(clips, ['clip_id'])}, y array<double>")
+
+
+def resample_blocks(parts: DataFrame, sr_from: float, sr_to: float, quality: str = "medium", size: int = blocks.SAMPLES) -> DataFrame:
+    """(clip_id, n, y) at another rate, of blocks (clip_id, n, y) of ``size`` samples of clips of any length; the same outputs as ``resample``.
+
+    An output is made where the sample under it is, from its block and the filter's reach around it.
+    """
+    change = Polyphase.of(sr_from, sr_to, quality)
+    if change.reach > size:
+        raise ValueError("the filter reaches over a block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b = batch.column(1)[k].as_py()
+                y, before, after = blocks.cells(batch, k)
+                end = b * size + len(y)
+                low = -(-b * size * change.up // change.down)
+                high = -(-end * change.up // change.down) if len(after) else change.outputs(end)
+                if high > low:
+                    x = change(np.concatenate([before, y, after]), b * size - len(before), low, high)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([low]), blocks.rows_of(x[None])], names=["clip_id", "n", "y"])
+
+    return blocks.with_neighbours(parts, size, change.reach, change.reach).mapInArrow(run, f"{blocks.typed(parts, ['clip_id'])}, n long, y array<double>")
 
 
 def to_clips(samples: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.arrays import dot, let, squares, total
+from wavemill.operators.blocks import over_frames, rows_of, typed
 
 
 def distance(a: str, b: str, metric: str = "euclidean") -> Column:
@@ -28,14 +33,62 @@ def pairwise(frames: DataFrame, other: DataFrame, metric: str = "euclidean") ->
     return a.join(b, "clip_id").select("clip_id", "i", "j", distance("a_", "b_", metric).alias("dist"))
 
 
-def band_pairs(frames: DataFrame, width: int, metric: str = "euclidean") -> DataFrame:
-    """(clip_id, i, j, dist) of different frames at most ``width`` apart.
+def _rows_distances(v: np.ndarray, width: int, metric: str) -> np.ndarray:
+    """(blocks, frames, 2 * width + 1): distances of frames (blocks, frames, features) to those at offsets -width to width; infinite beyond the ends and to itself.
 
-    Each frame is sent to its 2 * width neighbours' places, an equi-join: no pair outside the band is looked at.
+    One pass over the frames for each offset, which serves both directions; no pair outside the band is looked at.
     """
-    a, b = _sides(frames)
-    sent = a.withColumn("j", F.explode(F.sequence(F.col("i") - width, F.col("i") + width))).where("i <> j and j >= 0")
-    return sent.join(b, ["clip_id", "j"]).select("clip_id", "i", "j", distance("a_", "b_", metric).alias("dist"))
+    g, n, _ = v.shape
+    out = np.full((g, n, 2 * width + 1), np.inf)
+    squares_ = (v * v).sum(axis=2)
+    for d in range(1, min(width, n - 1) + 1):
+        a, b = v[:, :-d], v[:, d:]
+        if metric == "euclidean":
+            x = np.sqrt(((a - b) ** 2).sum(axis=2))
+        elif metric == "manhattan":
+            x = np.abs(a - b).sum(axis=2)
+        elif metric == "cosine":
+            size = np.sqrt(squares_[:, :-d] * squares_[:, d:])
+            x = np.where(size > 0, 1 - (a * b).sum(axis=2) / np.where(size > 0, size, 1), 1.0)
+        else:
+            raise ValueError(f"no metric {metric!r}")
+        out[:, :-d, width + d], out[:, d:, width - d] = x, x
+    return out
+
+
+def _selected(dist: np.ndarray, k: int) -> np.ndarray:
+    """Places (rows, k) of the k smallest of each row in their order, ties to the first; those of infinite distance last."""
+    k = min(k, dist.shape[1])
+    last = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
+    less, ties = dist < last, dist == last
+    chosen = less | (ties & (np.cumsum(ties, axis=1) <= k - less.sum(axis=1, keepdims=True)))
+    at = np.nonzero(chosen)[1].reshape(len(dist), k)
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(dist, at, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def band_pairs(frames: DataFrame, width: int, metric: str = "euclidean") -> DataFrame:
+    """(clip_id, i, j, dist) of different frames at most ``width`` apart, by blocks of frames with as many around them."""
+    return _band(frames, width, None, metric).drop("rank")
+
+
+def nearest_in_band(frames: DataFrame, width: int, k: int, metric: str = "euclidean") -> DataFrame:
+    """(clip_id, i, j, dist, rank): each frame's k nearest at most ``width`` apart, ties by place, rank from 1; selected where the distances are made."""
+    return _band(frames, width, k, metric)
+
+
+def _band(frames: DataFrame, width: int, k: int | None, metric: str) -> DataFrame:
+    def work(clip: pa.Array, t: np.ndarray, v: np.ndarray, mine: slice) -> pa.RecordBatch:
+        dist = _rows_distances(v, width, metric)[:, mine].reshape(-1, 2 * width + 1)
+        i = t[:, mine].ravel()
+        at = np.tile(np.arange(2 * width + 1), (len(i), 1)) if k is None else _selected(dist, k)
+        found = np.isfinite(np.take_along_axis(dist, at, axis=1))
+        row, rank = np.nonzero(found)
+        j = i[row] + at[row, rank] - width
+        per = mine.stop - mine.start
+        columns = [clip.take(pa.array(row // per)), pa.array(i[row].astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(dist[row, at[row, rank]]), pa.array((rank + 1).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["clip_id", "i", "j", "dist", "rank"])
+
+    return over_frames(frames.withColumn("v", F.col("v").cast("array<double>")), max(64, 16 * width), width, width, work, f"{typed(frames, ['clip_id'])}, i int, j int, dist double, rank int")
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -44,26 +97,46 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _folded(frames: DataFrame, width: int, k: int, metric: str, fold: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """(clip_id, t, names): arrays over the features that ``fold`` makes of a frame and its k nearest neighbours in the band, where they lie."""
+    def work(clip: pa.Array, t: np.ndarray, v: np.ndarray, mine: slice) -> pa.RecordBatch | None:
+        g, size, features = v.shape
+        n = mine.stop - mine.start
+        dist = _rows_distances(v, width, metric)[:, mine].reshape(g * n, 2 * width + 1)
+        at = _selected(dist, k)
+        at = np.where(np.isfinite(np.take_along_axis(dist, at, axis=1)), at, -1)
+        count = (at >= 0).sum(axis=1)
+        block, place = np.repeat(np.arange(g), n), np.tile(np.arange(mine.start, mine.stop), g)
+        made = [np.zeros((g * n, features)) for _ in names]
+        for c in np.unique(count[count > 0]).tolist():  # frames with fewer neighbours than k stand near the ends of short clips
+            own = np.flatnonzero(count == c)
+            near = v[block[own][:, None], place[own][:, None] + at[own, :c] - width]
+            for to, x in zip(made, fold(v[block[own], place[own]], near), strict=True):
+                to[own] = x
+        some = np.flatnonzero(count)
+        if not len(some):
+            return None
+        return pa.RecordBatch.from_arrays([clip.take(pa.array(block[some])), pa.array(t[:, mine].ravel()[some].astype(np.int32)), *(rows_of(m[some]) for m in made)], names=["clip_id", "t", *names])
+
+    schema = f"{typed(frames, ['clip_id'])}, t int, " + ", ".join(f"{n} array<double>" for n in names)
+    return over_frames(frames.withColumn("v", F.col("v").cast("array<double>")), max(64, 16 * width), width, width, work, schema)
+
+
 def neighbour_filter(frames: DataFrame, width: int, k: int, how: str = "mean", metric: str = "cosine") -> DataFrame:
     """(clip_id, t, v): each feature's mean, median, min or max over a frame's k nearest neighbours in the band."""
-    near = nearest(band_pairs(frames, width, metric), k)
-    values = frames.select("clip_id", F.col("t").alias("j"), F.posexplode("v").alias("f", "x"))
-    fold = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}[how]("x").alias("x")
-    from wavemill.operators.features import wide
-
-    return wide(near.join(values, ["clip_id", "j"]).groupBy("clip_id", F.col("i").alias("t"), "f").agg(fold))
+    step = {"mean": np.mean, "median": np.median, "min": np.min, "max": np.max}[how]
+    return _folded(frames, width, k, metric, lambda own, near: [step(near, axis=1)], ["v"])
 
 
 def soft_mask(frames: DataFrame, width: int, k: int, metric: str = "cosine") -> DataFrame:
     """(clip_id, t, f, x, filtered, mask): 1 / (1 + distance from the neighbours' median in median deviations)."""
-    near = nearest(band_pairs(frames, width, metric), k)
-    values = frames.select("clip_id", F.col("t").alias("j"), F.posexplode("v").alias("f", "n"))
-    seen = near.join(values, ["clip_id", "j"]).groupBy("clip_id", F.col("i").alias("t"), "f").agg(F.array_sort(F.collect_list("n")).alias("n"))
-    own = frames.select("clip_id", "t", F.posexplode("v").alias("f", "x"))
-    from wavemill.functions.arrays import middle_median
+    def fold(own: np.ndarray, near: np.ndarray) -> list[np.ndarray]:
+        median = np.median(near, axis=1)
+        deviation = np.median(np.abs(near - median[:, None]), axis=1)
+        return [own, median, 1 / (1 + np.abs(own - median) / (deviation + 1e-10))]
 
-    med = seen.withColumn("filtered", F.expr(middle_median("n"))).withColumn("mad", F.expr(middle_median("transform(n, z -> abs(z - filtered))")))
-    return own.join(med, ["clip_id", "t", "f"]).select("clip_id", "t", "f", "x", "filtered", (1 / (1 + F.abs(F.col("x") - F.col("filtered")) / (F.col("mad") + 1e-10))).alias("mask"))
+    rows = _folded(frames, width, k, metric, fold, ["x", "filtered", "mask"]).select("clip_id", "t", F.posexplode(F.arrays_zip("x", "filtered", "mask")).alias("f", "z"))
+    return rows.select("clip_id", "t", "f", "z.x", "z.filtered", "z.mask")
 
 
 def decompose(masked: DataFrame) -> DataFrame:
@@ -81,9 +154,9 @@ def recurrence(frames: DataFrame, metric: str = "euclidean", k: int | None = Non
         a, b = _sides(frames)
         pairs = a.join(b, "clip_id").where("i <> j").select("clip_id", "i", "j", distance("a_", "b_", metric).alias("dist"))
     else:
-        pairs = band_pairs(frames, width, metric)
+        pairs = band_pairs(frames, width, metric) if k is None else nearest_in_band(frames, width, k, metric)
     if k is not None:
-        near = nearest(pairs, k).select("clip_id", "i", "j", "dist")
+        near = (pairs if width is not None else nearest(pairs, k)).select("clip_id", "i", "j", "dist")
         pairs = near.unionByName(near.select("clip_id", F.col("j").alias("i"), F.col("i").alias("j"), "dist")).distinct()
     return pairs if threshold is None else pairs.where(F.col("dist") <= threshold)
 

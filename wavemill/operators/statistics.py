@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.operators import order
+
 
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean, sd (sample), min, p50, p90, p95, p99 (interpolated), max of each group."""
-    p = [F.expr(f"percentile({value}, {q})").alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))]
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("min"), *p, F.max(value).alias("max"))
+    """n, mean, sd (sample), min, p50, p90, p95, p99 (interpolated), max of each group, of any size; nulls are left out."""
+    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    found = order.percentiles(order.placed(rows, by, value), by, value, shares)
+    return order.joined_to(plain, found, by, list(shares)).select(*by, "n", "mean", "sd", "min", *shares, "max")
 
 
 def compare(current: DataFrame, baseline: DataFrame, by: str, threshold: float = 0.1) -> DataFrame:
@@ -28,10 +32,9 @@ def compare(current: DataFrame, baseline: DataFrame, by: str, threshold: float =
 
 def latency(rows: DataFrame, by: list[str], value: str, limit: float) -> DataFrame:
     """mean, p95, p99 (the value at floor(n * p) in order) and whether p95 is within the limit."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumns({"i_": F.row_number().over(w.orderBy(value)) - 1, "n_": F.count(F.lit(1)).over(w)})
-    at = lambda p: F.max(F.when(F.col("i_") == F.least(F.col("n_") - 1, F.floor(F.col("n_") * p)), F.col(value)))
-    return ranked.groupBy(*by).agg(F.avg(value).alias("mean"), at(0.95).alias("p95"), at(0.99).alias("p99")).withColumn("in_time", F.col("p95") <= limit)
+    place = lambda p: F.least(F.col("n_") - 1, F.floor(F.col("n_") * p))
+    found = order.at(order.placed(rows, by, value), by, value, {"p95": place(0.95), "p99": place(0.99)})
+    return order.joined_to(rows.groupBy(*by).agg(F.avg(value).alias("mean")), found, by, ["p95", "p99"]).withColumn("in_time", F.col("p95") <= limit)
 
 
 def throughput(rows: DataFrame, samples: str, seconds: str, sr: float) -> DataFrame:

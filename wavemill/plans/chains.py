@@ -46,14 +46,12 @@ def voice_activity(clips: DataFrame, length: int, hop: int, threshold: float = 0
 
 def separate(clips: DataFrame, n_fft: int, hop: int) -> tuple[DataFrame, DataFrame]:
     """Harmonic and percussive signals, (clip_id, n, x) each."""
-    from wavemill.operators.decompose import hpss
-    from wavemill.operators.features import wide
+    from wavemill.operators.decompose import hpss_frames
 
     spectra = spectral.stft(clips, n_fft, hop)
-    masks = hpss(spectral.magnitude(spectra))
+    joined = spectra.join(hpss_frames(spectral.magnitude(spectra)), ["clip_id", "t"])
     out = []
     for part in ("harmonic", "percussive"):
-        mask = wide(masks.select("clip_id", "t", "f", F.col(part).alias("x"))).withColumnRenamed("v", "m_")
-        kept = spectra.join(mask, ["clip_id", "t"]).select("clip_id", "t", F.expr("zip_with(re, m_, (a, b) -> a * b)").alias("re"), F.expr("zip_with(im, m_, (a, b) -> a * b)").alias("im"))
+        kept = joined.select("clip_id", "t", F.expr(f"zip_with(re, {part}, (a, b) -> a * b)").alias("re"), F.expr(f"zip_with(im, {part}, (a, b) -> a * b)").alias("im"))
         out.append(spectral.istft(kept, n_fft, hop))
     return out[0], out[1]

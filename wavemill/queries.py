@@ -337,7 +337,7 @@ BAND = f"{V}, p as (select a.clip_id, a.t as i, b.t as j, {DIST} as dist from v
 
 @query(f"with {BAND}, r as (select *, row_number() over (partition by clip_id, i order by dist, j) as rank from p) select clip_id, cast(i as integer) as i, cast(j as integer) as j, round(dist, 6) as dist, cast(rank as integer) as rank from r where rank <= 3")
 def neighbours_in_band(spark, sf_dir):
-    return tall_rounded(similarity.nearest(similarity.band_pairs(labelled_frames(spark, sf_dir), 5), 3), "dist")
+    return tall_rounded(similarity.nearest_in_band(labelled_frames(spark, sf_dir), 5, 3), "dist")
 
 
 @query(f"with {BAND}, r as (select *, row_number() over (partition by clip_id, i order by dist, j) as rank from p), m as (select r.clip_id, i, unnest(range(64)) as f, cast(unnest(v.v) as double) as x from r join v on v.clip_id = r.clip_id and v.t = r.j where rank <= 3) select clip_id, cast(i as integer) as t, cast(f as integer) as f, round(avg(x), 6) as x from m group by all")
