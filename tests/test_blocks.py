@@ -338,3 +338,126 @@ def test_polyphase_keeps_what_is_below_and_drops_what_is_above(spark):
         clips = spark.createDataFrame([(0, np.sin(2 * np.pi * f * n / 8000).tolist())], "clip_id long, y array<double>")
         y = np.array(rates.resample(clips, 8000, 4000, "very_high").first().y)
         assert len(y) == 4000 and abs(np.abs(y[200:-200]).max() - gain) < 0.01
+
+
+@pytest.mark.parametrize(("length", "hop", "pad", "size"), [(8, 4, 4, 16), (8, 3, 6, 9), (4, 1, 3, 4), (16, 4, 8, 32)])
+def test_reflected_frames_of_blocks(spark, length, hop, pad, size):
+    """As those of whole arrays, for clips shorter than their padding and ends near a block's edge."""
+    rng = np.random.default_rng(length)
+    clips = [rng.normal(size=n) for n in (1, 2, 3, 5, 8, 9, 16, 17, 18, 31, 33, 64, 65)]
+    got = {(r.clip_id, r.t): r.v for r in blocks.frames_of(blocks.sample_blocks(tall(spark, *clips), size), length, hop, pad, size, "reflect").collect()}
+    arrays = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(clips)], "clip_id long, y array<double>")
+    assert got == {(r.clip_id, r.t): r.v for r in frames.frame(arrays, length, hop, pad, "reflect").collect()}
+
+
+def test_spectra_of_arrays_and_of_tall_samples(spark):
+    rng = np.random.default_rng(15)
+    signals = [rng.normal(size=n) for n in (3, 16, 40, 100)]
+    arrays = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(signals)] + [(9, [])], "clip_id long, y array<double>")
+    for center, mode, window in ((True, "constant", "hann"), (True, "reflect", "blackman"), (False, "constant", "hamming")):
+        a, b = ({(r.clip_id, r.t): (r.re, r.im) for r in spectral.stft(c, 16, 5, window, 12, center, mode).collect()} for c in (arrays, tall(spark, *signals)))
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+        w = np.r_[spectral.window_values(window, 12), np.zeros(4)]
+        for k, s in enumerate(signals):
+            x = np.pad(s, 8 if center else 0, mode=mode) if center and (mode == "constant" or len(s) > 8) else s if not center else None
+            for t in range((len(x) - 16) // 5 + 1 if x is not None and len(x) >= 16 else 0):
+                c = np.fft.rfft(x[t * 5 : t * 5 + 16] * w)
+                assert np.allclose(a[k, t], (c.real, c.imag))
+
+
+def test_chunks_of_tall_samples(spark):
+    signals = [np.arange(n, dtype=float) for n in (1, 9, 10, 11, 35)]
+    arrays = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(signals)], "clip_id long, y array<double>")
+    a, b = (sorted((r.clip_id, r.seq, r.y, r["last"]) for r in frames.chunk_rows(c, 10).collect()) for c in (arrays, tall(spark, *signals)))
+    assert a == b
+
+
+@pytest.mark.parametrize("per", [3, 7, 1 << 16])
+def test_runs_by_stretches(spark, per):
+    """Islands, smoothing and segments with stretches so short that runs cross several, gaps in the frame numbers, nulls."""
+    rng = np.random.default_rng(per)
+    flags = {k: [(int(t), bool(rng.random() < 0.6)) for t in np.flatnonzero(rng.random(n) < keep)] for k, (n, keep) in enumerate([(40, 1.0), (60, 0.7), (1, 1.0), (30, 0.2)])}
+    rows = spark.createDataFrame([(k, t, f, float(t)) for k, v in flags.items() for t, f in v], "clip_id long, t int, active boolean, x double").repartition(3)
+
+    def runs(v):
+        out = []
+        for t, f in v:
+            if out and out[-1][0] == f:
+                out[-1][1].append(t)
+            else:
+                out.append((f, [t]))
+        return out
+
+    got = {(r.clip_id, r.seg_id): (r.start, r.end, r.score) for r in events.segments(rows, "active", "x", per).collect()}
+    want = {}
+    for k, v in flags.items():
+        for n, (_, ts) in enumerate(x for x in runs(v) if x[0]):
+            want[k, n] = (ts[0], ts[-1] + 1, np.mean(ts))
+    assert got == want
+    smooth = {(r.clip_id, r.t): r.active for r in events.smooth_activity(rows, 3, 4, per=per).collect()}
+    for k, v in flags.items():
+        first = [(t, f and len(ts) >= 3) for f, ts in runs(v) for t in ts]
+        r = runs(first)
+        for n, (f, ts) in enumerate(r):
+            for t in ts:
+                assert smooth[k, t] == (f or (0 < n < len(r) - 1 and len(ts) < 4))
+
+
+def test_synchronise_by_stretches(spark):
+    clips = [np.arange(n, dtype=float)[:, None] for n in (1, 10, 50)]
+    rows = spectra_rows(spark, *clips)
+    bounds = spark.createDataFrame([(2, b) for b in (0, 5, 6, 30, 31, 49, 50, 99)] + [(1, 4)], "clip_id long, b int")
+    got = {per: sorted((r.clip_id, r.seg, r.v[0]) for r in similarity.synchronise(rows, bounds, "sum", per).collect()) for per in (4, 1 << 14)}
+    edges = [0, 5, 6, 30, 31, 49, 50]
+    assert got[4] == got[1 << 14] == [(0, 0, 0.0), (1, 0, 6.0), (1, 1, 39.0), *((2, k, float(sum(range(a, b)))) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)))]
+
+
+def test_medians_and_rises_of_tall_samples(spark):
+    rng = np.random.default_rng(16)
+    signals = [rng.normal(size=n) for n in (1, 2, 30)]
+    arrays = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(signals)], "clip_id long, y array<double>").select("clip_id", temporal.median_filter("y", 7).alias("m"), temporal.rises("y").alias("r")).collect()
+    for made, name in ((temporal.median_filter_tall(tall(spark, *signals), 7), "m"), (temporal.rises_tall(tall(spark, *signals), 4), "r")):
+        got = {(r.clip_id, r.n): r.x for r in made.collect()}
+        assert got == {(r.clip_id, n): x for r in arrays for n, x in enumerate(r[name])}
+
+
+def test_pitch_of_batches_is_that_of_each_frame():
+    from wavemill.operators import pitch
+
+    rng = np.random.default_rng(17)
+    frames_ = np.concatenate([np.sin(2 * np.pi * rng.uniform(60, 1200, 80)[:, None] * np.arange(400) / 8000), rng.normal(size=(20, 400)), np.zeros((2, 400)), np.ones((1, 400))])
+    both = np.stack(pitch.track(frames_, 8000, 65, 1000, 0.1), axis=1)
+    assert np.array_equal(both, np.concatenate([np.stack(pitch.track(v[None], 8000, 65, 1000, 0.1), axis=1) for v in frames_]))
+    for v, (f, c) in zip(frames_, both, strict=True):
+        size = 400 - 124 - 1
+        d = np.array([((v[:size] - v[lag : lag + size]) ** 2).sum() for lag in range(125)])
+        s = np.cumsum(d[1:])
+        d = np.r_[1, np.where(s > 0, d[1:] * np.arange(1, 125) / np.where(s > 0, s, 1), 1.0)]
+        lag = next((k for k in range(8, 124) if d[k] < 0.1 and d[k] <= d[k + 1] and d[k] <= d[k - 1]), None)
+        if lag is None:
+            lag = 8 + int(d[8:125].argmin())
+            lag = lag if d[lag] < 0.5 else None
+        want = (0.0, 0.0)
+        if lag is not None:
+            x, y, z = d[lag - 1], d[lag], d[min(124, lag + 1)]
+            at = lag + (0.5 * (x - z) / (x - 2 * y + z) if lag < 124 and abs(x - 2 * y + z) > 1e-10 else 0)
+            want = (8000 / at, 1 - d[lag]) if 65 <= 8000 / at <= 1000 else want
+        assert np.allclose((f, c), want)
+
+
+@pytest.mark.parametrize("per", [1, 7, 1 << 14])
+def test_differences_and_stacks_by_stretches(spark, per):
+    rng = np.random.default_rng(18)
+    signals = [rng.normal(size=n) for n in (1, 2, 4, 5, 9, 23, 40)]
+    rows = tall(spark, *signals).select("clip_id", F.col("n").alias("t"), F.lit(0).alias("f"), "x")
+    slope = lambda t, x: np.polyfit(t, x, 1)[0] if len(t) > 1 else 0.0
+    d, c = ({(r.clip_id, r.t): r.dx for r in f(rows, 5, per).collect()} for f in (temporal.delta, temporal.delta_clamped))
+    s = {(r.clip_id, r.t): (r.s0, r.s1, r.s2) for r in temporal.stack(rows, 3, 2, "edge", ahead=1, per=per).collect()}
+    assert len(d) == len(c) == len(s) == sum(map(len, signals))
+    for k, x in enumerate(signals):
+        n, at = len(x), np.arange(len(x))
+        for t in range(n):
+            want = slope(at[:5], x[:5]) if t < 2 else slope(at[-5:], x[-5:]) if t >= n - 2 else sum(i * (x[t + i] - x[t - i]) for i in (1, 2)) / 10
+            assert np.isclose(d[k, t], want)
+            near = lambda i: x[min(n - 1, max(0, i))]  # noqa: B023, E731
+            assert np.isclose(c[k, t], sum(i * (near(t + i) - near(t - i)) for i in (1, 2)) / 10) and s[k, t] == (near(t + 1), near(t - 1), near(t - 3))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wavemill.operators import alignment as warping
 from wavemill.operators import decompose, spectral, temporal
-from wavemill.queries import E_M, E_S, HOP, N, SR, U_S, emb, magnitudes, points, r6, read, samples, tall_users
+from wavemill.queries import E_M, E_S, HOP, N, SR, U_S, emb, magnitudes, points, r6, samples, tall_users
 from wavemill.wider import centred, values
 
 QUERIES: dict = {}
@@ -176,3 +176,14 @@ def pcen_continued(spark, sf_dir):
     values_ = tall_users(spark, sf_dir)
     state = temporal.pcen_state(values_.where("t < 20"), b=0.2)
     return temporal.pcen(values_.where("t >= 20"), b=0.2, initial=state).select("clip_id", F.col("t").cast("int").alias("t"), r6("y").alias("x"))
+
+
+@query(f"""with recursive {E_M}, {values("w", B0, "k, f, w")}, x as materialized (select clip_id, t, cast(k as int) as f, v as x from m), up as materialized (select clip_id, t, w.k, sum(w.w * x) as u from x join w using (f) group by all),
+g as materialized (select a.k, b.k as j, sum(a.w * b.w) as g from w a join w b using (f) group by all),
+h as (select 0 as n, clip_id, t, k, 1.0::double as v from up union all
+    select n + 1, clip_id, t, k, v * u / greatest(d, 1e-10) from h join up using (clip_id, t, k) join (select clip_id, t, g.k, sum(g.g * h.v) as d from h join g on g.j = h.k group by all) dn using (clip_id, t, k) where n < 100)
+select clip_id, cast(t as integer) as t, cast(w.f as integer) as f, round(sum(h.v * w.w), 6) + 0.0 as x from h join w using (k) where n = 100 group by clip_id, t, w.f""")
+def nmf_rebuilt(spark, sf_dir):
+    """Frames put together again from activations of a given basis."""
+    act = decompose.nmf_transform(magnitudes(spark, sf_dir), B0)
+    return rounded(points(decompose.nmf_reconstruct(act, B0), "v", "clip_id", "t", name="f"), 6, "x")

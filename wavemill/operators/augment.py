@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions.arrays import bound, leaky, let, squares
 
 
+def num(x: float | str) -> str:
+    """SQL of a parameter: a number, or SQL of a row's columns as it is."""
+    return f"({x})" if isinstance(x, str) else f"{float(x)!r}D"
+
+
 def uniform(*of: str, seed: int = 1) -> str:
     """SQL of a number in [0, 1)."""
     return f"(shiftrightunsigned(xxhash64({', '.join(of)}, {seed}), 11) / 9007199254740992D)"
@@ -17,11 +24,11 @@ def normal(*of: str, seed: int = 1) -> str:
     return f"(sqrt(-2 * ln(1 - {uniform(*of, seed=seed)})) * cos(2 * pi() * {uniform(*of, seed=seed + 1)}))"
 
 
-def add_noise(y: str, key: str, snr_db: float, seed: int = 1) -> Column:
-    """White noise at a signal-to-noise ratio."""
+def add_noise(y: str, key: str, snr_db: float, seed: int = 1, noise: str | None = None) -> Column:
+    """White noise at a signal-to-noise ratio; ``noise``, SQL of an array as long as y, takes its place."""
     def body(y: str) -> str:
-        noise = f"transform({y}, (x, i) -> {normal(key, 'i', seed=seed)})"
-        return let(noise, "n", let(f"sqrt({squares(y)} / {10 ** (snr_db / 10)!r}D / greatest({squares('n')}, 1e-10D))", "g", f"transform({y}, (x, i) -> x + g * n[i])"))
+        made = noise or f"transform({y}, (x, i) -> {normal(key, 'i', seed=seed)})"
+        return let(made, "n", let(f"sqrt({squares(y)} / {10 ** (snr_db / 10)!r}D / greatest({squares('n')}, 1e-10D))", "g", f"transform({y}, (x, i) -> x + g * n[i])"))
 
     return F.expr(bound(y, body))
 
@@ -30,40 +37,50 @@ def random_gain(y: str, key: str, low_db: float, high_db: float, seed: int = 1)
     return F.expr(let(f"power(10D, ({low_db!r}D + {uniform(key, seed=seed)} * {high_db - low_db!r}D) / 20)", "g", f"transform({y}, x -> x * g)"))
 
 
-def mask_bands(values: DataFrame, f_width: int, t_width: int, f_masks: int = 1, t_masks: int = 1, seed: int = 1, fill: float | None = None) -> DataFrame:
-    """Tall values with random bands of features and frames replaced by ``fill``, the clip's mean if None."""
+def mask_bands(values: DataFrame, f_width: int, t_width: int, f_masks: int = 1, t_masks: int = 1, seed: int = 1, fill: float | None = None, draw: Callable[[str, int, int], str] | None = None) -> DataFrame:
+    """Tall values with random bands of features and frames replaced by ``fill``, the clip's mean if None.
+
+    A band's width and start are drawn from clip, kind and number; ``draw`` gives other SQL of a number in [0, 1) for (kind, number, 0 or 1).
+    """
     size = values.groupBy(F.col("clip_id").alias("c_")).agg((F.max("f") + 1).alias("nf"), (F.max("t") + 1).alias("nt"), F.avg("x").alias("mean_"))
+    draw = draw or (lambda kind, k, which: uniform("clip_id", repr(kind), str(k), seed=seed + which))
     hit = F.lit(False)
     for kind, n, width, masks in (("f", "nf", f_width, f_masks), ("t", "nt", t_width, t_masks)):
         for k in range(masks):
-            w = f"cast({uniform('clip_id', repr(kind), str(k), seed=seed)} * ({width} + 1) as int)"
-            start = f"cast({uniform('clip_id', repr(kind), str(k), seed=seed + 1)} * greatest(1, {n} - {w} + 1) as int)"
+            w = f"cast({draw(kind, k, 0)} * ({width} + 1) as int)"
+            start = f"cast({draw(kind, k, 1)} * greatest(1, {n} - {w} + 1) as int)"
             hit = hit | F.expr(f"{kind} >= {start} and {kind} < {start} + {w}")
     joined = values.join(size, F.col("clip_id") == F.col("c_"))
     return joined.withColumn("x", F.when(hit, F.col("mean_") if fill is None else F.lit(fill)).otherwise(F.col("x"))).select("clip_id", "t", "f", "x")
 
 
+def signals(rows: DataFrame, clip_id: str, sql: str, n: int | str) -> DataFrame:
+    """(clip_id, y): a generated signal of every row, ``sql`` an expression of the sample number i and the row's columns."""
+    return rows.select(F.col(clip_id).cast("long").alias("clip_id"), F.expr(f"case when {n} < 1 then cast(array() as array<double>) else transform(sequence(0, greatest(0, cast({n} as int) - 1)), i -> cast({sql} as double)) end").alias("y"))
+
+
 def signal(spark: SparkSession, sql: str, n: int, clip_id: int = 0) -> DataFrame:
     """(clip_id, y) of one generated signal, ``sql`` an expression of the sample number i."""
-    return spark.range(1).select(F.lit(clip_id).cast("long").alias("clip_id"), F.expr(f"transform(sequence(0, {n - 1}), i -> cast({sql} as double))").alias("y"))
+    return signals(spark.range(clip_id, clip_id + 1), "id", sql, n)
 
 
-def tone(freq: float, sr: float, amplitude: float = 1.0, phase: float = 0.0) -> str:
-    return f"{amplitude!r}D * sin(2 * pi() * {freq!r}D * i / {sr!r}D + {phase!r}D)"
+def tone(freq: float | str, sr: float | str, amplitude: float | str = 1.0, phase: float | str = 0.0) -> str:
+    """Parameters of this and the next ones are numbers or SQL of a row's columns."""
+    return f"{num(amplitude)} * sin(2 * pi() * {num(freq)} * i / {num(sr)} + {num(phase)})"
 
 
-def tones(freqs: list[float], sr: float, amplitudes: list[float] | None = None) -> str:
+def tones(freqs: list[float | str], sr: float | str, amplitudes: list[float | str] | None = None) -> str:
     return " + ".join(tone(f, sr, a) for f, a in zip(freqs, amplitudes or [1 / len(freqs)] * len(freqs), strict=True))
 
 
-def chirp(low: float, high: float, sr: float, n: int, kind: str = "exponential") -> str:
+def chirp(low: float | str, high: float | str, sr: float | str, n: float | str, kind: str = "exponential") -> str:
     """Sweep over n samples: linear, exponential, quadratic or hyperbolic."""
-    d, t = n / sr, f"(i / {sr!r}D)"
+    a, b, d, t = num(low), num(high), f"({num(n)} / {num(sr)})", f"(i / {num(sr)})"
     cycles = {
-        "linear": f"({low!r}D * {t} + {(high - low) / (2 * d)!r}D * {t} * {t})",
-        "exponential": f"({low!r}D * {d!r}D / ln({high / low!r}D) * (power({high / low!r}D, {t} / {d!r}D) - 1))" if low != high else f"({low!r}D * {t})",
-        "quadratic": f"({low!r}D * {t} + {(high - low) / (3 * d * d)!r}D * power({t}, 3))",
-        "hyperbolic": f"({-low * high * d / (high - low)!r}D * ln(1 - {(high - low) / (high * d)!r}D * {t}))" if low != high else f"({low!r}D * {t})",
+        "linear": f"({a} * {t} + ({b} - {a}) / (2 * {d}) * {t} * {t})",
+        "exponential": f"(case when {a} = {b} then {a} * {t} else {a} * {d} / ln({b} / {a}) * (power({b} / {a}, {t} / {d}) - 1) end)",
+        "quadratic": f"({a} * {t} + ({b} - {a}) / (3 * {d} * {d}) * power({t}, 3))",
+        "hyperbolic": f"(case when {a} = {b} then {a} * {t} else -{a} * {b} * {d} / ({b} - {a}) * ln(1 - ({b} - {a}) / ({b} * {d}) * {t}) end)",
     }[kind]
     return f"sin(2 * pi() * {cycles})"
 
@@ -92,15 +109,17 @@ def pink(y: str) -> Column:
     return F.transform(parts, lambda z, i: 0.11 * (sum((z[f"b{k}"] for k in range(len(poles))), F.lit(0.0)) + 0.115926 * before(i) + 0.5362 * z["x"]))
 
 
-def metronome(bpm: float, seconds: float, sr: float, freq: float = 1000.0, per_bar: int = 4, click: float = 0.05) -> str:
-    """Clicks on every beat, the first of a bar an octave higher and louder; not cut off at one."""
-    n, at, parts = int(click * sr), 0, []
-    while at * 60 / bpm < seconds:
-        a, first = int(at * 60 / bpm * sr), at % per_bar == 0
-        g, f = (1.0, 2 * freq) if first else (0.7, freq)
-        parts.append(f"case when i >= {a} and i < {a + n} then {g!r}D * (1 - (i - {a}) / {n}D) * sin(2 * pi() * {f!r}D * (i - {a}) / {sr!r}D) else 0D end")
-        at += 1
-    return " + ".join(parts) or "0D"
+def metronome(bpm: float | str, sr: float | str, freq: float | str = 1000.0, per_bar: int = 4, click: float = 0.05) -> str:
+    """Clicks on every beat, the first of a bar an octave higher and louder; not cut off at one.
+
+    A sample hears the last beats before it that are still sounding.
+    """
+    place, length = f"cast(floor(b * 60 / {num(bpm)} * {num(sr)}) as int)", f"cast(floor({click!r}D * {num(sr)}) as int)"
+    last = f"cast(floor((i + 1) * {num(bpm)} / (60 * {num(sr)})) as int)"
+    first = f"greatest(0, {last} - cast(ceil({click!r}D * {num(bpm)} / 60) as int) - 1)"
+    bar = f"b % {per_bar} = 0"
+    one = f"case when i between {place} and {place} + {length} - 1 then (case when {bar} then 1D else 0.7D end) * (1 - (i - {place}) / cast({length} as double)) * sin(2 * pi() * {num(freq)} * (case when {bar} then 2 else 1 end) * (i - {place}) / {num(sr)}) else 0D end"
+    return f"aggregate(sequence({first}, {last}), 0D, (s, b) -> s + {one})"
 
 
 def click_track(y: str, beats: str, n_click: int, freq: float, sr: float, gain: float = 0.5) -> Column:

@@ -157,22 +157,27 @@ def cells(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return [np.asarray(c[k].values) if c[k].is_valid else np.zeros(0) for c in batch.columns[2:5]]
 
 
-def frames_of(blocks: DataFrame, length: int, hop: int, pad: int = 0, size: int = SAMPLES) -> DataFrame:
-    """(clip_id, t, v): frames of blocks (clip_id, n, y) of ``size`` samples, with ``pad`` zeros at both ends of a clip.
+def frames_of(blocks: DataFrame, length: int, hop: int, pad: int = 0, size: int = SAMPLES, mode: str = "constant") -> DataFrame:
+    """(clip_id, t, v): frames of blocks (clip_id, n, y) of ``size`` samples, with ``pad`` zeros (or reflected samples) at both ends of a clip.
 
     A frame is made where its first sample is; a shuffle carries (size + length) / size times the samples. Frames that don't lie inside the
     padded clip are left out.
     """
-    if length > size:
+    if max(length, pad + 1) > size:
         raise ValueError("a frame is longer than a block")
-    names = ["clip_id", "t", "v"]
+    names, reflect = ["clip_id", "t", "v"], mode == "reflect" and pad > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 b = batch.column(1)[k].as_py()
-                y, _, after = cells(batch, k)
-                x = np.concatenate([np.zeros(pad if b == 0 else 0), y, after, np.zeros(0 if len(after) == length else pad)])
+                y, before, after = cells(batch, k)
+                left, right = np.zeros(pad if b == 0 else 0), np.zeros(0 if len(after) == length else pad)
+                if reflect:
+                    tail = np.concatenate([before, y, after])  # all of a clip that is shorter than its padding
+                    left = tail[np.arange(pad, 0, -1) % len(tail)] if len(left) else left
+                    right = tail[len(tail) - 1 - np.arange(1, pad + 1) % len(tail)] if len(right) else right
+                x = np.concatenate([left, y, after, right])
                 start = b * size - (pad if b == 0 else 0)  # where x begins in the clip
                 low = max(0, -(-(b * size + pad) // hop)) if b else 0
                 high = min((b + 1) * size - 1 + pad, start + len(x) - length + pad) // hop
@@ -181,7 +186,7 @@ def frames_of(blocks: DataFrame, length: int, hop: int, pad: int = 0, size: int
                     v = np.lib.stride_tricks.sliding_window_view(x, length)[t * hop - pad - start]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(t), k))), pa.array(t.astype(np.int32)), rows_of(v)], names=names)
 
-    return with_neighbours(blocks, size, 0, length).mapInArrow(run, f"{typed(blocks, ['clip_id'])}, t int, v array<double>")
+    return with_neighbours(blocks, size, pad + 1 if reflect else 0, length).mapInArrow(run, f"{typed(blocks, ['clip_id'])}, t int, v array<double>")
 
 
 def over_frames(frames: DataFrame, per: int, before: int, after: int, work: Callable[..., pa.RecordBatch | None], schema: str) -> DataFrame:

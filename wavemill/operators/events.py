@@ -62,32 +62,66 @@ def multiband_onset(log_mel: DataFrame, n_mels: int, bands: int) -> DataFrame:
     return rows.select("clip_id", "t", F.posexplode(groups).alias("band", "strength"))
 
 
-def islands(rows: DataFrame, flag: str) -> DataFrame:
+#: Frames of a clip that one task numbers.
+STRETCH = 1 << 16
+
+
+def running_total(rows: DataFrame, x: str, out: str, per: int = STRETCH) -> DataFrame:
+    """``rows`` (clip_id, t, ...) with ``out``, the sum of ``x`` up to each row: inside stretches of a clip, and over the sums of stretches."""
+    keyed = rows.withColumn("b_", F.floor(F.col("t") / per))
+    earlier = Window.partitionBy("clip_id").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy("clip_id", "b_").agg(F.sum(x).alias("s_")).select("clip_id", "b_", F.coalesce(F.sum("s_").over(earlier), F.lit(0)).alias("o_"))
+    inside = F.sum(x).over(Window.partitionBy("clip_id", "b_").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    return keyed.withColumn(out, inside).join(sums, ["clip_id", "b_"]).withColumn(out, F.col(out) + F.col("o_")).drop("b_", "o_")
+
+
+def previous(rows: DataFrame, x: str, out: str, per: int = STRETCH) -> DataFrame:
+    """``rows`` (clip_id, t, ...) with ``out``, the value of ``x`` in the row before, null in a clip's first one; a stretch gets the last value before it."""
+    keyed = rows.withColumn("b_", F.floor(F.col("t") / per))
+    lasts = keyed.groupBy("clip_id", "b_").agg(F.max_by(F.struct(F.col(x).alias("x")), "t").alias("l_"))
+    lasts = lasts.select("clip_id", "b_", F.lag("l_").over(Window.partitionBy("clip_id").orderBy("b_")).alias("p_"))
+    before = F.lag(F.struct(F.col(x).alias("x"))).over(Window.partitionBy("clip_id", "b_").orderBy("t"))
+    joined = keyed.withColumn("q_", before).join(lasts, ["clip_id", "b_"])
+    return joined.withColumn(out, F.coalesce("q_", "p_")["x"]).drop("b_", "p_", "q_")
+
+
+def islands(rows: DataFrame, flag: str, per: int = STRETCH) -> DataFrame:
     """``rows`` with island_, a number that is the same for neighbouring rows of the same flag."""
-    change = F.when(F.lag(flag).over(in_time()).eqNullSafe(F.col(flag)), 0).otherwise(1)
-    return rows.withColumn("c_", change).withColumn("island_", F.sum("c_").over(in_time())).drop("c_")
+    marked = previous(rows.withColumn("k_", F.coalesce(F.col(flag).cast("int"), F.lit(-1))), "k_", "was_", per)
+    changed = marked.withColumn("c_", F.when(F.col("was_") == F.col("k_"), 0).otherwise(1))
+    return running_total(changed, "c_", "island_", per).drop("c_", "k_", "was_")
 
 
-def smooth_activity(rows: DataFrame, min_speech: int, min_silence: int, flag: str = "active") -> DataFrame:
+def of_clip(rows: DataFrame, found: dict[str, Column]) -> DataFrame:
+    """``rows`` with values of their clip: aggregates that are partial before they meet, joined back."""
+    whole = rows.groupBy(F.col("clip_id").alias("c_id_")).agg(*(c.alias(n) for n, c in found.items()))
+    return rows.join(whole, F.col("clip_id") == F.col("c_id_")).drop("c_id_")
+
+
+def of_island(rows: DataFrame) -> DataFrame:
+    """``rows`` with n_, the length of their island."""
+    sizes = rows.groupBy(F.col("clip_id").alias("c_id_"), F.col("island_").alias("i_id_")).agg(F.count(F.lit(1)).alias("n_"))
+    return rows.join(sizes, (F.col("clip_id") == F.col("c_id_")) & (F.col("island_") == F.col("i_id_"))).drop("c_id_", "i_id_")
+
+
+def smooth_activity(rows: DataFrame, min_speech: int, min_silence: int, flag: str = "active", per: int = STRETCH) -> DataFrame:
     """Speech runs that are too short go, then silence runs that are too short and lie between speech are filled."""
-    run = Window.partitionBy("clip_id", "island_")
-    rows = islands(rows, flag).withColumn(flag, F.col(flag) & (F.count(F.lit(1)).over(run) >= min_speech)).drop("island_")
-    rows = islands(rows, flag).withColumn("n_", F.count(F.lit(1)).over(run))
-    ends = Window.partitionBy("clip_id")
-    inner = (F.col("island_") > F.min("island_").over(ends)) & (F.col("island_") < F.max("island_").over(ends))
-    return rows.withColumn(flag, F.col(flag) | (inner & (F.col("n_") < min_silence))).drop("n_", "island_")
+    rows = of_island(islands(rows, flag, per)).withColumn(flag, F.col(flag) & (F.col("n_") >= min_speech)).drop("island_", "n_")
+    rows = of_clip(of_island(islands(rows, flag, per)), {"first_": F.min("island_"), "last_": F.max("island_")})
+    inner = (F.col("island_") > F.col("first_")) & (F.col("island_") < F.col("last_"))
+    return rows.withColumn(flag, F.col(flag) | (inner & (F.col("n_") < min_silence))).drop("n_", "island_", "first_", "last_")
 
 
-def segments(rows: DataFrame, flag: str = "active", score: str | None = None) -> DataFrame:
-    """(clip_id, seg_id, start, end, score) of runs of the flag: half-open frame ranges, with the mean score."""
-    found = islands(rows, flag).where(flag).groupBy("clip_id", "island_").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("end"), (F.avg(score) if score else F.lit(1.0)).alias("score"))
+def segments(rows: DataFrame, flag: str = "active", score: str | None = None, per: int = STRETCH) -> DataFrame:
+    """(clip_id, seg_id, start, end, score) of runs of the flag: half-open frame ranges, with the mean score. What is numbered along a clip is its runs."""
+    found = islands(rows, flag, per).where(flag).groupBy("clip_id", "island_").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("end"), (F.avg(score) if score else F.lit(1.0)).alias("score"))
     return found.select("clip_id", (F.row_number().over(Window.partitionBy("clip_id").orderBy("start")) - 1).alias("seg_id"), "start", "end", "score")
 
 
 def energy_activity(frames: DataFrame, threshold: float = 0.01) -> DataFrame:
     """(clip_id, t, score): frame level over three times a threshold, which is at least a tenth of the clip's loudest."""
-    level = frames.select("clip_id", "t", F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x) / size(v))").alias("r"))
-    limit = F.greatest(F.lit(threshold), 0.1 * F.max("r").over(Window.partitionBy("clip_id")))
+    level = of_clip(frames.select("clip_id", "t", F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x) / size(v))").alias("r")), {"top_": F.max("r")})
+    limit = F.greatest(F.lit(threshold), 0.1 * F.col("top_"))
     return level.withColumn("l", limit).select("clip_id", "t", F.when(F.col("r") > F.col("l"), F.least(F.lit(1.0), F.col("r") / (3 * F.col("l")))).otherwise(0.0).alias("score"))
 
 
@@ -97,9 +131,8 @@ def combined_activity(scores: list[tuple[DataFrame, float]]) -> DataFrame:
     for rows, weight in scores:
         one = rows.select("clip_id", "t", (F.col("score") * weight).alias("score"), F.lit(1).alias("k"))
         parts = one if parts is None else parts.unionAll(one)
-    summed = parts.groupBy("clip_id", "t").agg(F.sum("score").alias("s"), F.sum("k").alias("k")).where(F.col("k") == len(scores))
-    top = F.max("s").over(Window.partitionBy("clip_id"))
-    return summed.withColumn("m", top).select("clip_id", "t", F.when(F.col("m") > 0, F.col("s") / F.col("m")).otherwise(0.0).alias("score"))
+    summed = of_clip(parts.groupBy("clip_id", "t").agg(F.sum("score").alias("s"), F.sum("k").alias("k")).where(F.col("k") == len(scores)), {"m": F.max("s")})
+    return summed.select("clip_id", "t", F.when(F.col("m") > 0, F.col("s") / F.col("m")).otherwise(0.0).alias("score"))
 
 
 def split_silence(frames: DataFrame, lengths: DataFrame, length: int, hop: int, db: float = 60.0) -> DataFrame:
@@ -108,8 +141,8 @@ def split_silence(frames: DataFrame, lengths: DataFrame, length: int, hop: int,
     ``lengths``: (clip_id, n_samples).
     """
     level = frames.select("clip_id", "t", F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x) / size(v))").alias("r"))
-    loud = (F.col("r") >= F.max("r").over(Window.partitionBy("clip_id")) * 10 ** (-db / 20)) & (F.col("r") > 0)
-    runs = segments(level.withColumn("active", loud)).join(lengths, "clip_id")
+    loud = (F.col("r") >= F.col("top_") * 10 ** (-db / 20)) & (F.col("r") > 0)
+    runs = segments(of_clip(level, {"top_": F.max("r")}).withColumn("active", loud)).join(lengths, "clip_id")
     spans = runs.select("clip_id", (F.col("start") * hop).alias("start"), F.least((F.col("end") - 1) * hop + length, F.col("n_samples")).alias("end"))
     w = Window.partitionBy("clip_id").orderBy("start")
     merged = spans.withColumn("c_", F.when(F.col("start") - F.lag("end").over(w) <= hop, 0).otherwise(1)).withColumn("g_", F.sum("c_").over(w)).groupBy("clip_id", "g_").agg(F.min("start").alias("start"), F.max("end").alias("end"))

@@ -38,22 +38,20 @@ def numbered(rows: DataFrame, clip: str, order: list[str], value: str, piece: Co
     return placed.select("clip_id", (F.col("b_") + F.col("r_") - 1).cast("int").alias("n"), "x")
 
 
-def window_sql(kind: str, length: int, periodic: bool = True) -> str:
-    """SQL of a window's samples: hann, hamming, blackman, bartlett or rectangular."""
-    if length == 0:
-        return "cast(array() as array<double>)"
-    if length == 1:
-        return "array(1D)"
-    n = length if periodic else length - 1
+def window_sql(kind: str, length: int | str, periodic: bool = True) -> str:
+    """SQL of a window's samples: hann, hamming, blackman, bartlett or rectangular; the length is a number or SQL of a row's columns."""
+    n = f"(cast({length} as double){'' if periodic else ' - 1'})"
     at = f"2 * pi() * i / {n}"
     body = {
         "hann": f"0.5D - 0.5D * cos({at})", "hamming": f"0.54D - 0.46D * cos({at})", "blackman": f"greatest(0D, 0.42D - 0.5D * cos({at}) + 0.08D * cos(2 * {at}))",
         "bartlett": f"1D - abs((i - {n} / 2D) / ({n} / 2D))", "rectangular": "1D",
     }[kind]
-    return f"transform(sequence(0, {length - 1}), i -> cast({body} as double))"
+    if isinstance(length, int):
+        return "cast(array() as array<double>)" if length == 0 else "array(1D)" if length == 1 else f"transform(sequence(0, {length - 1}), i -> cast({body} as double))"
+    return f"case when {length} < 1 then cast(array() as array<double>) when {length} = 1 then array(1D) else transform(sequence(0, greatest(1, cast({length} as int) - 1)), i -> cast({body} as double)) end"
 
 
-def window(kind: str, length: int, periodic: bool = True) -> Column:
+def window(kind: str, length: int | str, periodic: bool = True) -> Column:
     return F.expr(window_sql(kind, length, periodic))
 
 
@@ -67,21 +65,26 @@ def pad_sql(y: str, pad: int, mode: str = "constant", value: float = 0.0) -> str
 
 
 def frame(rows: DataFrame, length: int, hop: int, pad: int = 0, mode: str = "constant") -> DataFrame:
-    """Frames that start every ``hop`` samples and lie inside the (padded) signal; none if it is shorter than one."""
+    """Frames that start every ``hop`` samples and lie inside the (padded) signal; none if it is shorter than one.
+
+    Signals are arrays, (clip_id, y), or tall, (clip_id, n, x): these are framed by blocks, see ``frame_tall``.
+    """
+    if "y" not in rows.columns:
+        return frame_tall(rows, length, hop, pad, mode)
     padded = rows.select("clip_id", F.expr(let("y", "y", pad_sql("y", pad, mode))).alias("p_")).where(F.size("p_") >= length)
     starts = F.expr(f"transform(sequence(0, cast(floor((size(p_) - {length}) / {hop}) as int)), t -> slice(p_, t * {hop} + 1, {length}))")
     return padded.select("clip_id", F.posexplode(starts).alias("t", "v"))
 
 
-def frame_tall(samples: DataFrame, length: int, hop: int, pad: int = 0) -> DataFrame:
-    """Frames of signals of any length, from (clip_id, n, x), with ``pad`` zeros at both ends; incomplete frames are left out.
+def frame_tall(samples: DataFrame, length: int, hop: int, pad: int = 0, mode: str = "constant") -> DataFrame:
+    """Frames of signals of any length, from (clip_id, n, x), with ``pad`` zeros or reflected samples at both ends; incomplete frames are left out.
 
     Samples meet in blocks and frames are cut where their first sample is, so a clip is spread over as many tasks as it has blocks.
     """
     from wavemill.operators.blocks import SAMPLES, frames_of, sample_blocks
 
     size = max(SAMPLES, 16 * length)
-    return frames_of(sample_blocks(samples, size), length, hop, pad, size)
+    return frames_of(sample_blocks(samples, size), length, hop, pad, size, mode)
 
 
 def apply_window(frames: DataFrame, kind: str, win_length: int | None = None, length: int | None = None) -> DataFrame:
@@ -177,6 +180,11 @@ def center(y: str = "y") -> Column:
 
 
 def chunk_rows(clips: DataFrame, size: int) -> DataFrame:
-    """(clip_id, seq, y, last): a clip's samples in chunks, as a stream brings them."""
+    """(clip_id, seq, y, last): samples in chunks, as a stream brings them, of arrays (clip_id, y) or of tall samples (clip_id, n, x)."""
+    if "y" not in clips.columns:
+        from wavemill.operators.blocks import sample_blocks, with_neighbours
+
+        made = with_neighbours(sample_blocks(clips, size), size, 0, 1)
+        return made.select("clip_id", F.col("b_").cast("int").alias("seq"), F.col("own_").alias("y"), F.col("next_").isNull().alias("last"))
     parts = F.expr(f"transform(sequence(0, cast(floor((size(y) - 1) / {size}) as int)), k -> named_struct('y', slice(y, k * {size} + 1, {size}), 'last', (k + 1) * {size} >= size(y)))")
     return clips.where(F.size("y") > 0).select("clip_id", F.posexplode(parts).alias("seq", "p")).select("clip_id", "seq", "p.y", "p.last")

@@ -9,11 +9,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions.arrays import bound, let, literal, total
 from wavemill.operators import blocks, spectral
+from wavemill.operators.augment import num
 
 
 def kaiser(length: int, beta: float) -> np.ndarray:
@@ -185,15 +186,17 @@ def inverse_cqt(spectra: DataFrame, sr: float, hop: int, f_min: float, n_bins: i
     return spectral.overlap_add(frames, 4 * hop, hop, "hann", 2 * hop)
 
 
+def resolution(k: str, f_min: float | str, sr: float | str, bins_per_octave: int | str = 12, kind: str = "cq", gamma: float | str = 0.0) -> dict[str, Column]:
+    """hz, bandwidth, q, n_fft, octave of a bin k as columns: constant or variable Q, the FFT size a power of two. Parameters are numbers or SQL of columns."""
+    per, f = f"cast({bins_per_octave} as double)", f"({num(f_min)} * power(2D, {k} / cast({bins_per_octave} as double)))"
+    width = f"({f} * (power(2D, 1 / {per}) - 1) / {per}{f' + {num(gamma)}' if kind == 'vqt' else ''})"
+    sql = {"hz": f, "bandwidth": width, "q": f"{f} / {width}", "n_fft": f"cast(power(2D, greatest(0D, ceil(log2({num(sr)} / {width})))) as long)", "octave": f"cast(floor({k} / {per}) as int)"}
+    return {name: F.expr(x) for name, x in sql.items()}
+
+
 def resolution_table(spark: SparkSession, f_min: float, n_bins: int, sr: float, bins_per_octave: int = 12, kind: str = "cq", gamma: float = 0.0) -> DataFrame:
-    """(k, hz, bandwidth, q, n_fft, octave) of every bin: constant or variable Q, the FFT size a power of two."""
-    q_ref = bins_per_octave / (2 ** (1 / bins_per_octave) - 1)
-    rows = []
-    for k in range(n_bins):
-        f = f_min * 2 ** (k / bins_per_octave)
-        width = f / q_ref + (gamma if kind == "vqt" else 0.0)
-        rows.append((k, f, width, f / width, 1 << max(0, math.ceil(math.log2(sr / width))), k // bins_per_octave))
-    return spark.createDataFrame(rows, "k int, hz double, bandwidth double, q double, n_fft long, octave int")
+    """(k, hz, bandwidth, q, n_fft, octave) of every bin."""
+    return spark.range(n_bins).select(F.col("id").cast("int").alias("k"), *(c.alias(n) for n, c in resolution("id", f_min, sr, bins_per_octave, kind, gamma).items()))
 
 
 def chunks(samples: DataFrame, length: int, overlap: float = 0.5) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,14 +69,28 @@ def random_weights(kind: str, inputs: int, hidden: int, seed: int) -> dict[str,
     return {"ih": rng.uniform(-bound, bound, (gates * hidden, inputs)), "hh": rng.uniform(-bound, bound, (gates * hidden, hidden)), "bih": rng.uniform(-bound, bound, gates * hidden), "bhh": rng.uniform(-bound, bound, gates * hidden)}
 
 
-def load_weights(folder: str, layers: int, bidirectional: bool = False) -> list[list[dict[str, np.ndarray]]]:
-    """Raw float32 files weight_ih_l0.bin, weight_hh_l0.bin, bias_ih_l0.bin, bias_hh_l0.bin and so on."""
+def load_weights(spark: SparkSession, folder: str, layers: int, bidirectional: bool = False) -> list[list[dict[str, np.ndarray]]]:
+    """Raw float32 files weight_ih_l0.bin, weight_hh_l0.bin, bias_ih_l0.bin, bias_hh_l0.bin and so on, from any store that Spark reads.
+
+    They come to the driver, as the layers' parameters go to every task with the step itself.
+    """
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*_l[0-9]*.bin").load(folder).select("path", "content").collect()
+    files = {r["path"].rsplit("/", 1)[1]: np.frombuffer(bytes(r["content"]), dtype="<f4").astype(float) for r in rows}
     out = []
     for n in range(layers):
         directions = []
         for suffix in ["", "_reverse"] if bidirectional else [""]:
-            raw = {k: np.fromfile(f"{folder}/{name}_l{n}{suffix}.bin", dtype=np.float32).astype(float) for k, name in (("ih", "weight_ih"), ("hh", "weight_hh"), ("bih", "bias_ih"), ("bhh", "bias_hh"))}
-            rows = len(raw["bih"])
-            directions.append(raw | {"ih": raw["ih"].reshape(rows, -1), "hh": raw["hh"].reshape(rows, -1)})
+            raw = {k: files[f"{name}_l{n}{suffix}.bin"] for k, name in (("ih", "weight_ih"), ("hh", "weight_hh"), ("bih", "bias_ih"), ("bhh", "bias_hh"))}
+            size = len(raw["bih"])
+            directions.append(raw | {"ih": raw["ih"].reshape(size, -1), "hh": raw["hh"].reshape(size, -1)})
         out.append(directions)
     return out
+
+
+def weight_files(spark: SparkSession, layers: list[list[dict[str, np.ndarray]]]) -> DataFrame:
+    """(name, y): layers' parameters as ``load_weights`` reads them, for ``with_raw`` and ``write_files``."""
+    rows = []
+    for n, directions in enumerate(layers):
+        for w, suffix in zip(directions, ("", "_reverse"), strict=False):
+            rows += [(f"{name}_l{n}{suffix}.bin", np.asarray(w[k]).ravel().tolist()) for k, name in (("ih", "weight_ih"), ("hh", "weight_hh"), ("bih", "bias_ih"), ("bhh", "bias_hh"))]
+    return spark.createDataFrame(rows, "name string, y array<double>")

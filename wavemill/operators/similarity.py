@@ -183,7 +183,7 @@ def recurrence_statistics(links: DataFrame, sizes: DataFrame, least: int = 2) ->
     return joined.select("clip_id", (F.coalesce("links_", F.lit(0)) / (F.col("n_frames") * F.col("n_frames"))).alias("rr"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("det", "l", "lam", "tt")))
 
 
-def synchronise(frames: DataFrame, bounds: DataFrame, how: str = "mean") -> DataFrame:
+def synchronise(frames: DataFrame, bounds: DataFrame, how: str = "mean", per: int = 1 << 14) -> DataFrame:
     """(clip_id, seg, v): features folded over the segments between boundaries (clip_id, b), 0 and the end added.
 
     An empty segment has zeros. The interval join is a window: a frame's segment is the number of boundaries up to it.
@@ -193,10 +193,15 @@ def synchronise(frames: DataFrame, bounds: DataFrame, how: str = "mean") -> Data
     ends = frames.groupBy("clip_id").agg((F.max("t") + 1).alias("n"), F.first(F.size("v")).alias("w"))
     cuts = bounds.join(ends, "clip_id").where("b > 0 and b < n").select("clip_id", "b").unionByName(ends.select("clip_id", F.lit(0).alias("b"))).distinct()
     segs = cuts.withColumn("seg", F.row_number().over(Window.partitionBy("clip_id").orderBy("b")) - 1)
-    marks = segs.select("clip_id", F.col("b").alias("t"), F.col("seg"), F.lit(None).cast("array<double>").alias("v"), F.lit(0).alias("k"))
-    both = frames.select("clip_id", "t", F.lit(None).cast("int").alias("seg"), F.col("v").cast("array<double>").alias("v"), F.lit(1).alias("k")).unionByName(marks)
-    w = Window.partitionBy("clip_id").orderBy("t", "k")
-    placed = both.withColumn("seg", F.last("seg", ignorenulls=True).over(w)).where("k = 1")
+    # A frame's segment is the last one that begins at it or before: in its stretch of the clip, else the last of an earlier stretch.
+    keyed = frames.select("clip_id", F.col("t").cast("long").alias("t"), F.col("v").cast("array<double>").alias("v")).withColumn("b_", F.floor(F.col("t") / per))
+    marks = segs.select("clip_id", F.col("b").cast("long").alias("t"), "seg", F.floor(F.col("b") / per).alias("b_"))
+    some = marks.groupBy("clip_id", "b_").agg(F.max("seg").alias("m_")).unionByName(keyed.select("clip_id", "b_").distinct().withColumn("m_", F.lit(None).cast("int")))
+    earlier = Window.partitionBy("clip_id").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    known = some.groupBy("clip_id", "b_").agg(F.max("m_").alias("m_")).select("clip_id", "b_", F.max("m_").over(earlier).alias("e_"))
+    both = keyed.select("clip_id", "b_", "t", F.lit(None).cast("int").alias("seg"), "v", F.lit(1).alias("k")).unionByName(marks.select("clip_id", "b_", "t", "seg", F.lit(None).cast("array<double>").alias("v"), F.lit(0).alias("k")))
+    w = Window.partitionBy("clip_id", "b_").orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("seg", F.max("seg").over(w)).where("k = 1").join(known, ["clip_id", "b_"]).withColumn("seg", F.coalesce("seg", "e_"))
     values = placed.select("clip_id", "seg", "t", F.posexplode("v").alias("f", "x"))
     fold = {"mean": F.avg("x"), "median": F.median("x"), "max": F.max("x"), "min": F.min("x"), "sum": F.sum("x"), "first": F.min_by("x", "t"), "last": F.max_by("x", "t")}[how]
     folded = values.groupBy("clip_id", "seg", "f").agg(fold.alias("x"))

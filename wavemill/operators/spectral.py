@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.arrays import let
 from wavemill.operators import scan
-from wavemill.operators.blocks import Projection, hashed_phase, matrix, overlap_add_blocks, polar_start, rebuilt, rows_of, samples_of
-from wavemill.operators.frames import apply_window, frame
+from wavemill.operators.blocks import Projection, hashed_phase, matrix, overlap_add_blocks, polar_start, rebuilt, rows_of, samples_of, typed
+from wavemill.operators.frames import frame
+
+
+#: Values of frames that a step transforms at a time.
+FRAME_VALUES = 1 << 20
 
 
 def map_frames(rows: DataFrame, column: str, outputs: list[str], step: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
@@ -34,15 +38,79 @@ def map_frames(rows: DataFrame, column: str, outputs: list[str], step: Callable[
     return rows.mapInArrow(run, schema)
 
 
+def padded(y: np.ndarray, pad: int, mode: str) -> np.ndarray:
+    """y with ``pad`` samples on both sides; reflect wraps round where y is shorter than that, and empty stays empty."""
+    if not pad or not len(y):
+        return y
+    if mode == "reflect":
+        return np.concatenate([y[np.arange(pad, 0, -1) % len(y)], y, y[len(y) - 1 - np.arange(1, pad + 1) % len(y)]])
+    if mode not in ("constant", "edge"):
+        raise ValueError(f"no padding {mode!r}")
+    return np.pad(y, pad, mode=mode)
+
+
+def from_frames(
+    clips: DataFrame, outputs: list[str], finish: Callable[[np.ndarray], tuple[np.ndarray, ...]], n_fft: int, hop: int, window: str = "hann", win_length: int | None = None, center: bool = True, pad_mode: str = "constant"
+) -> DataFrame:
+    """(clip_id, t, outputs): what ``finish`` makes of the spectra (frames, bins) of windowed frames; centred frames by padding half a frame at both ends.
+
+    Arrays (clip_id, y) are cut, windowed and transformed in one step that gives some frames at a time; tall samples are framed by blocks.
+    """
+    w = np.zeros(n_fft)
+    w[: win_length or n_fft] = window_values(window, win_length or n_fft)
+    pad, names = n_fft // 2 if center else 0, ["clip_id", "t", *outputs]
+    if "y" not in clips.columns:
+        return map_frames(frame(clips, n_fft, hop, pad, pad_mode), "v", outputs, lambda v: finish(np.fft.rfft(v * w, axis=1)))
+    some = max(1, FRAME_VALUES // n_fft)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clip, held, at, count = batch.column(0), [], [], 0
+            for k, y in enumerate(batch.column(1)):
+                x = padded(np.asarray(y.values), pad, pad_mode) if y.is_valid else np.zeros(0)
+                if len(x) < n_fft:
+                    continue
+                frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop]
+                for first in range(0, len(frames), some):
+                    part = frames[first : first + some]
+                    held.append(part)
+                    at.append((k, first, len(part)))
+                    count += len(part)
+                    if count >= some:
+                        yield give(clip, held, at)
+                        held, at, count = [], [], 0
+            if held:
+                yield give(clip, held, at)
+
+    def give(clip: pa.Array, held: list[np.ndarray], at: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        made = finish(np.fft.rfft(np.concatenate(held) * w, axis=1))
+        rows = np.concatenate([np.full(n, k) for k, _, n in at])
+        t = np.concatenate([np.arange(first, first + n) for _, first, n in at]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([clip.take(pa.array(rows)), pa.array(t), *map(rows_of, made)], names=names)
+
+    schema = f"{typed(clips, ['clip_id'])}, t int, " + ", ".join(f"`{o}` array<double>" for o in outputs)
+    return clips.select("clip_id", F.col("y").cast("array<double>")).mapInArrow(run, schema)
+
+
 def stft(clips: DataFrame, n_fft: int = 2048, hop: int = 512, window: str = "hann", win_length: int | None = None, center: bool = True, pad_mode: str = "constant") -> DataFrame:
-    """(clip_id, t, re, im) of windowed frames; centred frames by padding half a frame at both ends."""
-    frames = apply_window(frame(clips, n_fft, hop, n_fft // 2 if center else 0, pad_mode), window, win_length, n_fft)
+    """(clip_id, t, re, im) of windowed frames, see ``from_frames``."""
+    return from_frames(clips, ["re", "im"], lambda s: (s.real, s.imag), n_fft, hop, window, win_length, center, pad_mode)
 
-    def step(v: np.ndarray) -> tuple[np.ndarray, ...]:
-        s = np.fft.rfft(v, axis=1)
-        return s.real, s.imag
 
-    return map_frames(frames, "v", ["re", "im"], step)
+def power_frames(clips: DataFrame, n_fft: int = 2048, hop: int = 512, weights: np.ndarray | None = None, **more) -> DataFrame:
+    """(clip_id, t, v): squared magnitudes of the spectra, through filters if given, in the same step."""
+    bank = None if weights is None else np.ascontiguousarray(weights.T)
+
+    def finish(s: np.ndarray) -> tuple[np.ndarray, ...]:
+        p = s.real * s.real + s.imag * s.imag
+        return (p if bank is None else p @ bank,)
+
+    return from_frames(clips, ["v"], finish, n_fft, hop, **more)
+
+
+def magnitude_frames(clips: DataFrame, n_fft: int = 2048, hop: int = 512, **more) -> DataFrame:
+    """(clip_id, t, v): magnitudes of the spectra in the same step."""
+    return from_frames(clips, ["v"], lambda s: (np.abs(s),), n_fft, hop, **more)
 
 
 def power(spectra: DataFrame) -> DataFrame:
@@ -85,8 +153,14 @@ def overlap_add(frames: DataFrame, n_fft: int, hop: int, window: str = "hann", t
 
 
 def window_values(kind: str, length: int) -> list[float]:
+    """A periodic window."""
+    if length == 1:
+        return [1.0]
     k = [2 * math.pi * i / length for i in range(length)]
-    return {"hann": [0.5 - 0.5 * math.cos(a) for a in k], "hamming": [0.54 - 0.46 * math.cos(a) for a in k], "rectangular": [1.0] * length}[kind]
+    return {
+        "hann": [0.5 - 0.5 * math.cos(a) for a in k], "hamming": [0.54 - 0.46 * math.cos(a) for a in k], "blackman": [max(0.0, 0.42 - 0.5 * math.cos(a) + 0.08 * math.cos(2 * a)) for a in k],
+        "bartlett": [1 - abs((i - length / 2) / (length / 2)) for i in range(length)], "rectangular": [1.0] * length,
+    }[kind]
 
 
 def _mel(f: float, style: str) -> float:
@@ -145,7 +219,7 @@ def apply_filterbank_join(frames: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def mel_spectrogram(clips: DataFrame, sr: float = 22050, n_fft: int = 2048, hop: int = 512, n_mels: int = 128, style: str = "slaney", **more) -> DataFrame:
-    return apply_filterbank(power(stft(clips, n_fft, hop, **more)), mel_weights(n_mels, n_fft, sr, style=style))
+    return power_frames(clips, n_fft, hop, mel_weights(n_mels, n_fft, sr, style=style), **more)
 
 
 def top_db(frames: DataFrame, floor: float | None = 80.0, ref: float = 1.0, amin: float = 1e-10) -> DataFrame:
@@ -257,7 +331,7 @@ def pseudo_cqt(clips: DataFrame, sr: float, n_fft: int, hop: int, f_min: float,
     bins = np.arange(n_fft // 2 + 1) * sr / n_fft
     w = np.maximum(0, 1 - np.abs(bins[None, :] - freqs[:, None]) / np.maximum(width, sr / n_fft)[:, None])
     w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-10)
-    return apply_filterbank(magnitude(stft(clips, n_fft, hop)), w)
+    return apply_filterbank(magnitude_frames(clips, n_fft, hop), w)
 
 
 def chroma_weights(n_fft: int, sr: float) -> np.ndarray:
@@ -271,7 +345,7 @@ def chroma_weights(n_fft: int, sr: float) -> np.ndarray:
 
 
 def chroma(clips: DataFrame, sr: float = 22050, n_fft: int = 4096, hop: int = 512, norm: str | None = "l2") -> DataFrame:
-    folded = apply_filterbank(power(stft(clips, n_fft, hop)), chroma_weights(n_fft, sr))
+    folded = power_frames(clips, n_fft, hop, chroma_weights(n_fft, sr))
     size = {"l1": "aggregate(v, 0D, (s, x) -> s + abs(x))", "l2": "sqrt(aggregate(v, 0D, (s, x) -> s + x * x))", "max": "array_max(transform(v, x -> abs(x)))", None: "1D"}[norm]
     return folded.withColumn("v", F.expr(let(size, "n", "case when n > 1e-10 then transform(v, x -> x / n) else v end")))
 

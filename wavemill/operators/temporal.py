@@ -1,60 +1,81 @@
 """Operators along time: differences, context, smoothing, recurrences, tempo.
 
-Values are tall, (clip_id, t, f, x), where a step looks at neighbours: a window over (clip_id, f) is the unit of work.
+Values are tall, (clip_id, t, f, x), where a step looks at neighbours: a stretch of a track (clip_id, f) is the unit of work.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from wavemill.functions.arrays import bound, leaky, let, total, upper_median
 from wavemill.operators import scan
+from wavemill.operators.blocks import over_frames, reaching, sliding_median, typed
 
 
-def whole() -> WindowSpec:
-    return Window.partitionBy("clip_id", "f")
+#: Steps of a track that one task looks at; tracks are numbered from 0 without gaps.
+STRETCH = 1 << 14
 
 
-def track() -> WindowSpec:
-    return Window.partitionBy("clip_id", "f").orderBy("t")
+def stretches(values: DataFrame, before: int, after: int, per: int) -> tuple[DataFrame, WindowSpec, WindowSpec, Column]:
+    """``values`` in stretches b_ with some rows of the track around them, windows over a stretch in and without order, and the track's length where its end is in sight."""
+    per = max(per, before, after)
+    rows = values.withColumn("b_", reaching("t", per, before, after))
+    whole = Window.partitionBy("clip_id", "f", "b_")
+    last = F.max("t").over(whole)
+    return rows, whole.orderBy("t"), whole, F.when(last < (F.col("b_") + 1) * per + after - 1, last + 1)
 
 
-def delta(values: DataFrame, width: int = 9) -> DataFrame:
+def own(rows: DataFrame, per: int, before: int, after: int) -> DataFrame:
+    """The rows of a stretch without those around it."""
+    return rows.where(F.floor(F.col("t") / max(per, before, after)) == F.col("b_")).drop("b_")
+
+
+def delta(values: DataFrame, width: int = 9, per: int = STRETCH) -> DataFrame:
     """dx: slope over ``width`` frames; inside half a width of an end the slope of the line through the end's frames.
 
     A track shorter than ``width`` has one line through all of it.
     """
     half = width // 2
-    inner = sum(((F.lead("x", n).over(track()) - F.lag("x", n).over(track())) * n for n in range(1, half + 1)), F.lit(0.0)) / (2 * sum(n * n for n in range(1, half + 1)))
-    placed = values.withColumns({"i_": F.row_number().over(track()) - 1, "n_": F.count(F.lit(1)).over(whole()), "d_": inner})
-    head = F.regr_slope(F.when(F.col("i_") < width, F.col("x")), F.when(F.col("i_") < width, F.col("t"))).over(whole())
-    tail = F.regr_slope(F.when(F.col("i_") >= F.col("n_") - width, F.col("x")), F.when(F.col("i_") >= F.col("n_") - width, F.col("t"))).over(whole())
+    rows, track, whole, length = stretches(values, width, half + 1, per)
+    inner = sum(((F.lead("x", n).over(track) - F.lag("x", n).over(track)) * n for n in range(1, half + 1)), F.lit(0.0)) / (2 * sum(n * n for n in range(1, half + 1)))
+    placed = rows.withColumns({"n_": length, "d_": inner})
+    at_head, at_tail = F.col("t") < width, F.col("t") >= F.col("n_") - width
+    head = F.regr_slope(F.when(at_head, F.col("x")), F.when(at_head, F.col("t"))).over(whole)
+    tail = F.regr_slope(F.when(at_tail, F.col("x")), F.when(at_tail, F.col("t"))).over(whole)
     placed = placed.withColumns({"h_": head, "e_": tail})
-    dx = F.when(F.col("i_") < half, F.col("h_")).when(F.col("i_") >= F.col("n_") - half, F.col("e_")).otherwise(F.col("d_"))
-    return placed.withColumn("dx", F.coalesce(dx, F.lit(0.0))).drop("i_", "n_", "d_", "h_", "e_")
+    dx = F.when(F.col("t") < half, F.col("h_")).when(F.col("t") >= F.col("n_") - half, F.col("e_")).otherwise(F.col("d_"))
+    return own(placed.withColumn("dx", F.coalesce(dx, F.lit(0.0))).drop("n_", "d_", "h_", "e_"), per, width, half + 1)
 
 
-def delta_clamped(values: DataFrame, width: int = 9) -> DataFrame:
+def delta_clamped(values: DataFrame, width: int = 9, per: int = STRETCH) -> DataFrame:
     """dx with frames beyond an end taken as the end's."""
     half = width // 2
-    first, last = F.first("x").over(whole().orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("x").over(whole().orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    step = sum(((F.coalesce(F.lead("x", n).over(track()), last) - F.coalesce(F.lag("x", n).over(track()), first)) * n for n in range(1, half + 1)), F.lit(0.0))
-    return values.withColumn("dx", step / (2 * sum(n * n for n in range(1, half + 1))))
+    rows, track, whole, _ = stretches(values, half, half, per)
+    every = whole.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = F.first("x").over(every), F.last("x").over(every)  # of the track where a neighbour is missing
+    step = sum(((F.coalesce(F.lead("x", n).over(track), last) - F.coalesce(F.lag("x", n).over(track), first)) * n for n in range(1, half + 1)), F.lit(0.0))
+    return own(rows.withColumn("dx", step / (2 * sum(n * n for n in range(1, half + 1)))), per, half, half)
 
 
-def stack(values: DataFrame, steps: int = 2, delay: int = 1, mode: str = "constant", value: float = 0.0, ahead: int = 0) -> DataFrame:
+def stack(values: DataFrame, steps: int = 2, delay: int = 1, mode: str = "constant", value: float = 0.0, ahead: int = 0, per: int = STRETCH) -> DataFrame:
     """s0, s1, ...: the value ``k * delay`` frames back (from ``ahead`` frames ahead on); ends constant or edge."""
-    edge = F.first("x").over(track().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before, after = max(0, (steps - 1) * delay - ahead), max(0, ahead)
+    rows, track, whole, _ = stretches(values, before, after, per)
+    every = whole.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = {}
     for k in range(steps):
         at = k * delay - ahead
-        moved = F.lag("x", at).over(track()) if at >= 0 else F.lead("x", -at).over(track())
+        moved = F.lag("x", at).over(track) if at >= 0 else F.lead("x", -at).over(track)
+        edge = (F.first("x") if at >= 0 else F.last("x")).over(every)
         out[f"s{k}"] = F.coalesce(moved, edge if mode == "edge" else F.lit(value))
-    return values.withColumns(out)
+    return own(rows.withColumns(out), per, before, after)
 
 
 def tracks(values: DataFrame, name: str = "y") -> DataFrame:
@@ -126,6 +147,26 @@ def median_filter(v: str, size: int) -> Column:
     return F.expr(bound(v, body))
 
 
+def median_filter_tall(samples: DataFrame, size: int) -> DataFrame:
+    """(clip_id, n, x): ``median_filter`` of tall samples, by blocks with half a window around them."""
+    half = size // 2
+
+    def work(clip: pa.Array, t: np.ndarray, v: np.ndarray, mine: slice) -> pa.RecordBatch:
+        m = sliding_median(np.swapaxes(v, 0, 1), half)[mine].swapaxes(0, 1)[:, :, 0]
+        return pa.RecordBatch.from_arrays([clip.take(pa.array(np.repeat(np.arange(len(m)), m.shape[1]))), pa.array(t[:, mine].ravel()), pa.array(m.ravel())], names=["clip_id", "n", "x"])
+
+    rows = samples.select("clip_id", F.col("n").alias("t"), F.array("x").alias("v"))
+    return over_frames(rows, max(1 << 13, 16 * half), half, half, work, f"{typed(samples, ['clip_id'])}, n long, x double")
+
+
+def rises_tall(samples: DataFrame, steps: int = scan.STEPS) -> DataFrame:
+    """(clip_id, n, x): ``rises`` of tall samples; a block gets the last sample before it."""
+    blocks = scan.blocks_of(samples, ["clip_id"], "n", "x", steps)
+    lasts = blocks.select("clip_id", (F.col("b") + 1).alias("b"), F.element_at("v", -1).alias("p_"))
+    y = "transform(v, (x, i) -> greatest(0D, x - case when i > 0 then v[i - 1] else coalesce(p_, x) end))"
+    return scan.unrolled(blocks.join(lasts, ["clip_id", "b"], "left").withColumn("s", F.expr(y)), ["clip_id"], x="s").withColumnRenamed("t", "n")
+
+
 def rises(v: str = "v") -> Column:
     def body(v: str) -> str:
         return f"transform({v}, (x, i) -> case when i = 0 then 0D else greatest(0D, x - {v}[i - 1]) end)"
@@ -174,13 +215,21 @@ def tempo(envelopes: DataFrame, fps: float, win: int = 384, start: float = 120.0
 
 def beats(envelopes: DataFrame, period: str, y: str = "y") -> Column:
     """Greedy walk: the strongest of two periods, then the strongest near each next period, or its place if all are weak."""
-    tol = f"cast(floor({period} / 4) as int)"
-    peak = f"array_max({y})"
-    start = let(f"slice({y}, 1, least(size({y}), 2 * {period}))", "w", "cast(array_position(w, array_max(w)) - 1 as int)")
-    nxt = let("element_at(o, -1)", "b", let(f"slice({y}, b + {period} - {tol} + 1, greatest(0, least(b + {period} + greatest(1, {tol}), size({y})) - (b + {period} - {tol})))", "w",
-        f"case when b + {period} >= size({y}) or size(w) = 0 then o when array_max(w) > 0.1D * {peak} then concat(o, array(cast(b + {period} - {tol} + array_position(w, array_max(w)) - 1 as int))) else concat(o, array(b + {period})) end"))
-    walk = f"aggregate(sequence(1, greatest(1, cast(floor(size({y}) / greatest(1, {period} - {tol})) as int))), array({start}), (o, i) -> {nxt})"
-    return F.expr(f"case when {period} <= 0 or size({y}) = 0 then cast(array() as array<int>) else {walk} end")
+    def one(v: np.ndarray, p: int) -> list[int]:
+        if p <= 0 or not len(v):
+            return []
+        near, limit, out = p // 4, 0.1 * v.max(), [int(v[: 2 * p].argmax())]
+        while out[-1] + p < len(v):
+            at = out[-1] + p
+            w = v[max(0, at - near) : min(at + max(1, near), len(v))]
+            out.append(max(0, at - near) + int(w.argmax()) if w.max() > limit else at)
+        return out
+
+    @F.pandas_udf("array<int>")
+    def walk(ys: pd.Series, periods: pd.Series) -> pd.Series:
+        return pd.Series([one(np.asarray(v, dtype=float), int(p)) for v, p in zip(ys, periods, strict=True)])
+
+    return walk(F.coalesce(F.col(y), F.expr("cast(array() as array<double>)")), F.coalesce(F.col(period), F.lit(0)))
 
 
 def local_pulse(y: str, low: int, high: int) -> Column:

@@ -31,15 +31,26 @@ def track_beats(clips: DataFrame, sr: float, n_fft: int, hop: int, n_mels: int)
     return walked.select("clip_id", "bpm", F.expr(f"transform(b_, b -> b * {hop / sr!r}D)").alias("beats"))
 
 
-def voice_activity(clips: DataFrame, length: int, hop: int, threshold: float = 0.5, min_speech: int = 3, min_silence: int = 5) -> DataFrame:
-    """(clip_id, seg_id, start, end, score): segments of frames judged by level, evenness of spectrum and zero crossings."""
+def voice_scores(clips: DataFrame, length: int, hop: int, method: str) -> DataFrame:
+    """(clip_id, t, score) of frames by their level (energy), zero crossings (zcr) or evenness of spectrum (spectral)."""
     from wavemill.operators.frames import frame
 
+    if method == "spectral":
+        return spectral.magnitude_frames(clips, length, hop, center=False).select("clip_id", "t", F.greatest(F.lit(0.0), 1 - features.flatness()).alias("score"))
     frames = frame(clips, length, hop)
-    energy = events.energy_activity(frames)
-    zcr = frames.select("clip_id", "t", F.greatest(F.lit(0.0), 1 - features.zero_crossing_rate()).alias("score"))
-    flat = spectral.magnitude(spectral.stft(clips, length, hop, center=False)).select("clip_id", "t", F.greatest(F.lit(0.0), 1 - features.flatness()).alias("score"))
-    score = events.combined_activity([(energy, 0.5), (zcr, 0.2), (flat, 0.3)])
+    if method == "energy":
+        return events.energy_activity(frames)
+    if method != "zcr":
+        raise ValueError(f"no method {method!r}")
+    return frames.select("clip_id", "t", F.greatest(F.lit(0.0), 1 - features.zero_crossing_rate()).alias("score"))
+
+
+def voice_activity(clips: DataFrame, length: int, hop: int, threshold: float = 0.5, min_speech: int = 3, min_silence: int = 5, method: str = "combined", weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+    """(clip_id, seg_id, start, end, score): segments of frames judged by one of the scores, or by all with the weights of energy, zcr and spectral."""
+    if method == "combined":
+        score = events.combined_activity([(voice_scores(clips, length, hop, m), w) for m, w in zip(("energy", "zcr", "spectral"), weights, strict=True)])
+    else:
+        score = voice_scores(clips, length, hop, method)
     active = events.smooth_activity(score.withColumn("active", F.col("score") > threshold), min_speech, min_silence)
     return events.segments(active, "active", "score")
 

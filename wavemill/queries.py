@@ -42,8 +42,8 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' samples as tall rows (clip_id, n, x), numbered day by day."""
-    return frames.numbered(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", F.to_date("ts"))
+    """Users' samples as tall rows (clip_id, n, x), numbered hour by hour."""
+    return frames.numbered(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", F.date_trunc("hour", "ts"))
 
 
 def tall_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def tall_rounded(rows: DataFrame, value: str = "x") -> DataFrame:
 
 
 def magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.magnitude(spectral.stft(emb(spark, sf_dir), N, HOP, center=False))
+    return spectral.magnitude_frames(emb(spark, sf_dir), N, HOP, center=False)
 
 
 # The same frames and spectra, as joins and sums.
@@ -87,7 +87,7 @@ def stft(spark, sf_dir):
 
 @query(f"with {E_C} select clip_id, cast(t as integer) as t, cast(k as integer) as k, round(re * re + im * im, 6) as p from c")
 def power_spectrum(spark, sf_dir):
-    return points(spectral.power(spectral.stft(emb(spark, sf_dir), N, HOP, center=False)), "v", "clip_id", "t", name="k", value="p")
+    return points(spectral.power_frames(emb(spark, sf_dir), N, HOP, center=False), "v", "clip_id", "t", name="k", value="p")
 
 
 @query(f"with {E_M} {FS} round(case when sum(v) > 0 then sum(f * v) / sum(v) else 0 end, 6) as centroid from m group by all")
@@ -165,17 +165,10 @@ def note_names(spark, sf_dir):
     return read(spark, sf_dir, "orders").where("o_totalprice > 0").select("o_orderkey", units.hz_to_note(F.col("o_totalprice")).alias("note"))
 
 
-@query("""select cast(i as integer) as i, round(0.5 - 0.5 * cos(2 * pi() * i / 32), 6) as hann, round(0.54 - 0.46 * cos(2 * pi() * i / 31), 6) as hamming,
-round(greatest(0, 0.42 - 0.5 * cos(2 * pi() * i / 32) + 0.08 * cos(4 * pi() * i / 32)), 6) as blackman, round(1 - abs((i - 15.5) / 15.5), 6) as bartlett from (select unnest(range(32)) as i)""")
-def windows(spark, sf_dir):
-    w = spark.range(1).select(F.arrays_zip(frames.window("hann", 32).alias("hann"), frames.window("hamming", 32, False).alias("hamming"), frames.window("blackman", 32).alias("blackman"), frames.window("bartlett", 32, False).alias("bartlett")).alias("w"))
-    return w.select(F.posexplode("w").alias("i", "w")).select("i", *(r6(f"w.{c}").alias(c) for c in ("hann", "hamming", "blackman", "bartlett")))
-
-
 @query(f"""with {U_S}, z as (select *, count(*) over (partition by clip_id) as len from s), p as (select clip_id, n + 8 as n, x from z union all select clip_id, 8 - n, x from z where n between 1 and 8 union all select clip_id, len - 1 + 8 + (len - 1 - n), x from z where n between len - 9 and len - 2),
 l as (select clip_id, max(n) + 1 as len from p group by 1) select clip_id, cast(t as integer) as t, cast(p.n - t * 8 as integer) as i, round(x, 6) as x from p join l using (clip_id) join (select unnest(range(40)) as t) on p.n between t * 8 and t * 8 + 15 and t * 8 + 16 <= len""")
 def framing_reflect(spark, sf_dir):
-    return points(frames.frame(users(spark, sf_dir), 16, 8, 8, "reflect"), "v", "clip_id", "t")
+    return points(frames.frame(samples(spark, sf_dir), 16, 8, 8, "reflect"), "v", "clip_id", "t")
 
 
 @query(f"""with {U_S}, l as (select clip_id, count(*) as len from s group by 1) select clip_id, cast(t as integer) as t, cast(n - t * 8 as integer) as i, round(x, 6) as x from s join l using (clip_id) join (select unnest(range(40)) as t) on n between t * 8 and t * 8 + 15 and t * 8 + 16 <= len""")
@@ -234,18 +227,18 @@ def pcen(spark, sf_dir):
 
 @query(f"with {U_S} select clip_id, cast(n as integer) as i, round(case when n = 0 then x + (2 * x - lead(x) over v) else x - 0.97 * lag(x) over v end, 6) as x from s window v as (partition by clip_id order by n)")
 def preemphasis(spark, sf_dir):
-    return points(users(spark, sf_dir).withColumn("z", temporal.preemphasis()), "z", "clip_id")
+    return tall_rounded(temporal.preemphasis_tall(samples(spark, sf_dir))).withColumn("n", F.col("n").cast("int")).withColumnRenamed("n", "i")
 
 
-@query(f"with {U_S} select clip_id, cast(n as integer) as i, round(x, 4) as x from s")
+@query(f"with {E_S} select clip_id, cast(n as integer) as i, round(x, 4) + 0.0 as x from s")
 def deemphasis_round_trip(spark, sf_dir):
-    z = users(spark, sf_dir).withColumn("z", temporal.preemphasis()).select("clip_id", F.col("z").alias("y")).withColumn("w", temporal.deemphasis())
+    z = emb(spark, sf_dir).withColumn("z", temporal.preemphasis()).select("clip_id", F.col("z").alias("y")).withColumn("w", temporal.deemphasis())
     return z.select("clip_id", F.posexplode("w").alias("i", "x")).withColumn("x", F.round("x", 4))
 
 
 @query(f"with {U_S}, w as (select clip_id, n, list_sort(list(x) over (partition by clip_id order by n rows between 3 preceding and 3 following)) as l from s) select clip_id, cast(n as integer) as i, round(l[len(l) // 2 + 1], 6) as x from w")
 def median_filter(spark, sf_dir):
-    return points(users(spark, sf_dir).withColumn("z", temporal.median_filter("y", 7)), "z", "clip_id")
+    return tall_rounded(temporal.median_filter_tall(samples(spark, sf_dir), 7)).withColumn("n", F.col("n").cast("int")).withColumnRenamed("n", "i")
 
 
 @query("with s as (select label as clip_id, vec_id as t, unnest(range(len(embedding))) as f, cast(unnest(embedding) as double) as x from embeddings) select clip_id, cast(t as bigint) as t, cast(f as integer) as f, round((x - avg(x) over w) / sqrt(greatest(var_pop(x) over w, 1e-10)), 5) as x from s window w as (partition by clip_id, f)")
@@ -365,7 +358,7 @@ def istft_round_trip(spark, sf_dir):
 @query(f"""with {U_S}, l as (select clip_id, count(*) as len from s group by 1), w as (select s.clip_id, t, n - t as i, x * (0.5 - 0.5 * cos(2 * pi() * (n - t) / 32)) as x from s join l using (clip_id) join (select unnest(range(0, 80, 4)) as t) on n between t and t + 31 and t + 32 <= len)
 select a.clip_id, cast(a.t // 4 as integer) as t, cast(b.i - a.i as integer) as lag, round(sum(a.x * b.x / (32 - (b.i - a.i))), 4) as value from w a join w b on a.clip_id = b.clip_id and a.t = b.t and b.i - a.i between 2 and 20 group by a.clip_id, a.t, b.i - a.i""")
 def tempogram(spark, sf_dir):
-    rows = temporal.tempogram(users(spark, sf_dir), 32, 4, fps=1.0, bpm=(3.0, 30.0))
+    rows = temporal.tempogram(samples(spark, sf_dir), 32, 4, fps=1.0, bpm=(3.0, 30.0))
     return rows.select("clip_id", "t", F.col("lag").cast("int").alias("lag"), F.round("value", 4).alias("value"))
 
 
@@ -379,13 +372,13 @@ def _mel_sql() -> str:
 
 @query(_mel_sql())
 def mel_join(spark, sf_dir):
-    power = spectral.power(spectral.stft(emb(spark, sf_dir), N, HOP, center=False))
+    power = spectral.power_frames(emb(spark, sf_dir), N, HOP, center=False)
     return tall_rounded(spectral.apply_filterbank_join(power, MEL), "value")
 
 
 @query()
 def mfcc_events(spark, sf_dir):
-    return points(spectral.mfcc(users(spark, sf_dir), SR, N, HOP, 12, 6, lifter=8), "v", "clip_id", "t", name="c")
+    return points(spectral.mfcc(samples(spark, sf_dir), SR, N, HOP, 12, 6, lifter=8), "v", "clip_id", "t", name="c")
 
 
 @query()
@@ -406,30 +399,19 @@ def hpss_masks(spark, sf_dir):
 
 @query()
 def pitch_track(spark, sf_dir):
-    p = pitch.pitches(users(spark, sf_dir), SR, 32, 8, 4.0, 20.0)
+    p = pitch.pitches(samples(spark, sf_dir), SR, 32, 8, 4.0, 20.0)
     return p.select("clip_id", "t", r6("pitch").alias("pitch"), r6("confidence").alias("confidence"))
 
 
 @query()
 def onsets(spark, sf_dir):
-    return chains.onsets(users(spark, sf_dir), SR, N, HOP, 8).withColumn("time_s", r6("time_s"))
-
-
-@query()
-def beats(spark, sf_dir):
-    b = chains.track_beats(users(spark, sf_dir), SR, N, HOP, 8)
-    return b.select("clip_id", r6("bpm").alias("bpm"), F.posexplode_outer("beats").alias("beat", "time_s"))
-
-
-@query()
-def voice_activity(spark, sf_dir):
-    return chains.voice_activity(users(spark, sf_dir), 16, 4).withColumn("score", r6("score"))
+    return chains.onsets(samples(spark, sf_dir), SR, N, HOP, 8).withColumn("time_s", r6("time_s"))
 
 
 @query()
 def split_silence(spark, sf_dir):
-    clips = users(spark, sf_dir)
-    return events.split_silence(frames.frame(clips, 8, 4), clips.select("clip_id", F.size("y").alias("n_samples")), 8, 4, 6.0)
+    clips = samples(spark, sf_dir)
+    return events.split_silence(frames.frame(clips, 8, 4), clips.groupBy("clip_id").agg((F.max("n") + 1).alias("n_samples")), 8, 4, 6.0)
 
 
 @query()
@@ -454,21 +436,6 @@ def gru_outputs(spark, sf_dir):
     return points(recurrent.run_layers(rows, [w], "gru").withColumn("z", F.flatten("out")), "z", "seq_id")
 
 
-@query()
-def masked_features(spark, sf_dir):
-    return tall_rounded(augment.mask_bands(features.tall_values(magnitudes(spark, sf_dir)), 2, 3))
-
-
-@query()
-def noisy_signals(spark, sf_dir):
-    return points(emb(spark, sf_dir).withColumn("z", augment.add_noise("y", "clip_id", 10.0)), "z", "clip_id")
-
-
-@query()
-def generated_chirp(spark, sf_dir):
-    return points(augment.signal(spark, augment.chirp(100.0, 8000.0, 22050.0, 22050), 22050), "y", "clip_id")
-
-
 @query(f"with {U_S} select clip_id, cast(n as bigint) as n, round(x, 6) as x from s")
 def cross_fade_round_trip(spark, sf_dir):
     parts = rates.chunks(samples(spark, sf_dir), 16)
@@ -480,28 +447,6 @@ def low_pass(spark, sf_dir):
     return points(emb(spark, sf_dir).withColumn("z", rates.convolve("y", rates.low_pass(5, 0.2))), "z", "clip_id").withColumn("x", F.col("x") + 0.0)
 
 
-@query("""select cast(k as integer) as k, round(110 * pow(2, k / 12.0), 6) as hz, round(110 * pow(2, k / 12.0) * (pow(2, 1 / 12.0) - 1) / 12, 6) as bandwidth, cast(k // 12 as integer) as octave from (select unnest(range(36)) as k)""")
-def resolution_table(spark, sf_dir):
-    t = rates.resolution_table(spark, 110.0, 36, 22050.0)
-    return t.select("k", r6("hz").alias("hz"), r6("bandwidth").alias("bandwidth"), "octave")
-
-
-@query()
-def pitch_shift(spark, sf_dir):
-    return points(rates.pitch_shift(emb(spark, sf_dir), 3.0, N, HOP), "y", "clip_id")
-
-
-@query()
-def harmonic_cqt(spark, sf_dir):
-    h = rates.harmonic_cqt(emb(spark, sf_dir), SR, 8, 4.0, 6, (1, 2))
-    return tall_rounded(rates.harmonic_weighted(h, {1: 1.0, 2: 0.5}))
-
-
-@query()
-def inverse_cqt(spark, sf_dir):
-    return tall_rounded(rates.inverse_cqt(rates.vqt(emb(spark, sf_dir), SR, 8, 4.0, 12, 2.0), SR, 8, 4.0, 12))
-
-
 @query()
 def separated_sources(spark, sf_dir):
     spectra = spectral.stft(emb(spark, sf_dir), N, HOP)
@@ -510,19 +455,13 @@ def separated_sources(spark, sf_dir):
     return tall_rounded(rates.separate_by_masks(spectra, masks.select("clip_id", "t", "source", mre.alias("mre"), F.expr("transform(re, x -> 0D)").alias("mim")), N, HOP))
 
 
-@query()
-def generated_metronome(spark, sf_dir):
-    clip = augment.signal(spark, augment.metronome(120.0, 1.0, 2000.0), 2000)
-    return points(clip, "y", "clip_id")
-
-
 @query(f"""with {U_S}, l as (select clip_id, count(*) as len from s group by 1) select clip_id, cast(t as integer) as t, cast(n - t * 8 as integer) as i, round(x, 6) as x from s join l using (clip_id) join (select unnest(range(40)) as t) on n between t * 8 and t * 8 + 15 and t * 8 + 16 <= len""")
 def streamed_frames(spark, sf_dir):
     """Frames cut from a stream of the users' samples, a chunk a row."""
     from wavemill.operators.frames import chunk_rows
     from wavemill.streaming.state import run_available, stream_frames
 
-    rows = chunk_rows(users(spark, sf_dir), 10)
+    rows = chunk_rows(samples(spark, sf_dir), 10)
     return points(run_available(rows, lambda s: stream_frames(s, 16, 8, pad_end=False)), "v", "clip_id", "t")
 
 
@@ -558,7 +497,7 @@ def onset_strength_bands(spark, sf_dir):
 
 @query(f"with {U_S} select clip_id, cast(n as integer) as i, round(case when n = 0 then 0 else greatest(0, x - lag(x) over (partition by clip_id order by n)) end, 6) as x from s")
 def rises(spark, sf_dir):
-    return points(users(spark, sf_dir).withColumn("z", temporal.rises("y")), "z", "clip_id")
+    return tall_rounded(temporal.rises_tall(samples(spark, sf_dir))).withColumn("n", F.col("n").cast("int")).withColumnRenamed("n", "i")
 
 
 @query(f"with {E_M}, d as (select clip_id, t, k, v, lag(v) over (partition by clip_id, k order by t) as p from m) {FS} round(corr(v, p), 5) + 0.0 as r from d where t > 0 group by all")
@@ -595,12 +534,6 @@ def repeating_parts(spark, sf_dir):
     return parts.select("clip_id", "t", "f", r6("repeating").alias("repeating"), r6("other").alias("other"))
 
 
-@query()
-def noise_colours(spark, sf_dir):
-    clip = augment.signal(spark, augment.white(), 2000)
-    return points(clip.select("clip_id", augment.pink("y").alias("y")), "y", "clip_id").withColumnRenamed("x", "pink").join(points(clip.select("clip_id", augment.brown("y").alias("y")), "y", "clip_id").withColumnRenamed("x", "brown"), ["clip_id", "i"])
-
-
 @query()
 def subsequence_alignment(spark, sf_dir):
     rows = emb(spark, sf_dir).withColumn("f", F.expr("transform(y, z -> array(z))"))
@@ -609,7 +542,3 @@ def subsequence_alignment(spark, sf_dir):
     return found.select("pair_id", r6("cost").alias("cost"), F.col("path")[0]["j"].alias("start"))
 
 
-@query()
-def inverse_cqt_magnitude(spark, sf_dir):
-    mags = spectral.magnitude(rates.vqt(emb(spark, sf_dir), SR, 8, 4.0, 12, 2.0))
-    return tall_rounded(rates.inverse_cqt_magnitude(mags, SR, 8, 4.0, 12))

@@ -1,7 +1,9 @@
-"""Stateful operators for streams of sample chunks (clip_id, seq, y, last).
+"""Stateful operators for streams of sample chunks (clip_id, seq, y, last) and of frames (clip_id, t, v, last).
 
-A clip's state is what the next frame still needs: the samples not yet consumed and the next frame's number. Chunks of one
-batch are put in order by seq; frames come out the same however the samples are cut into chunks and batches.
+A clip's state is what the next row still needs, and the rows that came before their turn: chunks are numbered from 0 without gaps, and results
+come out the same in whatever order and batches they arrive. A row that came before is a repeat and is left out. State goes with a clip's
+last row, or, with ``idle`` milliseconds given, when nothing has come for that long: then what waits is worked off in its order, over the gaps, and
+the clip ends.
 """
 
 from __future__ import annotations
@@ -32,77 +34,131 @@ def run_available(rows: DataFrame, make) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-def stream_frames(chunks: DataFrame, length: int, hop: int, pad_end: bool = True) -> DataFrame:
+#: Of the order: the next number, and what waits for its turn.
+ORDER = "next long, numbers array<long>, bodies array<array<double>>, lasts array<boolean>"
+
+
+def timeout(idle: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+class Turns:
+    """The rows of a clip in their order, from batches that bring them in any."""
+
+    def __init__(self, held: tuple | None):
+        self.next, numbers, bodies, lasts = held or (0, [], [], [])
+        self.waiting = {int(n): (np.asarray(b, dtype=float), bool(e)) for n, b, e in zip(numbers, bodies, lasts, strict=True)}
+
+    def add(self, parts: Iterator[pd.DataFrame], number: str, body: str) -> None:
+        for part in parts:
+            ends = part["last"] if "last" in part else [False] * len(part)
+            for n, b, e in zip(part[number], part[body], ends, strict=True):
+                if n >= self.next:
+                    self.waiting[int(n)] = np.asarray(b, dtype=float), bool(e)
+
+    def ready(self, all_of_them: bool = False) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """What can go now, with whether it is the clip's last; ``all_of_them`` over gaps."""
+        while self.waiting:
+            n = min(self.waiting) if all_of_them else self.next
+            if n not in self.waiting:
+                return
+            body, last = self.waiting.pop(n)
+            self.next = n + 1
+            yield n, body, last or (all_of_them and not self.waiting)
+            if last:
+                self.waiting.clear()
+
+    def kept(self) -> tuple:
+        order = sorted(self.waiting)
+        return self.next, order, [self.waiting[n][0].tolist() for n in order], [self.waiting[n][1] for n in order]
+
+
+def keep(state: GroupState, value: tuple, idle: int | None) -> None:
+    state.update(value)
+    if idle is not None:
+        state.setTimeoutDuration(idle)
+
+
+def stream_frames(chunks: DataFrame, length: int, hop: int, pad_end: bool = True, idle: int | None = None) -> DataFrame:
     """(clip_id, t, v): frames without centring as soon as their samples are there.
 
     A chunk with last = true ends the clip: with ``pad_end`` what is left becomes one frame filled up with zeros, and
     the state goes.
     """
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, t = (np.array(state.get[0]), state.get[1]) if state.exists else (np.zeros(0), 0)
-        rows = pd.concat(list(parts)).sort_values("seq")
-        held = np.concatenate([held, *(np.asarray(y, dtype=float) for y in rows["y"])])
+        held, t, *order = (np.array(state.get[0]), *state.get[1:]) if state.exists else (np.zeros(0), 0)
+        turns, over = Turns(tuple(order) or None), state.hasTimedOut
+        turns.add(parts, "seq", "y")
         out = []
-        while len(held) >= length:
-            out.append((key[0], t, held[:length].tolist()))
-            held, t = held[hop:], t + 1
-        if rows["last"].any():
+        for _, y, last in turns.ready(over):
+            held = np.concatenate([held, y])
+            while len(held) >= length:
+                out.append((key[0], t, held[:length].tolist()))
+                held, t = held[hop:], t + 1
+            over = over or last
+        if over:
             if pad_end and len(held):
                 out.append((key[0], t, np.concatenate([held, np.zeros(length - len(held))]).tolist()))
             if state.exists:
                 state.remove()
         else:
-            state.update((held.tolist(), t))
+            keep(state, (held.tolist(), t, *turns.kept()), idle)
         yield pd.DataFrame(out, columns=["clip_id", "t", "v"])
 
-    return chunks.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, t int, v array<double>", "held array<double>, t int", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, t int, v array<double>", f"held array<double>, t int, {ORDER}", "append", timeout(idle))
 
 
-def stream_overlap_add(frames: DataFrame, n_fft: int, hop: int, window: list[float]) -> DataFrame:
+def stream_overlap_add(frames: DataFrame, n_fft: int, hop: int, window: list[float], idle: int | None = None) -> DataFrame:
     """(clip_id, start, y): samples that no later frame touches, from frames (clip_id, t, v, last) of inverse spectra."""
     w = np.array(window)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, sums, weight = (state.get[0], np.array(state.get[1]), np.array(state.get[2])) if state.exists else (0, np.zeros(0), np.zeros(0))
-        rows = pd.concat(list(parts)).sort_values("t")
-        out = []
-        for t, v in zip(rows["t"], rows["v"], strict=True):
-            at = int(t) * hop - done
-            need = at + n_fft
-            if len(sums) < need:
-                sums, weight = (np.concatenate([x, np.zeros(need - len(x))]) for x in (sums, weight))
-            sums[at : at + n_fft] += np.asarray(v) * w
+        done, sums, weight, *order = (state.get[0], np.array(state.get[1]), np.array(state.get[2]), *state.get[3:]) if state.exists else (0, np.zeros(0), np.zeros(0))
+        turns, over, ready = Turns(tuple(order) or None), state.hasTimedOut, 0
+        turns.add(parts, "t", "v")
+        for t, v, last in turns.ready(over):
+            at = t * hop - done
+            if len(sums) < at + n_fft:
+                sums, weight = (np.concatenate([x, np.zeros(at + n_fft - len(x))]) for x in (sums, weight))
+            sums[at : at + n_fft] += v * w
             weight[at : at + n_fft] += w * w
-        ready = len(sums) if rows["last"].any() else max(0, (int(rows["t"].iloc[-1]) + 1) * hop - done)
-        if ready:
-            out.append((key[0], done, (sums[:ready] / np.maximum(weight[:ready], 1e-10)).tolist()))
-        if rows["last"].any():
+            ready, over = (t + 1) * hop - done, over or last
+        ready = len(sums) if over else max(0, ready)
+        out = [(key[0], done, (sums[:ready] / np.maximum(weight[:ready], 1e-10)).tolist())] if ready else []
+        if over:
             if state.exists:
                 state.remove()
         else:
-            state.update((done + ready, sums[ready:].tolist(), weight[ready:].tolist()))
+            keep(state, (done + ready, sums[ready:].tolist(), weight[ready:].tolist(), *turns.kept()), idle)
         yield pd.DataFrame(out, columns=["clip_id", "start", "y"])
 
-    return frames.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, start long, y array<double>", "done long, sums array<double>, weight array<double>", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, start long, y array<double>", f"done long, sums array<double>, weight array<double>, {ORDER}", "append", timeout(idle))
 
 
-def stream_normalise(frames: DataFrame, least: int = 10) -> DataFrame:
-    """(clip_id, t, v): frames less the running mean over the running deviation, as they are until ``least`` have come."""
+def stream_normalise(frames: DataFrame, least: int = 10, idle: int | None = None) -> DataFrame:
+    """(clip_id, t, v): frames less the running mean over the running deviation, as they are until ``least`` have come.
+
+    State goes with a frame whose last is true, where the stream has that column, or after ``idle`` milliseconds.
+    """
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, s, q = (state.get[0], np.array(state.get[1]), np.array(state.get[2])) if state.exists else (0, None, None)
-        out = []
-        rows = pd.concat(list(parts)).sort_values("t")
-        for t, v in zip(rows["t"], rows["v"], strict=True):
-            x = np.asarray(v, dtype=float)
-            s, q, n = (x.copy(), x * x, 1) if s is None else (s + x, q + x * x, n + 1)
+        n, s, q, *order = (state.get[0], np.array(state.get[1]), np.array(state.get[2]), *state.get[3:]) if state.exists else (0, np.zeros(0), np.zeros(0))
+        turns, over, out = Turns(tuple(order) or None), state.hasTimedOut, []
+        turns.add(parts, "t", "v")
+        for t, x, last in turns.ready(over):
+            s, q, n = (s + x, q + x * x, n + 1) if n else (x.copy(), x * x, 1)
             if n >= least:
                 mean = s / n
                 x = (x - mean) / np.sqrt(np.maximum(q / n - mean * mean, 1e-10))
-            out.append((key[0], int(t), x.tolist()))
-        state.update((n, s.tolist(), q.tolist()))
+            out.append((key[0], t, x.tolist()))
+            over = over or last
+        if over:
+            if state.exists:
+                state.remove()
+        else:
+            keep(state, (n, s.tolist(), q.tolist(), *turns.kept()), idle)
         yield pd.DataFrame(out, columns=["clip_id", "t", "v"])
 
-    return frames.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, t int, v array<double>", "n long, s array<double>, q array<double>", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, t int, v array<double>", f"n long, s array<double>, q array<double>, {ORDER}", "append", timeout(idle))
 
 
 def stream_features(chunks: DataFrame, n_fft: int, hop: int, weights: np.ndarray, log: bool = True) -> DataFrame:

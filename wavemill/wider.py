@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import arrays, units
 from wavemill.operators import augment, events, features, frames, recurrent, similarity, spectral, temporal
-from wavemill.queries import BAND, E_C, E_M, E_S, HOP, N, SR, U_S, emb, labelled_frames, magnitudes, points, r6, read, tall_rounded, users
+from wavemill.queries import BAND, E_C, E_M, E_S, HOP, N, SR, U_S, emb, labelled_frames, magnitudes, points, r6, read, samples, tall_rounded
 
 QUERIES: dict = {}
 #: SQL by query, of this module and of the first one.
@@ -158,9 +158,6 @@ sp as (select clip_id, min(t) * 4 as a, least(max(t) * 4 + 8, any_value(len)) as
 gr as (select *, sum(c) over (partition by clip_id order by a) as g from mk), o as (select clip_id, g, min(a) as a, max(b) as b from gr group by all)
 select clip_id, cast(row_number() over (partition by clip_id order by a) - 1 as integer) as seg_id, cast(a as integer) as start, cast(b as integer) as "end" from o"""
 
-ORACLE_SQL["generated_chirp"] = f"select cast(0 as bigint) as clip_id, cast(i as integer) as i, {r('sin(2 * pi() * (100.0 * 1.0 / ln(80.0) * (pow(80.0, i / 22050.0) - 1)))')} as x from (select unnest(range(22050)) as i)"
-ORACLE_SQL["generated_metronome"] = f"select cast(0 as bigint) as clip_id, cast(i as integer) as i, {r('case when i < 100 then (1 - i / 100.0) * sin(2 * pi() * 2000 * i / 2000) when i between 1000 and 1099 then 0.7 * (1 - (i - 1000) / 100.0) * sin(2 * pi() * 1000 * (i - 1000) / 2000) else 0 end')} as x from (select unnest(range(2000)) as i)"
-
 ORACLE_SQL["separated_sources"] = f"""with {centred(E_S)}, sc as (select unnest(['low', 'high']) as source), ii as (select unnest(range({N})) as i),
 v as (select clip_id, source, t, i, sum(case when (k < 4) = (source = 'low') then case when k in (0, {N // 2}) then re * cos(2 * pi() * k * i / {N}) else 2 * (re * cos(2 * pi() * k * i / {N}) - im * sin(2 * pi() * k * i / {N})) end else 0 end) / {N} as v from c cross join sc cross join ii group by all),
 o as (select clip_id, source, t * {HOP} + i - {N // 2} as n, sum(v * {HANN}) / greatest(sum({HANN} * {HANN}), 1e-10) as x from v group by all) select clip_id, source, n, {r("x")} as x from o where n between 0 and 63"""
@@ -274,8 +271,8 @@ def onset_strength_rms(spark, sf_dir):
 
 @query(ORACLE_SQL["split_silence"].rsplit("\nselect", 1)[0] + '\nselect clip_id, min(a) as start, max(b) as "end" from o group by 1')
 def trim_silence(spark, sf_dir):
-    clips = users(spark, sf_dir)
-    return events.trim_silence(events.split_silence(frames.frame(clips, 8, 4), clips.select("clip_id", F.size("y").alias("n_samples")), 8, 4, 6.0)).select("clip_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    clips = samples(spark, sf_dir)
+    return events.trim_silence(events.split_silence(frames.frame(clips, 8, 4), clips.groupBy("clip_id").agg((F.max("n") + 1).alias("n_samples")), 8, 4, 6.0)).select("clip_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 @query(f"with {BAND} select clip_id, cast(i as integer) as i, cast(j as integer) as j, {r('dist')} as dist from p order by round(dist, 9), clip_id, i, j limit 20")
@@ -287,7 +284,7 @@ def closest_links(spark, sf_dir):
 @query(f"""with {U_S}, {LEN}, w as (select s.clip_id, t, n - t as i, x * (0.5 - 0.5 * cos(2 * pi() * (n - t) / 32)) as x from s join l using (clip_id) join (select unnest(range(0, 400, 4)) as t) on n between t and t + 31 and t + 32 <= len), kk as (select unnest(range(2, 17)) as k)
 select clip_id, cast(t // 4 as integer) as t, cast(k as integer) as k, round(2 * sqrt(pow(sum(x * cos(2 * pi() * k * i / 32)), 2) + pow(sum(x * sin(2 * pi() * k * i / 32)), 2)), 4) + 0.0 as value from w cross join kk group by all""")
 def fourier_tempogram(spark, sf_dir):
-    rows = temporal.tempogram(users(spark, sf_dir), 32, 4, fps=1.0, bpm=(3.0, 30.0), kind="fourier")
+    rows = temporal.tempogram(samples(spark, sf_dir), 32, 4, fps=1.0, bpm=(3.0, 30.0), kind="fourier")
     return rows.select("clip_id", "t", F.col("k").cast("int").alias("k"), F.round("value", 4).alias("value"))
 
 
@@ -302,13 +299,6 @@ def pseudo_cqt(spark, sf_dir):
     return points(spectral.pseudo_cqt(emb(spark, sf_dir), SR, N, HOP, 4.0, 12), "v", "clip_id", "t", name="k")
 
 
-@query(f"with {E_S}, e as (select clip_id, n % 24 as k, n // 24 as t, x from s where n < 48) select clip_id, cast(t as integer) as t, cast((24 + k) % 12 as integer) as c, {r('sum(abs(x))')} as x from e group by clip_id, t, (24 + k) % 12")
-def chroma_from_cqt(spark, sf_dir):
-    """Two octaves of twelve bins from C1 folded to classes; the magnitudes are two rows of 24 of an embedding."""
-    rows = emb(spark, sf_dir).select("clip_id", F.posexplode(F.expr("transform(sequence(0, 1), t -> transform(slice(y, t * 24 + 1, 24), x -> abs(x)))")).alias("t", "v"))
-    return points(spectral.chroma_from_cqt(rows, 32.703195662574764, 12, 24), "v", "clip_id", "t", name="c")
-
-
 @query(f"with {E_C} select clip_id, cast(t as integer) as t, cast(k as integer) as k, {r('re')} as re, {r('im')} as im from c")
 def polar_round_trip(spark, sf_dir):
     s = spectral.stft(emb(spark, sf_dir), N, HOP, center=False)
@@ -330,7 +320,7 @@ select clip_id, cast(n as integer) as t, cast(0 as integer) as i, round(case whe
 def streamed_normalise(spark, sf_dir):
     from wavemill.streaming.state import run_available, stream_normalise
 
-    rows = frames.tall(users(spark, sf_dir)).select("clip_id", F.col("n").alias("t"), F.array("x").alias("v"))
+    rows = samples(spark, sf_dir).select("clip_id", F.col("n").alias("t"), F.array("x").alias("v"))
     made = run_available(rows, stream_normalise)
     return made.select("clip_id", "t", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 5))
 
@@ -339,7 +329,7 @@ def streamed_normalise(spark, sf_dir):
 def streamed_pitch(spark, sf_dir):
     from wavemill.streaming.state import run_available, stream_pitch
 
-    p = run_available(frames.chunk_rows(users(spark, sf_dir), 10), lambda s: stream_pitch(s, SR, 32, 8, 4.0, 20.0))
+    p = run_available(frames.chunk_rows(samples(spark, sf_dir), 10), lambda s: stream_pitch(s, SR, 32, 8, 4.0, 20.0))
     return p.select("clip_id", "t", r6("pitch").alias("pitch"), r6("confidence").alias("confidence"))
 
 
@@ -350,39 +340,7 @@ def streamed_features(spark, sf_dir):
     from wavemill.streaming.state import run_available, stream_features
 
     weights = spectral.mel_weights(6, N, SR, style="htk")
-    return points(run_available(frames.chunk_rows(users(spark, sf_dir), 10), lambda s: stream_features(s, N, HOP, weights)), "v", "clip_id", "t", name="m")
-
-
-@query(f"with {E_S} select clip_id, cast(n as bigint) as n, {r('x')} as x from s where n between 1 and 60")
-def streamed_overlap_add(spark, sf_dir):
-    """Windowed frames put together again by a stream; the ends that one window's zero covers are left out."""
-    from wavemill.streaming.state import run_available, stream_overlap_add
-
-    w = spectral.window_values("hann", N)
-    framed = frames.apply_window(frames.frame(emb(spark, sf_dir), N, HOP), "hann", None, N).withColumn("last", F.col("t") == F.max("t").over(Window.partitionBy("clip_id")))
-    parts = run_available(framed, lambda s: stream_overlap_add(s, N, HOP, w))
-    samples = parts.select("clip_id", "start", F.posexplode("y").alias("k", "x")).select("clip_id", (F.col("start") + F.col("k")).alias("n"), "x")
-    return tall_rounded(samples.where("n between 1 and 60"))
-
-
-@query("select cast(0 as bigint) as clip_id, cast(i as integer) as i, round(0.5 * sin(2 * pi() * 440.0 * i / 8000.0) + 0.25 * sin(2 * pi() * 660.0 * i / 8000.0), 6) + 0.0 as x from (select unnest(range(800)) as i)")
-def generated_tones(spark, sf_dir):
-    return points(augment.signal(spark, augment.tones([440.0, 660.0], 8000.0, [0.5, 0.25]), 800), "y", "clip_id")
-
-
-@query(f"with {E_S} select clip_id, cast(n as integer) as i, round(trunc(greatest(-1, least(1, x)) * 32767) / 32767, 3) + 0.0 as x from s where clip_id < 20")
-def audio_file_round_trip(spark, sf_dir):
-    """Clips written as sound files and read back; twenty of them, since it is files that are tested."""
-    import uuid
-
-    from wavemill.operators.lineage import shared_folder
-    from wavemill.sources import audio
-
-    folder = f"{shared_folder(spark)}/audio-{uuid.uuid4().hex}"
-    few = emb(spark, sf_dir).where("clip_id < 20").select("clip_id", F.array(F.expr("transform(y, x -> greatest(-1D, least(1D, x)))")).alias("channels"), F.lit(8000).alias("sr"))
-    audio.write_files(audio.with_encoded(few).withColumn("name", F.concat(F.col("clip_id").cast("string"), F.lit(".wav"))), folder)
-    back = audio.read_audio(spark, f"{folder}/*.wav").withColumn("clip_id", F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long"))
-    return back.select("clip_id", F.posexplode(F.col("channels")[0]).alias("i", "x")).withColumn("x", F.round("x", 3))
+    return points(run_available(frames.chunk_rows(samples(spark, sf_dir), 10), lambda s: stream_features(s, N, HOP, weights)), "v", "clip_id", "t", name="m")
 
 
 def clean(make):
