@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from wavemill.functions.arrays import let, mean, total
+from wavemill.operators.lineage import cut
 
 
 def in_time() -> WindowSpec:
@@ -68,7 +69,7 @@ STRETCH = 1 << 16
 
 def running_total(rows: DataFrame, x: str, out: str, per: int = STRETCH) -> DataFrame:
     """``rows`` (clip_id, t, ...) with ``out``, the sum of ``x`` up to each row: inside stretches of a clip, and over the sums of stretches."""
-    keyed = rows.withColumn("b_", F.floor(F.col("t") / per))
+    keyed = cut(rows.withColumn("b_", F.floor(F.col("t") / per)))  # read twice; without an end of its lineage, plans of several such steps would double each time
     earlier = Window.partitionBy("clip_id").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
     sums = keyed.groupBy("clip_id", "b_").agg(F.sum(x).alias("s_")).select("clip_id", "b_", F.coalesce(F.sum("s_").over(earlier), F.lit(0)).alias("o_"))
     inside = F.sum(x).over(Window.partitionBy("clip_id", "b_").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
@@ -77,7 +78,7 @@ def running_total(rows: DataFrame, x: str, out: str, per: int = STRETCH) -> Data
 
 def previous(rows: DataFrame, x: str, out: str, per: int = STRETCH) -> DataFrame:
     """``rows`` (clip_id, t, ...) with ``out``, the value of ``x`` in the row before, null in a clip's first one; a stretch gets the last value before it."""
-    keyed = rows.withColumn("b_", F.floor(F.col("t") / per))
+    keyed = cut(rows.withColumn("b_", F.floor(F.col("t") / per)))
     lasts = keyed.groupBy("clip_id", "b_").agg(F.max_by(F.struct(F.col(x).alias("x")), "t").alias("l_"))
     lasts = lasts.select("clip_id", "b_", F.lag("l_").over(Window.partitionBy("clip_id").orderBy("b_")).alias("p_"))
     before = F.lag(F.struct(F.col(x).alias("x"))).over(Window.partitionBy("clip_id", "b_").orderBy("t"))
@@ -94,12 +95,14 @@ def islands(rows: DataFrame, flag: str, per: int = STRETCH) -> DataFrame:
 
 def of_clip(rows: DataFrame, found: dict[str, Column]) -> DataFrame:
     """``rows`` with values of their clip: aggregates that are partial before they meet, joined back."""
+    rows = cut(rows)
     whole = rows.groupBy(F.col("clip_id").alias("c_id_")).agg(*(c.alias(n) for n, c in found.items()))
     return rows.join(whole, F.col("clip_id") == F.col("c_id_")).drop("c_id_")
 
 
 def of_island(rows: DataFrame) -> DataFrame:
     """``rows`` with n_, the length of their island."""
+    rows = cut(rows)
     sizes = rows.groupBy(F.col("clip_id").alias("c_id_"), F.col("island_").alias("i_id_")).agg(F.count(F.lit(1)).alias("n_"))
     return rows.join(sizes, (F.col("clip_id") == F.col("c_id_")) & (F.col("island_") == F.col("i_id_"))).drop("c_id_", "i_id_")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from wavemill.functions.arrays import bound, leaky, let, total, upper_median
+from wavemill.functions.arrays import bound, let, total, upper_median
 from wavemill.operators import scan
 from wavemill.operators.blocks import over_frames, reaching, sliding_median, typed
 
@@ -128,13 +128,19 @@ def preemphasis(y: str = "y", c: float = 0.97) -> Column:
 
 def deemphasis(y: str = "y", c: float = 0.97) -> Column:
     """Inverse of ``preemphasis`` for signals of two samples and more."""
-    both = F.array(F.struct(F.col(y).alias("y"), leaky(y, c).alias("z")))
-    return F.element_at(F.transform(both, lambda s: _undo(s, c)), 1)
-
-
-def _undo(s: Column, c: float) -> Column:
-    first = ((2 - c) * s["y"][0] - s["y"][1]) / (3 - c)
-    return F.transform(s["z"], lambda x, i: x - first * F.pow(F.lit(c), i))
+    def one(y) -> np.ndarray | None:
+        if y is None:
+            return None
+        x = np.array(y, dtype=float)
+        if len(x) > 1:  # the first sample without what was put before it
+            x[0] -= ((2 - c) * x[0] - x[1]) / (3 - c)
+        return scan.running(x[:, None], c, np.zeros(1))[:, 0]
+
+    @F.pandas_udf("array<double>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(one)
+
+    return run.asNondeterministic()(F.col(y))  # so that an explode of it doesn't put it into a filter before Python runs
 
 
 def median_filter(v: str, size: int) -> Column:
