@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import decontamination, fill_middle, target_sampling
+from wavemill.llm import decontamination, fill_middle, substring_dedup, target_sampling
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["place", "row", "rank", "score", "weight", "n", "form", "marked", "a", "b", "h1", "prefix", "first", "last", "items", "item", "starts", "stream", "__id", "__row"]
@@ -204,3 +204,19 @@ def test_fill_in_middle_is_the_plain_one(spark, docs):
 def test_no_python_in_fill_in_middle(docs):
     plan = fill_middle.fill_in_middle(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_passages_are_cut_from_their_own_text(spark):
+    """Another text of the same id, and a null one, keep all their words; spans that overlap are cut once."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    shared, other = words(120), words(200)
+    rows = [(1, f"{words(40)}\n{shared}\n{words(40)}"), (2, f"{words(60)}\n{shared}"), (2, other), (None, None), (None, f"{shared}\n{words(30)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash"))
+    found = substring_dedup.repeated_passages(docs)
+    left = substring_dedup.remove_passages(docs, found)
+    assert left.columns == docs.columns
+    texts = [r.text for r in left.collect()]
+    assert other in texts and None in texts and sum(shared in (t or "") for t in texts) == 1 and len(texts) == 5
+    spans = spark.createDataFrame([("aéb😀cdefgh", [(1, 3), (2, 4), (6, 7)])], "t string, s array<struct<start:int,end:int>>")
+    assert spans.select(substring_dedup.without(F.col("t"), F.col("s")).alias("x")).first().x == "acdfgh"

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -417,9 +418,9 @@ def repeated_runs(found: DataFrame, detail: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Passages that occur again, equal or similar: doc_id, start, end, first_doc_id, first_start, cluster_size, removed.
+    """Passages that occur again, equal or similar: doc_id, row, start, end, first_doc_id, first_start, cluster_size, removed.
 
-    start and end are code points of the text, the end exclusive. Paragraphs and runs that overlap in a document, or touch
+    row is the text's 64-bit hash, which tells texts of one id apart. start and end are code points of the text, the end exclusive. Paragraphs and runs that overlap in a document, or touch
     but for a space, are one passage; first_* and cluster_size are those of its first one. The first place of a
     cluster stays; removed is true for all others. Documents without repeated passages have no row. Null, empty and short
     texts have none; a null doc_id comes first. Equal rows repeat each other's passages but share doc_id and place, so
@@ -435,19 +436,35 @@ def repeated_passages(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     number = F.sum(F.when(F.col("s") <= ended + 1, 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0))
     passage = spans.withColumn("_n", number).groupBy("doc_id", "row", "removed", "_n").agg(F.min(F.struct("s", "first_doc_id", "first_s", "size")).alias("f"), F.max("e").alias("end"))
     known = lambda c: F.when(F.col(c) != LONG_MIN, F.col(c))
-    return passage.select(known("doc_id").alias("doc_id"), F.col("f.s").alias("start"), "end", known("f.first_doc_id").alias("first_doc_id"), F.col("f.first_s").alias("first_start"), F.col("f.size").alias("cluster_size"), "removed").distinct()
+    return passage.select(known("doc_id").alias("doc_id"), "row", F.col("f.s").alias("start"), "end", known("f.first_doc_id").alias("first_doc_id"), F.col("f.first_s").alias("first_start"), F.col("f.size").alias("cluster_size"), "removed").distinct()
+
+
+def without(text: Column, spans: Column) -> Column:
+    """Texts less their spans (start, end), in order; some may overlap."""
+    def one(text: str | None, cuts: list | None) -> str | None:
+        if text is None:
+            return None
+        out, at = [], 0
+        for c in cuts:
+            out.append(text[at : max(at, c["start"])])
+            at = max(at, c["end"])
+        return "".join([*out, text[at:]])
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([one(t, c) for t, c in zip(texts, found, strict=True)], dtype=object)
+
+    return run(text, spans)
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the removed passages cut out of their texts; other columns unchanged. Rows that share a doc_id share their cuts."""
-    i, spans_name = fresh(docs, "__id", "__spans")
-    spans = passages.where("removed").groupBy(F.col("doc_id").alias(i)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans_name))
-    left = F.expr(
-        f"aggregate({spans_name}, named_struct('p', 0, 'o', ''), (a, x) -> case when x.start < a.p then named_struct('p', greatest(a.p, x.end), 'o', a.o) "
-        "else named_struct('p', x.end, 'o', concat(a.o, substring(text, a.p + 1, x.start - a.p))) end, a -> concat(a.o, substring(text, a.p + 1)))"
-    )
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(i)), "left")
-    return joined.withColumn("text", F.when(F.col(spans_name).isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+    """``docs`` with the removed passages cut out of their texts; other columns unchanged. A passage is cut from rows of its doc_id and text alone."""
+    i, h, spans_name = fresh(docs, "__id", "__row", "__spans")
+    spans = passages.where("removed").groupBy(F.col("doc_id").alias(i), F.col("row").alias(h)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans_name))
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
+    some = F.col(spans_name).isNotNull()
+    left = without(F.when(some, F.col("text")), F.col(spans_name))  # other texts don't go to Python
+    return joined.withColumn("text", F.when(some, left).otherwise(F.col("text"))).select(docs.columns)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
