@@ -198,7 +198,7 @@ def test_alignment_by_tiles(spark, window, param, subsequence, metric):
     sizes = [(1, 1), (1, 9), (9, 1), (5, 5), (12, 12), (13, 20), (21, 16)]
     pairs = [(rng.integers(0, 3, (n, 2)).astype(float), rng.integers(0, 3, (m, 2)).astype(float)) for n, m in sizes]
     x, y = (spectra_rows(spark, *(p[k] for p in pairs)).withColumnRenamed("clip_id", "pair_id") for k in (0, 1))
-    costs, path = alignment.align_tall(x, y, metric, subsequence, window, param, tile=5)
+    costs, path = alignment.align_tall(x, y, metric, subsequence, window, param, tile=8)
     got = {r.pair_id: r for r in costs.collect()}
     steps: dict[int, list] = {}
     for r in path.collect():
