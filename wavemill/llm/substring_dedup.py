@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, cut, fresh, frugal, small_batches, spread, table
+from .common import LONG_MIN, cut, drop_cut, fresh, frugal, small_batches, spread, table
 from .graph import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -336,7 +336,10 @@ def bucket_classes(lines: DataFrame) -> DataFrame:
     keyed = cut(classes.select(F.explode("keys").alias("key"), "cls", "place"), "keys")
     shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
     # Written in between: a key of many classes is skewed, which each of the two joins can split on its own.
-    return cut(keyed.join(shared.hint("merge"), "key"), "bucket-classes")
+    out = cut(keyed.join(shared.hint("merge"), "key"), "bucket-classes")
+    for done in (keyed, shared):
+        drop_cut(done)
+    return out
 
 
 def line_places(members: DataFrame) -> DataFrame:
