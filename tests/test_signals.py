@@ -168,3 +168,18 @@ def test_modes_of_synchronise(spark):
     bounds = spark.createDataFrame([(0, 2)], "clip_id long, b int")
     got = {how: [r.v[0] for r in similarity.synchronise(rows, bounds, how).orderBy("seg").collect()] for how in ("mean", "median", "max", "min", "sum", "first", "last")}
     assert got == {"mean": [0.5, 3.5], "median": [0.5, 3.5], "max": [1, 5], "min": [0, 2], "sum": [1, 14], "first": [0, 2], "last": [1, 5]}
+
+
+def test_deemphasis_counts_as_it_collects(spark, small):
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()["deemphasis_round_trip"](spark, small)
+    assert rows.count() == len(rows.toPandas()) == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_deemphasis_undoes_preemphasis(spark):
+    there = clips(spark, *EDGES).select("clip_id", temporal.preemphasis().alias("z"), "y")
+    back = {r.clip_id: (r.y, r.back) for r in temporal.deemphasis(there, "z", "back").collect()}
+    assert all(np.allclose(*both, rtol=1e-9) for k, both in back.items() if len(EDGES[k]) > 1)
+    none = spark.createDataFrame([(1, None)], "clip_id long, y array<double>")
+    assert temporal.deemphasis(none).first().y is None

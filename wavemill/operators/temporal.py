@@ -6,6 +6,7 @@ Values are tall, (clip_id, t, f, x), where a step looks at neighbours: a stretch
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -126,8 +127,11 @@ def preemphasis(y: str = "y", c: float = 0.97) -> Column:
     return F.expr(bound(y, body))
 
 
-def deemphasis(y: str = "y", c: float = 0.97) -> Column:
-    """Inverse of ``preemphasis`` for signals of two samples and more."""
+def deemphasis(rows: DataFrame, y: str = "y", out: str = "y", c: float = 0.97) -> DataFrame:
+    """``rows`` with ``out``, the inverse of ``preemphasis`` of the array ``y``, for signals of two samples and more.
+
+    A step of its own and no expression: the optimizer would move one with a Python function in it to where it isn't run.
+    """
     def one(y) -> np.ndarray | None:
         if y is None:
             return None
@@ -136,11 +140,15 @@ def deemphasis(y: str = "y", c: float = 0.97) -> Column:
             x[0] -= ((2 - c) * x[0] - x[1]) / (3 - c)
         return scan.running(x[:, None], c, np.zeros(1))[:, 0]
 
-    @F.pandas_udf("array<double>")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(one)
+    kept = [n for n in rows.columns if n != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [one(v.values) if v.is_valid else None for v in batch.column(batch.schema.get_field_index(y))]
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.list_(pa.float64()))], names=[*kept, out])
 
-    return run.asNondeterministic()(F.col(y))  # so that an explode of it doesn't put it into a filter before Python runs
+    return rows.mapInArrow(run, ", ".join([*([typed(rows, kept)] if kept else []), f"`{out}` array<double>"]))
 
 
 def median_filter(v: str, size: int) -> Column:

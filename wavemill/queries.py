@@ -232,8 +232,8 @@ def preemphasis(spark, sf_dir):
 
 @query(f"with {U_S} select clip_id, cast(n as integer) as i, round(x, 4) as x from s")
 def deemphasis_round_trip(spark, sf_dir):
-    z = users(spark, sf_dir).withColumn("z", temporal.preemphasis()).select("clip_id", F.col("z").alias("y")).withColumn("w", temporal.deemphasis())
-    return z.select("clip_id", F.posexplode("w").alias("i", "x")).withColumn("x", F.round("x", 4))
+    z = users(spark, sf_dir).select("clip_id", temporal.preemphasis().alias("y"))
+    return temporal.deemphasis(z).select("clip_id", F.posexplode("y").alias("i", "x")).withColumn("x", F.round("x", 4))
 
 
 @query(f"with {U_S}, w as (select clip_id, n, list_sort(list(x) over (partition by clip_id order by n rows between 3 preceding and 3 following)) as l from s) select clip_id, cast(n as integer) as i, round(l[len(l) // 2 + 1], 6) as x from w")
