@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.operators import frames, spectral
+from wavemill.operators import frames, recurrent, spectral
 from wavemill.sources import audio
 from wavemill.streaming import state
 
@@ -145,3 +145,18 @@ def test_idle_state_goes(spark, tmp_path):
         assert sorted({(r.clip_id, r.t) for r in got}) == [(k, t) for k in range(5) for t in range(3)] and next(r.v for r in got if (r.clip_id, r.t) == (0, 1)) == [0.0] * 2 + [2.0] * 6
     finally:
         query.stop()
+
+
+def test_weights_come_back_whole(spark, tmp_path):
+    made = [[recurrent.random_weights("gru", 8, 4, s) for s in (42, 43)]]
+    for bits in (32, 64):
+        folder = f"file://{tmp_path}/weights-{bits}"
+        audio.write_files(audio.with_raw(recurrent.weight_files(spark, made), bits=bits), folder)
+        loaded = recurrent.load_weights(spark, folder, 1, bidirectional=True, bits=bits)
+        for want, got in zip(made[0], loaded[0], strict=True):
+            assert all((want[k].astype(f"f{bits // 8}") == got[k]).all() for k in want)
+    # What a query makes of them is then the same to the last digit that its SQL keeps.
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()["layers_from_files"](spark, "/root/testdata/sf0.01").where("seq_id = 452 and i = 16").collect()
+    assert [r.x for r in rows] == [-0.1906]

@@ -69,13 +69,13 @@ def random_weights(kind: str, inputs: int, hidden: int, seed: int) -> dict[str,
     return {"ih": rng.uniform(-bound, bound, (gates * hidden, inputs)), "hh": rng.uniform(-bound, bound, (gates * hidden, hidden)), "bih": rng.uniform(-bound, bound, gates * hidden), "bhh": rng.uniform(-bound, bound, gates * hidden)}
 
 
-def load_weights(spark: SparkSession, folder: str, layers: int, bidirectional: bool = False) -> list[list[dict[str, np.ndarray]]]:
-    """Raw float32 files weight_ih_l0.bin, weight_hh_l0.bin, bias_ih_l0.bin, bias_hh_l0.bin and so on, from any store that Spark reads.
+def load_weights(spark: SparkSession, folder: str, layers: int, bidirectional: bool = False, bits: int = 32) -> list[list[dict[str, np.ndarray]]]:
+    """Raw files of floats of 32 or 64 ``bits``, weight_ih_l0.bin, weight_hh_l0.bin, bias_ih_l0.bin, bias_hh_l0.bin and so on, from any store that Spark reads.
 
     They come to the driver, as the layers' parameters go to every task with the step itself.
     """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*_l[0-9]*.bin").load(folder).select("path", "content").collect()
-    files = {r["path"].rsplit("/", 1)[1]: np.frombuffer(bytes(r["content"]), dtype="<f4").astype(float) for r in rows}
+    files = {r["path"].rsplit("/", 1)[1]: np.frombuffer(bytes(r["content"]), dtype=f"<f{bits // 8}").astype(float) for r in rows}
     out = []
     for n in range(layers):
         directions = []

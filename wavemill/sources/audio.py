@@ -286,14 +286,14 @@ def read_raw(spark: SparkSession, path: str, expected: int | None = None) -> Dat
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, y array<double>")
 
 
-def with_raw(rows: DataFrame, y: str = "y") -> DataFrame:
-    """``rows`` with y as 32-bit floats in ``content``."""
+def with_raw(rows: DataFrame, y: str = "y", bits: int = 32) -> DataFrame:
+    """``rows`` with y as little-endian floats of 32 or 64 ``bits`` in ``content``."""
     at = rows.columns.index(y)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", content binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.array(v, dtype="<f4").tobytes() for v in batch.column(at).to_pylist()]
+            made = [np.array(v, dtype=f"<f{bits // 8}").tobytes() for v in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "content"])
 
     return rows.mapInArrow(run, schema)
