@@ -15,7 +15,7 @@ import re
 import sys
 import types
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,12 @@ POOL = 2048
 #: Id after each document.
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words an encoder remembers before it forgets all but those it met first, which are the frequent ones.
+#: Distinct words an encoder remembers before it forgets all but those it met most often.
 REMEMBER, KEEP = 400_000, 150_000
 #: Words whose ids are those of their lower-cased letters and then those of the marks: Latin letters that normalising leaves as they are, and ASCII marks.
-LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)")
+LATIN = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)"
+#: The letters and the marks of each of many lines; both are empty for other words.
+LINES = re.compile(f"^{LATIN}$|^.*$", re.MULTILINE)
 #: Runs of marks remembered.
 MARKS = 10_000
 
@@ -48,10 +50,6 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def packed_ids(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
-
-
 class _Numbers(dict):
     """Numbers words in order of their first look-up."""
 
@@ -76,88 +74,122 @@ class WordEncoder:
         ends = [k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.is_end[ends] = True
-        self.marks: dict[str, bytes] = {}
+        self.marks: dict[str, np.ndarray] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known, self.learnt = _Numbers(), 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-
-    def _bytes_of(self, k: int) -> bytes:
-        return self.flat[self.starts[k] : self.starts[k] + self.sizes[k]].tobytes()
+        self.starts, self.sizes, self.met = (np.zeros(1 << 14, dtype=kind) for kind in (np.int64, np.int64, np.int32))
 
     def learn(self) -> None:
         """Find the ids of the words numbered since the last time.
 
         The ids of a word of Latin letters are those of its lower-cased letters, with those of the marks after them;
-        anything else goes to the tokenizer as it is. Letters met only inside other words are numbered too.
+        anything else goes to the tokenizer as it is. Letters met only inside other words are numbered too. Words of the
+        same letters share their ids.
         """
         words = list(islice(reversed(self.known), len(self.known) - self.learnt))[::-1]
         if not words:
             return
-        lower, marks = zip(*((m[1].lower(), m[2]) if m else ("", "") for m in map(LATIN.fullmatch, words)), strict=True)
-        if len(self.marks) > MARKS:
-            self.marks.clear()
-        for run in set(marks) - self.marks.keys():
-            self.marks[run] = packed_ids(self.tokenizer.encode(run, add_special_tokens=False).ids)
-        number, learnt = dict.get, self.learnt
-        found: dict[str, bytes] = {}
-        fresh = []
-        for w in set(lower):
-            if w:
-                k = number(self.known, w, learnt)
-                if k < learnt:
-                    found[w] = self._bytes_of(k)
-                else:
-                    fresh.append(w)
+        stems, marks = zip(*LINES.findall("\n".join(words)), strict=True)
+        stems = "\n".join(stems).lower().split("\n")
+        letters = list(dict.fromkeys(stems))
+        # Where the ids of letters lie; letters that aren't known yet have none.
+        number = np.fromiter(map(self.known.get, letters, repeat(self.learnt)), dtype=np.int64, count=len(letters))
+        old = number < self.learnt
+        number[~old] = 0
+        starts, sizes = np.where(old, self.starts[number], 0), np.where(old, self.sizes[number], -1)
+        fresh = np.flatnonzero(~old & np.fromiter(map(bool, letters), dtype=bool, count=len(letters)))
         # A run of letters is one unit for the tokenizer, so many go in one call and their ids part after word ends.
         for k in range(0, len(fresh), 50_000):
             part = fresh[k : k + 50_000]
-            raw = packed_ids(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
-            stops = ((np.flatnonzero(self.is_end[np.frombuffer(raw, dtype="<u4")]) + 1) * 4).tolist()
-            if len(stops) == len(part) and stops[-1] == len(raw):
-                found.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
-        odd = [k for k, w in enumerate(lower) if w not in found]
-        whole = dict(zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True))
-        ids = [packed_ids(whole[k].ids) if k in whole else found[stem] + self.marks[run] for k, (stem, run) in enumerate(zip(lower, marks, strict=True))]
-        for w in fresh:
-            if w in found and w not in self.known:
-                self.known[w] = len(self.known)
-                ids.append(found[w])
-        self._store(ids)
-
-    def _store(self, found: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        ids = np.frombuffer(b"".join(found), dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([letters[j] for j in part.tolist()])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                sizes[part] = np.diff(ends, prepend=0)
+                starts[part] = self._append(ids) + ends - sizes[part]
+        place = dict(zip(letters, range(len(letters)), strict=True))
+        at = np.fromiter(map(place.__getitem__, stems), dtype=np.int64, count=len(stems))
+        starts_, sizes_ = starts[at], sizes[at]
+        odd = np.flatnonzero(sizes_ < 0).tolist()
+        if odd:
+            found = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False)]
+            own = np.fromiter(map(len, found), dtype=np.int64, count=len(odd))
+            starts_[odd], sizes_[odd] = self._append(np.concatenate(found)) + np.cumsum(own) - own, own
+        self._with_marks(np.flatnonzero((sizes[at] >= 0) & np.fromiter(map(bool, marks), dtype=bool, count=len(marks))), marks, starts_, sizes_)
+        bare = [j for j in fresh.tolist() if sizes[j] >= 0 and letters[j] not in self.known]
+        self.known.update(zip([letters[j] for j in bare], range(len(self.known), len(self.known) + len(bare)), strict=True))
+        while len(self.known) > len(self.starts):
+            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.met))
+        own = slice(self.learnt, len(self.known))
+        self.starts[own], self.sizes[own] = np.concatenate([starts_, starts[bare]]), np.concatenate([sizes_, sizes[bare]])
+        self.learnt = len(self.known)
+
+    def _with_marks(self, at: np.ndarray, marks: tuple[str, ...], starts: np.ndarray, sizes: np.ndarray) -> None:
+        """For the words ``at`` these places the ids of their letters (starts, sizes) give way to those with the ids of their marks behind them."""
+        if not len(at):
+            return
+        if len(self.marks) > MARKS:
+            self.marks.clear()
+        runs = [marks[k] for k in at.tolist()]
+        different = list(dict.fromkeys(runs))
+        for run in different:
+            if run not in self.marks:
+                self.marks[run] = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype=np.uint32)
+        each = [self.marks[run] for run in different]
+        own = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        place = dict(zip(different, range(len(different)), strict=True))
+        run = np.fromiter(map(place.__getitem__, runs), dtype=np.int64, count=len(runs))
+        pool = np.concatenate([self.flat[: self.used], *each])
+        begins = np.stack([starts[at], self.used + (np.cumsum(own) - own)[run]], axis=1).ravel()
+        lengths = np.stack([sizes[at], own[run]], axis=1)
+        sizes[at] = lengths.sum(axis=1)
+        starts[at] = self._append(_gathered(pool, begins, lengths.ravel())) + np.cumsum(sizes[at]) - sizes[at]
+
+    def _append(self, ids: np.ndarray) -> int:
+        """Where ``ids`` begin among all that are held."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.known) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[self.learnt : len(self.known)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.learnt : len(self.known)] = sizes
-        self.used, self.learnt = self.used + len(ids), len(self.known)
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _keep(self) -> None:
+        """Forget all words but the KEEP met most often."""
+        kept = np.sort(np.argpartition(-self.met[: len(self.known)], KEEP)[:KEEP])
+        words = list(self.known)
+        self.known, self.learnt = _Numbers(zip([words[k] for k in kept.tolist()], range(KEEP), strict=True)), KEEP
+        starts, sizes, met = self.starts[kept], self.sizes[kept], self.met[kept] // 2
+        ids = _gathered(self.flat, starts, sizes)
+        self.flat[: len(ids)], self.used = ids, len(ids)
+        self.starts[:KEEP], self.sizes[:KEEP], self.met[:KEEP], self.met[KEEP:] = np.cumsum(sizes) - sizes, sizes, met, 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBER:
-            self.known = _Numbers(islice(self.known.items(), KEEP))
-            self.used, self.learnt = int(self.starts[KEEP]), KEEP
+            self._keep()
         odd = {k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         number = self.known.__getitem__
-        numbers = [np.array(list(map(number, t.split())) if k not in odd else [], dtype=np.int64) for k, t in enumerate(texts)]
+        numbers = [np.fromiter(map(number, words), dtype=np.int64, count=len(words)) for words in (t.split() if k not in odd else [] for k, t in enumerate(texts))]
         self.learn()
-        out = []
-        for at in numbers:
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(self.starts[at] - ends + sizes, sizes)])
+        at = np.concatenate([*numbers, np.empty(0, dtype=np.int64)])
+        self.met[: len(self.known)] += np.bincount(at, minlength=len(self.known)).astype(np.int32)
+        sizes = self.sizes[at]
+        ids = _gathered(self.flat, self.starts[at], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, numbers)])].tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         for k in odd:
             out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
         return out
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` of these starts and sizes, one after the other."""
+    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 def worker_encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker, which serves many tasks one after the other."""
     held = sys.modules.setdefault("_wavemill_encoders", types.ModuleType("_wavemill_encoders"))
