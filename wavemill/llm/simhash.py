@@ -9,7 +9,8 @@ Two searches share this. ``simhash_dedup``: 64 bits of three-word shingles, radi
 within three bits they agree on three whole parts, so each goes to 20 buckets, one for every choice of three parts, and no
 link is missed. ``drop_near_copies``: texts of similarity 0.8 and more by five-word shingles. Their fingerprints of 256
 bits differ in about 39 places, too many for whole parts to agree, so MinHash bands make the buckets. The comparison is
-only a filter there, with a wide radius; the pairs that pass it are verified by the exact similarity of their shingle sets.
+only a filter there, with a wide radius: the components of what passes it are where near copies can be. The texts of a
+component meet once, and the similarities of all their shingle sets are counted there exactly.
 """
 
 from __future__ import annotations
@@ -207,26 +208,14 @@ def _chains(nodes: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[label[at]], nodes[at]
 
 
-def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, grouped: bool = False) -> Iterator[pa.RecordBatch]:
+def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, pair, side, node, words of the fingerprint) arrive by bucket and pair.
 
     Gives a spanning forest of the links in each bucket or pair of chunks. Without words the node is the fingerprint.
-    ``grouped``: the first word is a group; gives all links between nodes of different groups instead of a forest.
     """
     empty = np.empty(0, dtype=np.int64)
 
-    def chosen(node: np.ndarray, group: np.ndarray | None, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        if group is None:
-            return _chains(node, forest(len(node), pairs))
-        kept = [(x[far], y[far]) for x, y in pairs if (far := group[x] != group[y]).any()]
-        if not kept:
-            return empty, empty
-        a, b = (node[np.concatenate(x)] for x in zip(*kept, strict=True))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return both[:, 0], both[:, 1]
-
     def compare(key: np.ndarray, chunk: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        group, fps = (fps[:, 0], fps[:, 1:]) if grouped else (None, fps)
         # key: number of the bucket or pair, rising; chunk: 0 for the first of a pair, 1 for the second, -1 for a whole bucket
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
@@ -239,7 +228,7 @@ def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, grouped:
         for at in range(0, len(key), step):  # bounds the planes at work; a bucket over an edge goes the other way below
             part = np.flatnonzero(mask[at : at + step]) + at
             if len(part) > 1:
-                a, b = chosen(node[part], group[part] if grouped else None, shifted_links(key[part], fps[part], radius))
+                a, b = _chains(node[part], forest(len(part), shifted_links(key[part], fps[part], radius)))
                 found_a.append(a)
                 found_b.append(b)
         for g in np.flatnonzero(~small & (sizes > 1)).tolist():
@@ -248,7 +237,7 @@ def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, grouped:
             if not len(ia) or not len(ib):
                 continue
             pairs = [(ia[x], ib[y]) for x, y in block_links(fps[own][ia], fps[own][ib], radius)]
-            x, y = chosen(node[own], group[own] if grouped else None, pairs)
+            x, y = _chains(node[own], forest(int(sizes[g]), pairs))
             found_a.append(x)
             found_b.append(y)
         a = np.concatenate(found_a) if found_a else empty
@@ -280,23 +269,28 @@ def _link_rows(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, grouped:
         yield compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def bucket_links(rows: DataFrame, chunk: int = CHUNK, radius: int = RADIUS, group: str | None = None) -> DataFrame:
-    """a, b: nodes that connect all within ``radius`` in a bucket. ``rows``: a written table (bucket, node, words).
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """key, pair, side and the other columns of ``rows`` (key, node, _c, ...), dealt and sorted by key and pair.
 
-    Buckets of one node are dropped after a count. A bucket of more than ``chunk`` becomes chunks by a second hash, and
-    every pair of chunks a unit of work of its own. With ``group``, a column, all pairs of different groups within
-    ``radius`` in a bucket; buckets of one group are dropped.
+    The rows of a key are in ``_c`` chunks by a second hash, and every pair of chunks is a unit of work of its own: the
+    side is 0 for rows of the first chunk, 1 for those of the second, -1 for a chunk with itself.
     """
-    words = [*([group] if group else []), *(c for c in rows.columns if c not in ("bucket", "node", group))]
-    many = f"min({group}) < max({group})" if group else "count(1) > 1"
-    sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.expr(many).alias("_many")).where("_many").drop("_many"), "buckets")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("node", "bucket"), chunks).cast("int")
-    joined = rows.join(sizes, "bucket").withColumn("_c", chunks).withColumn("_m", mine)
+    others = [c for c in rows.columns if c not in (key, "_c")]
+    mine = F.pmod(F.xxhash64("node", key), F.col("_c")).cast("int")
     # With chunk m of c a row meets the pairs (m, j) for all j; as first where m <= j and as second else.
     pair = F.expr("transform(sequence(0, _c - 1), j -> named_struct('pair', least(_m, j) * _c + greatest(_m, j), 'side', case when j = _m then -1 when _m < j then 0 else 1 end))")
-    units = joined.withColumn("_p", F.explode(pair)).select("bucket", F.col("_p.pair").cast("long").alias("pair"), F.col("_p.side").alias("side"), "node", *words)
-    return units.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(lambda batches: frugal(_link_rows(batches, radius, bool(group))), "a long, b long")
+    units = rows.withColumn("_m", mine).withColumn("_p", F.explode(pair)).select(key, F.col("_p.pair").cast("long").alias("pair"), F.col("_p.side").alias("side"), *others)
+    return units.repartition(key, "pair").sortWithinPartitions(key, "pair")
+
+
+def bucket_links(rows: DataFrame, chunk: int = CHUNK, radius: int = RADIUS) -> DataFrame:
+    """a, b: nodes that connect all within ``radius`` in a bucket. ``rows``: a written table (bucket, node, words).
+
+    Buckets of one node are dropped after a count. A bucket of more than ``chunk`` becomes chunks, see ``dealt``.
+    """
+    chunks = F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_c")
+    sizes = cut(rows.groupBy("bucket").agg(chunks, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
+    return dealt(rows.join(sized(sizes), "bucket"), "bucket").mapInArrow(lambda batches: frugal(_link_rows(batches, radius)), "a long, b long")
 
 
 def near_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -346,6 +340,10 @@ def simhash_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 WIDE, WIDE_WORDS, WIDE_RADIUS, BANDS, BAND_ROWS = 5, 4, 72, 12, 3
 #: Similarity of near copies is NEAR[0] / NEAR[1] and more.
 NEAR = (4, 5)
+#: Shingles of a chunk of texts that are compared in one go, about; of texts of many words fewer than CHUNK make a chunk.
+HELD = 1 << 19
+#: A shingle in more sets than FEW is a column of a matrix, of which SLAB are multiplied at a time.
+FEW, SLAB = 16, 2048
 
 
 def wide_shingles(text: bytes) -> tuple[bytes, np.ndarray] | None:
@@ -362,8 +360,8 @@ def wide_shingles(text: bytes) -> tuple[bytes, np.ndarray] | None:
     return joined, np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64))
 
 
-def wide_signature(text: bytes) -> tuple[int, np.ndarray, np.ndarray] | None:
-    """Node (a hash of the words), four words of fingerprint and the band keys; None for a text without words."""
+def wide_signature(text: bytes) -> tuple[int, np.ndarray, np.ndarray, int] | None:
+    """Node (a hash of the words), four words of fingerprint, the band keys and the number of shingles; None for a text without words."""
     found = wide_shingles(text)
     if found is None:
         return None
@@ -377,7 +375,7 @@ def wide_signature(text: bytes) -> tuple[int, np.ndarray, np.ndarray] | None:
     for b in range(BANDS):
         for r in range(BAND_ROWS):
             keys[b] = remixed(keys[b : b + 1], 100 + b)[0] ^ remixed(h, 10 + b * BAND_ROWS + r).min()
-    return xxhash.xxh64_intdigest(joined, 1), fp, keys
+    return xxhash.xxh64_intdigest(joined, 1), fp, keys, len(h)
 
 
 def remixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -388,7 +386,7 @@ def remixed(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def wide_signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text as it is), node, f0.. and keys of every text with words."""
+    """doc_id, row (a hash of the text as it is), node, size (its number of shingles), f0.. and keys of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,65 +396,100 @@ def wide_signatures(docs: DataFrame) -> DataFrame:
                 fps = np.stack([x[1] for x in found]).view(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([x[2] for x in found]).view(np.int64)))
                 nodes = np.array([x[0] for x in found], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nodes), *(pa.array(fps[:, k].copy()) for k in range(WIDE_WORDS)), keys], names=["doc_id", "row", "node", *(f"f{k}" for k in range(WIDE_WORDS)), "keys"])
+                sizes = pa.array([x[3] for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nodes), sizes, *(pa.array(fps[:, k].copy()) for k in range(WIDE_WORDS)), keys], names=["doc_id", "row", "node", "size", *(f"f{k}" for k in range(WIDE_WORDS)), "keys"])
 
     small_batches(docs.sparkSession)
-    schema = "doc_id long, row long, node long, " + ", ".join(f"f{k} long" for k in range(WIDE_WORDS)) + ", keys array<long>"
+    schema = "doc_id long, row long, node long, size long, " + ", ".join(f"f{k} long" for k in range(WIDE_WORDS)) + ", keys array<long>"
     return docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("binary")).mapInArrow(lambda batches: frugal(run(batches)), schema)
 
 
-def node_shingles(docs: DataFrame) -> DataFrame:
-    """node and shingles of every text with words."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                found = [x for t in batch.column(0).slice(k, 256) if (x := wide_shingles(t.as_py() or b""))]
-                if found:
-                    nodes = np.array([xxhash.xxh64_intdigest(joined, 1) for joined, _ in found], dtype=np.uint64).view(np.int64)
-                    ends = np.cumsum([0, *(len(h) for _, h in found)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([h for _, h in found]).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), lists], names=["node", "shingles"])
-
-    return docs.select(F.col("text").cast("binary")).mapInArrow(lambda batches: frugal(run(batches)), "node long, shingles array<long>")
+def set_links(sets: list[np.ndarray], split: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of sets of similarity NEAR and more, exactly; each set is sorted and without repeats.
 
-
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b; written) whose texts have shingle sets of similarity NEAR and more, exactly.
-
-    ``nodes``: node and least, the smallest doc_id (and row) with that text. Only texts in a pair are read for their shingles.
+    ``split``: only pairs of one of the first so many sets with one of the others. What two sets have in common is
+    counted over shingles: those in a few sets by their pairs, those in more by products of matrices of zeros and ones.
     """
-    wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
-    whose = cut(nodes.join(wanted, "node", "left_semi").select(F.coalesce("least.doc_id", F.lit(LONG_MIN)).alias("_id")).distinct(), "pair-docs")
-    texts = docs.select(F.coalesce("doc_id", F.lit(LONG_MIN)).alias("_id"), "text").join(whose, "_id", "left_semi")
-    sets = cut(node_shingles(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-shingles")
-    # Written in between: a text in many pairs is a skewed key, which each of the two joins can split on its own.
-    half = cut(pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a"), "pair-halves")
-    full = half.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
-    x, y = F.size("_x"), F.size("_y")
     low, high = NEAR
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    rows, first = (split, split) if split else (n, 0)
+    shingle, item = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(shingle, kind="stable")
+    shingle, item = shingle[order], item[order]
+    starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    times = np.diff(np.r_[starts, len(shingle)])
+    column, times = np.repeat(np.arange(len(times)), times), np.repeat(times, times)
+    common = np.zeros(rows * (n - first), dtype=np.int64)
+    few = (times > 1) & (times <= FEW)
+    item_, column_ = item[few], column[few]
+    for shift in range(1, FEW):
+        at = np.flatnonzero(column_[:-shift] == column_[shift:])
+        if not len(at):
+            break
+        x, y = item_[at], item_[at + shift]
+        if split:
+            across = (x < split) & (y >= split)
+            x, y = x[across], y[across]
+        common += np.bincount(x * (n - first) + y - first, minlength=len(common))
+    common = common.reshape(rows, n - first)
+    item, column = item[times > FEW], column[times > FEW]
+    column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
+        part = slice(*np.searchsorted(column, [k, k + SLAB]))
+        held = np.zeros((n, SLAB), dtype=np.float32)
+        held[item[part], column[part] - k] = 1
+        common += (held[:rows] @ held[first:].T).astype(np.int64)
     # Of i in both, i / (x + y - i) is at least low / high.
-    full = full.where(high * F.least(x, y) >= low * F.greatest(x, y))
-    links = cut(full.where((low + high) * F.size(F.array_intersect("_x", "_y")) >= low * (x + y)).select("a", "b"), "similar")
-    for table_ in (half, sets):
-        drop_cut(table_)
-    return links
+    near = (low + high) * common >= low * (sizes[:rows, None] + sizes[first:])
+    x, y = np.nonzero(near if split else np.triu(near, 1))
+    return x, y + first
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, pair, side, node, text) arrive by root and pair; a spanning forest of the links in each pair of chunks."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def compare(side: list[int], node: list[int], sets: list[np.ndarray]) -> None:
+        order = sorted(range(len(side)), key=side.__getitem__)
+        split = sum(s == 0 for s in side)
+        if len(side) > 1 and (side[order[0]] < 0 or 0 < split < len(side)):
+            pairs = set_links([sets[k] for k in order], split)
+            found.append(_chains(np.array([node[k] for k in order], dtype=np.int64), forest(len(order), [pairs])))
+
+    last, unit = None, ([], [], [])
+    for batch in batches:
+        roots, pairs, sides, nodes = (batch.column(k).to_pylist() for k in range(4))
+        for root, pair, side, node, text in zip(roots, pairs, sides, nodes, batch.column(4), strict=True):
+            if (root, pair) != last:
+                compare(*unit)
+                last, unit = (root, pair), ([], [], [])
+            for held, x in zip(unit, (side, node, wide_shingles(text.as_py())[1]), strict=True):
+                held.append(x)
+        if found:
+            a, b = (pa.array(np.concatenate(x)) for x in zip(*found, strict=True))
+            found.clear()
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+    compare(*unit)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
 
 
 def copy_links(docs: DataFrame, nodes: DataFrame, tables: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """a, b: nodes of similarity NEAR and more, enough links to connect all such that share a bucket of ``tables``.
 
-    First each node is verified with its buckets' smallest ones, which connects most copies by as many pairs as there
-    are rows. Then all pairs are that share a bucket and pass the radius, but aren't connected yet.
+    ``nodes``: a written table of node, least (the smallest doc_id and its row) and size, its number of shingles. Fingerprints of a
+    bucket within the wide radius are candidates. Only texts in a component of candidates are sent, one of each node, and
+    once unless the component is large; all pairs of a component are verified, whether or not they share a bucket.
     """
-    words = [f"f{k}" for k in range(WIDE_WORDS)]
-    least = cut(tables.groupBy("bucket").agg(F.min(F.struct("node", *words)).alias("_l"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "bucket-least")
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"_l.{w}"))) for w in words), F.lit(0))
-    stars = tables.join(least, "bucket").where((F.col("node") != F.col("_l.node")) & (apart <= WIDE_RADIUS))
-    first = similar(docs, nodes, cut(stars.select(F.col("_l.node").alias("a"), F.col("node").alias("b")).distinct(), "stars"))
-    roots = components(first)
-    rows = cut(tables.join(roots, "node", "left").select("bucket", "node", *words, F.coalesce("root", "node").alias("root")), "grouped")
-    others = cut(bucket_links(rows, chunk, WIDE_RADIUS, "root").distinct(), "pairs")
-    return first.unionByName(similar(docs, nodes, others))
+    roots = components(cut(bucket_links(tables, chunk, WIDE_RADIUS), "candidate-links"))
+    wanted = nodes.join(sized(roots), "node").select("root", "node", "size", F.coalesce("least.doc_id", F.lit(LONG_MIN)).alias("_id"), F.col("least.row").alias("row"))
+    wanted = cut(wanted, "candidates")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("size") / HELD)).cast("int").alias("_c")
+    sizes = cut(wanted.groupBy("root").agg(chunks), "candidate-sizes")
+    members = cut(wanted.join(sizes, "root").drop("size"), "members")
+    texts = docs.select(F.coalesce("doc_id", F.lit(LONG_MIN)).alias("_id"), F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(sized(members), ["_id", "row"]).dropDuplicates(["_id", "row"]).select("root", "node", "_c", "text")
+    return cut(dealt(texts, "root").mapInArrow(lambda batches: frugal(_similar(batches)), "a long, b long"), "similar")
 
 
 def drop_near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -469,10 +502,12 @@ def drop_near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     words = [f"f{k}" for k in range(WIDE_WORDS)]
     rows = cut(wide_signatures(docs.select("doc_id", "text")), "signatures")
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least")), "nodes")
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.min("size").alias("size")), "nodes")
     keyed = rows.dropDuplicates(["node"]).select(F.posexplode("keys").alias("b", "key"), "node", *words)
     tables = cut(keyed.select(F.xxhash64("b", "key").alias("bucket"), "node", *words), "bands")
-    ids = classes(nodes, copy_links(docs, nodes, tables, chunk))
+    links = copy_links(docs, nodes, tables, chunk)
+    drop_cut(tables)
+    ids = classes(nodes, links)
     same = F.col("doc_id").eqNullSafe(F.col("component_id.doc_id")) & (F.col("row") == F.col("component_id.row"))
     found = rows.join(ids, rows["node"] == ids["_node"]).where(~same)
     name, row = fresh(docs, "__gone", "__row")
