@@ -1,11 +1,12 @@
-"""Near copies: exact similarities of many sets at once, and groups of texts that are alike without being copies."""
+"""Near copies: exact similarities of many sets at once, and groups of texts that are alike without being copies. Ids of many texts at once."""
 
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from wavemill.llm import simhash
+from wavemill.llm import packing, simhash
 
 
 @pytest.mark.parametrize("few", [2, 5, 16])
@@ -45,3 +46,22 @@ def test_alike_texts_make_no_rows_by_pairs(spark, monkeypatch, chunk):
     docs = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string")
     assert {r.doc_id for r in simhash.drop_near_copies(docs, chunk).collect()} == want
     assert counts["signatures"] == 400 and max(counts.values()) <= 12 * 400 * -(-400 // chunk)
+
+
+def test_words_are_looked_up_once_a_batch():
+    """Many texts at once, with all white space, nulls and control characters: the tokenizer's ids, one look-up a different word."""
+    enc = packing.WordEncoder(packing.tokenizer_path())
+    space = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(f"a{chr(c)}b".split()) == 2 and not 0x1C <= c <= 0x1F]
+    texts = [f" one{c}Two,{c}{c}one " for c in space] + ["", " ", "\n\t", "one\x1ctwo one", "Two, été 日本 x\x00y ​", "\x1f"] + ["one two"] * 50
+    looked = []
+
+    class Counted(packing._Numbers):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    enc.known = Counted()
+    got = enc.encode(pa.array([*texts, None]))
+    assert [x.tolist() for x in got] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    assert 4 < len(looked) == len(set(looked))
+    assert enc.encode(["12 日本語", " ... x"])[0].tolist() == enc.tokenizer.encode("12 日本語", add_special_tokens=False).ids

@@ -19,6 +19,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from .common import frugal, small_batches, table
 TOKENS, SEGMENTS, LOSS = 2048, 32, 1984
 #: Tokens at a document's start that bear no loss.
 LEAD = 64
+#: Texts that are encoded together: bounds memory, not results.
+TEXTS = 1024
 #: Pieces that are packed together: bounds memory, not results.
 POOL = 2048
 #: Id after each document.
@@ -40,6 +43,8 @@ REMEMBER, KEEP = 400_000, 150_000
 LATIN = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)"
 #: The letters and the marks of each of many lines; both are empty for other words.
 LINES = re.compile(f"^{LATIN}$|^.*$", re.MULTILINE)
+#: Control characters that Arrow, but not the tokenizer, takes for white space.
+ODD = "[\x1c-\x1f]"
 #: Runs of marks remembered.
 MARKS = 10_000
 
@@ -62,7 +67,7 @@ class WordEncoder:
     """Ids of whole texts, by remembering each word's ids.
 
     Holds for tokenizers that drop white space, never join across it or between letters and other characters, and
-    lower-case character by character. Texts with control characters that Python, but not the tokenizer, takes for
+    lower-case character by character. Texts with control characters that Arrow, but not the tokenizer, takes for
     white space are encoded as a whole.
     """
 
@@ -97,10 +102,11 @@ class WordEncoder:
         letters = list(dict.fromkeys(stems))
         # Where the ids of letters lie; letters that aren't known yet have none.
         number = np.fromiter(map(self.known.get, letters, repeat(self.learnt)), dtype=np.int64, count=len(letters))
-        old = number < self.learnt
+        some = np.fromiter(map(bool, letters), dtype=bool, count=len(letters))  # the empty word's ids are no other word's
+        old = some & (number < self.learnt)
         number[~old] = 0
         starts, sizes = np.where(old, self.starts[number], 0), np.where(old, self.sizes[number], -1)
-        fresh = np.flatnonzero(~old & np.fromiter(map(bool, letters), dtype=bool, count=len(letters)))
+        fresh = np.flatnonzero(~old & some)
         # A run of letters is one unit for the tokenizer, so many go in one call and their ids part after word ends.
         for k in range(0, len(fresh), 50_000):
             part = fresh[k : k + 50_000]
@@ -165,21 +171,28 @@ class WordEncoder:
         self.flat[: len(ids)], self.used = ids, len(ids)
         self.starts[:KEEP], self.sizes[:KEEP], self.met[:KEEP], self.met[KEEP:] = np.cumsum(sizes) - sizes, sizes, met, 0
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null is empty. Equal words of the texts are brought together first and looked up once."""
         if len(self.known) > REMEMBER:
             self._keep()
-        odd = {k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        number = self.known.__getitem__
-        numbers = [np.fromiter(map(number, words), dtype=np.int64, count=len(words)) for words in (t.split() if k not in odd else [] for k, t in enumerate(texts))]
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        odd = {}
+        if pc.any(pc.match_substring_regex(texts, ODD)).as_py():
+            odd = {k: texts[k].as_py() for k in np.flatnonzero(pc.match_substring_regex(texts, ODD)).tolist()}
+            texts = pc.if_else(pc.match_substring_regex(texts, ODD), "", texts)
+        split = pc.utf8_split_whitespace(texts)  # white space at an end leaves an empty word there, which has no ids
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.__getitem__, different), dtype=np.int64, count=len(different))
         self.learn()
-        at = np.concatenate([*numbers, np.empty(0, dtype=np.int64)])
-        self.met[: len(self.known)] += np.bincount(at, minlength=len(self.known)).astype(np.int32)
-        sizes = self.sizes[at]
-        ids = _gathered(self.flat, self.starts[at], sizes)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, numbers)])].tolist()
+        place = words.indices.to_numpy()
+        self.met[number] += np.bincount(place, minlength=len(number)).astype(np.int32)
+        sizes = self.sizes[number][place]
+        ids = _gathered(self.flat, self.starts[number][place], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy()])].tolist()
         out = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        for k in odd:
-            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
+        for k, text in odd.items():
+            out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return out
 
 
@@ -307,10 +320,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int, int,
 
     packer = Packer(emit, *limits)
     for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            part = batch.slice(k, 512)
-            doc_ids = part.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+        for k in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(k, TEXTS)
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                 documents[number] = doc_id, np.append(ids, np.uint32(END)).astype("<u4"), len(ids) + 1
                 packer.add(number, len(ids) + 1)
                 number += 1
