@@ -149,6 +149,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+def give_back() -> None:
+    """Have this process give the memory it has freed back to the machine."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def frugal(work: Iterator) -> Iterator:
     """``work``, after which a Python worker gives the memory it has freed back to the machine.
 
@@ -157,11 +166,7 @@ def frugal(work: Iterator) -> Iterator:
     try:
         yield from work
     finally:
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

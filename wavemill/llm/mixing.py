@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +106,10 @@ def source_targets(rows: DataFrame, weights: dict | None = None) -> DataFrame:
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     w = [float(k % 3 + 1) if weights is None else float(weights.get(name, 0.0)) for k, (name, _) in enumerate(found)]
     out = [(k, name, int(s), t) for k, ((name, s), t) in enumerate(zip(found, targets([x[1] for x in found], w), strict=True))]
-    return rows.sparkSession.createDataFrame(out, "_src int, source string, source_size long, target double")
+    # As an Arrow table it needs no task; a list of rows would start two Python workers more beside each executor.
+    kinds = {"_src": pa.int32(), "source": pa.string(), "source_size": pa.int64(), "target": pa.float64()}
+    columns = zip(*out, strict=True) if out else [()] * len(kinds)
+    return rows.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)), "_src int, source string, source_size long, target double")
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:

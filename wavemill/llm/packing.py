@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, small_batches, table
+from .common import frugal, give_back, small_batches, table
 
 #: Tokens, segments and loss-bearing tokens that a sequence holds at most: a full one has 64 tokens of prompts or more.
 TOKENS, SEGMENTS, LOSS = 2048, 32, 1984
@@ -39,6 +39,10 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words an encoder remembers before it forgets all but those it met most often.
 REMEMBER, KEEP = 400_000, 150_000
+#: Words that go to the tokenizer in one call: it holds some hundred bytes a word meanwhile. Bounds memory, not results.
+CALL = 4_000
+#: Texts whose ids are put together at once: bounds memory, not results.
+GATHER = 128
 #: Words whose ids are those of their lower-cased letters and then those of the marks: Latin letters that normalising leaves as they are, and ASCII marks.
 LATIN = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)"
 #: The letters and the marks of each of many lines; both are empty for other words.
@@ -95,8 +99,12 @@ class WordEncoder:
         same letters share their ids.
         """
         words = list(islice(reversed(self.known), len(self.known) - self.learnt))[::-1]
-        if not words:
-            return
+        if words:
+            self._learn(words)
+            del words
+            give_back()
+
+    def _learn(self, words: list[str]) -> None:
         stems, marks = zip(*LINES.findall("\n".join(words)), strict=True)
         stems = "\n".join(stems).lower().split("\n")
         letters = list(dict.fromkeys(stems))
@@ -108,8 +116,8 @@ class WordEncoder:
         starts, sizes = np.where(old, self.starts[number], 0), np.where(old, self.sizes[number], -1)
         fresh = np.flatnonzero(~old & some)
         # A run of letters is one unit for the tokenizer, so many go in one call and their ids part after word ends.
-        for k in range(0, len(fresh), 50_000):
-            part = fresh[k : k + 50_000]
+        for k in range(0, len(fresh), CALL):
+            part = fresh[k : k + CALL]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join([letters[j] for j in part.tolist()])], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
@@ -120,7 +128,7 @@ class WordEncoder:
         starts_, sizes_ = starts[at], sizes[at]
         odd = np.flatnonzero(sizes_ < 0).tolist()
         if odd:
-            found = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False)]
+            found = [np.array(e.ids, dtype=np.uint32) for j in range(0, len(odd), CALL) for e in self.tokenizer.encode_batch_fast([words[k] for k in odd[j : j + CALL]], add_special_tokens=False)]
             own = np.fromiter(map(len, found), dtype=np.int64, count=len(odd))
             starts_[odd], sizes_[odd] = self._append(np.concatenate(found)) + np.cumsum(own) - own, own
         self._with_marks(np.flatnonzero((sizes[at] >= 0) & np.fromiter(map(bool, marks), dtype=bool, count=len(marks))), marks, starts_, sizes_)
@@ -184,13 +192,18 @@ class WordEncoder:
         words = split.flatten().dictionary_encode()
         different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         number = np.fromiter(map(self.known.__getitem__, different), dtype=np.int64, count=len(different))
+        del different
         self.learn()
         place = words.indices.to_numpy()
         self.met[number] += np.bincount(place, minlength=len(number)).astype(np.int32)
-        sizes = self.sizes[number][place]
-        ids = _gathered(self.flat, self.starts[number][place], sizes)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy()])].tolist()
-        out = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        starts, sizes = self.starts[number], self.sizes[number]
+        bounds, out = np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy()]), []
+        for k in range(0, len(texts), GATHER):
+            own = bounds[k : k + GATHER + 1]
+            at = place[own[0] : own[-1]]
+            ids = _gathered(self.flat, starts[at], sizes[at])
+            ends = np.concatenate([[0], np.cumsum(sizes[at])])[own - own[0]].tolist()
+            out += [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         for k, text in odd.items():
             out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return out
