@@ -183,3 +183,46 @@ def test_deemphasis_undoes_preemphasis(spark):
     assert all(np.allclose(*both, rtol=1e-9) for k, both in back.items() if len(EDGES[k]) > 1)
     none = spark.createDataFrame([(1, None)], "clip_id long, y array<double>")
     assert temporal.deemphasis(none).first().y is None
+
+
+def plain_metronome(bpm, sr, n, freq, per_bar, click, most):
+    y, length = np.zeros(n), math.floor(click * sr)
+    for b in range(most if bpm else 0):
+        a = math.floor(b * 60 / bpm * sr)
+        for i in range(max(0, a), min(n, a + length)):
+            y[i] += (1 if b % per_bar == 0 else 0.7) * (1 - (i - a) / length) * math.sin(2 * math.pi * freq * (1 if b % per_bar else 2) * (i - a) / sr)
+    return y
+
+
+@pytest.mark.parametrize("some", [1, 30, 1 << 18])
+@pytest.mark.parametrize("most", [None, 5])
+def test_metronome_by_pieces_of_clicks(monkeypatch, some, most):
+    monkeypatch.setattr(augment, "SOME", some)
+    bpm, sizes = np.array([120.0, 1100.0, np.nan, 3000.0, 0.0, 90.0, -700.0, 61.5]), np.array([256, 100, 50, 64, 10, 0, 40, 1])
+    got = augment._beats(bpm, np.full(8, 200.0), np.full(8, 30.0), sizes, 3, 0.1, most)
+    want = [plain_metronome(0 if np.isnan(b) else b, 200.0, n, 30.0, 3, 0.1, most or 60) for b, n in zip(bpm, sizes, strict=True)]
+    assert np.allclose(got, np.concatenate(want), rtol=1e-9, atol=1e-12)
+
+
+def test_metronome_takes_all_parameters_from_rows(spark):
+    rows = spark.createDataFrame([(7, 100.0, 200.0, 20.0, 300), (7, 240.0, 400.0, 35.0, 90), (8, 60.0, 10.0, 3.0, 30), (9, None, 200.0, 20.0, 3), (None, 100.0, 100.0, 9.0, 0)], "k int, tempo double, rate double, f double, n int")
+    made = augment.metronome(rows, "k", "tempo", "rate", "n", "f").collect()
+    want = [(k, plain_metronome(tempo, rate, n, f, 4, 0.05, 60) if tempo else np.zeros(n)) for k, tempo, rate, f, n in rows.collect()]
+    for k, y in want:
+        assert any(r.clip_id == k and len(r.y) == len(y) and np.allclose(r.y, y, rtol=1e-9, atol=1e-12) for r in made)
+    assert len(made) == len(want)
+
+
+def test_generated_metronome_of_odd_sizes_by_many_tasks(spark, tmp_path, same):
+    """One file of parts is worked on by several tasks; any size gives the rows of the SQL."""
+    import duckdb
+
+    import __spark_entry__
+
+    sizes = [None, 0, 1, 50, 88, 89, 100, 500, -4, -10, -1000]
+    spark.createDataFrame([(k, s, 1.0) for k, s in enumerate(sizes)], "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = __spark_entry__.queries()["generated_metronome"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    same(got.toPandas(), con.sql(__spark_entry__.oracle_sql()["generated_metronome"]).df())
+    assert got.select(F.spark_partition_id()).distinct().count() > 1

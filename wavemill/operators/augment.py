@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions.arrays import bound, leaky, let, squares
+from wavemill.operators.blocks import lists_of
+
+#: Samples that the metronome makes at a time in a task.
+SOME = 1 << 18
 
 
 def num(x: float | str) -> str:
@@ -109,17 +115,55 @@ def pink(y: str) -> Column:
     return F.transform(parts, lambda z, i: 0.11 * (sum((z[f"b{k}"] for k in range(len(poles))), F.lit(0.0)) + 0.115926 * before(i) + 0.5362 * z["x"]))
 
 
-def metronome(bpm: float | str, sr: float | str, freq: float | str = 1000.0, per_bar: int = 4, click: float = 0.05) -> str:
-    """Clicks on every beat, the first of a bar an octave higher and louder; not cut off at one.
-
-    A sample hears the last beats before it that are still sounding.
+def _beats(bpm: np.ndarray, sr: np.ndarray, freq: np.ndarray, sizes: np.ndarray, per_bar: int, click: float, most: int | None) -> np.ndarray:
+    """The metronomes of some rows end to end: clicks are added at their beats, some clicks at a time."""
+    y, starts = np.zeros(int(sizes.sum())), np.cumsum(sizes) - sizes
+    with np.errstate(all="ignore"):
+        length = np.floor(click * sr)
+        # A beat sounds in the row if its place is before the row's end and less than a click before its start; time runs back at a tempo below zero.
+        beats = np.floor(np.where(bpm > 0, sizes, length) * np.abs(bpm) / (60 * sr)) + 2
+    beats = np.where(np.isfinite(beats) & np.isfinite(freq) & (bpm != 0) & (length >= 1), beats, 0.0)
+    lasts = np.cumsum((beats if most is None else np.minimum(beats, most)).astype(np.int64))
+    total, longest = int(lasts[-1]), int(length[beats > 0].max(initial=1))
+    step = max(1, SOME // longest)
+    for first in range(0, total, step):
+        k = np.arange(first, min(first + step, total))
+        row = np.searchsorted(lasts, k, side="right")
+        b = k - np.where(row > 0, lasts[row - 1], 0)
+        place = np.floor(b * 60 / bpm[row] * sr[row])
+        near = (place < sizes[row]) & (place > -length[row])
+        row, bar, place = row[near, None], b[near, None] % per_bar == 0, place[near, None]
+        j = np.arange(longest)
+        x = np.where(bar, 1.0, 0.7) * (1 - j / length[row]) * np.sin(2 * np.pi * freq[row] * np.where(bar, 2, 1) * j / sr[row])
+        heard = (j < length[row]) & (place + j >= 0) & (place + j < sizes[row])
+        np.add.at(y, (starts[row] + place.astype(np.int64) + j)[heard], x[heard])
+    return y
+
+
+def metronome(rows: DataFrame, clip_id: str, bpm: float | str, sr: float | str, n: int | str, freq: float | str = 1000.0, per_bar: int = 4, click: float = 0.05, beats: int | None = None) -> DataFrame:
+    """(clip_id, y): n samples of clicks on every beat of a row's tempo, the first of a bar an octave higher and louder; not cut off at one.
+
+    ``beats`` ends the clicks after so many of them. A row without a tempo, or of tempo 0, is silent. A few narrow rows make many samples, so rows are
+    dealt to all tasks before, however few files they come from.
     """
-    place, length = f"cast(floor(b * 60 / {num(bpm)} * {num(sr)}) as int)", f"cast(floor({click!r}D * {num(sr)}) as int)"
-    last = f"cast(floor((i + 1) * {num(bpm)} / (60 * {num(sr)})) as int)"
-    first = f"greatest(0, {last} - cast(ceil({click!r}D * {num(bpm)} / 60) as int) - 1)"
-    bar = f"b % {per_bar} = 0"
-    one = f"case when i between {place} and {place} + {length} - 1 then (case when {bar} then 1D else 0.7D end) * (1 - (i - {place}) / cast({length} as double)) * sin(2 * pi() * {num(freq)} * (case when {bar} then 2 else 1 end) * (i - {place}) / {num(sr)}) else 0D end"
-    return f"aggregate(sequence({first}, {last}), 0D, (s, b) -> s + {one})"
+    numbers = [F.expr(f"cast({num(x)} as double)").alias(name) for name, x in (("bpm", bpm), ("sr", sr), ("freq", freq))]
+    known = rows.select(F.col(clip_id).cast("long").alias("clip_id"), *numbers, F.expr(f"greatest(0, coalesce(cast({n} as int), 0))").alias("n"))
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bpm, sr, freq = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            sizes = batch.column(4).to_numpy().astype(np.int64)
+            ends, first = np.cumsum(sizes), 0
+            while first < len(sizes):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SOME, side="right")))
+                some = slice(first, last)
+                y = _beats(bpm[some], sr[some], freq[some], sizes[some], per_bar, click, beats)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists_of(y, sizes[some])], names=["clip_id", "y"])
+                first = last
+
+    return known.repartition(tasks, "clip_id").mapInArrow(run, "clip_id long, y array<double>")
 
 
 def click_track(y: str, beats: str, n_click: int, freq: float, sr: float, gain: float = 0.5) -> Column:
